@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session."""
+    """Bounds the Arrow batches of this session, and lets its Python workers find this package where it lies for the driver."""
+    found = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in found:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, found)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

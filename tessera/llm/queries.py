@@ -6,7 +6,7 @@ import importlib
 
 from .common import table
 
-MODULES = ("packing",)
+MODULES = ("packing", "fingerprints", "secrets")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ import importlib
 
 from .common import table
 
-MODULES = ("packing", "fingerprints", "secrets")
+MODULES = ("packing", "fingerprints", "secrets", "language")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ import importlib
 
 from .common import table
 
-MODULES = ("packing", "fingerprints", "secrets", "language")
+MODULES = ("packing", "fingerprints", "secrets", "language", "jaccard")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -6,7 +6,7 @@ import importlib
 
 from .common import table
 
-MODULES = ("packing", "fingerprints", "secrets", "language", "jaccard", "topk", "mixing")
+MODULES = ("packing", "fingerprints", "secrets", "language", "jaccard", "topk", "mixing", "attribution", "warc", "licenses")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

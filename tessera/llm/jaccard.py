@@ -41,6 +41,10 @@ GROUPS, SLOTS, SLICE, LEAF = 32, 1 << 18, 8192, 128
 HIGH, LEAST = 4, 64
 #: Bits of a token: with a bit for its rank and eleven for its text they fill a number.
 BITS = 52
+#: Bytes of text whose words are hashed at once; the arrays for it take some hundred times as much.
+SLICED = 1 << 20
+#: Buckets of at most so many rows are a single leaf whose pairs are tested together with those of other buckets.
+SMALL = 6
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base to the powers 0 to n, kept for the next slice of texts."""
     found = _powers.get(int(base))
     if found is None or len(found) <= n:
-        found = np.full(max(n + 1, 1 << 22), base, np.uint64)
+        found = np.full(max(n + 1, SLICED), base, np.uint64)
         found[0] = 1
         found = _powers[int(base)] = np.multiply.accumulate(found)
     return found[: n + 1]
@@ -142,7 +146,7 @@ def token_counts(docs: DataFrame, join: Join) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICED):
             tokens, _ = all_tokens(*utf8(batch.column("text")), join.words)
             total += np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         rows = [k for k in range(SLOTS // part) if total[k * part : (k + 1) * part].any()]
@@ -172,7 +176,7 @@ def points(docs: DataFrame, join: Join, last: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.unpackbits(shared.value).astype(bool)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICED):
             tokens, at = _sets(batch, join.words)
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n)), n)
@@ -284,6 +288,17 @@ def bounds_of(found: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(changed) + 1, [found.num_rows]])
 
 
+def small_pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each bucket of 2 to SMALL rows; at: where buckets begin, and the end."""
+    size = np.diff(at)
+    found = []
+    for n in range(2, SMALL + 1):
+        begin = at[:-1][size == n]
+        p, q = np.triu_indices(n, 1)
+        found.append(np.stack([(begin[:, None] + p).ravel(), (begin[:, None] + q).ravel()]))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def dealt_in_slices(rows: DataFrame, key: str, id_: str) -> DataFrame:
     """The rows of keys with two rows at least, with the two slices (a, b) that meet in a task.
 
@@ -322,8 +337,14 @@ def candidates(leaders: DataFrame, join: Join) -> DataFrame:
             ids, sizes, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "_own", "a", "b"))
             points = np.frombuffer(b"".join(found.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
             xs, ys = [], []
+            i, j = small_pairs(at)
+            ok = np.minimum(points[i], points[j]).sum(1) >= join.overlap(sizes[i], sizes[j])
+            ok &= (a[i] == b[i]) | (own[i] != own[j])
+            both = np.unique(np.column_stack([ids[i[ok]], ids[j[ok]]]), axis=0)
+            xs += both[:, 0].tolist()
+            ys += both[:, 1].tolist()
             for s, e in zip(at[:-1], at[1:], strict=True):
-                if e - s < 2:
+                if e - s <= SMALL:
                     continue
                 for p, q in connect(sizes[s:e], points[s:e], join, own[s:e] if a[s] != b[s] else None):
                     xs.append(ids[s + p])
@@ -364,7 +385,7 @@ def verified(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
         keys = ["cluster", "a", "b"]
 
         def with_sets() -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
+            for batch in slices(batches, SLICED):
                 tokens, at = _sets(batch, join.words)
                 names = [*keys, "_own", "doc_id"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.large_binary())], [*names, "tokens"])

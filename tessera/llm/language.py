@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow, slices, table, text_only, utf8
 
@@ -232,8 +233,8 @@ def predict(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
             others = [i for i, name in enumerate(batch.schema.names) if name != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), pa.array(labels.tolist(), pa.string()), pa.array(score)], [*(batch.schema.names[i] for i in others), "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = StructType([f for f in rows.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out():

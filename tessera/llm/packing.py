@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow, cut, drop, slices, table, text_only
 from .tokens import default_vocabulary, encode
@@ -176,8 +177,7 @@ def assign(pieces: DataFrame, cap: Capacity) -> DataFrame:
             keep = [c for c in batch.schema.names if c not in ("slot", "_rank")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, StructType(pieces.schema.fields).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack(docs: DataFrame, cap: Capacity = Capacity(), vocabulary: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:

@@ -145,10 +145,13 @@ def redact(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE) -> DataFram
                 columns = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)} | {"text": pa.array(texts, pa.string())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    marked = docs.withColumn("_null_text", F.col("text").isNull())
-    done = marked.mapInArrow(run, StructType([*schema.fields, marked.schema["_null_text"]]))
-    text = F.when(~F.col("_null_text"), F.col("text"))
-    out = [text.alias("text") if c == "text" else F.when(F.col("_null_text"), F.col(c)).otherwise(F.char_length("text").cast(LongType())).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    mark = "null_text"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.col("text").isNull())
+    done = marked.mapInArrow(run, StructType([*schema.fields, marked.schema[mark]]))
+    text = F.when(~F.col(mark), F.col("text"))
+    out = [text.alias("text") if c == "text" else F.when(F.col(mark), F.col(c)).otherwise(F.char_length("text").cast(LongType())).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return done.select(*out)
 
 

@@ -1,10 +1,485 @@
-"""Queries of the alignment engine over the driver's tables, with the SQL that checks them."""
+"""Queries of the alignment engine over the driver's tables, with the SQL that checks them.
+
+The tables stand in for images and shapes: `embeddings` is a plane (y = vec_id, x = the component's place, v = the component
+as 8 bits), orders are shapes whose vertices are their line items, and customer - nation - region is the graph.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import names
+from .operators import pixels as px
+from .operators import resample, shapes
+from .plans import graph
+from .plans import transforms as tf
+from .sources import text
+from .streaming import iterations
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def plane(spark, sf_dir: str) -> DataFrame:
+    """(image_id, channel, y, x, v): the embeddings as an 8-bit image of one channel."""
+    rows = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 1.0) * 128.0))).cast("double")
+    return rows.select(F.lit("plane").alias("image_id"), F.lit(0).alias("channel"), F.col("vec_id").alias("y"), F.col("x").cast("long").alias("x"), v.alias("v"))
+
+
+def channels(spark, sf_dir: str) -> DataFrame:
+    """The same as four channels of 16 columns."""
+    return plane(spark, sf_dir).withColumns({"channel": F.floor(F.col("x") / 16).cast("int"), "x": F.col("x") % 16})
+
+
+P = "p as (select vec_id as y, x::bigint as x, greatest(0, least(255, floor((e::double + 1.0) * 128.0)))::double as v from (select vec_id, unnest(generate_series(0, len(embedding) - 1)) as x, unnest(embedding) as e from embeddings))"
+C = P + ", c as (select (x // 16)::integer as channel, y, x % 16 as x, v from p)"
+
+
+def points(spark, sf_dir: str) -> DataFrame:
+    """Line items as points."""
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1000).cast("double").alias("x"), (F.col("l_suppkey") % 1000).cast("double").alias("y"))
+
+
+L = "l as (select l_orderkey, l_linenumber, (l_partkey % 1000)::double as x, (l_suppkey % 1000)::double as y from lineitem)"
+
+
+def rings(spark, sf_dir: str) -> DataFrame:
+    """The same as vertices of their order, numbered anew, as line numbers repeat."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("vertex"), "l_linenumber", (F.col("l_partkey") % 1000).cast("double").alias("x"), (F.col("l_suppkey") % 1000).cast("double").alias("y"))
+    return rows
+
+
+V = "l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)::integer as vertex, l_linenumber, (l_partkey % 1000)::double as x, (l_suppkey % 1000)::double as y from lineitem)"
+
+
+def r6(*columns: str):
+    return [(F.round(c, 6) + 0.0).alias(c) for c in columns]
+
+
+# --- graph
+
+
+def edge_table(spark, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("target"))
+    n = t(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("target"))
+    return c.unionByName(n)
+
+
+EDGES = "e as (select 'C' || c_custkey as source, 'N' || c_nationkey as target from customer union all select 'N' || n_nationkey, 'R' || n_regionkey from nation)"
+WALK = f"with recursive {EDGES}, w(start, hop, source, target, seen) as (select source, 0, source, target, [source] from e union all select w.start, w.hop + 1, e.source, e.target, list_append(w.seen, e.source) from w join e on w.target = e.source where not list_contains(w.seen, e.source))"
+
+
+@query(f"{WALK} select start, hop, source, target from w")
+def path_resolve(spark, sf_dir):
+    return graph.resolve(edge_table(spark, sf_dir)).select("start", F.col("hop").cast("int").alias("hop"), "source", "target")
+
+
+@query(f"{WALK} select start, count(*) as n_hops, arg_max(target, hop) as final, string_agg(lpad(hop::varchar, 3, '0') || '-to-' || target, ',' order by hop) as labels from w group by start")
+def path_hops(spark, sf_dir):
+    w = graph.resolve(edge_table(spark, sf_dir))
+    label = F.struct("hop", names.hop_label(F.col("hop"), F.col("target")).alias("label"))
+    return w.groupBy("start").agg(F.count("*").alias("n_hops"), F.max_by("target", "hop").alias("final"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list(label)), lambda s: s["label"])).alias("labels"))
+
+
+@query(f"with {EDGES} select distinct target as name from e where target not in (select source from e)")
+def nonreg_nodes(spark, sf_dir):
+    e = edge_table(spark, sf_dir)
+    return e.select(F.col("target").alias("name")).distinct().join(e.select(F.col("source").alias("name")), "name", "left_anti")
+
+
+@query("with gone as (select n_nationkey from nation where n_regionkey = 1) select c_custkey from customer where c_nationkey not in (select n_nationkey from gone)")
+def cascade_remove(spark, sf_dir):
+    """A removed region takes the paths through it with it."""
+    gone = t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return t(spark, sf_dir, "customer").join(gone, "c_nationkey", "left_anti").select("c_custkey")
+
+
+@query("select count(*) as n, count(*) filter (exists (select 1 from customer where c_custkey = o_custkey)) as attached from orders")
+def fk_check(spark, sf_dir):
+    """Attachments whose node is there."""
+    o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    found = o.join(c, "o_custkey", "left_semi").agg(F.count("*").alias("attached"))
+    return o.agg(F.count("*").alias("n")).crossJoin(found)
+
+
+# --- transforms of points
+
+AFFINE = tf.Transform("affine", (0.75, 0.05, -0.125, 1.0, 469.5, 156.25), (1023.0, 1023.0))
+EULER = tf.Transform("euler", (0.3, 12.0, -7.0), (500.0, 400.0))
+SIMILARITY = tf.Transform("similarity", (1.25, -0.2, 3.0, 4.0), (500.0, 400.0))
+SHIFT = tf.Transform("translation", (17.5, -2.25))
+
+
+def _points_by(m: np.ndarray):
+    def run(spark, sf_dir):
+        x, y = tf.mapped(F.col("x"), F.col("y"), m)
+        return points(spark, sf_dir).select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y")).select("l_orderkey", "l_linenumber", *r6("x", "y"))
+
+    return run
+
+
+def _points_sql(x: str, y: str) -> str:
+    return f"with {L} select l_orderkey, l_linenumber, round({x}, 6) + 0.0 as x, round({y}, 6) + 0.0 as y from l"
+
+
+AX, AY = "0.75 * (x - 1023.0) + 0.05 * (y - 1023.0) + 1023.0 + 469.5", "-0.125 * (x - 1023.0) + 1.0 * (y - 1023.0) + 1023.0 + 156.25"
+EX, EY = "cos(0.3) * (x - 500.0) - sin(0.3) * (y - 400.0) + 500.0 + 12.0", "sin(0.3) * (x - 500.0) + cos(0.3) * (y - 400.0) + 400.0 - 7.0"
+for _name, _t, _x, _y in (
+    ("affine_points", AFFINE, AX, AY),
+    ("euler_points", EULER, EX, EY),
+    ("similarity_points", SIMILARITY, "1.25 * (cos(-0.2) * (x - 500.0) - sin(-0.2) * (y - 400.0)) + 500.0 + 3.0", "1.25 * (sin(-0.2) * (x - 500.0) + cos(-0.2) * (y - 400.0)) + 400.0 + 4.0"),
+    ("translation_points", SHIFT, "x + 17.5", "y - 2.25"),
+):
+    QUERIES[_name], ORACLE[_name] = _points_by(_t.matrix()), _points_sql(_x, _y)
+_det = "(0.75 * 1.0 + 0.05 * 0.125)"
+QUERIES["inverse_points"] = _points_by(AFFINE.inverse())
+ORACLE["inverse_points"] = _points_sql(f"(1.0 * (x - 1492.5) - 0.05 * (y - 1179.25)) / {_det} + 1023.0", f"(0.125 * (x - 1492.5) + 0.75 * (y - 1179.25)) / {_det} + 1023.0")
+QUERIES["compose_points"] = _points_by(tf.Sequence().add([EULER, AFFINE], [0, 1]).composite())
+ORACLE["compose_points"] = f"with {L}, a as (select l_orderkey, l_linenumber, {AX} as x, {AY} as y from l) select l_orderkey, l_linenumber, round({EX}, 6) + 0.0 as x, round({EY}, 6) + 0.0 as y from a"
+
+
+@query(f"with {V} select l_orderkey, vertex, l_linenumber + coalesce(sum(l_linenumber) over (partition by l_orderkey order by vertex rows between unbounded preceding and 1 preceding), 0)::bigint as seq_idx, row_number() over (partition by l_orderkey order by vertex desc)::integer as reversed from l")
+def seq_reindex(spark, sf_dir):
+    """Within each order as a sequence: groups counted on from those before, and places reversed."""
+    w = Window.partitionBy("l_orderkey").orderBy("vertex")
+    before = F.coalesce(F.sum("l_linenumber").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rings(spark, sf_dir).select("l_orderkey", "vertex", (F.col("l_linenumber") + before).alias("seq_idx"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("vertex"))).alias("reversed"))
+
+
+# --- sizes
+
+SIZES = "s as (select p_partkey, (p_size * 37 + 11)::double as w, (p_size * 23 + 5)::double as h from part)"
+
+
+def sizes(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37 + 11).cast("double").alias("w"), (F.col("p_size") * 23 + 5).cast("double").alias("h"))
+
+
+@query(f"with {SIZES} select p_partkey, ceil(w * 0.65 / 2.0)::bigint as w, ceil(h * 0.65 / 2.0)::bigint as h from s")
+def output_size(spark, sf_dir):
+    return sizes(spark, sf_dir).select("p_partkey", F.ceil(F.col("w") * 0.65 / 2.0).alias("w"), F.ceil(F.col("h") * 0.65 / 2.0).alias("h"))
+
+
+@query(f"with {SIZES} select p_partkey, round(h * abs(sin(radians(30))) + w * abs(cos(radians(30))), 6) as bw, round(h * abs(cos(radians(30))) + w * abs(sin(radians(30))), 6) as bh from s")
+def rot_bound(spark, sf_dir):
+    c, s = F.abs(F.cos(F.radians(F.lit(30)))), F.abs(F.sin(F.radians(F.lit(30))))
+    return sizes(spark, sf_dir).select("p_partkey", F.round(F.col("h") * s + F.col("w") * c, 6).alias("bw"), F.round(F.col("h") * c + F.col("w") * s, 6).alias("bh"))
+
+
+@query(f"with {SIZES}, b as (select *, h as bw, w as bh from s) select p_partkey, round((bw - 1) / 2 * 0.5, 6) as cx, round((bh - 1) / 2 * 0.5, 6) as cy, round((w - bw) / 2 * 0.5, 6) + 0.0 as tx, round((h - bh) / 2 * 0.5, 6) + 0.0 as ty from b")
+def rot_params(spark, sf_dir):
+    """A quarter turn's centre and shift at spacing 0.5."""
+    s = sizes(spark, sf_dir).withColumns({"bw": F.col("h"), "bh": F.col("w")})
+    return s.select("p_partkey", *[F.round(c, 6).alias(n) for n, c in (("cx", (F.col("bw") - 1) / 2 * 0.5), ("cy", (F.col("bh") - 1) / 2 * 0.5))], *[(F.round(c, 6) + 0.0).alias(n) for n, c in (("tx", (F.col("w") - F.col("bw")) / 2 * 0.5), ("ty", (F.col("h") - F.col("bh")) / 2 * 0.5))])
+
+
+@query(f"with {SIZES} select p_partkey, -1.0::double as a11, 1.0::double as a22, (w - 1) / 2 * 0.5 as cx, (h - 1) / 2 * 0.5 as cy, floor(w / 4) * 0.5 as crop_tx, floor(h / 4) * 0.5 as crop_ty, floor(w / 2)::bigint as crop_w, floor(h / 2)::bigint as crop_h from s")
+def flip_crop_params(spark, sf_dir):
+    w, h = F.col("w"), F.col("h")
+    return sizes(spark, sf_dir).select("p_partkey", F.lit(-1.0).alias("a11"), F.lit(1.0).alias("a22"), ((w - 1) / 2 * 0.5).alias("cx"), ((h - 1) / 2 * 0.5).alias("cy"), (F.floor(w / 4) * F.lit(0.5)).cast("double").alias("crop_tx"), (F.floor(h / 4) * F.lit(0.5)).cast("double").alias("crop_ty"), F.floor(w / 2).alias("crop_w"), F.floor(h / 2).alias("crop_h"))
+
+
+# --- shapes
+
+
+@query(f"with {L} select l_orderkey, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as n_vertices from l group by l_orderkey")
+def shape_bbox(spark, sf_dir):
+    return shapes.bounding_boxes(points(spark, sf_dir), "l_orderkey")
+
+
+@query(f"with {L} select l_orderkey, l_linenumber, x * 0.25 as x, y * 0.25 as y from l")
+def shape_scale(spark, sf_dir):
+    return shapes.scale(points(spark, sf_dir), 0.25)
+
+
+@query(f"with {V}, v as (select l_orderkey, vertex, x, y from l), e as (select l_orderkey, arg_min(x, vertex) as ax, arg_min(y, vertex) as ay, arg_max(x, vertex) as bx, arg_max(y, vertex) as b_y, max(vertex) as n from l group by l_orderkey) select * from v union all select l_orderkey, (n + 1)::integer, ax, ay from e where ax <> bx or ay <> b_y")
+def ring_close(spark, sf_dir):
+    return shapes.close_rings(rings(spark, sf_dir).drop("l_linenumber"), ("l_orderkey",), "vertex")
+
+
+@query(f"with {V} select l_orderkey, string_agg(round(0.955336489125606 * (x * 0.5 - 512.0 - 0.0) + 0.29552020666133955 * (y * 0.5 - 393.0) + 500.0, 3)::decimal(18,3)::varchar, ';' order by vertex) as xs, count(*) as n from l group by l_orderkey")
+def shape_transform(spark, sf_dir):
+    """Vertices at 0.5 a pixel mapped by the inverse of a turn, collected again in order."""
+    seq = tf.Sequence().add([EULER])
+    moved = shapes.transform(rings(spark, sf_dir), seq, pixels_in=True, source_res=0.5, pixels_out=False)
+    s = F.struct("vertex", F.round("x", 3).cast("decimal(18,3)").cast("string").alias("t"))
+    return moved.groupBy("l_orderkey").agg(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(s)), lambda s: s["t"])).alias("xs"), F.count("*").alias("n"))
+
+
+# --- pixels
+
+
+@query(f"with {C}, w as (select y, x, max(v) filter (channel = 0) as r, max(v) filter (channel = 1) as g, max(v) filter (channel = 2) as b from c group by y, x) select y, x, (floor(0.2125 * r) + floor(0.7154 * g) + floor(0.0721 * b))::double as v from w")
+def grayscale(spark, sf_dir):
+    return px.grayscale_image(channels(spark, sf_dir)).select("y", "x", "v")
+
+
+@query(f"with {C}, m as (select channel, min(v) as a, max(v) as b from c group by channel) select c.channel, y, x, case when b > a then floor((v - a) * 255.0 / (b - a)) else 0 end::double as v from c join m using (channel)")
+def rescale_u8(spark, sf_dir):
+    return px.rescale(channels(spark, sf_dir), ("channel",)).select("channel", "y", "x", "v")
+
+
+@query(f"with {P} select y, x, least(255.0, abs(7 * v + 1))::double as contrast, (255.0 - v)::double as inverted, floor(v / 256)::bigint as high, (v >= 128)::integer as mask from p")
+def contrast_invert(spark, sf_dir):
+    v = F.col("v")
+    return plane(spark, sf_dir).select("y", "x", px.contrast(v).alias("contrast"), px.invert(v).alias("inverted"), px.as_uint8(v).alias("high"), (v >= 128).cast("int").alias("mask"))
+
+
+@query(f"with {C} select y, x, max(v) as v from c group by y, x")
+def max_projection(spark, sf_dir):
+    return px.max_projection(channels(spark, sf_dir)).select("y", "x", "v")
+
+
+@query(f"with {C} select (case channel when 3 then 0 else 1 end)::integer as channel, y, x, v from c where channel in (3, 1)")
+def channel_select(spark, sf_dir):
+    return px.select_channels(channels(spark, sf_dir), [3, 1]).select("channel", "y", "x", "v")
+
+
+@query(f"with {C} select y, x, v from c where channel = 0")
+def channel_fallback(spark, sf_dir):
+    """A channel that isn't there gives the first."""
+    return px.single_channel(channels(spark, sf_dir), 9).select("y", "x", "v")
+
+
+@query(f"with {P} select y // 3 as y, x // 3 as x, v from p where y % 3 = 0 and x % 3 = 0 and x // 3 < 64 // 3 and y // 3 < (select max(y) + 1 from p) // 3")
+def shrink(spark, sf_dir):
+    return px.shrink(plane(spark, sf_dir), 3).select("y", "x", "v")
+
+
+@query(f"with {P} select y, 63 - x as x, v from p")
+def flip_h(spark, sf_dir):
+    return px.flip(plane(spark, sf_dir), "h", 64, 0).select("y", F.col("x").cast("long").alias("x"), "v")
+
+
+@query(f"with {P} select (select max(y) from p) - y as y, x, v from p")
+def flip_v(spark, sf_dir):
+    p = plane(spark, sf_dir)
+    h = t(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    return px.flip(p, "v", 64, h).select("y", "x", "v")
+
+
+@query(f"with {P} select 63 - x as y, y as x, v from p")
+def rot90(spark, sf_dir):
+    return px.rotate90(plane(spark, sf_dir), 64).select(F.col("y").cast("long").alias("y"), "x", "v")
+
+
+@query(f"with {P} select y - 100 as y, x - 8 as x, v from p where x >= 8 and x < 40 and y >= 100 and y < 300")
+def crop(spark, sf_dir):
+    return px.crop(plane(spark, sf_dir), 8, 100, 32, 200).select("y", "x", "v")
+
+
+@query(f"with {P}, b as (select max(x) as mx, max(y) as my, min(x) filter (v >= 170) as x0, min(y) filter (v >= 170) as y0, max(x) filter (v >= 170) as x1, max(y) filter (v >= 170) as y1 from p) select greatest(x0 - 3, 0)::bigint as x, greatest(y0 - 3, 0)::bigint as y, (least(x1 + 4, mx + 1) - greatest(x0 - 3, 0))::bigint as w, (least(y1 + 4, my + 1) - greatest(y0 - 3, 0))::bigint as h from b where x0 is not null")
+def mask_bbox_padded(spark, sf_dir):
+    mask = plane(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 170, 255.0).otherwise(0.0))
+    return px.mask_box(mask, 3).select(*[F.col(c).cast("long").alias(c) for c in "xywh"])
+
+
+TURN = np.array([[0.8, 0.3, 2.25], [-0.2, 1.1, 5.5], [0, 0, 1.0]])
+
+
+@query(f"with {P}, o as (select y, x, floor(round(x * 0.8 + y * 0.3 + 2.25, 9) + 0.5)::bigint as sx, floor(round(x * -0.2 + y * 1.1 + 5.5, 9) + 0.5)::bigint as sy from (select unnest(generate_series(0, 79)) as x), (select unnest(generate_series(0, 199)) as y)) select o.y::bigint as y, o.x::bigint as x, coalesce(p.v, 0.0) as v from o left join p on p.x = sx and p.y = sy")
+def nearest_resample(spark, sf_dir):
+    return resample.nearest(plane(spark, sf_dir), (80, 200), TURN)
+
+
+@query("with t as (select ty, tx, ty * 64 as y0, tx * 64 as x0 from (select unnest(generate_series(0, 15)) as ty), (select unnest(generate_series(0, 9)) as tx)), b as (select *, least(64, 1000 - y0) as h, least(64, 600 - x0) as w from t), k as (select *, unnest([0, 0, 1, 1]) as dx, unnest([0, 1, 0, 1]) as dy from b), m as (select ty, tx, floor(min((x0 + dx * (w - 1)) * 0.8 + (y0 + dy * (h - 1)) * 0.3 + 2.25)) - 2 as ax, ceil(max((x0 + dx * (w - 1)) * 0.8 + (y0 + dy * (h - 1)) * 0.3 + 2.25)) + 2 as bx, floor(min((x0 + dx * (w - 1)) * -0.2 + (y0 + dy * (h - 1)) * 1.1 + 5.5)) - 2 as ay, ceil(max((x0 + dx * (w - 1)) * -0.2 + (y0 + dy * (h - 1)) * 1.1 + 5.5)) + 2 as by_ from k group by ty, tx), s as (select unnest(generate_series(0, 7)) as sy), u as (select unnest(generate_series(0, 7)) as sx) select ty::integer as ty, tx::integer as tx, sy::integer as sy, sx::integer as sx from m, s, u where bx >= 0 and by_ >= 0 and ax < 512 and ay < 512 and sx * 64 <= bx and sx * 64 + 64 > ax and sy * 64 <= by_ and sy * 64 + 64 > ay")
+def tile_overlap_join(spark, sf_dir):
+    """Output tiles of a 600 x 1000 grid against the tiles of a 512 x 512 source."""
+    return resample.source_tiles(resample.tile_index(spark, 600, 1000, 64), TURN, (512, 512), 64)
+
+
+def _level(k: int):
+    def run(spark, sf_dir):
+        h = t(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+        return px.pyramid_level(plane(spark, sf_dir), k, 64, h).select("y", "x", "v")
+
+    return run
+
+
+for _k in (1, 2, 3):
+    QUERIES[f"pyramid_l{_k}"] = _level(_k)
+    ORACLE[f"pyramid_l{_k}"] = f"with {P} select y // {1 << _k} as y, x // {1 << _k} as x, floor(round(avg(v), 9))::double as v from p where y < (select max(y) + 1 from p) // {1 << _k} * {1 << _k} group by all"
+
+
+@query("with s as (select p_partkey, p_size * 97 as w, p_size * 53 + 40 as h from part), n as (select *, unnest(generate_series(0, 20)) as k from s) select p_partkey, k::integer as level, (w // (1 << k))::bigint as w, (h // (1 << k))::bigint as h from n where k = 0 or (least(w, h) // (1 << k) > 64)")
+def pyramid_levels(spark, sf_dir):
+    """Levels of images of many sizes at tile 64."""
+    s = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).alias("w"), (F.col("p_size") * 53 + 40).alias("h"))
+    n = s.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level")))
+    return n.filter((F.col("level") == 0) | (F.least(at("w"), at("h")) > 64)).select("p_partkey", "level", at("w").alias("w"), at("h").alias("h"))
+
+
+@query(f"with {C} select channel, y, x, v, 'a' as source from c union all select (channel + 4)::integer, y, x, 255.0 - v, 'b' from c where channel < 2")
+def merge_channels(spark, sf_dir):
+    c = channels(spark, sf_dir)
+    other = c.filter("channel < 2").withColumn("v", 255.0 - F.col("v"))
+    return px.merge_channels([("a", c), ("b", other)]).select("channel", "y", "x", "v", "source")
+
+
+@query("select p_brand || ' - ' || p_name as name, arg_max(p_type, p_partkey) as widest, count(*) as n from part group by 1")
+def merge_names(spark, sf_dir):
+    return t(spark, sf_dir, "part").select(names.merged_name(F.col("p_brand"), F.col("p_name")).alias("name"), "p_type", "p_partkey").groupBy("name").agg(F.max_by("p_type", "p_partkey").alias("widest"), F.count("*").alias("n"))
+
+
+@query("select o_orderkey, case when o_orderkey * 7 <= 255 then 'uint8' when o_orderkey * 7 <= 65535 then 'uint16' else 'int32' end as dtype from orders")
+def dtype_pick(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", px.narrowest(F.col("o_orderkey") * 7).alias("dtype"))
+
+
+# --- metrics
+
+PAIRS = C + ", q as (select a.v / 256 as a, b.v / 256 as b from c a join c b on a.y = b.y and a.x = b.x where a.channel = 0 and b.channel = 1)"
+
+
+def pairs(spark, sf_dir):
+    c = channels(spark, sf_dir)
+    wide = c.filter("channel < 2").groupBy("y", "x").agg(F.max(F.when(F.col("channel") == 0, F.col("v") / 256)).alias("a"), F.max(F.when(F.col("channel") == 1, F.col("v") / 256)).alias("b"))
+    return wide.select("a", "b")
+
+
+@query(f"with {PAIRS} select least(floor(a * 16), 15)::bigint as a, least(floor(b * 16), 15)::bigint as b, count(*) as n from q group by 1, 2")
+def joint_hist(spark, sf_dir):
+    return px.joint_histogram(pairs(spark, sf_dir), 16).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
+@query(f"with {PAIRS}, h as (select least(floor(a * 16), 15) as a, least(floor(b * 16), 15) as b, count(*)::double as n from q group by 1, 2), m as (select n, sum(n) over (partition by a) as na, sum(n) over (partition by b) as nb, sum(n) over () as total from h) select round(sum(n / total * ln(n * total / (na * nb))), 6) as mi from m")
+def mutual_info(spark, sf_dir):
+    return px.mutual_information(px.joint_histogram(pairs(spark, sf_dir), 16)).select(F.round("mi", 6).alias("mi"))
+
+
+@query(f"with {PAIRS} select round(avg((a - b) * (a - b)), 8) as msq, round(corr(a, b), 8) as ncc from q")
+def mean_squares_correlation(spark, sf_dir):
+    q = pairs(spark, sf_dir)
+    return px.mean_squares(q).crossJoin(px.normalised_correlation(q)).select(F.round("msq", 8).alias("msq"), F.round("ncc", 8).alias("ncc"))
+
+
+@query(f"with {PAIRS}, m as (select a >= 0.5 as a, b >= 0.5 as b from q) select round(2.0 * count(*) filter (a and b) / nullif(count(*) filter (a) + count(*) filter (b), 0), 8)::double as dice from m")
+def dice(spark, sf_dir):
+    m = pairs(spark, sf_dir).select(F.when(F.col("a") >= 0.5, 1).otherwise(0).alias("a"), F.when(F.col("b") >= 0.5, 1).otherwise(0).alias("b"))
+    return px.dice(m).select(F.round(F.col("dice").cast("double"), 8).alias("dice"))
+
+
+# --- text
+
+
+@query("with l as (select p_partkey, case when p_partkey % 5 = 0 then '// ' || p_name else '(' || replace(p_brand, '#', '') || ' ' || p_size || ' \"' || p_partkey || '\")' end as line from part) select p_partkey, nullif(regexp_extract(line, '^\\((\\S+)[^)]*\\)', 1), '') as key, case when line like '(%' then array_to_string(list_filter(regexp_split_to_array(replace(regexp_extract(line, '^\\(\\S+\\s*([^)]*)\\)', 1), '\"', ''), '\\s+'), lambda v: v <> ''), '|') else '' end as vals from l")
+def parse_params(spark, sf_dir):
+    line = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("// "), "p_name")).otherwise(F.concat(F.lit("("), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" "), F.col("p_size").cast("string"), F.lit(' "'), F.col("p_partkey").cast("string"), F.lit('")')))
+    rows = t(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+    return rows.select("p_partkey", text.parameter_key(F.col("line")).alias("key"), F.array_join(text.parameter_values(F.col("line")), "|").alias("vals"))
+
+
+@query("select p_partkey, row_number() over (partition by p_size order by p_partkey)::integer as place from part")
+def natural_sort(spark, sf_dir):
+    """Names that end in numbers, in the order of the numbers."""
+    key = names.natural_key(F.concat(F.lit("Info.R"), F.col("p_partkey").cast("string"), F.lit(".txt")))
+    return t(spark, sf_dir, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_size").orderBy(key)).alias("place"))
+
+
+@query("select event_id, user_id, round(value - lag(value) over w, 6) + 0.0 as delta, row_number() over w as iteration from events window w as (partition by user_id order by ts, event_id)")
+def iteration_series(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, sf_dir, "events").select("event_id", "user_id", (F.round(F.col("value") - F.lag("value").over(w), 6) + 0.0).alias("delta"), F.row_number().over(w).cast("long").alias("iteration"))
+
+
+@query("select user_id, arg_max(event_id, (value, -event_id)) as largest, count(*) as n from events group by user_id")
+def largest_series(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("largest"), F.count("*").alias("n"))
+
+
+@query("select date_trunc('hour', ts) as start, round(avg(value), 6) as mean, count(*) as n from events group by 1")
+def metric_windows(spark, sf_dir):
+    """The streaming extension's aggregate, run over the whole table at once."""
+    return iterations.windowed(t(spark, sf_dir, "events"), "ts", "value").select("start", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("select o_orderkey, case when len(n) = k then array_to_string(n, ',') else array_to_string(list_transform(generate_series(0, k - 1), lambda i: 'C' || i), ',') end as names from (select o_orderkey, [o_orderstatus, o_orderpriority] as n, (o_orderkey % 3 + 1)::integer as k from orders)")
+def channel_names(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.array_join(names.channel_names(F.array("o_orderstatus", "o_orderpriority"), (F.col("o_orderkey") % 3 + 1).cast("int")), ",").alias("names"))
+
+
+# --- the flagship: points through two-hop paths
+
+FLAGSHIP = f"""
+with o as (select c_nationkey as n, n_regionkey as r, c_custkey as c, o_totalprice / 1000.0 as x, (o_orderkey % 1000)::double as y from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+a as (select *, 0.01 * (c % 7) as th, (c % 11)::double as tx, -(c % 5)::double as ty from o),
+b as (select r, n, cos(th) * (x - 100.0 - tx) + sin(th) * (y - 50.0 - ty) + 100.0 as x, cos(th) * (y - 50.0 - ty) - sin(th) * (x - 100.0 - tx) + 50.0 as y from a),
+d as (select r, x - n as u, y + n as v, 1 + 0.01 * (n % 3) as a11, (1 + 0.01 * (n % 3)) * 1.0 + 0.02 * 0.01 as det from b),
+f as (select r, (1.0 * u - 0.02 * v) / det / 0.5 as x, (a11 * v + 0.01 * u) / det / 0.5 as y from d)
+select r::varchar as region, count(*) as n, round(min(x), 6) as x0, round(min(y), 6) as y0, round(max(x), 6) as x1, round(max(y), 6) as y1, round(greatest(min(x) - 100, 0), 6) as px, round(greatest(min(y) - 100, 0), 6) as py from f group by r
+"""
+
+
+@query(FLAGSHIP)
+def flagship(spark, sf_dir):
+    """Orders as points of their customer's image, mapped to the region's: resolve two hops, join their transforms, map, and take the padded box.
+
+    Edges are tables of their keys' size; the points are read once, joined by the customer and combined before the one
+    shuffle of the result.
+    """
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    c = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    hops = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
+        "c_custkey", "n_regionkey", (F.lit(0.01) * (F.col("c_custkey") % 7)).alias("angle"), (F.col("c_custkey") % 11).cast("double").alias("tx"), (-(F.col("c_custkey") % 5)).cast("double").alias("ty"), F.col("n_nationkey").cast("double").alias("k"), (F.lit(1.0) + F.lit(0.01) * (F.col("n_nationkey") % 3)).alias("a11")
+    )
+    o = t(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") / 1000.0).alias("x"), (F.col("o_orderkey") % 1000).cast("double").alias("y"))
+    joined = o.join(hops, o["o_custkey"] == hops["c_custkey"])
+    x, y = tf.euler_columns(F.col("x"), F.col("y"), F.col("angle"), F.col("tx"), F.col("ty"), F.lit(100.0), F.lit(50.0), inverse=True)
+    first = joined.select("n_regionkey", "k", "a11", x.alias("x"), y.alias("y"))
+    x, y = tf.affine_columns(F.col("x"), F.col("y"), (F.col("a11"), F.lit(0.02), F.lit(-0.01), F.lit(1.0)), F.col("k"), -F.col("k"), F.lit(0.0), F.lit(0.0), inverse=True)
+    second = first.select("n_regionkey", (x / 0.5).alias("x"), (y / 0.5).alias("y"))
+    low = lambda e: F.round(F.greatest(e - 100, F.lit(0.0)), 6)
+    return second.groupBy(F.col("n_regionkey").cast("string").alias("region")).agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("x0"), F.round(F.min("y"), 6).alias("y0"), F.round(F.max("x"), 6).alias("x1"), F.round(F.max("y"), 6).alias("y1"), low(F.min("x")).alias("px"), low(F.min("y")).alias("py"))
+
+
+# --- no SQL
+
+
+@query()
+def rasterise(spark, sf_dir):
+    """Orders of three lines or more as filled polygons on a raster of 1000 x 1000, by the last digit of the order's customer."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("set_name"))
+    p = points(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    many = p.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n >= 3").select("l_orderkey")
+    v = p.join(many, "l_orderkey").select("set_name", F.col("l_orderkey").alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("l_linenumber").alias("vertex"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
+    return shapes.rasterise(v, (100, 100))
+
+
+@query()
+def bspline_points(spark, sf_dir):
+    """Points through a B-spline grid and a turn."""
+    rng = np.random.default_rng(3)
+    spline = tf.Transform("bspline", tuple(rng.uniform(-8, 8, 2 * 14 * 14)), size=(1000, 1000), grid_size=(14, 14), grid_spacing=(100.0, 100.0), grid_origin=(-150.0, -150.0))
+    return shapes.transform(points(spark, sf_dir), tf.Sequence().add([EULER, spline]))
+
+
+@query()
+def register_edge(spark, sf_dir):
+    """Each pair of the plane's neighbouring channels aligned: a rigid model with few iterations."""
+    from .operators import register
+
+    tiles = resample.to_tiles(channels(spark, sf_dir), 1 << 20)
+    a = tiles.select(F.col("channel"), F.col("h"), F.col("w"), F.col("dtype"), F.col("data").alias("fixed"))
+    b = tiles.select((F.col("channel") - 1).alias("channel"), F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
+    edges = a.join(b, "channel").select(F.concat(F.lit("edge"), F.col("channel").cast("string")).alias("edge_id"), "fixed", "moving", "h", "w", "mh", "mw", "dtype")
+    return register.register_edges(edges, register.MODELS["rigid_test"])

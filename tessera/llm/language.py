@@ -209,6 +209,10 @@ def train(docs: DataFrame, settings: Settings = Settings(), where=None) -> Netwo
     place = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.greatest(F.length("text") - settings.sample_chars, F.lit(0)) + 1).cast("int") + 1
     part = F.substring("text", place, F.lit(settings.sample_chars))
     drawn = rows.select(F.xxhash64("doc_id", F.lit(settings.seed)).alias("draw"), "lang", part.alias("text"))
+    # the sample's draws lie below a bound that follows from the rows' number, so tasks send few rows beyond it
+    many = rows.count()
+    if many > 2 * settings.sample_rows:
+        drawn = drawn.filter(F.col("draw") < F.lit(int((2 * settings.sample_rows / many) * (1 << 64)) - (1 << 63)))
     got = drawn.orderBy("draw", "lang", "text").limit(settings.sample_rows).collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got], settings) if got else Network((), {}, settings.window)
 

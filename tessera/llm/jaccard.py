@@ -42,7 +42,7 @@ HIGH, LEAST = 4, 64
 #: Bits of a token: with a bit for its rank and eleven for its text they fill a number.
 BITS = 52
 #: Bytes of text whose words are hashed at once; the arrays for it take some hundred times as much.
-SLICED = 1 << 20
+SLICED = 1 << 18
 #: Buckets of at most so many rows are a single leaf whose pairs are tested together with those of other buckets.
 SMALL = 6
 
@@ -418,7 +418,7 @@ def verified(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
 
 def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every row."""
-    arrow(docs.sparkSession)
+    arrow(docs.sparkSession, 2 << 20)
     counts = token_counts(docs, join)
     sized = cut(points(docs, join, counts > max(HIGH * counts.mean(), counts.mean() + LEAST)))
     classes = sized.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("leader"))

@@ -139,6 +139,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = F.expr(under(0, len(splits)))
     heads = sorted((r[0], r[1]) for r in rows.select(place.alias("place"), "key").groupBy("place").agg(F.min("key")).collect())
     own = rows.withColumn("place", place).withColumn("guest", F.lit(False))
+    if not heads:
+        return own.select("place", "guest", "doc_id", "text")
     before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}  # the first head is the guest of the last range
     guests = rows.filter(F.col("key").isin(list(before))).withColumn("place", F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("key")]).withColumn("guest", F.lit(True))
     both = own.unionByName(guests)

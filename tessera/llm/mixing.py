@@ -103,8 +103,8 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
         total = n @ kind
         return np.divide(want, total, out=np.zeros_like(total), where=total > 0)
 
-    def sums(of) -> np.ndarray:
-        """of(matrix, want): rows to numbers, added over all sources; a task gives one row."""
+    def sums(of, size: int = width) -> np.ndarray:
+        """of(matrix, want): rows to `size` numbers, added over all sources; a task gives as many."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
@@ -114,11 +114,10 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["k", "x"])
 
-        out = None
+        out = np.zeros(size)
         for r in sources.select("cells", "want").mapInArrow(run, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
-            out = np.zeros(width) if out is None else out
             out[r["k"]] = r["x"]
-        return np.zeros(width) if out is None else out
+        return out
 
     shape = (len(langs), len(topics))
     own = sums(lambda n, want: n.sum(0)).reshape(shape)
@@ -136,14 +135,14 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     last, kind = (kind if mix.rounds and everything else np.ones(width)), np.outer(g, h).ravel() * everything
     # rate: the expected tokens, sum of n * min(1, rate * weight), are the share to keep; solved by fixing which cells are full
     rate = mix.keep
-    for _ in range(mix.steps):
+    for _ in range(mix.steps if everything else 0):
 
         def split(n: np.ndarray, want: np.ndarray, rate=rate) -> np.ndarray:
             weight = factor(n, want, last)[:, None] * kind
             full = rate * weight >= 1
-            return np.concatenate([[(n * full).sum(), (n * weight * ~full).sum()], np.zeros(max(width - 2, 0))])
+            return np.array([(n * full).sum(), (n * weight * ~full).sum()])
 
-        full, rest = _pair(sums, split, width)
+        full, rest = sums(split, 2)
         after = (mix.keep * everything - full) / rest if rest > 0 else rate
         if after <= rate * (1 + 1e-13):
             break
@@ -160,13 +159,6 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     return found, spark.createDataFrame(rows, "lang string, topic string, by_kind double, rate double")
 
 
-def _pair(sums, split, width: int) -> tuple[float, float]:
-    """Two sums; with a single cell there is room for one at a time."""
-    if width > 1:
-        return tuple(sums(split)[:2])
-    return float(sums(lambda n, want: split(n, want)[:1])[0]), float(sums(lambda n, want: split(n, want)[1:2])[0])
-
-
 def weigh(docs: DataFrame, mix: Mixture = Mixture(), topics: Column | None = None) -> DataFrame:
     """docs with the struct _mix: topic, tokens, weight (its cell's factor), probability, sampled."""
     arrow(docs.sparkSession)

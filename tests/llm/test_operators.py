@@ -467,9 +467,6 @@ def test_gradients():
     net = {f"{s}E{g}": rng.normal(0, 0.5, (257, h)) for s in "fb" for g in "zrn"} | {f"{s}U{g}": rng.normal(0, 0.5, (h, h)) for s in "fb" for g in "zrn"} | {f"W{s}": rng.normal(0, 0.5, (h, kinds)) for s in "fb"} | {"b": rng.normal(0, 0.5, kinds)}
     steps, target = rng.integers(97, 101, (w, n)), rng.integers(0, kinds, n)
 
-    class Double(np.ndarray):
-        pass
-
     def states(s, order):
         out, hid = [], np.zeros((n, h))
         for k in order:
@@ -481,7 +478,6 @@ def test_gradients():
         return np.array(out)
 
     def loss():
-        global kept
         kept.update(f=[], b=[])
         ahead, behind = states("f", range(w)), states("b", range(w - 1, -1, -1))
         x = ahead @ net["Wf"] + behind[::-1] @ net["Wb"] + net["b"]

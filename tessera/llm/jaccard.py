@@ -5,18 +5,21 @@ is at least `percent` hundredths of its union. Steps:
 
 1. Documents of equal sets are one class, led by the smallest doc_id; only leaders go on.
 2. Each leader's set is hashed into groups and the counts of the groups are its point. Two sets can overlap no more than
-   the sum of their points' coordinate minima, and the same bound holds for the corners of two nodes of an R-tree.
+   the sum of their points' coordinate minima, and the same bound holds for the corners of two nodes of an R-tree. There
+   is a coarse point of `GROUPS` coordinates and a fine one of a quarter of the set's size; neighbouring groups of a fine one add
+   up to a coarser one, so that points of two sizes can be compared.
 3. Linked sets must share one of the first (1 - J) n + 1 tokens in any order common to all. The order here puts
-   tokens last whose counter in a table of fixed size (`SLOTS`) stands high over the mean, so that passages which many
-   documents share don't bring these together. Leaders meet by these tokens; the points of those that meet are packed
+   tokens last by how high their counter in a table of fixed size (`SLOTS`) stands over the mean, so that passages which many
+   documents share don't bring these together. Leaders meet by these tokens; the coarse points of those that meet are packed
    into R-tree leaves by size and count, leaf pairs and then point pairs outside the bound are passed over, and the rest
    make candidate clusters. A token's leaders beyond `SLICE` are dealt into slices, and each two slices meet in a task of their
    own.
-4. Within a candidate cluster the pairs inside the bound are verified on the sets themselves, again by slices where
+4. The same is done within each candidate cluster with the fine points, which tell long sets apart.
+5. Within what is left of a cluster the pairs inside the bound are verified on the sets themselves, again by slices where
    a cluster is large. A pair already joined through others needs no check, as only the groups are asked for.
-   Cluster and links become groups by alternating large-star and small-star steps.
+   Clusters and links become groups by alternating large-star and small-star steps.
 
-Nothing is capped: slices change where a pair is checked, not whether. Hashes are of 52 bits (set digests of 128).
+Nothing is capped: slices change where a pair is checked, not whether. Hashes are of 51 bits (set digests of 128).
 
 A null or empty text, or one without words, has an empty set and is linked with nothing, not with its like either. With
 fewer words than a run, the whole sequence is its one element. Repeated rows share their class, and rows of one doc_id are taken to hold one text; rows with a null doc_id
@@ -36,11 +39,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow, cut, drop, mix, partitions, slices, table, text_only, utf8
 
-GROUPS, SLOTS, SLICE, LEAF = 32, 1 << 18, 8192, 128
-#: A token goes last if its counter has this many times the mean of all counters, and so many more at least.
-HIGH, LEAST = 4, 64
-#: Bits of a token: with a bit for its rank and eleven for its text they fill a number.
-BITS = 52
+GROUPS, MOST_GROUPS, SLOTS, SLICE, LEAF = 32, 8192, 1 << 18, 8192, 128
+#: A token's level rises where its counter is so many standard deviations over the mean of all counters.
+LEVELS = (4, 16, 64)
+#: Bits of a token: with two for its level and eleven for its text they fill a number.
+BITS = 51
+#: Elements of the sets that a slice of a cluster holds at most, as long as its documents are no longer.
+WEIGHT = 2_000_000
 #: Bytes of text whose words are hashed at once; the arrays for it take some hundred times as much.
 SLICED = 1 << 18
 #: Buckets of at most so many rows are a single leaf whose pairs are tested together with those of other buckets.
@@ -129,10 +134,10 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
     if n > 1 << 11:
         raise ValueError("at most 2048 texts at once")
     runs, owner = all_tokens(data, offsets, words)
-    both = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 1)) | runs)
+    both = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 2)) | runs)
     if len(both):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    count = np.bincount((both >> np.uint64(BITS + 1)).astype(np.int64), minlength=n)
+    count = np.bincount((both >> np.uint64(BITS + 2)).astype(np.int64), minlength=n)
     return both & np.uint64((1 << BITS) - 1), np.concatenate([[0], np.cumsum(count)])
 
 
@@ -150,13 +155,13 @@ def token_counts(docs: DataFrame, join: Join) -> np.ndarray:
             tokens, _ = all_tokens(*utf8(batch.column("text")), join.words)
             total += np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         rows = [k for k in range(SLOTS // part) if total[k * part : (k + 1) * part].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([total[k * part : (k + 1) * part].astype(np.int64).tobytes() for k in rows], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([total[k * part : (k + 1) * part].astype(np.uint32).tobytes() for k in rows], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
@@ -167,15 +172,30 @@ def token_counts(docs: DataFrame, join: Join) -> np.ndarray:
     return out
 
 
-POINTS = "doc_id long, n long, digest binary, point binary, first binary"
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """0 for counters near the mean, more for those that stand high over it."""
+    mean = counts.mean()
+    return np.searchsorted(np.array(LEVELS), (counts - mean) / max(mean, 16.0) ** 0.5, "right").astype(np.uint8)
 
 
-def points(docs: DataFrame, join: Join, last: np.ndarray) -> DataFrame:
-    """Of every document: the size and digest of its set, its point, and its first tokens where `last` marks counters whose tokens go last."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(last))
+def groups_of(n: int) -> int:
+    """Coordinates of the fine point of a set of n elements: a power of two."""
+    return min(max(GROUPS, 1 << max(n // 4 - 1, 0).bit_length()), MOST_GROUPS)
+
+
+def point_of(tokens: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((tokens >> np.uint64(BITS - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+
+
+POINTS = "doc_id long, n long, digest binary, point binary, fine binary, first binary"
+
+
+def points(docs: DataFrame, join: Join, levels: np.ndarray) -> DataFrame:
+    """Of every document: the size and digest of its set, its points, and its first tokens by the levels of their counters."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.unpackbits(shared.value).astype(bool)
+        levels = shared.value
         for batch in slices(batches, SLICED):
             tokens, at = _sets(batch, join.words)
             n = np.diff(at)
@@ -184,13 +204,14 @@ def points(docs: DataFrame, join: Join, last: np.ndarray) -> DataFrame:
             np.cumsum(np.stack([mix(tokens), mix(tokens ^ _BASE)]), axis=1, out=running[:, 1:])
             digest = np.ascontiguousarray(mix(running[:, at[1:]] - running[:, at[:-1]] + n.astype(np.uint64)).T)
             counts = np.bincount(owner * GROUPS + (tokens >> np.uint64(BITS - 5)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
-            high = last[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
-            ordered = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 1)) | (high << np.uint64(BITS)) | tokens) & np.uint64((1 << BITS) - 1)
+            high = levels[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+            fine = [point_of(tokens[at[i] : at[i + 1]], groups_of(int(n[i]))).astype(np.uint32).tobytes() for i in range(len(n))]
+            ordered = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 2)) | (high << np.uint64(BITS)) | tokens) & np.uint64((1 << BITS) - 1)
             rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
             chosen = rank < np.repeat(join.prefix(n), n)
             first, bounds = ordered[chosen], np.concatenate([[0], np.cumsum(np.where(n > 0, join.prefix(n), 0))])
-            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([first[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(n))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "point", "first"])
+            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array(fine, pa.binary()), pa.array([first[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(n))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "point", "fine", "first"])
 
     return text_only(docs).mapInArrow(run, POINTS)
 
@@ -198,6 +219,10 @@ def points(docs: DataFrame, join: Join, last: np.ndarray) -> DataFrame:
 # --- meeting in R-tree leaves
 
 
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(2)
+
+
 def leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
     """Rows in leaves of LEAF: packed by size into slabs, and within a slab by the coordinate that varies most."""
     order = np.argsort(sizes, kind="stable")
@@ -211,12 +236,13 @@ def leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def connect(sizes: np.ndarray, points: np.ndarray, join: Join, side: np.ndarray | None = None, linked=None) -> list[tuple[int, int]]:
-    """Pairs that join each group of rows, of those whose points allow a link (the sum of coordinate minima reaches the least overlap) and, if given, linked(p, q) holds. With side, only pairs across. What is joined already isn't looked at again."""
-    tree = leaves(sizes, points)
+def connect(sizes: np.ndarray, points: list[np.ndarray], join: Join, side: np.ndarray | None = None, linked=None) -> list[tuple[int, int]]:
+    """Pairs that join each group of rows, of those whose points allow a link (the sum of coordinate minima reaches the least overlap) and, if given, linked(p, q) holds. With side, only pairs across. What is joined already isn't looked at again. points: of any powers of two of coordinates from GROUPS on."""
+    coarse = np.concatenate([folded(p[None], GROUPS) for p in points]).astype(np.int32)
+    tree = leaves(sizes, coarse)
     low = np.array([sizes[x].min() for x in tree])
     top = np.array([sizes[x].max() for x in tree])
-    corner = np.array([points[x].max(0) for x in tree])
+    corner = np.array([coarse[x].max(0) for x in tree])
     label, out = np.arange(len(sizes)), []
     for a, rows in enumerate(tree):
         near = np.arange(a, len(tree))
@@ -231,15 +257,24 @@ def connect(sizes: np.ndarray, points: np.ndarray, join: Join, side: np.ndarray
             ok = label[rows][:, None] != label[other][None, :]
             if side is not None:
                 ok &= side[rows][:, None] != side[other][None, :]
+            if a == b:
+                ok &= np.arange(len(rows))[:, None] < np.arange(len(other))[None, :]
+            need = join.overlap(sizes[rows][:, None], sizes[other][None, :])
+            ok &= np.minimum(sizes[rows][:, None], sizes[other][None, :]) >= need
             if not ok.any():
                 continue
             bound = np.zeros(ok.shape, np.int32)
-            for g in range(points.shape[1]):
-                bound += np.minimum(points[rows, g][:, None], points[other, g][None, :])
-            ok &= bound >= join.overlap(sizes[rows][:, None], sizes[other][None, :])
-            if a == b:
-                ok &= np.arange(len(rows))[:, None] < np.arange(len(other))[None, :]
+            for g in range(GROUPS):
+                bound += np.minimum(coarse[rows, g][:, None], coarse[other, g][None, :])
+            ok &= bound >= need
             i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            fine = min(min(len(points[x]) for x in rows), min(len(points[x]) for x in other))
+            if fine > GROUPS:
+                u, v = (np.concatenate([folded(points[x][None], fine) for x in leaf]).astype(np.int32) for leaf in (rows, other))
+                keep = np.concatenate([np.minimum(u[i[k : k + 256]], v[j[k : k + 256]]).sum(1) for k in range(0, len(i), 256)]) >= need[i, j]
+                i, j = i[keep], j[keep]
             i, j = rows[i], other[j]
             at = 0
             while at < len(i):
@@ -299,13 +334,15 @@ def small_pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(found, axis=1))
 
 
-def dealt_in_slices(rows: DataFrame, key: str, id_: str) -> DataFrame:
+def dealt_in_slices(rows: DataFrame, key: str, id_: str, weight: str | None = None) -> DataFrame:
     """The rows of keys with two rows at least, with the two slices (a, b) that meet in a task.
 
-    Up to SLICE rows of a key are one slice; those of a larger one go to the tasks of their slice with each slice. The
-    count is combined before it is shuffled, and the join with it can be split where a key is hot.
+    Up to SLICE rows of a key, and WEIGHT of the column weight, are one slice; those of a larger one go to the tasks of their
+    slice with each slice. The count is combined before it is shuffled, and the join with it can be split where a key is hot.
     """
-    many = rows.groupBy(key).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_slices"), F.count("*").alias("_many")).filter("_many > 1").drop("_many")
+    slices_ = F.ceil(F.count("*") / SLICE)
+    slices_ = slices_ if weight is None else F.greatest(slices_, F.ceil(F.sum(weight) / WEIGHT))
+    many = rows.groupBy(key).agg(slices_.cast("int").alias("_slices"), F.count("*").alias("_many")).filter("_many > 1").drop("_many")
     both = rows.join(many, key).withColumn("_own", F.pmod(F.xxhash64(id_), F.col("_slices")).cast("int"))
     both = both.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
     return both.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other")).drop("_slices", "_other")
@@ -346,7 +383,7 @@ def candidates(leaders: DataFrame, join: Join) -> DataFrame:
             for s, e in zip(at[:-1], at[1:], strict=True):
                 if e - s <= SMALL:
                     continue
-                for p, q in connect(sizes[s:e], points[s:e], join, own[s:e] if a[s] != b[s] else None):
+                for p, q in connect(sizes[s:e], list(points[s:e]), join, own[s:e] if a[s] != b[s] else None):
                     xs.append(ids[s + p])
                     ys.append(ids[s + q])
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xs, ys) if xs else [], pa.int64()), pa.array(np.maximum(xs, ys) if xs else [], pa.int64())], ["x", "y"])
@@ -354,6 +391,28 @@ def candidates(leaders: DataFrame, join: Join) -> DataFrame:
     return left.select("token", "a", "b", "_own", "doc_id", "n", "point").mapInArrow(run, "x long, y long").distinct()
 
 
+def refined(leaders: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
+    """Edges (x, y) that join what is left of each candidate cluster by the fine points."""
+    spark = leaders.sparkSession
+    dealt = dealt_in_slices(clusters, "cluster", "doc_id").join(leaders.select("doc_id", "n", "fine"), "doc_id")
+    dealt = dealt.repartition(partitions(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["cluster", "a", "b"]
+        for found in runs_of(batches, keys):
+            at = bounds_of(found, keys)
+            ids, sizes, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "_own", "a", "b"))
+            xs, ys = [], []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                fine = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("fine").slice(s, e - s)]
+                for p, q in connect(sizes[s:e], fine, join, own[s:e] if a[s] != b[s] else None):
+                    xs.append(ids[s + p])
+                    ys.append(ids[s + q])
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+    return dealt.select("cluster", "a", "b", "_own", "doc_id", "n", "fine").mapInArrow(run, "x long, y long")
+
+
 def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(node, root): the smallest node reachable over the edges, for every node of an edge.
 
@@ -376,9 +435,9 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def verified(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
-    """Edges (x, y) of linked leaders that join each group; clusters: (doc_id, cluster)."""
+    """Edges (x, y) of linked leaders that join each group; clusters: (doc_id, cluster, n)."""
     spark = docs.sparkSession
-    dealt = text_only(docs.filter(F.col("doc_id").isNotNull())).join(dealt_in_slices(clusters, "cluster", "doc_id"), "doc_id")
+    dealt = text_only(docs.filter(F.col("doc_id").isNotNull())).join(dealt_in_slices(clusters, "cluster", "doc_id", "n").drop("n"), "doc_id")
     dealt = dealt.repartition(partitions(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,16 +458,14 @@ def verified(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
                 rows = [k for k in range(s, e) if k == s or ids[k] != ids[k - 1]]
                 sets = [np.frombuffer(x.as_py(), np.uint64) for x in found.column("tokens").take(pa.array(rows))]
                 sizes = np.array([len(x) for x in sets], np.int64)
-                owner = np.repeat(np.arange(len(sets)), sizes)
-                every = np.concatenate(sets)
-                points = np.bincount(owner * GROUPS + (every >> np.uint64(BITS - 5)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+                fine = [point_of(x, groups_of(len(x))) for x in sets]
 
                 def linked(p: int, q: int, sets=sets, sizes=sizes) -> bool:
                     both = np.concatenate([sets[p], sets[q]])
                     both.sort()
                     return int((both[1:] == both[:-1]).sum()) >= join.overlap(int(sizes[p]), int(sizes[q]))
 
-                for p, q in connect(sizes, points.astype(np.int32), join, own[rows] if a[s] != b[s] else None, linked):
+                for p, q in connect(sizes, fine, join, own[rows] if a[s] != b[s] else None, linked):
                     xs.append(ids[rows[p]])
                     ys.append(ids[rows[q]])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
@@ -420,14 +477,16 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) of every row."""
     arrow(docs.sparkSession, 2 << 20)
     counts = token_counts(docs, join)
-    sized = cut(points(docs, join, counts > max(HIGH * counts.mean(), counts.mean() + LEAST)))
+    sized = cut(points(docs, join, levels_of(counts)))
     classes = sized.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min("doc_id").alias("leader"))
     members = cut(sized.select("doc_id", "n", "digest").join(classes.select("digest", "leader"), "digest", "left").select("doc_id", "n", F.coalesce("leader", "doc_id").alias("leader")))
     lead = members.filter("doc_id = leader and n > 0").select("doc_id").distinct()
     leaders = cut(sized.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     drop(sized)
-    clusters = components(candidates(leaders, join)).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    links = components(verified(docs, clusters, join))
+    named = lambda found: found.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    clusters = named(components(candidates(leaders, join)))
+    clusters = named(components(refined(leaders, clusters, join)))
+    links = components(verified(docs, clusters.join(leaders.select("doc_id", "n"), "doc_id"), join))
     drop(leaders)
     out = members.join(links, members["leader"] == links["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "leader")).alias("component_id"))

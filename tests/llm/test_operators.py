@@ -431,6 +431,23 @@ def test_jaccard_groups(spark, monkeypatch, words, percent):
     assert got == brute_groups(rows, words, percent)
 
 
+def test_jaccard_of_long_texts(spark):
+    """Long texts that share passages pass the coarse bound; the fine one and the sets tell them apart."""
+    rng = random.Random(14)
+    passage = [f"p{i}" for i in range(400)]
+    bases = [[f"u{rng.randint(0, 5000)}" for _ in range(rng.choice([4000, 4200, 4400]))] for _ in range(12)]
+    rows = []
+    for i in range(36):
+        b = list(bases[i % 12]) + passage
+        for _ in range(rng.choice([0, 3, 60, 120, 400])):
+            b[rng.randrange(len(b))] = "changed"
+        rows.append((i, " ".join(b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(df, jaccard.Join(words, percent)).collect()}
+        assert got == brute_groups(rows, words, percent)
+
+
 def test_jaccard_awkward(spark):
     df = documents(spark, awkward())
     kept = jaccard.one_of_each(df)

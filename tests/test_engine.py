@@ -277,3 +277,50 @@ def test_histogram_match():
     a, b = np.random.default_rng(0).integers(0, 50, (20, 20)), np.random.default_rng(1).integers(100, 200, (20, 20))
     got = register.histogram_match(a, b)
     assert 100 <= got.min() and got.max() <= 200 and abs(got.mean() - b.mean()) < 3
+
+
+def test_contours(spark):
+    from tessera.operators import contours
+
+    mask = np.zeros((30, 40), bool)
+    mask[5:20, 8:30] = True
+    mask[10:12, 12:15] = False
+    rings = contours.outlines(mask)
+    assert sorted(contours.area(r) for r in rings) == [6.0, 330.0]
+    assert sorted(map(tuple, contours.largest(mask, 0.0).tolist())) == [(8.0, 5.0), (8.0, 20.0), (30.0, 5.0), (30.0, 20.0)]
+    assert len(contours.outlines(np.eye(3, dtype=bool))) == 3
+    line = np.array([[0, 0], [1, 0.05], [2, -0.04], [3, 5], [4, 6.0]])
+    assert contours.simplify(line, 0.1).tolist() == [[0, 0], [2, -0.04], [3, 5], [4, 6]]
+    labels = np.zeros((1, 30, 40))
+    labels[0, 2:9, 3:12], labels[0, 15:25, 20:31] = 1, 2
+    raster = frame(spark, labels, "set").withColumnRenamed("image_id", "set_name")
+    v = contours.label_polygons(raster)
+    boxes = {r["feature_id"]: (r["x0"], r["y0"], r["x1"], r["y1"]) for r in shapes.bounding_boxes(v).collect()}
+    assert boxes == {0: (3, 2, 12, 9), 1: (20, 15, 31, 25)}
+
+
+def test_cache(spark, tmp_path):
+    from tessera.sources import cache
+
+    df = spark.range(5)
+    assert cache.cached(df, str(tmp_path), "a", {"k": 1}).count() == 5
+    assert cache.cached(spark.range(9), str(tmp_path), "a", {"k": 1}).count() == 5
+    assert cache.cached(spark.range(9), str(tmp_path), "a", {"k": 2}).count() == 9
+
+
+def test_names(spark):
+    from tessera.functions import names
+
+    df = spark.createDataFrame([("IterationInfo.1.R10.txt",), ("IterationInfo.1.R2.txt",), ("iterationinfo.0.R3.txt",)], "name string")
+    assert [r["name"][-7:] for r in df.orderBy(names.natural_key(df["name"])).collect()] == [".R3.txt", ".R2.txt", "R10.txt"]
+
+
+def test_stream_of_logs(spark, tmp_path):
+    from tessera.streaming import iterations
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "IterationInfo.0.R0.txt").write_text("1\t2\t3a\t3b\t4\tt\n0\t-0.5\t1\t2\t3\t4\n1\t-0.6\t1\t2\t3\t4\n")
+    q = iterations.watch(spark, str(folder)).writeStream.format("memory").queryName("logs").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("logs").count() == 2

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, table
+from .common import arrow, cut, table
 
 BINS = 256
 
@@ -179,15 +179,16 @@ def top_k(vectors: DataFrame, is_query, id_: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
     wanted = vectors.filter(is_query).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    parts, last = [], None
+    parts = []
     low, high = rows.agg(F.min("id"), F.max("id")).first()
-    largest = _largest(rows, scale)
-    while low is not None:
-        block_rows = wanted if last is None else wanted.filter(F.col("id") > last)
-        got = block_rows.orderBy("id", "vector").limit(block).toArrow()
-        if not got.num_rows:
-            break
-        last = pc.max(got.column("id")).as_py()
+    largest = _largest(rows, scale) if low is not None else 0
+    # one row a query, dealt by the id's hash to blocks of half the most; a block alone goes to the driver
+    asked = wanted.groupBy("id").agg(F.min("vector").alias("vector"))
+    blocks = -(-asked.count() // max(block // 2, 1))
+    if blocks > 1:
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
+    for number in range(blocks):
+        got = (asked.filter(F.col("block") == number).drop("block") if blocks > 1 else asked).toArrow()
         by: dict[int, list] = {}
         for batch in got.to_batches():
             for ids, x in scaled(batch, scale):

@@ -428,9 +428,10 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x > y").unionAll(least.select("x", F.col("m").alias("y"))).distinct()
         after = cut(small)
         marks = [df.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first() for df in (now, after)]
+        drop(now)
+        now = after
         if marks[0] == marks[1]:
             break
-        now = after
     return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionAll(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
 
 

@@ -114,7 +114,8 @@ def displacement(t: Transform, p: np.ndarray) -> np.ndarray:
         at = cell[inside]
         i, j = at[:, 0, None] + np.arange(4), at[:, 1, None] + np.arange(4)
         near = c[:, j[:, :, None], i[:, None, :]]
-        out[inside] = np.einsum("dnyx,ny,nx->nd", near, wy[inside], wx[inside])
+        rows = (near * wx[inside][None, :, None, :]).sum(-1)
+        out[inside] = (rows * wy[inside][None]).sum(-1).T
     return out
 
 
@@ -140,13 +141,15 @@ def inverse_points(sequence: Sequence, p: np.ndarray, tolerance: float = 1e-6, m
             m = t.inverse()
             p = p @ m[:2, :2].T + m[:2, 2]
         else:
-            y = p.copy()
+            # only points that still move go on; those on the grid's edge may hop in and out of it until the last step
+            y, open_ = p.copy(), np.arange(len(p))
             for _ in range(most):
-                after = p - displacement(t, y)
-                if np.abs(after - y).max(initial=0) < tolerance:
-                    y = after
+                after = p[open_] - displacement(t, y[open_])
+                moved = np.abs(after - y[open_]).max(1, initial=0) >= tolerance
+                y[open_] = after
+                open_ = open_[moved]
+                if not len(open_):
                     break
-                y = after
             p = y
     return p
 

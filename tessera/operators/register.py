@@ -88,7 +88,10 @@ def unit(a: np.ndarray) -> np.ndarray:
 
 
 def align(fixed: np.ndarray, moving: np.ndarray, model: Model, spacing: float = 1.0, start: Sequence = Sequence()) -> tuple[Transform, list[tuple[int, int, float]]]:
-    """The transform from fixed to moving points (physical units), and (resolution, iteration, cost) as it went."""
+    """The transform from fixed to moving points (physical units), and (resolution, iteration, cost) as it went.
+
+    start: what maps points before it, as one group's transforms do; what is found comes after.
+    """
     rng = np.random.default_rng(model.seed)
     levels_f, levels_m = [unit(fixed.astype(float))], [unit(moving.astype(float))]
     for _ in range(model.resolutions - 1):
@@ -111,7 +114,7 @@ def align(fixed: np.ndarray, moving: np.ndarray, model: Model, spacing: float =
         shift = (2**level - 1) / 2 * spacing
 
         def value(p: np.ndarray, at: np.ndarray, ref: np.ndarray, m=m, res=res, shift=shift) -> float:
-            matrix = before @ Transform(model.kind, tuple(p), center).matrix()
+            matrix = Transform(model.kind, tuple(p), center).matrix() @ before
             q = ((at * res + shift) @ matrix[:2, :2].T + matrix[:2, 2] - shift) / res
             got, inside = sampled(m, q)
             return cost(model.metric, ref[inside], got[inside], model.bins)
@@ -137,11 +140,21 @@ def align(fixed: np.ndarray, moving: np.ndarray, model: Model, spacing: float =
     return Transform(model.kind, tuple(float(x) for x in params), center, (w, h), (spacing, spacing)), log
 
 
-RESULT = "edge_id string, kind string, params array<double>, center array<double>, size array<int>, spacing double, cost double, iterations int"
+RESULT = "edge_id string, stage int, kind string, params array<double>, center array<double>, size array<int>, spacing double, cost double, iterations int"
+
+
+def align_stages(fixed: np.ndarray, moving: np.ndarray, models: tuple[Model, ...], spacing: float = 1.0) -> list[tuple[Transform, list[tuple[int, int, float]]]]:
+    """align() for each stage, begun from the stages before it; together the transforms are one group."""
+    out = []
+    for model in models:
+        done = [t for t, _ in out]
+        out.append(align(fixed, moving, model, spacing, Sequence().add(done, [0] * len(done))))
+    return out
 
 
-def register_edges(edges: DataFrame, model: Model, spacing: float = 1.0) -> DataFrame:
-    """edges: (edge_id, fixed, moving, h, w, mh, mw, dtype) with the planes as binary; a row for each edge, each aligned in a task of its own."""
+def register_edges(edges: DataFrame, models: Model | tuple[Model, ...], spacing: float = 1.0) -> DataFrame:
+    """edges: (edge_id, fixed, moving, h, w, mh, mw, dtype) with the planes as binary; a row for each edge and stage, each edge aligned in a task of its own."""
+    stages = (models,) if isinstance(models, Model) else tuple(models)
 
     def run(batches):
         for batch in batches:
@@ -149,9 +162,9 @@ def register_edges(edges: DataFrame, model: Model, spacing: float = 1.0) -> Data
             for r in batch.to_pylist():
                 fixed = np.frombuffer(r["fixed"], r["dtype"]).reshape(r["h"], r["w"])
                 moving = np.frombuffer(r["moving"], r["dtype"]).reshape(r["mh"], r["mw"])
-                t, log = align(fixed, moving, model, spacing)
-                out.append({"edge_id": r["edge_id"], "kind": t.kind, "params": list(t.params), "center": list(t.center), "size": list(t.size), "spacing": spacing, "cost": log[-1][2] if log else None, "iterations": len(log)})
-            schema = pa.schema([("edge_id", pa.string()), ("kind", pa.string()), ("params", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())), ("size", pa.list_(pa.int32())), ("spacing", pa.float64()), ("cost", pa.float64()), ("iterations", pa.int32())])
+                for k, (t, log) in enumerate(align_stages(fixed, moving, stages, spacing)):
+                    out.append({"edge_id": r["edge_id"], "stage": k, "kind": t.kind, "params": list(t.params), "center": list(t.center), "size": list(t.size), "spacing": spacing, "cost": log[-1][2] if log else None, "iterations": len(log)})
+            schema = pa.schema([("edge_id", pa.string()), ("stage", pa.int32()), ("kind", pa.string()), ("params", pa.list_(pa.float64())), ("center", pa.list_(pa.float64())), ("size", pa.list_(pa.int32())), ("spacing", pa.float64()), ("cost", pa.float64()), ("iterations", pa.int32())])
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return edges.repartition("edge_id").mapInArrow(run, RESULT)

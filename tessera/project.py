@@ -91,7 +91,7 @@ class Project:
     sizes: dict[str, tuple[int, int]]
     prepro: dict[str, Prepro] = field(default_factory=dict)
     rgb: set[str] = field(default_factory=set)
-    found: dict[str, Transform] = field(default_factory=dict)
+    found: dict[str, tuple[Transform, ...]] = field(default_factory=dict)  # source -> its edge's stages
     initial: dict[str, list[Transform]] = field(default_factory=dict)
 
     def plane(self, name: str) -> tuple[DataFrame, tuple[int, int], float]:
@@ -102,7 +102,7 @@ class Project:
         return out, size, res
 
     def register(self, spark: SparkSession, models: dict[str, register.Model] = register.MODELS) -> None:
-        """Aligns every edge that isn't yet. Source images move onto their edge's target."""
+        """Aligns every edge that isn't yet, by all its stages in turn. Source images move onto their edge's target."""
         edges = [e for e in self.graph.edges if not e.registered]
         used = {n for e in edges for n in (e.source, e.target)}
         planes = {n: self.plane(n) for n in used}
@@ -114,11 +114,11 @@ class Project:
             fixed = rows.filter(F.col("name") == e.target).select("dtype", "h", "w", F.col("data").alias("fixed"))
             moving = rows.filter(F.col("name") == e.source).select(F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
             pair = fixed.crossJoin(moving).withColumn("edge_id", F.lit(e.source))  # one row by one row
-            r = register.register_edges(pair, models[e.params[-1]], planes[e.target][2]).first()
-            self.found[e.source] = Transform(r["kind"], tuple(r["params"]), tuple(r["center"]), tuple(r["size"]), (r["spacing"], r["spacing"]))
+            stages = register.register_edges(pair, tuple(models[name] for name in e.params), planes[e.target][2]).orderBy("stage").collect()
+            self.found[e.source] = tuple(Transform(r["kind"], tuple(r["params"]), tuple(r["center"]), tuple(r["size"]), (r["spacing"], r["spacing"])) for r in stages)
         from dataclasses import replace
 
-        self.graph.edges = [replace(e, registered=True, transforms=(self.found[e.source],)) if e.source in self.found else e for e in self.graph.edges]
+        self.graph.edges = [replace(e, registered=True, transforms=self.found[e.source]) if e.source in self.found else e for e in self.graph.edges]
 
     def sequence(self, name: str) -> Sequence:
         """From the path's end to the image: its own steps, then each hop's."""

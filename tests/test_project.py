@@ -68,3 +68,27 @@ def test_project(spark):
     v = spark.createDataFrame([("marks", 0, 0, 0, 0, 40.0, 50.0, "Point", "m")], shapes.VERTICES)
     r = p.shapes(v, "marks").first()
     assert shapes.map_points(p.sequence("a"), np.array([[r["x"], r["y"]]])) == pytest.approx(np.array([[40.0, 50.0]]))
+
+
+def test_stages_of_a_path_follow_each_other(spark):
+    m = blobs(96, 96, 5)
+    turn, shift = tf.Transform("euler", (0.5, 0.0, 0.0), (47.5, 47.5), (96, 96)), tf.Transform("translation", (6.0, -4.0), size=(96, 96))
+    both = tf.Sequence().add([turn, shift], [0, 0])
+    c = resample.resample_plane(m, both, 1.0, "linear")
+    # what a stage finds comes after what it starts from
+    t, _ = register.align(c, m, register.Model("translation", "mean_squares"), start=tf.Sequence().add([turn]))
+    assert t.params == pytest.approx(shift.params, abs=0.5)
+    g = Graph()
+    for name in "ac":
+        g.add_image(name)
+    g.add_path("a", "c", params=("first", "second"))
+    a = resample.resample_plane(c, tf.Sequence().add([tf.Transform("affine", (1.04, 0.03, -0.04, 0.97, 3.0, -2.0), (47.5, 47.5), (96, 96))]), 1.0, "linear")
+    p = Project(g, {n: frame(spark, v[None], n) for n, v in (("a", a), ("c", c))}, dict.fromkeys("ac", (96, 96)))
+    p.register(spark, {"first": register.Model(metric="mean_squares"), "second": register.Model("affine", "mean_squares")})
+    stages = g.edges[0].transforms
+    assert [t.kind for t in stages] == ["euler", "affine"] and stages == p.found["a"]
+    # the second stage is found anew from the first one alone, but for the planes' rounding to 8 bits
+    want, _ = register.align(c, a, register.Model("affine", "mean_squares"), start=tf.Sequence().add(stages[:1]))
+    assert stages[1].params == pytest.approx(want.params, abs=0.02)
+    got = array(resample.to_pixels(p.transformed("a", 32, "linear")), 96, 96)[20:76, 20:76]
+    assert np.corrcoef(got.ravel(), c[20:76, 20:76].ravel())[0, 1] > 0.98

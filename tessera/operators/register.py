@@ -7,7 +7,7 @@ their two images alone, so all edges of a graph are aligned at once as groups of
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +20,38 @@ METRICS = ("mean_squares", "correlation", "mutual_information")
 
 @dataclass(frozen=True)
 class Model:
-    """One stage: a kind of transform, a metric, and how long it is optimised. The defaults are those of quick models."""
+    """One stage: a kind of transform, a metric, and how long it is optimised. The defaults are those of the reference's rigid model."""
 
     kind: str = "euler"
     metric: str = "mutual_information"
-    resolutions: int = 3
-    iterations: int = 150
-    samples: int = 2000
-    bins: int = 24
+    resolutions: int = 10
+    iterations: int = 200
+    samples: int = 10000
+    bins: int = 16
     seed: int = 1
 
 
-#: Named models: the short ones run few iterations.
+#: The reference's linear models with its budgets; translation is an addition. A pyramid ends earlier where the smaller side falls under 24.
+_BASE = {"rigid": Model(), "similarity": Model("similarity", bins=32), "affine": Model("affine", bins=32)}
 MODELS = {
-    "rigid": Model(), "similarity": Model("similarity"), "affine": Model("affine"), "translation": Model("translation"),
-    "rigid_test": Model(iterations=10), "affine_test": Model("affine", iterations=10), "similarity_test": Model("similarity", iterations=10),
-    "rigid_ams": Model(metric="mean_squares"), "affine_ams": Model("affine", metric="mean_squares"), "rigid_anc": Model(metric="correlation"), "affine_anc": Model("affine", metric="correlation"),
+    **_BASE, "translation": Model("translation"), "rigid-expanded": Model(iterations=500, samples=30000), "fi_correction": Model(resolutions=4, iterations=75),
+    **{f"{name}_test": replace(m, iterations=10) for name, m in _BASE.items()},
+    **{f"{name}_ams": replace(m, metric="mean_squares") for name, m in _BASE.items()},
+    **{f"{name}_anc": replace(m, metric="correlation") for name, m in _BASE.items()},
 }
+#: The names that the reference's configurations use for the same models.
+MODELS |= {"rigid_expanded": MODELS["rigid-expanded"]}
+#: The reference's models of B-splines, which aren't built.
+NOT_BUILT = ("nl", "nl-reduced", "nl_reduced", "nl-mid", "nl_mid", "nl2", "nl3", "nl_test", "nl_ams", "nl_anc")
+
+
+def models_of(names: tuple[str, ...], models: dict[str, Model] = MODELS) -> tuple[Model, ...]:
+    """A path's stages; a name that isn't built is refused before anything is aligned."""
+    for name in names:
+        if name not in models:
+            raise ValueError(f"model {name} is {'non-linear, which is not built' if name in NOT_BUILT else 'not known'}")
+    return tuple(models[name] for name in names)
+
 
 START = {"euler": (0.0, 0.0, 0.0), "similarity": (1.0, 0.0, 0.0, 0.0), "affine": (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), "translation": (0.0, 0.0)}
 

@@ -104,6 +104,7 @@ class Project:
     def register(self, spark: SparkSession, models: dict[str, register.Model] = register.MODELS) -> None:
         """Aligns every edge that isn't yet, by all its stages in turn. Source images move onto their edge's target."""
         edges = [e for e in self.graph.edges if not e.registered]
+        stages_of = {e.source: register.models_of(e.params, models) for e in edges}
         used = {n for e in edges for n in (e.source, e.target)}
         planes = {n: self.plane(n) for n in used}
         whole = lambda n: resample.to_tiles(planes[n][0], 1 << 30).select(F.lit(n).alias("name"), "h", "w", "dtype", "data")
@@ -114,7 +115,7 @@ class Project:
             fixed = rows.filter(F.col("name") == e.target).select("dtype", "h", "w", F.col("data").alias("fixed"))
             moving = rows.filter(F.col("name") == e.source).select(F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
             pair = fixed.crossJoin(moving).withColumn("edge_id", F.lit(e.source))  # one row by one row
-            stages = register.register_edges(pair, tuple(models[name] for name in e.params), planes[e.target][2]).orderBy("stage").collect()
+            stages = register.register_edges(pair, stages_of[e.source], planes[e.target][2]).orderBy("stage").collect()
             self.found[e.source] = tuple(Transform(r["kind"], tuple(r["params"]), tuple(r["center"]), tuple(r["size"]), (r["spacing"], r["spacing"])) for r in stages)
         from dataclasses import replace
 

@@ -92,3 +92,15 @@ def test_stages_of_a_path_follow_each_other(spark):
     assert stages[1].params == pytest.approx(want.params, abs=0.02)
     got = array(resample.to_pixels(p.transformed("a", 32, "linear")), 96, 96)[20:76, 20:76]
     assert np.corrcoef(got.ravel(), c[20:76, 20:76].ravel())[0, 1] > 0.98
+
+
+def test_models_are_the_references(spark):
+    budget = lambda name: (lambda m: (m.kind, m.resolutions, m.iterations, m.samples, m.bins))(register.MODELS[name])
+    assert budget("rigid") == ("euler", 10, 200, 10000, 16) and budget("affine") == ("affine", 10, 200, 10000, 32) and budget("similarity") == ("similarity", 10, 200, 10000, 32)
+    assert budget("rigid-expanded") == budget("rigid_expanded") == ("euler", 10, 500, 30000, 16) and budget("fi_correction") == ("euler", 4, 75, 10000, 16) and budget("affine_test") == ("affine", 10, 10, 10000, 32)
+    g = Graph()
+    for name in "ac":
+        g.add_image(name)
+    g.add_path("a", "c", params=("rigid", "nl"))
+    with pytest.raises(ValueError, match="nl is non-linear, which is not built"):
+        Project(g, {}, {}).register(spark)

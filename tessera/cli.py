@@ -1,4 +1,4 @@
-"""Command line: checks a configuration and shows what would be aligned and written, or maps a shape file through saved transforms."""
+"""Command line: checks a configuration and shows what would be aligned and written, carries it out, or maps a shape file through saved transforms."""
 
 from __future__ import annotations
 
@@ -13,6 +13,11 @@ def main(args: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     plan = commands.add_parser("plan", help="paths and outputs of a project")
     plan.add_argument("config")
+    do = commands.add_parser("run", help="read, align, map and write a project")
+    do.add_argument("config")
+    do.add_argument("--output", help="folder in place of the configuration's output_dir")
+    do.add_argument("--tile", type=int, default=512)
+    do.add_argument("--tiff", action="store_true", help="TIFF files in place of tiles; each image must fit the driver")
     move = commands.add_parser("shapes", help="map GeoJSON through transforms")
     for name in ("shapes", "transforms", "output"):
         move.add_argument(name)
@@ -30,6 +35,11 @@ def main(args: list[str] | None = None) -> int:
     from .sources import text
 
     spark = SparkSession.builder.getOrCreate()
+    if got.command == "run":
+        from . import runner
+
+        print(*runner.run(spark, config.parse(Path(got.config).read_text()), got.output, got.tile, got.tiff), sep="\n")
+        return 0
     sequence = config.load_transforms(Path(got.transforms).read_text())
     text.write_geojson(shapes.to_geojson(shapes.transform(text.read_geojson(spark, got.shapes), sequence, source_res=got.source_res)), got.output)
     return 0

@@ -6,6 +6,7 @@ import json
 
 from .plans.graph import Graph
 from .plans.transforms import Sequence, read_sequence
+from .project import Prepro
 
 REQUIRED = ("project_name", "output_dir", "modalities")
 
@@ -31,8 +32,49 @@ def check(config: dict) -> dict:
     return config | {"reg_paths": paths, "cache_images": config.get("cache_images", True)}
 
 
+#: The preprocessing keys of configurations that have a field here, and that field.
+PREPRO = {"image_type": "image_type", "ch_indices": "channels", "max_int_proj": "max_projection", "contrast_enhance": "contrast", "invert_intensity": "invert", "rot_cc": "rotate", "flip": "flip", "mask_bbox": "box", "downsampling": "downsampling"}
+
+
+def prepro_of(name: str, modality: dict) -> Prepro:
+    """A modality's preprocessing. What isn't built (masks, 16-bit alignment, own functions) and unknown keys are refused."""
+    given = dict(modality.get("preprocessing") or {})
+    if modality.get("mask"):
+        raise ValueError(f"{name}: masks are not built")
+    given.pop("use_mask", None)  # says nothing without a mask
+    # without a mask a crop to it needs the box
+    if (given.pop("crop_to_mask_bbox", False) or given.pop("mask_to_bbox", False)) and not given.get("mask_bbox"):
+        raise ValueError(f"{name}: cropping to a mask is not built; give mask_bbox")
+    given.pop("mask_to_bbox", None)
+    if not given.pop("as_uint8", True):
+        raise ValueError(f"{name}: alignment of other than 8-bit planes is not built")
+    if given.pop("custom_processing", None):
+        raise ValueError(f"{name}: own functions can't be named in a configuration")
+    if unknown := sorted(set(given) - set(PREPRO)):
+        raise ValueError(f"{name}: unknown preprocessing {', '.join(unknown)}")
+    values = {PREPRO[k]: v for k, v in given.items() if v is not None}
+    for k in ("channels", "box"):
+        if k in values:
+            values[k] = (values[k],) if isinstance(values[k], int) else tuple(values[k])
+    return Prepro(**values)
+
+
+def prepros(config: dict) -> dict[str, Prepro]:
+    return {name: prepro_of(name, m) for name, m in (config["modalities"] or {}).items()}
+
+
+def prepro_entry(p: Prepro) -> dict:
+    """The block that prepro_of() turns into the same preprocessing."""
+    if p.custom:
+        raise ValueError("own functions can't be named in a configuration")
+    values = {k: getattr(p, v) for k, v in PREPRO.items()}
+    return {k: list(v) if isinstance(v, tuple) else v for k, v in values.items() if v is not None and v != ()}
+
+
 def load(config: dict) -> Graph:
+    """The graph; preprocessing is read by prepros(), and what it refuses is refused here too."""
     config = check(config)
+    prepros(config)
     out = Graph()
     for name, m in (config["modalities"] or {}).items():
         out.add_image(name, str(m.get("image_filepath", "")), float(m.get("image_res", 1.0)), m.get("channel_names") or ())
@@ -47,14 +89,15 @@ def load(config: dict) -> Graph:
     return out
 
 
-def dump(graph: Graph, project_name: str, output_dir: str) -> dict:
-    """The configuration that load() turns into the same graph, attachments and merges included."""
+def dump(graph: Graph, project_name: str, output_dir: str, prepro: dict[str, Prepro] | None = None) -> dict:
+    """The configuration that load() turns into the same graph, attachments and merges included, and prepros() into the same preprocessing."""
+    prepro = prepro or {}
     own = [n for n in graph.nodes.values() if n.attached_to is None]
     paths = {f"reg_path_{k}": {"src_modality_name": s, "tgt_modality_name": steps[-1], "thru_modality": steps[0] if len(steps) > 1 else None, "reg_params": list(next(e.params for e in graph.edges if e.source == s))} for k, (s, steps) in enumerate(graph.paths.items())}
     return {
         "project_name": project_name,
         "output_dir": output_dir,
-        "modalities": {n.name: {"image_filepath": n.image, "image_res": n.image_res, "channel_names": list(n.channel_names)} for n in own},
+        "modalities": {n.name: {"image_filepath": n.image, "image_res": n.image_res, "channel_names": list(n.channel_names)} | ({"preprocessing": prepro_entry(prepro[n.name])} if n.name in prepro else {}) for n in own},
         "reg_paths": paths,
         "attachment_images": {n.name: {"attachment_modality": n.attached_to, "image_filepath": n.image} for n in graph.nodes.values() if n.attached_to},
         "attachment_shapes": {s: {"attachment_modality": n} for s, n in graph.shapes.items()},

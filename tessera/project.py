@@ -28,7 +28,7 @@ class Prepro:
     invert: bool = False
     custom: tuple = ()
     downsampling: int = 1
-    rotate: int = 0
+    rotate: float = 0
     flip: str | None = None
     box: tuple[int, int, int, int] | None = None
 

@@ -111,6 +111,19 @@ def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, TILES)
 
 
+def is_rgb(spark: SparkSession, path: str) -> bool:
+    """Whether the TIFF's first page holds colours, three samples a pixel."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                page = directories(file["content"])[0]
+                yield pa.RecordBatch.from_pylist([{"rgb": page.get(SAMPLES, (1,))[0] == 3 and page.get(PHOTOMETRIC, (1,))[0] == 2}])
+
+    return bool(files.mapInArrow(run, "rgb boolean").first()["rgb"])
+
+
 ARROW = pa.schema([("image_id", pa.string()), *((n, pa.int32()) for n in ("level", "channel", "ty", "tx")), ("y0", pa.int64()), ("x0", pa.int64()), ("h", pa.int32()), ("w", pa.int32()), ("dtype", pa.string()), ("data", pa.binary())])
 
 
@@ -164,10 +177,10 @@ def tiff_bytes(levels: list[np.ndarray], tile: int = 256, description: str = "",
     return out.getvalue()
 
 
-def planes(tiles: DataFrame, image_id: str, level: int = 0) -> np.ndarray:
-    """(channel, y, x) of one image's level, gathered on the driver; for images that fit there."""
+def planes(tiles: DataFrame, image_id: str, level: int = 0, size: tuple[int, int, int] | None = None) -> np.ndarray:
+    """(channel, y, x) of one image's level, gathered on the driver; for images that fit there. size: its shape, if tiles may be missing, which are 0."""
     rows = tiles.filter((F.col("image_id") == image_id) & (F.col("level") == level)).collect()
-    c, h, w = (max(x) for x in zip(*((r["channel"] + 1, r["y0"] + r["h"], r["x0"] + r["w"]) for r in rows), strict=True))
+    c, h, w = size or (max(x) for x in zip(*((r["channel"] + 1, r["y0"] + r["h"], r["x0"] + r["w"]) for r in rows), strict=True))
     out = np.zeros((c, h, w), rows[0]["dtype"])
     for r in rows:
         out[r["channel"], r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"])

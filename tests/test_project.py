@@ -9,6 +9,7 @@ from tessera import cli, config
 from tessera.operators import register, resample, shapes
 from tessera.plans import transforms as tf
 from tessera.plans.graph import Graph
+from tessera.sources import images
 from tessera.project import Prepro, Project, intensity, spatial
 from tests.test_engine import array, blobs, frame, network
 
@@ -104,3 +105,42 @@ def test_models_are_the_references(spark):
     g.add_path("a", "c", params=("rigid", "nl"))
     with pytest.raises(ValueError, match="nl is non-linear, which is not built"):
         Project(g, {}, {}).register(spark)
+
+
+def test_preprocessing_of_a_configuration():
+    block = {"image_type": "BF", "contrast_enhance": True, "invert_intensity": True, "as_uint8": True, "mask_to_bbox": False, "rot_cc": 90, "flip": "h", "mask_bbox": [1, 2, 3, 4], "downsampling": 2, "ch_indices": 0, "max_int_proj": False}
+    data = {"project_name": "p", "output_dir": "o", "modalities": {"a": {"image_filepath": "a.tif", "image_res": 0.5, "preprocessing": block}, "b": {"mask": None}}}
+    want = {"a": Prepro("BF", (0,), False, True, True, downsampling=2, rotate=90, flip="h", box=(1, 2, 3, 4)), "b": Prepro()}
+    assert config.prepros(data) == want
+    assert config.prepros(json.loads(json.dumps(config.dump(config.load(data), "p", "o", want)))) == want
+    for bad in ({"mask": "m.tif"}, {"preprocessing": {"crop_to_mask_bbox": True}}, {"preprocessing": {"as_uint8": False}}, {"preprocessing": {"rotate": 3}}):
+        with pytest.raises(ValueError):
+            config.load(data | {"modalities": {"a": bad}})
+
+
+@pytest.mark.parametrize("tiff", [False, True])
+def test_run_of_a_configuration(spark, tmp_path, capsys, tiff):
+    c = np.round(blobs(96, 96, 5) * 255 / blobs(96, 96, 5).max()).astype("uint8")
+    # a is c moved, then turned by the quarter that its preprocessing takes back
+    moved = resample.resample_plane(c.astype(float), tf.Sequence().add([tf.Transform("euler", (-0.05, -3.0, 2.0), (47.5, 47.5), (96, 96))]), 1.0, "linear")
+    quarter = np.rot90(moved, -1).astype("uint8")
+    for name, a in (("a", np.stack([quarter, 255 - quarter])), ("c", c[None])):
+        (tmp_path / f"{name}.tif").write_bytes(images.tiff_bytes([a], 32))
+    (tmp_path / "marks.json").write_text(json.dumps([{"type": "Feature", "geometry": {"type": "Point", "coordinates": [40.0, 50.0]}, "properties": {}}]))
+    data = {
+        "project_name": "p", "output_dir": str(tmp_path / "unused"), "modalities": {"a": {"image_filepath": str(tmp_path / "a.tif"), "preprocessing": {"ch_indices": [0], "rot_cc": 90}}, "c": {"image_filepath": str(tmp_path / "c.tif")}},
+        "reg_paths": {"r": {"src_modality_name": "a", "tgt_modality_name": "c", "reg_params": ["rigid_ams"]}}, "attachment_shapes": {"marks": {"attachment_modality": "a", "shape_files": [str(tmp_path / "marks.json")]}}, "merge_modalities": {"both": ["c", "a"]},
+    }
+    (tmp_path / "p.json").write_text(json.dumps(data))
+    assert cli.main(["run", str(tmp_path / "p.json"), "--output", str(tmp_path / "out"), "--tile", "64", *(["--tiff"] if tiff else [])]) == 0
+    told = [x.rsplit("/", 1)[-1] for x in capsys.readouterr().out.split()]
+    assert told == [f"both.{'tiff' if tiff else 'tiles'}", "a_transformations.json", "marks_0.geojson"]
+    path = str(tmp_path / "out" / told[0])
+    got = images.planes(images.read_tiff(spark, path) if tiff else images.read_tiles(spark, path), "both")
+    assert got.shape == (3, 96, 96) and got.dtype == np.uint8 and (got[0] == c).all()
+    inner = (slice(16, 80), slice(16, 80))
+    assert np.corrcoef(got[1][inner].ravel(), c[inner].ravel())[0, 1] > 0.95
+    inside = got[1][inner] + got[2][inner].astype(int)
+    assert (inside == 255).mean() > 0.99
+    s = config.load_transforms((tmp_path / "out" / "a_transformations.json").read_text())
+    assert len(s.transforms) == 2 and spark.read.text(str(tmp_path / "out" / "marks_0.geojson")).count() == 1

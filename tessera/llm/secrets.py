@@ -54,12 +54,18 @@ BASE = (
     Secret("access", r"AKIA[A-Z0-9]+", least=20, seen=r"AKIA[A-Z0-9]{4}"),
     Secret("hex", r"[0-9a-f]+", least=24, seen=r"[0-9a-f]{24}"),
 )
+HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: What stands before a key's END line, in whatever quoting, but no two hyphens.
+BODY = r"([^-]|-[^-])*-----END [A-Z ]*PRIVATE KEY-----"
+#: Without an END line: lines of fields, then base64 in parts of 16 or more, and the last one of any length. A break may be written as an escape.
+GAP = r"[\x20\t\r\n\\\"']"
+RUN = rf"({GAP}+[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[^\r\n\\]*)*({GAP}*[A-Za-z0-9+/=]{{16,}})+({GAP}+[A-Za-z0-9+/=]{{1,15}})?"
 MORE = (
-    Secret("forge", r"gh[opsu]_[A-Za-z0-9]{20,}", seen=r"gh[opsu]_[A-Za-z0-9]"),
+    Secret("forge", r"(gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})", seen=r"(gh[oprsu]|github_pat)_[A-Za-z0-9]"),
     Secret("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", seen=r"xox[abprs]-[A-Za-z0-9-]"),
     Secret("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", seen=r"[rs]k_live_[A-Za-z0-9]"),
     Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", seen=r"\.eyJ[A-Za-z0-9_-]"),
-    Secret("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Secret("private_key", HEADER + f"({BODY}|{RUN})?", seen=HEADER),
 )
 
 
@@ -131,10 +137,7 @@ def redact(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE) -> DataFram
             for batch in slices(iter([whole.set_column(whole.schema.get_field_index("text"), "text", whole.column("text").fill_null(""))])):
                 # the rows as they came, for their nulls
                 found = find(*utf8(batch.column("text")), rules)
-                if not found:
-                    yield batch
-                    continue
-                texts = batch.column("text").to_pylist()
+                texts = batch.column("text").to_pylist() if found else batch.column("text").cast(pa.string())
                 for i, spans in found.items():
                     out, at = [], 0
                     for s, k, e in spans:
@@ -142,7 +145,8 @@ def redact(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE) -> DataFram
                             out += [texts[i][at:s], f"[{rules[k].kind}]"]
                         at = max(at, e)
                     texts[i] = "".join([*out, texts[i][at:]])
-                columns = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)} | {"text": pa.array(texts, pa.string())}
+                columns = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)} | {"text": pa.array(texts, pa.string()) if found else texts}
+                # built alike with secrets or without: all batches of a task have one schema
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     mark = "null_text"

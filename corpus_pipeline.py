@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays, in one row: five-word shingles, a Jaccard similarity of 0.8 or more."""
     return jaccard.one_of_each(docs, jaccard.Join(words=5, percent=80))
 
 

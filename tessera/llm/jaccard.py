@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, cut, drop, mix, partitions, slices, table, text_only, utf8
@@ -494,9 +494,20 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """The documents that lead their group, with the columns they came with; a row without a doc_id stays."""
+    """The documents that lead their group, each in one row, with the columns they came with.
+
+    Of repeated rows (one doc_id, a text with words) the first by the other columns stays; rows without a doc_id or without words all stay.
+    """
     gone = groups(docs, join).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    leading = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    # words are what all_tokens() takes for such: anything between blanks. Null or wordless rows number themselves, so that none of them meets another
+    own = F.when(F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False)), F.monotonically_increasing_id())
+    plain = [F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "struct", "array", "variant"))]
+    first = Window.partitionBy("doc_id", own).orderBy(*plain, "doc_id")
+    return leading.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

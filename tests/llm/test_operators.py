@@ -481,6 +481,18 @@ def test_jaccard_awkward(spark):
     assert jaccard.groups(df.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_one_of_repeated_rows(spark):
+    rng = random.Random(3)
+    t = [" ".join(rng.choice(["red", "old", "sea", "tin", "oak"]) + str(rng.randrange(90)) for _ in range(40)) for _ in range(4)]
+    rows = [(1, t[0], "a"), (1, t[0], "a"), (1, t[0], "b"), (2, t[1], None), (3, t[1] + " end", None), (3, t[1] + " end", None), (2, t[1], None), (4, t[2], "a"), (None, t[3], "a"), (None, t[3], "a"), (5, "", "a"), (5, "", "a"), (6, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for docs in (df, df.withColumn("_row", df["doc_id"]), df.withColumn("parts", jaccard.F.array("source"))):
+        kept = jaccard.one_of_each(docs)
+        assert kept.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["text"] or "", r["source"] or "") for r in kept.collect())
+        assert got == sorted((i or 0, x or "", y or "") for i, x, y in [rows[k] for k in (0, 3, 7, 8, 9, 10, 11, 12)])
+
+
 def test_components(spark):
     rng = random.Random(13)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]

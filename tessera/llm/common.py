@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
@@ -54,6 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def observed(seen: Observation) -> dict:
+    """What was observed; nothing where an empty table beside it ended the plan before."""
+    row = seen._jo.getRow()
+    return seen.get if row.length() else {}
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by cut() once nothing will read it again."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
@@ -81,14 +87,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again in slices of about `most` bytes of the column text, one row at least."""
+    """The batches again in slices of about `most` bytes of the column text and BATCH_ROWS rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = utf8(batch.column("text"))
         start = 0
         while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
+            end = min(max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1), start + BATCH_ROWS)
             yield batch.slice(start, end - start)
             start = end
 

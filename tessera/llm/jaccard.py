@@ -9,17 +9,21 @@ is at least `percent` hundredths of its union. Steps:
    is a coarse point of `GROUPS` coordinates and a fine one of a quarter of the set's size; neighbouring groups of a fine one add
    up to a coarser one, so that points of two sizes can be compared.
 3. Linked sets must share one of the first (1 - J) n + 1 tokens in any order common to all. The order here puts
-   tokens last by how high their counter in a table of fixed size (`SLOTS`) stands over the mean, so that passages which many
-   documents share don't bring these together. Leaders meet by these tokens; the coarse points of those that meet are packed
-   into R-tree leaves by size and count, leaf pairs and then point pairs outside the bound are passed over, and the rest
-   make candidate clusters. A token's leaders beyond `SLICE` are dealt into slices, and each two slices meet in a task of their
-   own.
-4. The same is done within each candidate cluster with the fine points, which tell long sets apart.
-5. Within what is left of a cluster the pairs inside the bound are verified on the sets themselves, again by slices where
-   a cluster is large. A pair already joined through others needs no check, as only the groups are asked for.
-   Clusters and links become groups by alternating large-star and small-star steps.
-
-Nothing is capped: slices change where a pair is checked, not whether. Hashes are of 51 bits (set digests of 128).
+   tokens last by how high their counter in a table of fixed size (`SLOTS`) stands over the mean, in standard deviations, so that
+   passages which many documents share don't bring these together. Leaders meet by these tokens. The coarse points of those that
+   meet make an R-tree, packed from the leaves to a root; it is joined with itself from the root down, and pairs of nodes, then
+   of points, outside the bound are passed over. A pair whose shared token stands so late in its sets that what follows it can't
+   reach the least overlap is passed over too: it meets by an earlier token, or isn't linked. The rest make candidate clusters.
+4. Within a cluster an R-tree of the fine points is joined with itself, and the surviving pairs are verified on the sets. A pair
+   already joined through others needs no check, as only the groups are asked for. Clusters and links become groups by
+   alternating large-star and small-star steps.
+
+A token's or cluster's rows are dealt evenly into chunks, to each of which its first and last document go too: groups of near
+copies are mostly joined by these. Only where that leaves a key's chunks in several groups do its rows meet again, by pairs of
+slices and across these groups alone: a token's by their coarse points, a cluster's by their fine points, and then the sets of
+each surviving pair in tasks of their own.
+
+Nothing is capped: chunks and slices change where a pair is checked, not whether. Hashes are of 51 bits (set digests of 128).
 
 A null or empty text, or one without words, has an empty set and is linked with nothing, not with its like either. With
 fewer words than a run, the whole sequence is its one element. Repeated rows share their class, and rows of one doc_id are taken to hold one text; rows with a null doc_id
@@ -34,18 +38,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, drop, mix, partitions, slices, table, text_only, utf8
+from .common import arrow, cut, drop, mix, observed, partitions, slices, table, text_only, utf8
 
-GROUPS, MOST_GROUPS, SLOTS, SLICE, LEAF = 32, 8192, 1 << 18, 8192, 128
+GROUPS, MOST_GROUPS, SLOTS = 32, 8192, 1 << 18
+#: Rows of an R-tree's leaf, and children of its inner nodes.
+LEAF, FAN = 64, 8
+#: Rows of a token that meet in a task at first, members of a cluster that do, and rows of a slice of what these leave.
+CHUNK, MEMBERS, SLICE = 4096, 512, 4096
+#: Edges that a task joins at once.
+BLOCK = 1 << 20
 #: A token's level rises where its counter is so many standard deviations over the mean of all counters.
 LEVELS = (4, 16, 64)
 #: Bits of a token: with two for its level and eleven for its text they fill a number.
 BITS = 51
-#: Elements of the sets that a slice of a cluster holds at most, as long as its documents are no longer.
-WEIGHT = 2_000_000
+#: Elements of the sets that a chunk of a cluster holds about, as long as its documents are no longer.
+WEIGHT = 1_000_000
 #: Bytes of text whose words are hashed at once; the arrays for it take some hundred times as much.
 SLICED = 1 << 18
 #: Buckets of at most so many rows are a single leaf whose pairs are tested together with those of other buckets.
@@ -131,8 +141,6 @@ def all_tokens(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct run hashes of all texts, sorted within each, and the offsets of the texts' sets. The owner goes into the bits over a token's, so that one sort does."""
     n = len(offsets) - 1
-    if n > 1 << 11:
-        raise ValueError("at most 2048 texts at once")
     runs, owner = all_tokens(data, offsets, words)
     both = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 2)) | runs)
     if len(both):
@@ -187,7 +195,7 @@ def point_of(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(BITS - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
 
 
-POINTS = "doc_id long, n long, digest binary, point binary, fine binary, first binary"
+POINTS = "doc_id long, n long, digest binary, point binary, fine binary, first array<long>"
 
 
 def points(docs: DataFrame, join: Join, levels: np.ndarray) -> DataFrame:
@@ -210,81 +218,115 @@ def points(docs: DataFrame, join: Join, levels: np.ndarray) -> DataFrame:
             rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
             chosen = rank < np.repeat(join.prefix(n), n)
             first, bounds = ordered[chosen], np.concatenate([[0], np.cumsum(np.where(n > 0, join.prefix(n), 0))])
-            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array(fine, pa.binary()), pa.array([first[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(n))], pa.binary())]
+            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(first.astype(np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "point", "fine", "first"])
 
     return text_only(docs).mapInArrow(run, POINTS)
 
 
-# --- meeting in R-tree leaves
+# --- R-trees of points
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
     return points if points.shape[1] == groups else points.reshape(len(points), groups, -1).sum(2)
 
 
-def leaves(sizes: np.ndarray, points: np.ndarray) -> list[np.ndarray]:
-    """Rows in leaves of LEAF: packed by size into slabs, and within a slab by the coordinate that varies most."""
+def grow(sizes: np.ndarray, coarse: np.ndarray) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """An R-tree packed from below: the rows of each leaf, and for each level from the leaves up to one root the nodes' least and greatest sizes and their corners.
+
+    Rows are packed by size into slabs, and within a slab by the coordinate that varies most; node k of a level covers the nodes
+    FAN k to FAN k + FAN - 1 of the level below.
+    """
     order = np.argsort(sizes, kind="stable")
-    slab = LEAF * 8
-    out = []
-    for k in range(0, len(order), slab):
-        rows = order[k : k + slab]
+    leaves = []
+    for k in range(0, len(order), LEAF * FAN):
+        rows = order[k : k + LEAF * FAN]
         if len(rows) > LEAF:
-            rows = rows[np.argsort(points[rows, points[rows].var(0).argmax()], kind="stable")]
-        out += [rows[i : i + LEAF] for i in range(0, len(rows), LEAF)]
-    return out
+            rows = rows[np.argsort(coarse[rows, coarse[rows].var(0).argmax()], kind="stable")]
+        leaves += [rows[i : i + LEAF] for i in range(0, len(rows), LEAF)]
+    levels = [(np.array([sizes[x].min() for x in leaves]), np.array([sizes[x].max() for x in leaves]), np.array([coarse[x].max(0) for x in leaves]))]
+    while len(levels[-1][0]) > 1:
+        low, top, corner = levels[-1]
+        at = np.arange(0, len(low), FAN)
+        levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(top, at), np.maximum.reduceat(corner, at)))
+    return leaves, levels
+
+
+def descend(levels: list, join: Join) -> Iterator[tuple[int, int]]:
+    """Pairs a <= b of leaves that the bound allows at every level from the root down, those of a leaf with itself first."""
+    a = b = np.zeros(1, np.int64)
+    for depth, (low, top, corner) in enumerate(reversed(levels)):
+        if depth:
+            kids = np.arange(FAN)
+            a, b = (x.ravel() for x in np.broadcast_arrays(a[:, None, None] * FAN + kids[:, None], b[:, None, None] * FAN + kids))
+            real = (a <= b) & (b < len(low))
+            a, b = a[real], b[real]
+        # sizes alone, then the nodes' corners
+        near = 100 * np.minimum(top[a], top[b]) >= join.percent * np.maximum(low[a], low[b])
+        a, b = a[near], b[near]
+        near = np.concatenate([np.minimum(corner[a[k : k + 4096]], corner[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)] or [np.zeros(0)]) >= join.overlap(low[a], low[b])
+        a, b = a[near], b[near]
+    order = np.argsort(a != b, kind="stable")
+    return zip(a[order].tolist(), b[order].tolist(), strict=True)
 
 
-def connect(sizes: np.ndarray, points: list[np.ndarray], join: Join, side: np.ndarray | None = None, linked=None) -> list[tuple[int, int]]:
-    """Pairs that join each group of rows, of those whose points allow a link (the sum of coordinate minima reaches the least overlap) and, if given, linked(p, q) holds. With side, only pairs across. What is joined already isn't looked at again. points: of any powers of two of coordinates from GROUPS on."""
+def survivors(sizes: np.ndarray, points: list[np.ndarray], join: Join, apart, left: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose points allow a link (the sum of coordinate minima reaches the least overlap), by pairs of leaves.
+
+    points: of any powers of two of coordinates from GROUPS on. apart(rows, others): the matrix of pairs that matter, asked as
+    the walk gets to them. left: how many elements of each set can be shared at most, where less than all.
+    """
     coarse = np.concatenate([folded(p[None], GROUPS) for p in points]).astype(np.int32)
-    tree = leaves(sizes, coarse)
-    low = np.array([sizes[x].min() for x in tree])
-    top = np.array([sizes[x].max() for x in tree])
-    corner = np.array([coarse[x].max(0) for x in tree])
-    label, out = np.arange(len(sizes)), []
-    for a, rows in enumerate(tree):
-        near = np.arange(a, len(tree))
-        # sizes alone, then the nodes' corners
-        near = near[100 * np.minimum(top[near], top[a]) >= join.percent * np.maximum(low[near], low[a])]
-        near = near[np.minimum(corner[near], corner[a]).sum(1) >= join.overlap(low[near], low[a])]
-        for b in near:
-            other = tree[b]
-            one = label[rows[0]]
-            if (label[rows] == one).all() and (label[other] == one).all():
-                continue
-            ok = label[rows][:, None] != label[other][None, :]
-            if side is not None:
-                ok &= side[rows][:, None] != side[other][None, :]
-            if a == b:
-                ok &= np.arange(len(rows))[:, None] < np.arange(len(other))[None, :]
-            need = join.overlap(sizes[rows][:, None], sizes[other][None, :])
-            ok &= np.minimum(sizes[rows][:, None], sizes[other][None, :]) >= need
-            if not ok.any():
-                continue
-            bound = np.zeros(ok.shape, np.int32)
-            for g in range(GROUPS):
-                bound += np.minimum(coarse[rows, g][:, None], coarse[other, g][None, :])
-            ok &= bound >= need
-            i, j = np.nonzero(ok)
-            if not len(i):
-                continue
-            fine = min(min(len(points[x]) for x in rows), min(len(points[x]) for x in other))
-            if fine > GROUPS:
-                u, v = (np.concatenate([folded(points[x][None], fine) for x in leaf]).astype(np.int32) for leaf in (rows, other))
-                keep = np.concatenate([np.minimum(u[i[k : k + 256]], v[j[k : k + 256]]).sum(1) for k in range(0, len(i), 256)]) >= need[i, j]
-                i, j = i[keep], j[keep]
-            i, j = rows[i], other[j]
-            at = 0
-            while at < len(i):
-                p, q = int(i[at]), int(j[at])
-                at += 1
-                if label[p] != label[q] and (linked is None or linked(p, q)):
-                    label[label == max(label[p], label[q])] = min(label[p], label[q])
-                    out.append((p, q))
-                    keep = label[i[at:]] != label[j[at:]]
-                    i, j, at = i[at:][keep], j[at:][keep], 0
+    leaves, levels = grow(sizes, coarse)
+    left = sizes if left is None else left
+    for a, b in descend(levels, join):
+        rows, other = leaves[a], leaves[b]
+        ok = apart(rows, other)
+        if a == b:
+            ok = ok & (np.arange(len(rows))[:, None] < np.arange(len(other))[None, :])
+        if not ok.any():
+            continue
+        need = join.overlap(sizes[rows][:, None], sizes[other][None, :])
+        ok = ok & (np.minimum(left[rows][:, None], left[other][None, :]) >= need)
+        if not ok.any():
+            continue
+        bound = np.zeros(ok.shape, np.int32)
+        for g in range(GROUPS):
+            bound += np.minimum(coarse[rows, g][:, None], coarse[other, g][None, :])
+        i, j = np.nonzero(ok & (bound >= need))
+        fine = min(min(len(points[x]) for x in rows), min(len(points[x]) for x in other))
+        if len(i) and fine > GROUPS:
+            u, v = (np.concatenate([folded(points[x][None], fine) for x in leaf]).astype(np.int32) for leaf in (rows, other))
+            keep = np.concatenate([np.minimum(u[i[k : k + 256]], v[j[k : k + 256]]).sum(1) for k in range(0, len(i), 256)]) >= need[i, j]
+            i, j = i[keep], j[keep]
+        if len(i):
+            yield rows[i], other[j]
+
+
+def across(label: np.ndarray, side: np.ndarray | None):
+    """The pairs of rows with different labels and, if given, of different sides."""
+
+    def apart(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        ok = label[rows][:, None] != label[other][None, :]
+        return ok if side is None else ok & (side[rows][:, None] != side[other][None, :])
+
+    return apart
+
+
+def connect(sizes: np.ndarray, points: list[np.ndarray], join: Join, label: np.ndarray | None = None, side: np.ndarray | None = None, left: np.ndarray | None = None, linked=None) -> list[tuple[int, int]]:
+    """Surviving pairs that join each group of rows, of those for which, if given, linked(p, q) holds. What is joined already, or has one label from the start, isn't looked at again."""
+    label = np.arange(len(sizes)) if label is None else np.unique(label, return_inverse=True)[1].ravel()
+    out = []
+    for i, j in survivors(sizes, points, join, across(label, side), left):
+        at = 0
+        while at < len(i):
+            p, q = int(i[at]), int(j[at])
+            at += 1
+            if label[p] != label[q] and (linked is None or linked(p, q)):
+                label[label == max(label[p], label[q])] = min(label[p], label[q])
+                out.append((p, q))
+                keep = label[i[at:]] != label[j[at:]]
+                i, j, at = i[at:][keep], j[at:][keep], 0
     return out
 
 
@@ -334,144 +376,266 @@ def small_pairs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(found, axis=1))
 
 
-def dealt_in_slices(rows: DataFrame, key: str, id_: str, weight: str | None = None) -> DataFrame:
-    """The rows of keys with two rows at least, with the two slices (a, b) that meet in a task.
+def edges_of(ids: np.ndarray, pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs of rows as edges (x, y) of their ids, x < y."""
+    both = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).astype(np.int64)
+    found = ids[both] if len(both) else both
+    return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["x", "y"])
+
+
+EDGES = "x long, y long"
 
-    Up to SLICE rows of a key, and WEIGHT of the column weight, are one slice; those of a larger one go to the tasks of their
-    slice with each slice. The count is combined before it is shuffled, and the join with it can be split where a key is hot.
+
+# --- dealing groups to tasks
+
+
+def pieces(rows: int, weight: str | None):
+    """How many chunks hold so many rows each, and WEIGHT of the column weight."""
+    by_rows = F.ceil(F.count("*") / rows)
+    return (by_rows if weight is None else F.greatest(by_rows, F.ceil(F.sum(weight) / WEIGHT))).cast("int")
+
+
+def in_chunks(rows: DataFrame, key: str, most: int, weight: str | None = None) -> DataFrame:
+    """The rows of keys with two documents at least, dealt evenly into chunks of a task each (column part; _chunks: how many).
+
+    A key's first and last document go to each of its chunks, so that chunks whose rows link with these are joined by them.
+    The count is combined before it is shuffled, and the join with it can be split where a key is hot.
     """
-    slices_ = F.ceil(F.count("*") / SLICE)
-    slices_ = slices_ if weight is None else F.greatest(slices_, F.ceil(F.sum(weight) / WEIGHT))
-    many = rows.groupBy(key).agg(slices_.cast("int").alias("_slices"), F.count("*").alias("_many")).filter("_many > 1").drop("_many")
-    both = rows.join(many, key).withColumn("_own", F.pmod(F.xxhash64(id_), F.col("_slices")).cast("int"))
+    many = rows.groupBy(key).agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), pieces(most, weight).alias("_chunks")).filter("_low < _high")
+    part = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).when(F.col("doc_id").isin(F.col("_low"), F.col("_high")), F.sequence(F.lit(0), F.col("_chunks") - 1))
+    return rows.join(many, key).withColumn("part", F.explode(part.otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int"))))).drop("_low", "_high")
+
+
+def in_crossed_slices(rows: DataFrame, key: str, stars: DataFrame, most: int, weight: str | None = None) -> DataFrame:
+    """What in_chunks() left: the rows of keys of several chunks that stars don't join wholly, with their labels and the slices (a, b) that meet in a task; own: the row's slice."""
+    labelled = rows.join(stars.select(F.col("x").alias("doc_id"), "y"), "doc_id", "left").withColumn("label", F.coalesce("y", "doc_id")).drop("y")
+    mixed = labelled.groupBy(key).agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.ceil(F.count("*") / SLICE).cast("int").alias("_slices"), pieces(most, weight).alias("_chunks"))
+    both = labelled.join(mixed.filter("_low < _high and _chunks > 1").drop("_low", "_high", "_chunks"), key).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("_slices")).cast("int"))
     both = both.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    return both.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other")).drop("_slices", "_other")
+    return both.withColumn("a", F.least("own", "_other")).withColumn("b", F.greatest("own", "_other")).drop("_slices", "_other")
 
 
-def candidates(leaders: DataFrame, join: Join) -> DataFrame:
-    """Edges (x, y) that join each candidate cluster, from leaders that meet by a first token within the bound."""
-    spark = leaders.sparkSession
+def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "doc_id")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = batch.column("first")
-            raw = [x.as_py() for x in first]
-            each = np.array([len(x) // 8 for x in raw], np.int64)
-            token = np.frombuffer(b"".join(raw), np.int64)
-            owner = np.repeat(np.arange(len(each)), each)
-            for k in range(0, len(token), 100_000):
-                rows = pa.array(owner[k : k + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(token[k : k + 100_000]), batch.column("doc_id").take(rows), batch.column("n").take(rows)], ["token", "doc_id", "n"])
-
-    met = leaders.select("doc_id", "n", "first").mapInArrow(tokens, "token long, doc_id long, n long")
-    left = dealt_in_slices(met, "token", "doc_id").join(leaders.select("doc_id", "point"), "doc_id")
-    left = left.repartition(partitions(spark), "token", "a", "b").sortWithinPartitions("token", "a", "b", "doc_id")
+
+# --- candidate clusters
+
+
+def buckets(leaders: DataFrame) -> DataFrame:
+    """A row for each of a leader's first tokens; left: its elements from that token on, all that is shared if the token is the first that is."""
+    return leaders.select("doc_id", "n", F.posexplode("first").alias("_at", "token")).select("token", "doc_id", "n", (F.col("n") - F.col("_at")).alias("left"))
+
+
+def _coarse(found: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(found.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+
+
+def candidates(met: DataFrame, leaders: DataFrame, join: Join, seen: Observation) -> DataFrame:
+    """Edges that join candidate clusters: leaders that meet by a first token and by their coarse points allow a link. seen: the most chunks of a token."""
+    dealt = in_chunks(met, "token", CHUNK).observe(seen, F.max("_chunks").alias("most")).drop("_chunks").join(leaders.select("doc_id", "point"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["token", "a", "b"]
+        keys = ["token", "part"]
         for found in runs_of(batches, keys):
             at = bounds_of(found, keys)
-            ids, sizes, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "_own", "a", "b"))
-            points = np.frombuffer(b"".join(found.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
-            xs, ys = [], []
+            ids, sizes, left = (found.column(c).to_numpy() for c in ("doc_id", "n", "left"))
+            points = _coarse(found)
             i, j = small_pairs(at)
-            ok = np.minimum(points[i], points[j]).sum(1) >= join.overlap(sizes[i], sizes[j])
-            ok &= (a[i] == b[i]) | (own[i] != own[j])
-            both = np.unique(np.column_stack([ids[i[ok]], ids[j[ok]]]), axis=0)
-            xs += both[:, 0].tolist()
-            ys += both[:, 1].tolist()
+            ok = np.minimum(np.minimum(points[i], points[j]).sum(1), np.minimum(left[i], left[j])) >= join.overlap(sizes[i], sizes[j])
+            pairs = [np.column_stack([i[ok], j[ok]])]
             for s, e in zip(at[:-1], at[1:], strict=True):
-                if e - s <= SMALL:
-                    continue
-                for p, q in connect(sizes[s:e], list(points[s:e]), join, own[s:e] if a[s] != b[s] else None):
-                    xs.append(ids[s + p])
-                    ys.append(ids[s + q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xs, ys) if xs else [], pa.int64()), pa.array(np.maximum(xs, ys) if xs else [], pa.int64())], ["x", "y"])
+                if e - s > SMALL and (near := connect(sizes[s:e], list(points[s:e]), join, left=left[s:e])):
+                    pairs.append(np.array(near) + s)
+            yield edges_of(ids, pairs)
 
-    return left.select("token", "a", "b", "_own", "doc_id", "n", "point").mapInArrow(run, "x long, y long").distinct()
+    return sorted_by(dealt, "token", "part").mapInArrow(run, EDGES)
 
 
-def refined(leaders: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
-    """Edges (x, y) that join what is left of each candidate cluster by the fine points."""
-    spark = leaders.sparkSession
-    dealt = dealt_in_slices(clusters, "cluster", "doc_id").join(leaders.select("doc_id", "n", "fine"), "doc_id")
-    dealt = dealt.repartition(partitions(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "doc_id")
+def further_candidates(met: DataFrame, leaders: DataFrame, stars: DataFrame, join: Join) -> DataFrame:
+    """Edges that join the clusters of a token's chunks, where its first and last document have not."""
+    dealt = in_crossed_slices(met, "token", stars, CHUNK).join(leaders.select("doc_id", "point"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["cluster", "a", "b"]
+        keys = ["token", "a", "b"]
         for found in runs_of(batches, keys):
             at = bounds_of(found, keys)
-            ids, sizes, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "_own", "a", "b"))
-            xs, ys = [], []
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                fine = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("fine").slice(s, e - s)]
-                for p, q in connect(sizes[s:e], fine, join, own[s:e] if a[s] != b[s] else None):
-                    xs.append(ids[s + p])
-                    ys.append(ids[s + q])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+            ids, sizes, left, label, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "left", "label", "own", "a", "b"))
+            points = _coarse(found)
+            near = [np.array(connect(sizes[s:e], list(points[s:e]), join, label[s:e], own[s:e] if a[s] != b[s] else None, left[s:e])).reshape(-1, 2) + s for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield edges_of(ids, near)
 
-    return dealt.select("cluster", "a", "b", "_own", "doc_id", "n", "fine").mapInArrow(run, "x long, y long")
+    return sorted_by(dealt, "token", "a", "b").mapInArrow(run, EDGES)
 
 
-def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(node, root): the smallest node reachable over the edges, for every node of an edge.
+# --- components
 
-    Alternates large-star and small-star (Kiveris et al. 2014) until no edge changes: a number of rounds that grows with
-    the logarithm of the longest chain. Each round is a written table.
-    """
-    now = cut(edges.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).filter("x > y").distinct())
+
+def joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges' components as edges to their smallest nodes."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = ends.ravel()[: len(x)], ends.ravel()[len(x) :]
+    label = np.arange(len(nodes))
     while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == label[b]).all():
+            break
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (deeper := label[label] != label).any():
+            label[deeper] = label[label[deeper]]
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """The same components with the edges of each task joined first, by blocks of BLOCK edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            x, y = np.concatenate([x, batch.column("x").to_numpy()]), np.concatenate([y, batch.column("y").to_numpy()])
+            if len(x) > BLOCK:
+                x, y = joined(x, y)
+                if len(x) > BLOCK // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+                    x, y = x[:0], y[:0]
+        x, y = joined(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+    return edges.select(F.col("x").cast("long"), F.col("y").cast("long")).mapInArrow(run, EDGES)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (x, y) from every node to the smallest node reachable over the edges, but from that one.
+
+    Each task joins its own edges first. Then large-star and small-star (Kiveris et al. 2014) alternate until no edge changes: a
+    number of rounds that grows with the logarithm of the longest chain left. Each round is a table, counted as it is written.
+    """
+    spark = edges.sparkSession
+
+    def written(df: DataFrame, rows: int | None) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        if rows is not None:
+            # few edges need few files
+            df = df.coalesce(min(partitions(spark), max(16, rows // 100_000)))
+        out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("sum")))
+        found = observed(seen)
+        return out, (found.get("rows", 0), found.get("sum"))
+
+    now, mark = written(contracted(edges), None)
+    while mark[0]:
         both = now.unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x > y").distinct()
+        large = both.join(low, "x").filter("y > x and y > m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x > y").unionAll(least.select("x", F.col("m").alias("y"))).distinct()
-        after = cut(small)
-        marks = [df.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first() for df in (now, after)]
+        small = large.join(least, "x").select(F.explode(F.array(F.struct(F.col("y").alias("x"), F.col("m").alias("y")), F.struct("x", F.col("m").alias("y")))).alias("e")).select("e.*").filter("x > y").distinct()
+        after, last = written(small, mark[0])
         drop(now)
-        now = after
-        if marks[0] == marks[1]:
+        now, mark, before = after, last, mark
+        if mark == before:
             break
-    return now.select(F.col("x").alias("node"), F.col("y").alias("root")).unionAll(now.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct())
+    return now
 
 
-def verified(docs: DataFrame, clusters: DataFrame, join: Join) -> DataFrame:
-    """Edges (x, y) of linked leaders that join each group; clusters: (doc_id, cluster, n)."""
-    spark = docs.sparkSession
-    dealt = text_only(docs.filter(F.col("doc_id").isNotNull())).join(dealt_in_slices(clusters, "cluster", "doc_id", "n").drop("n"), "doc_id")
-    dealt = dealt.repartition(partitions(spark), "cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "doc_id")
+# --- verification
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["cluster", "a", "b"]
 
-        def with_sets() -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, SLICED):
-                tokens, at = _sets(batch, join.words)
-                names = [*keys, "_own", "doc_id"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.large_binary())], [*names, "tokens"])
+def _sets_of(batches: Iterator[pa.RecordBatch], names: list[str], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, SLICED):
+        tokens, at = _sets(batch, words)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([tokens[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.large_binary())], [*names, "tokens"])
+
 
-        for found in runs_of(with_sets(), keys):
+def shared(one: np.ndarray, other: np.ndarray) -> int:
+    both = np.concatenate([one, other])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def verified(docs: DataFrame, clusters: DataFrame, join: Join, seen: Observation) -> DataFrame:
+    """Edges of linked leaders that join what the chunks of each cluster hold of a group; clusters: (doc_id, cluster, n). seen: the most chunks of a cluster."""
+    dealt = in_chunks(clusters, "cluster", MEMBERS, "n").observe(seen, F.max("_chunks").alias("most")).drop("_chunks", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["cluster", "part"]
+        for found in runs_of(_sets_of(batches, [*keys, "doc_id"], join.words), keys):
             at = bounds_of(found, keys)
-            ids, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "_own", "a", "b"))
-            xs, ys = [], []
+            ids, pairs = found.column("doc_id").to_numpy(), []
             for s, e in zip(at[:-1], at[1:], strict=True):
                 # one row for each leader, should its row be repeated
-                rows = [k for k in range(s, e) if k == s or ids[k] != ids[k - 1]]
+                rows = np.array([k for k in range(s, e) if k == s or ids[k] != ids[k - 1]])
                 sets = [np.frombuffer(x.as_py(), np.uint64) for x in found.column("tokens").take(pa.array(rows))]
                 sizes = np.array([len(x) for x in sets], np.int64)
                 fine = [point_of(x, groups_of(len(x))) for x in sets]
+                linked = lambda p, q, sets=sets, sizes=sizes: shared(sets[p], sets[q]) >= join.overlap(int(sizes[p]), int(sizes[q]))
+                if near := connect(sizes, fine, join, linked=linked):
+                    pairs.append(rows[np.array(near)])
+            yield edges_of(ids, pairs)
+
+    return sorted_by(_texts(docs).join(dealt, "doc_id"), "cluster", "part").mapInArrow(run, EDGES)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return text_only(docs.filter(F.col("doc_id").isNotNull()))
+
+
+def further_pairs(leaders: DataFrame, clusters: DataFrame, links: DataFrame, join: Join) -> DataFrame:
+    """Pairs of leaders of a cluster in different groups so far whose fine points allow a link."""
+    dealt = in_crossed_slices(clusters, "cluster", links, MEMBERS, "n").join(leaders.select("doc_id", "fine"), "doc_id")
 
-                def linked(p: int, q: int, sets=sets, sizes=sizes) -> bool:
-                    both = np.concatenate([sets[p], sets[q]])
-                    both.sort()
-                    return int((both[1:] == both[:-1]).sum()) >= join.overlap(int(sizes[p]), int(sizes[q]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["cluster", "a", "b"]
+        for found in runs_of(batches, keys):
+            at = bounds_of(found, keys)
+            ids, sizes, label, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "label", "own", "a", "b"))
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                fine = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("fine").slice(s, e - s)]
+                for i, j in survivors(sizes[s:e], fine, join, across(label[s:e], own[s:e] if a[s] != b[s] else None)):
+                    yield edges_of(ids, [np.column_stack([i, j]) + s])
+
+    return sorted_by(dealt, "cluster", "a", "b").mapInArrow(run, EDGES)
 
-                for p, q in connect(sizes, fine, join, own[rows] if a[s] != b[s] else None, linked):
-                    xs.append(ids[rows[p]])
-                    ys.append(ids[rows[q]])
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
-    return dealt.select("cluster", "a", "b", "_own", "doc_id", "text").mapInArrow(run, "x long, y long")
+def checked(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
+    """The pairs (x, y), x < y, that are linked. A pair's sets meet in the task of its x, whose pairs beyond MEMBERS are dealt to several; a task holds one x and a batch of others."""
+    many = pairs.groupBy("x").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts"))
+    dealt = pairs.join(many, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")).cast("int")).drop("_parts")
+    rows = dealt.select("x", "part", F.col("y").alias("doc_id")).unionAll(dealt.select("x", "part", F.col("x").alias("doc_id")).distinct()).join(_texts(docs), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, np.zeros(0, np.uint64)
+        for batch in _sets_of(batches, ["x", "doc_id"], join.words):
+            found = []
+            for x, y, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                if x == y:
+                    # ids are sorted, so the task's own one comes first
+                    own, held = x, tokens
+                elif x == own and shared(held, tokens) >= join.overlap(len(held), len(tokens)):
+                    found.append((x, y))
+            yield edges_of(np.array(found, np.int64).ravel(), [np.arange(2 * len(found)).reshape(-1, 2)])
+
+    return sorted_by(rows, "x", "part").select("x", "doc_id", "text").mapInArrow(run, EDGES)
+
+
+def linked_groups(docs: DataFrame, leaders: DataFrame, join: Join) -> DataFrame:
+    """Edges (x, y) from each leader to the smallest one that it reaches by links, but from that one."""
+    met, seen = buckets(leaders), Observation()
+    stars = components(candidates(met, leaders, join, seen))
+    if (observed(seen).get("most") or 0) > 1:
+        stars = components(further_candidates(met, leaders, stars, join).unionAll(stars))
+    named = stars.select(F.col("x").alias("doc_id"), F.col("y").alias("cluster")).unionAll(stars.select(F.col("y").alias("doc_id"), F.col("y").alias("cluster")).distinct())
+    clusters = cut(named.join(leaders.select("doc_id", "n"), "doc_id"))
+    drop(stars)
+    seen = Observation()
+    links = components(verified(docs, clusters, join, seen))
+    if (observed(seen).get("most") or 0) > 1:
+        pairs = cut(further_pairs(leaders, clusters, links, join).distinct())
+        links = components(checked(docs, pairs, join).unionAll(links))
+        drop(pairs)
+    drop(clusters)
+    return links
 
 
 def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
@@ -484,13 +648,10 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     lead = members.filter("doc_id = leader and n > 0").select("doc_id").distinct()
     leaders = cut(sized.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     drop(sized)
-    named = lambda found: found.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
-    clusters = named(components(candidates(leaders, join)))
-    clusters = named(components(refined(leaders, clusters, join)))
-    links = components(verified(docs, clusters.join(leaders.select("doc_id", "n"), "doc_id"), join))
+    links = linked_groups(docs, leaders, join)
     drop(leaders)
-    out = members.join(links, members["leader"] == links["node"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "leader")).alias("component_id"))
+    out = members.join(links, members["leader"] == links["x"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("y", "leader")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, join: Join = Join()) -> DataFrame:

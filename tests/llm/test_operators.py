@@ -446,8 +446,8 @@ def near_copies():
 
 @pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_groups(spark, monkeypatch, words, percent):
-    # buckets and clusters of a few dozen rows are already dealt into slices and leaves
-    for name, value in (("SLICE", 48), ("LEAF", 16), ("SMALL", 3)):
+    # buckets and clusters of a few dozen rows are already dealt into chunks, and what these leave into slices
+    for name, value in (("CHUNK", 24), ("MEMBERS", 16), ("SLICE", 20)):
         monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -506,8 +506,34 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
-    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    got = {r["x"]: r["y"] for r in jaccard.components(spark.createDataFrame(edges, "x long, y long").repartition(7)).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b) if x != root(x)}
+    assert jaccard.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [2, 16, 64])
+def test_trees_find_all_pairs_within_the_bound(monkeypatch, leaf):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "FAN", 3)
+    rng = np.random.default_rng(leaf)
+    join, sets = jaccard.Join(5, 80), []
+    for i in range(150):
+        base = rng.integers(0, 1 << jaccard.BITS, int(rng.choice([1, 4, 30, 300, 900])), np.uint64) if not i or rng.random() < 0.3 else sets[rng.integers(len(sets))].copy()
+        for k in rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) // 8))):
+            base[k] = rng.integers(0, 1 << jaccard.BITS)
+        sets.append(np.unique(base))
+    sizes, left = np.array([len(x) for x in sets]), np.array([int(rng.integers(len(x) // 2, len(x) + 1)) for x in sets])
+    points, label, side = [jaccard.point_of(x, jaccard.groups_of(len(x))) for x in sets], rng.integers(0, 40, 150), rng.integers(0, 2, 150)
+
+    def bound(p, q):
+        groups = min(len(points[p]), len(points[q]))
+        return min(np.minimum(jaccard.folded(points[p][None], groups), jaccard.folded(points[q][None], groups)).sum(), left[p], left[q])
+
+    want = {(p, q) for p in range(150) for q in range(p) if label[p] != label[q] and side[p] != side[q] and bound(p, q) >= join.overlap(sizes[p], sizes[q])}
+    got = {(max(p, q), min(p, q)) for i, j in jaccard.survivors(sizes, points, join, jaccard.across(label, side), left) for p, q in zip(i.tolist(), j.tolist(), strict=True)}
+    # leaves of sets of several sizes are held to the least of their coordinates, which lets more pairs through, never fewer
+    assert want <= got and all(label[p] != label[q] and side[p] != side[q] and min(left[p], left[q]) >= join.overlap(sizes[p], sizes[q]) for p, q in got)
+    assert len(got) < 2 * len(want) + 20
 
 
 # --- 10

@@ -432,7 +432,7 @@ def _coarse(found: pa.Table) -> np.ndarray:
 
 
 def candidates(met: DataFrame, leaders: DataFrame, join: Join, seen: Observation) -> DataFrame:
-    """Edges that join candidate clusters: leaders that meet by a first token and by their coarse points allow a link. seen: the most chunks of a token."""
+    """Edges that join candidate clusters, joined in each task: leaders that meet by a first token and by their coarse points allow a link. seen: the most chunks of a token."""
     dealt = in_chunks(met, "token", CHUNK).observe(seen, F.max("_chunks").alias("most")).drop("_chunks").join(leaders.select("doc_id", "point"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +449,7 @@ def candidates(met: DataFrame, leaders: DataFrame, join: Join, seen: Observation
                     pairs.append(np.array(near) + s)
             yield edges_of(ids, pairs)
 
-    return sorted_by(dealt, "token", "part").mapInArrow(run, EDGES)
+    return sorted_by(dealt, "token", "part").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
 
 
 def further_candidates(met: DataFrame, leaders: DataFrame, stars: DataFrame, join: Join) -> DataFrame:
@@ -465,7 +465,7 @@ def further_candidates(met: DataFrame, leaders: DataFrame, stars: DataFrame, joi
             near = [np.array(connect(sizes[s:e], list(points[s:e]), join, label[s:e], own[s:e] if a[s] != b[s] else None, left[s:e])).reshape(-1, 2) + s for s, e in zip(at[:-1], at[1:], strict=True)]
             yield edges_of(ids, near)
 
-    return sorted_by(dealt, "token", "a", "b").mapInArrow(run, EDGES)
+    return sorted_by(dealt, "token", "a", "b").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
 
 
 # --- components
@@ -488,29 +488,32 @@ def joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[away], nodes[label[away]]
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """The same components with the edges of each task joined first, by blocks of BLOCK edges."""
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same components with the edges of a task joined first, by blocks of BLOCK edges."""
+    x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[pa.RecordBatch] = []
+    many = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            x, y = np.concatenate([x, batch.column("x").to_numpy()]), np.concatenate([y, batch.column("y").to_numpy()])
-            if len(x) > BLOCK:
-                x, y = joined(x, y)
-                if len(x) > BLOCK // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-                    x, y = x[:0], y[:0]
-        x, y = joined(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    def join_held() -> tuple[np.ndarray, np.ndarray]:
+        return joined(*(np.concatenate([own, *(b.column(k).to_numpy() for b in held)]) for own, k in ((x, 0), (y, 1))))
 
-    return edges.select(F.col("x").cast("long"), F.col("y").cast("long")).mapInArrow(run, EDGES)
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many > BLOCK:
+            (x, y), held = join_held(), []
+            if (many := len(x)) > BLOCK // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+                x, y, many = x[:0], y[:0], 0
+    x, y = join_held()
+    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Edges (x, y) from every node to the smallest node reachable over the edges, but from that one.
 
-    Each task joins its own edges first. Then large-star and small-star (Kiveris et al. 2014) alternate until no edge changes: a
-    number of rounds that grows with the logarithm of the longest chain left. Each round is a table, counted as it is written.
+    Large-star and small-star (Kiveris et al. 2014) alternate until no edge changes: a number of rounds that grows with the
+    logarithm of the longest chain. Each round is a table, counted as it is written.
     """
     spark = edges.sparkSession
 
@@ -523,7 +526,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = observed(seen)
         return out, (found.get("rows", 0), found.get("sum"))
 
-    now, mark = written(contracted(edges), None)
+    now, mark = written(edges.select(F.greatest("x", "y").cast("long").alias("x"), F.least("x", "y").cast("long").alias("y")).filter("x > y"), None)
     while mark[0]:
         both = now.unionAll(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -573,7 +576,7 @@ def verified(docs: DataFrame, clusters: DataFrame, join: Join, seen: Observation
                     pairs.append(rows[np.array(near)])
             yield edges_of(ids, pairs)
 
-    return sorted_by(_texts(docs).join(dealt, "doc_id"), "cluster", "part").mapInArrow(run, EDGES)
+    return sorted_by(_texts(docs).join(dealt, "doc_id"), "cluster", "part").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -616,7 +619,7 @@ def checked(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
                     found.append((x, y))
             yield edges_of(np.array(found, np.int64).ravel(), [np.arange(2 * len(found)).reshape(-1, 2)])
 
-    return sorted_by(rows, "x", "part").select("x", "doc_id", "text").mapInArrow(run, EDGES)
+    return sorted_by(rows, "x", "part").select("x", "doc_id", "text").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
 
 
 def linked_groups(docs: DataFrame, leaders: DataFrame, join: Join) -> DataFrame:

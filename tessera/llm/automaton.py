@@ -5,9 +5,10 @@ Rules are regular expressions over ASCII with literals, `\\xNN`, classes, groups
 byte classes and minimised by refining a partition of the states; the result is a transition array whose states carry
 the set of rules that accept there, as bits.
 
-`scan` runs the combined automaton of all rules over all texts in one pass: the buffer is laid out in lanes that step
-together, and a lane whose neighbour ends in another state than it began with is run again until the states agree.
-`spans` then gives leftmost-longest, non-overlapping matches of a rule within a text in which the pass has found one.
+`begins` runs the combined automaton of all mirrored rules over all texts in one pass from the end: the buffer is laid out in
+lanes that step together, and a lane whose neighbour ends in another state than it began with is run again until the states
+agree. Its states tell at which bytes which rules may begin. `Ahead` is the combined automaton of the rules as they are; from
+those bytes it tells how far each rule reaches. Both together give `spans`: leftmost-longest, non-overlapping matches.
 """
 
 from __future__ import annotations
@@ -122,6 +123,16 @@ def backwards(tree: tuple) -> tuple:
     return tree[0], parts[::-1] if tree[0] == "cat" else parts
 
 
+def uncounted(tree: tuple) -> tuple:
+    """Accepts at least the beginnings that the tree does, with endless repeats of one or more in place of counted ones."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] == "rep":
+        part = uncounted(tree[1])
+        return ("rep", part, min(tree[2], 1), None if tree[2] > 1 or tree[3] is None else tree[3])
+    return tree[0], [uncounted(x) for x in tree[1]]
+
+
 # --- construction
 
 
@@ -282,55 +293,85 @@ def states(machine: Automaton, data: np.ndarray, lanes: int = 4096) -> np.ndarra
     return out.T.ravel()[:n]
 
 
-def scan(machine: Automaton, data: np.ndarray, offsets: np.ndarray) -> dict[int, int]:
-    """For each text in the buffer with a match of any rule: the bits of its rules. data[offsets[i]:offsets[i+1]] is text i."""
+def joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one buffer, each followed by END, and where each begins there. data[offsets[i]:offsets[i+1]] is text i."""
     n = len(offsets) - 1
-    joined = np.full(len(data) + n, END, np.uint8)
-    at = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))
-    joined[at] = data
-    ran = states(machine, joined)
+    out = np.full(len(data) + n, END, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = data
+    return out, offsets[:-1] + np.arange(n)
+
+
+def begins(machine: Automaton, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bit, position) of all places where a match of a rule may begin, in this order; machine: of the mirrored rules, anywhere. One pass over the buffer from its end."""
+    ran = states(machine, buffer[::-1])[::-1]
     flags = np.repeat(machine.accepts, machine.width).astype(np.int64)
-    hits = np.flatnonzero((flags != 0)[ran])
-    found: dict[int, int] = {}
-    for text, bits in zip(np.searchsorted(offsets[1:] + np.arange(1, n + 1), hits, "right").tolist(), flags[ran[hits]].tolist(), strict=True):
-        found[text] = found.get(text, 0) | bits
-    return found
-
-
-class Rule:
-    """A rule's own two small automata: from which bytes a match can begin, and how far one goes."""
-
-    def __init__(self, tree: tuple):
-        self.ahead = build([tree], anywhere=False)
-        self.behind = build([backwards(tree)], anywhere=True)
-        self._rows = [self._lists(m) for m in (self.ahead, self.behind)]
-
-    @staticmethod
-    def _lists(m: Automaton) -> tuple[list[list[int]], list[bool]]:
-        nexts = (m.table.reshape(-1, m.width) // m.width)[:, m.byte_class]
-        return nexts.tolist(), [bool(x) for x in m.accepts]
-
-    def spans(self, text: bytes) -> list[tuple[int, int]]:
-        """Leftmost-longest matches that don't overlap, in bytes."""
-        nexts, accepts = self._rows[1]
-        s, begins = 0, []
-        for k in range(len(text) - 1, -1, -1):
-            s = nexts[s][text[k]]
-            if accepts[s]:
-                begins.append(k)
-        out, free = [], 0
-        nexts, accepts = self._rows[0]
-        for k in reversed(begins):
-            if k < free:
-                continue
-            s, end = 0, -1
-            for i in range(k, len(text)):
-                s = nexts[s][text[i]]
-                if s == self.ahead.dead:
+    at = np.flatnonzero((flags != 0)[ran])
+    bits = flags[ran[at]]
+    bit, k = np.nonzero((bits[None, :] >> np.arange(int(bits.max(initial=0)).bit_length())[:, None]) & 1)
+    return bit, at[k]
+
+
+class Ahead:
+    """The combined automaton of rules that begin at a given byte; it tells how far each of them reaches."""
+
+    #: Fewer matches than this are followed one by one.
+    FEW = 8
+
+    def __init__(self, trees: list[tuple]):
+        self.machine, self.rules = build(trees, anywhere=False), len(trees)
+        self.flags = np.repeat(self.machine.accepts, self.machine.width).astype(np.int64)
+        self.dead = self.machine.dead * self.machine.width
+        nexts = self.machine.table.reshape(-1, self.machine.width)[:, self.machine.byte_class]
+        self._nexts = {s * self.machine.width: row for s, row in enumerate(nexts.tolist())}
+        self._flags = {s * self.machine.width: int(b) for s, b in enumerate(self.machine.accepts)}
+
+    def ends(self, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each start and rule: the end of the longest match, or -1."""
+        out = np.full((len(starts), self.rules), -1, np.int64)
+        lane, now, at = np.arange(len(starts)), np.zeros(len(starts), np.int32), starts.copy()
+        while len(lane) >= self.FEW:
+            byte = buffer[at]
+            now = self.machine.table[now + self.machine.byte_class[byte]]
+            at = at + 1
+            going = (byte != END) & (now != self.dead)
+            lane, now, at = lane[going], now[going], at[going]
+            reached = self.flags[now]
+            for bit in range(self.rules if reached.any() else 0):
+                here = np.flatnonzero(reached >> bit & 1)
+                out[lane[here], bit] = at[here]
+        for i, s, k in zip(lane.tolist(), now.tolist(), at.tolist(), strict=True):
+            rest, last = memoryview(buffer)[k:], {}
+            for step, byte in enumerate(rest, k + 1):
+                s = self._nexts[s][byte]
+                if byte == END or s == self.dead:
                     break
-                if accepts[s]:
-                    end = i + 1
-            if end > k:
-                out.append((k, end))
-                free = end
+                if self._flags[s]:
+                    last[self._flags[s]] = step
+            for bits, end in last.items():
+                for bit in range(self.rules):
+                    if bits >> bit & 1:
+                        out[i, bit] = max(out[i, bit], end)
         return out
+
+
+def spans(behind: Automaton, ahead: Ahead, rules: int, buffer: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leftmost-longest matches of each of the first `rules` rules that don't overlap others of the rule: (text, rule, start, the ends of all rules there).
+
+    first: where each text begins in the buffer. All texts and rules go ahead together, each by one match a round.
+    """
+    bit, at = begins(behind, buffer)
+    size = len(buffer) + 1
+    keys = bit * size + at
+    text = np.searchsorted(first, at, "right") - 1
+    new = np.flatnonzero(np.diff(bit, prepend=-1).astype(bool) | np.diff(text, prepend=-1).astype(bool))
+    here, stop = new, np.append(new[1:], len(at))
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, ahead.rules), np.int64),)]
+    while len(here):
+        ends = ahead.ends(buffer, at[here])
+        own = ends[np.arange(len(here)), bit[here]]
+        matched = own > at[here]
+        found.append((text[here][matched], bit[here][matched], at[here][matched], ends[matched]))
+        here = np.searchsorted(keys, bit[here] * size + np.maximum(own, at[here] + 1))
+        going = here < stop
+        here, stop = here[going], stop[going]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -1,8 +1,9 @@
 """Secret scan by one deterministic automaton over all rules.
 
-The rules' expressions become one minimised transition array (`automaton`), which passes once over the bytes of every
-text and says which rules match in which text. In those texts the rule's own two automata give the leftmost-longest
-matches. A match whose checked part is too short for its rule is dropped, as it would be by a check after the match.
+The rules' mirrored expressions become one minimised transition array (`automaton`), which passes once over the bytes of
+every text and says where which rules may begin. From there a second array, that of all expressions as they are, tells how far
+each reaches, which gives the leftmost-longest matches. A match whose checked part is too short for its rule is dropped, as it
+would be by a check after the match.
 
 A null text is an empty one. Repeated rows get equal results. An empty table gives an empty result. Spans count code
 points, the end exclusive. Columns other than doc_id and text pass untouched through redact() and aren't read by scan().
@@ -29,30 +30,32 @@ from .common import arrow, slices, table, text_only, utf8
 class Secret:
     """A kind of secret: its expression; the expression of what stands before the checked part; the part's least length.
 
-    seen: what every match that isn't dropped holds, for the pass over all texts; the whole expression if none is named.
-    It leaves out counts that would multiply the states: a long count behind a prefix which may begin anew within it.
+    begin: an expression that matches, from the same byte on, whatever a match that isn't dropped begins with, for the pass over all
+    texts; the expression itself, its counts reduced to one, if none is named. Counters side by side would multiply the states.
     """
 
     kind: str
     pattern: str
     before: str = ""
     least: int = 0
-    seen: str = ""
+    begin: str = ""
 
-    def tree(self) -> tuple:
-        head = automaton.parse(self.before)
+    def head(self) -> tuple:
         # of what stands before, the key's letters are in either case
-        return "cat", [automaton.any_case(head), automaton.parse(self.pattern)]
+        return automaton.any_case(automaton.parse(self.before))
+
+    def tree(self) -> tuple:
+        return "cat", [self.head(), automaton.parse(self.pattern)]
 
-    def seen_tree(self) -> tuple:
-        return automaton.parse(self.seen) if self.seen else self.tree()
+    def begin_tree(self) -> tuple:
+        return automaton.parse(self.begin) if self.begin else automaton.uncounted(self.tree())
 
 
 #: The base rules of the contract, then further well-known forms.
 BASE = (
     Secret("assign", r"[A-Za-z0-9+/_.=-]+", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", 6),
-    Secret("access", r"AKIA[A-Z0-9]+", least=20, seen=r"AKIA[A-Z0-9]{4}"),
-    Secret("hex", r"[0-9a-f]+", least=24, seen=r"[0-9a-f]{24}"),
+    Secret("access", r"AKIA[A-Z0-9]+", least=20),
+    Secret("hex", r"[0-9a-f]+", least=24, begin=r"[0-9a-f]{24}"),
 )
 HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 #: What stands before a key's END line, in whatever quoting, but no two hyphens.
@@ -61,42 +64,38 @@ BODY = r"([^-]|-[^-])*-----END [A-Z ]*PRIVATE KEY-----"
 GAP = r"[\x20\t\r\n\\\"']"
 RUN = rf"({GAP}+[A-Z][A-Za-z]*-[A-Z][A-Za-z]*:[^\r\n\\]*)*({GAP}*[A-Za-z0-9+/=]{{16,}})+({GAP}+[A-Za-z0-9+/=]{{1,15}})?"
 MORE = (
-    Secret("forge", r"(gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})", seen=r"(gh[oprsu]|github_pat)_[A-Za-z0-9]"),
-    Secret("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", seen=r"xox[abprs]-[A-Za-z0-9-]"),
-    Secret("payment", r"[rs]k_live_[A-Za-z0-9]{16,}", seen=r"[rs]k_live_[A-Za-z0-9]"),
-    Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", seen=r"\.eyJ[A-Za-z0-9_-]"),
-    Secret("private_key", HEADER + f"({BODY}|{RUN})?", seen=HEADER),
+    Secret("forge", r"(gh[oprsu]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})"),
+    Secret("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Secret("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
+    Secret("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Secret("private_key", HEADER + f"({BODY}|{RUN})?", begin=HEADER),
 )
 
 
 @cache
-def machines(rules: tuple[Secret, ...]) -> tuple:
-    """The combined automaton, each rule's own, and each rule's head for measuring its checked part."""
-    return automaton.build([r.seen_tree() for r in rules], anywhere=True), [automaton.Rule(r.tree()) for r in rules], [automaton.Rule(automaton.any_case(automaton.parse(r.before))) if r.before else None for r in rules]
+def machines(rules: tuple[Secret, ...]) -> tuple[automaton.Automaton, automaton.Ahead, list[int]]:
+    """The combined automaton of where the rules begin, that of how far they and then their heads reach, and each rule's head among these, or -1."""
+    heads = [r for r in rules if r.before]
+    behind = automaton.build([automaton.backwards(r.begin_tree()) for r in rules], anywhere=True)
+    return behind, automaton.Ahead([r.tree() for r in rules] + [r.head() for r in heads]), [len(rules) + heads.index(r) if r.before else -1 for r in rules]
 
 
 def find(data: np.ndarray, offsets: np.ndarray, rules: tuple[Secret, ...]) -> dict[int, list[tuple[int, int, int]]]:
     """For each text with spans: (start, rule's number, end) in code points, sorted."""
-    combined, own, heads = machines(rules)
-    out = {}
-    for i, bits in automaton.scan(combined, data, offsets).items():
-        raw = data[offsets[i] : offsets[i + 1]].tobytes()
-        spans = []
-        for k, rule in enumerate(rules):
-            if not bits >> k & 1:
-                continue
-            for start, end in own[k].spans(raw):
-                value = start
-                if heads[k]:
-                    # the head's longest match at the start leaves the checked part
-                    value = start + heads[k].spans(raw[start:end])[0][1]
-                if end - value >= rule.least:
-                    spans.append((start, k, end))
-        if spans:
-            # bytes to code points: less the continuation bytes before
-            before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80)])
-            out[i] = sorted((int(s - before[s]), k, int(e - before[e])) for s, k, e in spans)
-    return out
+    behind, ahead, heads = machines(rules)
+    buffer, first = automaton.joined(data, offsets)
+    text, rule, start, ends = automaton.spans(behind, ahead, len(rules), buffer, first)
+    rows = np.arange(len(text))
+    head = np.array(heads)[rule]
+    end, value = ends[rows, rule], np.where(head < 0, start, ends[rows, head])
+    keep = end - value >= np.array([r.least for r in rules])[rule]
+    # bytes to code points: less the continuation bytes before
+    before = np.concatenate([[0], np.cumsum((buffer & 0xC0) == 0x80)])
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for i, k, s, e in zip(*(x[keep].tolist() for x in (text, rule, start, end)), strict=True):
+        zero = first[i] - before[first[i]]
+        out.setdefault(i, []).append((int(s - before[s] - zero), k, int(e - before[e] - zero)))
+    return {i: sorted(x) for i, x in out.items()}
 
 
 def scan(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE, base: tuple[Secret, ...] = BASE) -> DataFrame:
@@ -126,37 +125,36 @@ def scan(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE, base: tuple[S
 
 
 def redact(docs: DataFrame, rules: tuple[Secret, ...] = BASE + MORE) -> DataFrame:
-    """The same rows and columns with each secret replaced by [<kind>], overlapping spans by one mark; n_chars, where there is such a column, follows. A null text stays null."""
+    """The same rows and columns with each secret replaced by [<kind>], overlapping spans by one mark. n_chars, where there is such a column, follows where the text changed; all else stays, a null text too."""
     arrow(docs.sparkSession)
-    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    if not isinstance(schema["text"].dataType, StringType):
+    if not isinstance(docs.schema["text"].dataType, StringType):
         raise ValueError("text must be a string")
+    made = "safe_text"
+    while made in docs.columns:
+        made += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(iter([whole.set_column(whole.schema.get_field_index("text"), "text", whole.column("text").fill_null(""))])):
-                # the rows as they came, for their nulls
-                found = find(*utf8(batch.column("text")), rules)
-                texts = batch.column("text").to_pylist() if found else batch.column("text").cast(pa.string())
-                for i, spans in found.items():
+            place = whole.schema.get_field_index("text")
+            filled = pa.RecordBatch.from_arrays([whole.column(place).fill_null("").cast(pa.string()), pa.array(np.arange(whole.num_rows))], ["text", "row"])
+            made: list[str | None] = [None] * whole.num_rows
+            for batch in slices(iter([filled])):
+                rows = batch.column("row").to_numpy()
+                for i, spans in find(*utf8(batch.column("text")), rules).items():
+                    text = batch.column("text")[i].as_py()
                     out, at = [], 0
                     for s, k, e in spans:
                         if s >= at:
-                            out += [texts[i][at:s], f"[{rules[k].kind}]"]
+                            out += [text[at:s], f"[{rules[k].kind}]"]
                         at = max(at, e)
-                    texts[i] = "".join([*out, texts[i][at:]])
-                columns = {f.name: c for f, c in zip(batch.schema, batch.columns, strict=True)} | {"text": pa.array(texts, pa.string()) if found else texts}
-                # built alike with secrets or without: all batches of a task have one schema
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    mark = "null_text"
-    while mark in docs.columns:
-        mark += "_"
-    marked = docs.withColumn(mark, F.col("text").isNull())
-    done = marked.mapInArrow(run, StructType([*schema.fields, marked.schema[mark]]))
-    text = F.when(~F.col(mark), F.col("text"))
-    out = [text.alias("text") if c == "text" else F.when(F.col(mark), F.col(c)).otherwise(F.char_length("text").cast(LongType())).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*out)
+                    made[rows[i]] = "".join([*out, text[at:]])
+            # the rows as they came and one column more, in every batch alike
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(made, pa.string())], [*whole.schema.names, "made"])
+
+    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [StructField(made, StringType(), True)])
+    done = docs.mapInArrow(run, schema)
+    changed = {"text": F.coalesce(F.col(made), F.col("text")), "n_chars": F.when(F.col(made).isNull(), F.col("n_chars")).otherwise(F.char_length(made).cast(LongType()))}
+    return done.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def op6_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,8 @@ GROUPS, MOST_GROUPS, SLOTS = 32, 8192, 1 << 18
 LEAF, FAN = 64, 8
 #: Rows of a token that meet in a task at first, members of a cluster that do, and rows of a slice of what these leave.
 CHUNK, MEMBERS, SLICE = 4096, 512, 4096
+#: Documents up to this many are broadcast by their ids, to find their texts.
+FEW = 200_000
 #: Edges that a task joins at once.
 BLOCK = 1 << 20
 #: A token's level rises where its counter is so many standard deviations over the mean of all counters.
@@ -604,7 +606,12 @@ def checked(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     """The pairs (x, y), x < y, that are linked. A pair's sets meet in the task of its x, whose pairs beyond MEMBERS are dealt to several; a task holds one x and a batch of others."""
     many = pairs.groupBy("x").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts"))
     dealt = pairs.join(many, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")).cast("int")).drop("_parts")
-    rows = dealt.select("x", "part", F.col("y").alias("doc_id")).unionAll(dealt.select("x", "part", F.col("x").alias("doc_id")).distinct()).join(_texts(docs), "doc_id")
+    rows = dealt.select("x", "part", F.col("y").alias("doc_id")).unionAll(dealt.select("x", "part", F.col("x").alias("doc_id")).distinct())
+    texts, ids = _texts(docs), pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    if ids.count() <= FEW:
+        # then other texts needn't be shuffled
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.join(texts, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, np.zeros(0, np.uint64)

@@ -578,16 +578,21 @@ def verified(docs: DataFrame, clusters: DataFrame, join: Join, seen: Observation
                     pairs.append(rows[np.array(near)])
             yield edges_of(ids, pairs)
 
-    return sorted_by(_texts(docs).join(dealt, "doc_id"), "cluster", "part").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
+    return sorted_by(of_few(_texts(docs), clusters.select("doc_id")).join(dealt, "doc_id"), "cluster", "part").mapInArrow(lambda batches: contracted(run(batches)), EDGES)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return text_only(docs.filter(F.col("doc_id").isNotNull()))
 
 
+def of_few(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of these documents, if they are few enough to be told to every task, so that others needn't be shuffled; else all. ids: (doc_id), cheap to count."""
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= FEW else rows
+
+
 def further_pairs(leaders: DataFrame, clusters: DataFrame, links: DataFrame, join: Join) -> DataFrame:
     """Pairs of leaders of a cluster in different groups so far whose fine points allow a link."""
-    dealt = in_crossed_slices(clusters, "cluster", links, MEMBERS, "n").join(leaders.select("doc_id", "fine"), "doc_id")
+    dealt = in_crossed_slices(clusters, "cluster", links, MEMBERS, "n").join(of_few(leaders.select("doc_id", "fine"), clusters.select("doc_id")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["cluster", "a", "b"]
@@ -607,11 +612,7 @@ def checked(docs: DataFrame, pairs: DataFrame, join: Join) -> DataFrame:
     many = pairs.groupBy("x").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts"))
     dealt = pairs.join(many, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")).cast("int")).drop("_parts")
     rows = dealt.select("x", "part", F.col("y").alias("doc_id")).unionAll(dealt.select("x", "part", F.col("x").alias("doc_id")).distinct())
-    texts, ids = _texts(docs), pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    if ids.count() <= FEW:
-        # then other texts needn't be shuffled
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = rows.join(texts, "doc_id")
+    rows = rows.join(of_few(_texts(docs), pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = None, np.zeros(0, np.uint64)

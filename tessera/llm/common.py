@@ -45,15 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, and lost executors recompute nothing before it."""
+#: Tables of cut() that nobody has dropped.
+_written: set[str] = set()
+
+
+def cut(df: DataFrame, *folders: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: it is computed once, and lost executors recompute nothing before it. folders: columns whose values lie apart, for reading some of them."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    _written.add(path)
+    return _read(df, path)
+
+
+def _read(df: DataFrame, path: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def added(table: DataFrame, df: DataFrame) -> DataFrame:
+    """A table made by cut() with more rows of the same columns."""
+    df.select(*table.columns).write.mode("append").parquet(table.written_to)
+    return _read(table, table.written_to)
+
+
 def observed(seen: Observation) -> dict:
     """What was observed; nothing where an empty table beside it ended the plan before."""
     row = seen._jo.getRow()
@@ -64,6 +79,13 @@ def drop(df: DataFrame) -> None:
     """Deletes a table made by cut() once nothing will read it again."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _written.discard(df.written_to)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables that results of this process read from; for when these have been written or are no longer wanted."""
+    for path in list(_written):
+        drop(_read(spark.createDataFrame([], "x int"), path))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,12 +108,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches again in slices of about `most` bytes of the column text and BATCH_ROWS rows, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches again in slices of about `most` bytes of a text column without nulls and BATCH_ROWS rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, at = utf8(batch.column("text"))
+        _, at = utf8(batch.column(column))
         start = 0
         while start < batch.num_rows:
             end = min(max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1), start + BATCH_ROWS)

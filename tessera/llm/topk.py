@@ -11,8 +11,8 @@ Candidates are every row, so a block costs some scans of the table and no shuffl
 
 Vectors that are null, or hold a null or non-finite component, take no part, neither do rows with a null id. A vector of
 another length than a query's is no candidate of it. A query with fewer than k candidates returns all. Repeated rows are
-candidates of their own; rows of the query's own id are none; of several rows of a query's id the one with the smallest
-vector asks. An empty table gives an empty result. Columns other than the two named aren't read. Scores that 64 bits
+candidates of their own; rows of the query's own id are none; of several usable rows of a query's id the one with the
+smallest vector asks. An empty table gives an empty result. Columns other than the two named aren't read. Scores that 64 bits
 can't hold are an error.
 """
 
@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, table
+from .common import added, arrow, cut, drop, table
 
 BINS = 256
 
@@ -177,16 +177,16 @@ def top_k(vectors: DataFrame, is_query, id_: str = "vec_id", vector: str = "embe
     spark = vectors.sparkSession
     arrow(spark)
     rows = vectors.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
-    wanted = vectors.filter(is_query).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null and vector is not null")
+    wanted = vectors.filter(is_query).select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector")).filter("id is not null").filter(usable(F.col("vector"), scale))
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    parts = []
     low, high = rows.agg(F.min("id"), F.max("id")).first()
     largest = _largest(rows, scale) if low is not None else 0
     # one row a query, dealt by the id's hash to blocks of half the most; a block alone goes to the driver
     asked = wanted.groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = -(-asked.count() // max(block // 2, 1))
     if blocks > 1:
-        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
+        asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "block")
+    found = None
     for number in range(blocks):
         got = (asked.filter(F.col("block") == number).drop("block") if blocks > 1 else asked).toArrow()
         by: dict[int, list] = {}
@@ -203,11 +203,20 @@ def top_k(vectors: DataFrame, is_query, id_: str = "vec_id", vector: str = "embe
             search.low, search.high = -bound.astype(np.int64), bound.astype(np.int64)
             while not search.done.all():
                 narrow(search, count(rows, search, scale), few, (low, high))
-            parts.append(select(rows, search, scale))
-    out = empty
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+            got_ = select(rows, search, scale)
+            if blocks == 1 and len(by) == 1:
+                return got_
+            # each block's results go to one table as they come
+            found = cut(got_) if found is None else added(found, got_)
+    if blocks > 1:
+        drop(asked)
+    return empty if found is None else found
+
+
+def usable(vector: Column, scale: float) -> Column:
+    """Neither null nor empty, and each component is a number that stays one when it is scaled."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * F.lit(float(scale))) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vector) > 0) & fine, F.lit(False))
 
 
 def _largest(rows: DataFrame, scale: float) -> int:

@@ -6,7 +6,7 @@ has tokens, whatever the corpus: equal bins are kept as one state with a count,
 Pieces then find their places by their rank among the pieces of the same length.
 
 Null texts are empty documents; an empty document is its end mark alone. Repeated rows are separate documents and
-repeated ids separate documents too, told apart by their text's place in the row order. An empty table gives an empty
+repeated ids separate documents too, told apart by numbers that their pieces get as they are written. An empty table gives an empty
 result. Columns of the input other than doc_id and text are not read.
 """
 
@@ -111,6 +111,8 @@ def places(packed: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[n
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
 
 
+#: Pieces of one length that a task ranks.
+IN_SLOT = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -142,22 +144,24 @@ def encode_pieces(docs: DataFrame, vocabulary: str, most: int, end_id: int, with
 
 
 def assign(pieces: DataFrame, cap: Capacity) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a length; `pieces` is read three times, so hand in a written table.
+    """Adds sequence_id and offset to rows that have a length and a number of their own, _row; `pieces` is read four times, so hand in a written table.
 
     The rank of a piece among those of its length is its rank within (length, slot) plus the counts of the slots
-    before: a length that a third of all pieces share is dealt to as many tasks as there are slots. The driver holds
-    a number for each (length, slot), and those are as many as tokens in a sequence times slots, at any input size.
+    before. A length has as many slots as it takes for `IN_SLOT` pieces each, which bounds a task however many pieces share
+    a length. The driver holds a number for each (length, slot).
     """
     spark = pieces.sparkSession
-    slots = 64
-    dealt = pieces.withColumn("slot", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(slots)).cast("int"))
+    slots = {r["length"]: -(-r["count"] // IN_SLOT) for r in pieces.groupBy("length").count().collect()}
+    if not slots:
+        return pieces.drop("_row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    by_length = F.array(*[F.lit(slots.get(n, 1)) for n in range(max(slots) + 1)])
+    dealt = pieces.withColumn("slot", F.pmod(F.xxhash64("_row"), F.get(by_length, F.col("length").cast("int"))).cast("int"))
     counts: dict[int, np.ndarray] = {}
     for n, slot, many in dealt.groupBy("length", "slot").agg(F.count("*").alias("many")).toLocalIterator():
-        counts.setdefault(n, np.zeros(slots, np.int64))[slot] = many
+        counts.setdefault(n, np.zeros(slots[n], np.int64))[slot] = many
     before = {n: np.concatenate([[0], np.cumsum(x)[:-1]]) for n, x in counts.items()}
     found = places(best_fit({n: int(x.sum()) for n, x in counts.items()}, cap))
-    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "slot").orderBy(*order)))
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "slot").orderBy("_row")))
     shared = spark.sparkContext.broadcast((before, found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,15 +178,16 @@ def assign(pieces: DataFrame, cap: Capacity) -> DataFrame:
                 k = np.searchsorted(first, r, "right") - 1
                 sequence[rows] = bin_[k] + (r - first[k]) // many[k]
                 offset[rows] = at[k] + (r - first[k]) % many[k] * n
-            keep = [c for c in batch.schema.names if c not in ("slot", "_rank")]
+            keep = [c for c in batch.schema.names if c not in ("slot", "_rank", "_row")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, StructType(pieces.schema.fields).add("sequence_id", "long").add("offset", "long"))
+    return ranked.mapInArrow(run, StructType(pieces.drop("_row").schema.fields).add("sequence_id", "long").add("offset", "long"))
 
 
 def pack(docs: DataFrame, cap: Capacity = Capacity(), vocabulary: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """All documents as pieces placed in sequences: doc_id, piece, start, length, ids_crc32, [ids], sequence_id, offset."""
-    return assign(cut(encode_pieces(docs, vocabulary or default_vocabulary(), cap.tokens, end_id, with_ids)), cap)
+    pieces = encode_pieces(docs, vocabulary or default_vocabulary(), cap.tokens, end_id, with_ids)
+    return assign(cut(pieces.withColumn("_row", F.monotonically_increasing_id())), cap)
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:

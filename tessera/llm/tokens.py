@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 from functools import cache
 
@@ -21,9 +22,13 @@ def exact(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added(path: str) -> tuple[str, ...]:
+    """The strings that the file takes out of a text before it splits it, such as special tokens."""
+    return tuple(t.content for t in exact(path).get_added_tokens_decoder().values())
 
 
 @cache
@@ -40,22 +45,27 @@ def fast(path: str):
 
 
 def encode(path: str, text: str) -> np.ndarray:
-    """Ids of the whole text as unsigned 32-bit numbers; strings of special tokens are ordinary text."""
+    """Ids of the whole text as unsigned 32-bit numbers: those of the file's encoder, special tokens of the vocabulary included where the text holds their strings."""
     quick = fast(path)
-    if quick is not None:
+    if quick is not None and not any(t in text for t in added(path)):
         try:
             return quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
-        except BaseException as e:  # the pattern's backtracking limit on endless white space
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except BaseException as e:
+            # the pattern's backtracking limit on endless white space is a panic, which is no Exception
+            if type(e).__name__ != "PanicException":
                 raise
     return np.array(exact(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @cache
 def byte_lengths(path: str) -> np.ndarray:
-    """Bytes of each id of a byte-level vocabulary: each letter of its written form stands for one byte."""
+    """Bytes of each id of a byte-level vocabulary: each letter of its written form stands for one byte. Others are refused."""
     vocabulary = exact(path).get_vocab(with_added_tokens=True)
+    if json.loads(exact(path).to_str()).get("pre_tokenizer", {}).get("type") != "ByteLevel":
+        raise ValueError(f"not a byte-level vocabulary: {path}")
     out = np.zeros(max(vocabulary.values()) + 1, np.int64)
     for word, k in vocabulary.items():
         out[k] = len(word)
+    for k, token in exact(path).get_added_tokens_decoder().items():
+        out[k] = len(token.content.encode())
     return out

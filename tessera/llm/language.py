@@ -17,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow, slices, table, text_only, utf8
+from .common import arrow, slices, table, utf8
 
 UNKNOWN = "und"
 #: Stands after the end of a text in its last window.
@@ -30,10 +30,10 @@ PAD = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: labelled rows that train, those with the smallest hashes of id and text, at any table size. window: bytes that a network reads at once."""
+    """sample_rows: labelled rows that train at any table size, in equal shares by language, those with the smallest hashes of id and text; as many languages at most. sample_parts: parts of a window's size that stand for each of them, spread over its whole text. window: bytes that a network reads at once."""
 
     sample_rows: int = 4000
-    sample_chars: int = 400
+    sample_parts: int = 8
     window: int = 64
     hidden: int = 8
     batch: int = 256
@@ -203,41 +203,58 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), where=None) -> Network:
-    """Learns from the bounded sample of the labelled rows that `where` admits. A part of a long text, from a place given by its hash, stands for it."""
+    """Learns from the bounded sample of the labelled rows that `where` admits: for each language its rows of the smallest draws, up to equal shares of the sample."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows if where is None else rows.filter(where)
-    place = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed + 1)), F.greatest(F.length("text") - settings.sample_chars, F.lit(0)) + 1).cast("int") + 1
-    part = F.substring("text", place, F.lit(settings.sample_chars))
-    drawn = rows.select(F.xxhash64("doc_id", F.lit(settings.seed)).alias("draw"), "lang", part.alias("text"))
-    # the sample's draws lie below a bound that follows from the rows' number, so tasks send few rows beyond it
-    many = rows.count()
-    if many > 2 * settings.sample_rows:
-        drawn = drawn.filter(F.col("draw") < F.lit(int((2 * settings.sample_rows / many) * (1 << 64)) - (1 << 63)))
-    got = drawn.orderBy("draw", "lang", "text").limit(settings.sample_rows).collect()
-    return fit([r["text"] for r in got], [r["lang"] for r in got], settings) if got else Network((), {}, settings.window)
-
-
-def predict(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
-    """doc_id, [columns kept], lang_pred, score for every row; score is the pooled probability of the language."""
+    drawn = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text", F.lit(settings.seed)).alias("draw"), "text")
+    # as many numbers as languages; of a language beyond what is wanted only draws below a bound of about twice that leave their tasks
+    many = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.sample_rows).collect()}
+    if not many:
+        return Network((), {}, settings.window)
+    quota = max(settings.sample_rows // len(many), 1)
+    bound = {k: int((2 * quota + 32) / n * (1 << 64)) - (1 << 63) for k, n in many.items() if n > 2 * quota + 32}
+    if bound:
+        below = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])[F.col("lang")]
+        drawn = drawn.filter(F.col("lang").isin(list(many)) & (below.isNull() | (F.col("draw") < below)))
+    drawn = drawn.select("lang", "draw", parts_of(F.col("text"), F.col("draw"), settings).alias("parts"))
+    first = Window.partitionBy("lang").orderBy("draw", "parts")
+    got = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= quota).orderBy("lang", "place").collect()
+    texts = [(part, r["lang"]) for r in got for part in r["parts"]]
+    return fit([t for t, _ in texts], [k for _, k in texts], settings)
+
+
+def parts_of(text: Column, draw: Column, settings: Settings) -> Column:
+    """Parts of about a window spread over the whole text, one at a place given by the draw in each of its equal stretches; a shorter text whole, in parts."""
+    n, w = settings.sample_parts, settings.window
+    stretch = F.greatest(F.lit(w), F.ceil(F.length(text) / n).cast("int"))
+    at = lambda k: k * stretch + F.pmod(F.xxhash64(draw, k), stretch - w + 1).cast("int") + 1
+    return F.filter(F.transform(F.array(*map(F.lit, range(n))), lambda k: F.substring(text, at(k), F.lit(w))), lambda x: x != "")
+
+
+def predict(docs: DataFrame, net: Network, *keep: str, with_text: bool = False) -> DataFrame:
+    """doc_id, [text], [columns kept], lang_pred, score for every row; score is the pooled probability of the language."""
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    rows = text_only(docs, *keep)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in slices(batches):
-            texts = batch.column("text")
-            n = batch.num_rows
-            labels, score = np.full(n, UNKNOWN, object), np.zeros(n)
-            if net.languages:
-                p = pooled(net, *utf8(texts))
-                letters = has_letter(texts)
-                labels[letters] = np.array(net.languages, object)[p.argmax(1)][letters]
-                score[letters] = np.clip(p.max(1), 0, 1)[letters]
-            others = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), pa.array(labels.tolist(), pa.string()), pa.array(score)], [*(batch.schema.names[i] for i in others), "lang_pred", "score"])
-
-    schema = StructType([f for f in rows.schema.fields if f.name != "text"]).add("lang_pred", "string").add("score", "double")
+        for whole in batches:
+            place = whole.schema.get_field_index("text")
+            names = [*whole.schema.names, "filled"]
+            for batch in slices(iter([pa.RecordBatch.from_arrays([*whole.columns, whole.column(place).fill_null("")], names)]), column="filled"):
+                texts = batch.column("filled")
+                n = batch.num_rows
+                labels, score = np.full(n, UNKNOWN, object), np.zeros(n)
+                if net.languages:
+                    p = pooled(net, *utf8(texts))
+                    letters = has_letter(texts)
+                    labels[letters] = np.array(net.languages, object)[p.argmax(1)][letters]
+                    score[letters] = np.clip(p.max(1), 0, 1)[letters]
+                others = [name for name in names[:-1] if with_text or name != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in others), pa.array(labels.tolist(), pa.string()), pa.array(score)], [*others, "lang_pred", "score"])
+
+    schema = StructType([f for f in rows.schema.fields if with_text or f.name != "text"]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -10,7 +10,7 @@ fitting is one pass over these rows given the factors of languages and topics, w
 is checked against `MOST_CELLS`). The labels' tokens are combined before they are shuffled.
 
 Targets are powers of a label's own share (exponent 1 keeps it, 0 makes all equal) or given shares by value; values without
-a given share keep theirs, and all are scaled to sum to 1. Null labels are a value of their own. A null or empty text
+a given share keep theirs, and all are scaled to sum to 1. Null labels are a value of their own. Ties of the draw can't arise within an id and don't matter between ids: each draw is held to its own chance. A null or empty text
 has no tokens and the factor of its cell, or 1 if its cell has no tokens at all. Rows of equal id share their draw. An
 empty table gives an empty result. sample() keeps the columns it is given, whatever their names.
 """
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow, cut, drop, table
 
-MOST_CELLS = 10_000
+MOST_CELLS = 1_000_000
+#: Sources up to this many are broadcast, one name and factor each; a larger table of them is joined by a shuffle.
+FEW_SOURCES = 50_000
 LABELS = ("source", "lang", "topic")
 
 
@@ -92,6 +94,13 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     everything = float(everything or 0)
     sources = sources.withColumn("want", by_source / F.lit(float(all_targets or 1) or 1.0))
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a slice's matrix has some four million numbers at most
+        most = max((4 << 20) // max(width, 1), 1)
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                yield batch.slice(k, most)
+
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((batch.num_rows, width))
         for i, own in enumerate(batch.column("cells").to_pylist()):
@@ -108,7 +117,7 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
-            for batch in batches:
+            for batch in narrow(batches):
                 part = of(matrix(batch), batch.column("want").to_numpy(zero_copy_only=False))
                 total = part if total is None else total + part
             if total is not None:
@@ -125,12 +134,14 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     want_t = target(own.sum(0), topics, mix.exponents[2], mix.shares.get("topic", {}))
     g, h = np.ones(len(langs)), np.ones(len(topics))
     for _ in range(mix.rounds if everything else 0):
-        kind = np.outer(g, h).ravel()
+        kind, before = np.outer(g, h).ravel(), (g, h)
         m = sums(lambda n, want, kind=kind: (factor(n, want, kind)[:, None] * n).sum(0)).reshape(shape)
         scaled = m * h
         g = np.divide(want_l, scaled.sum(1), out=np.zeros_like(g), where=scaled.sum(1) > 0)
         scaled = m * g[:, None]
         h = np.divide(want_t, scaled.sum(0), out=np.zeros_like(h), where=scaled.sum(0) > 0)
+        if all(np.allclose(now, then, rtol=1e-12, atol=0) for now, then in zip((g, h), before, strict=True)):
+            break
     # the factors of the last full round: the sources' from before it, the languages' and topics' from it
     last, kind = (kind if mix.rounds and everything else np.ones(width)), np.outer(g, h).ravel() * everything
     # rate: the expected tokens, sum of n * min(1, rate * weight), are the share to keep; solved by fixing which cells are full
@@ -149,7 +160,7 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
         rate = after
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in narrow(batches):
             f = factor(matrix(batch), batch.column("want").to_numpy(zero_copy_only=False), last)
             yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(f)], ["source", "by_source"])
 
@@ -165,6 +176,9 @@ def weigh(docs: DataFrame, mix: Mixture = Mixture(), topics: Column | None = Non
     text = F.col("text")
     labelled = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (topic(F.coalesce(text, F.lit(""))) if topics is None else topics).alias("topic"), tokens(text).alias("tokens"))
     by_source, by_kind = fit(labelled, mix)
+    if by_source.count() <= FEW_SOURCES:
+        # then a source with a third of all rows stays where it is
+        by_source = F.broadcast(by_source)
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
     own = own.withColumn("_topic", topic(F.coalesce(F.col("_row.text"), F.lit(""))) if topics is None else topics)
     s, k = by_source.alias("s"), F.broadcast(by_kind).alias("k")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow, mix, partitions, slices, table
 
@@ -107,12 +108,66 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles double, fingerprint string")
 
 
+def merged(prints: DataFrame, key: str, k: int = K) -> DataFrame:
+    """key, n_shingles, fingerprint: for each value of a column the sketch of all its rows' shingles together, from fingerprints() or earlier merges.
+
+    Tasks merge what they hold of a key before it is shuffled, so a key with a third of all rows arrives as a sketch a task. Null
+    keys are a group of their own; rows without a fingerprint add nothing, and a key of such alone is left out.
+    """
+    arrow(prints.sparkSession)
+    kind = StructType([prints.schema[key], StructField("fingerprint", StringType())])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out(schema: pa.Schema) -> pa.RecordBatch:
+            columns = [pa.array(list(held), schema.field(0).type), pa.array(map(pack, held.values()), pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [key, "fingerprint"])
+
+        for batch in batches:
+            for value, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if told is not None:
+                    held[value] = merge(held[value], unpack(told), k) if value in held else unpack(told)[:k]
+            if len(held) > MERGED:
+                yield out(batch.schema)
+                held.clear()
+        if held:
+            yield out(batch.schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted, so the rows of a key follow each other
+        value, own = None, None
+        for batch in batches:
+            done: list[tuple] = []
+            for now, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own is not None and now == value:
+                    own = merge(own, unpack(told), k)
+                else:
+                    if own is not None:
+                        done.append((value, own))
+                    value, own = now, unpack(told)
+            yield told_of(done, batch.schema)
+        if own is not None:
+            yield told_of([(value, own)], batch.schema)
+
+    def told_of(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([v for v, _ in done], schema.field(0).type), pa.array([distinct(x, k) for _, x in done], pa.float64()), pa.array([pack(x) for _, x in done], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, [key, "n_shingles", "fingerprint"])
+
+    parts = prints.select(key, "fingerprint").mapInArrow(part, kind).repartition(key).sortWithinPartitions(key)
+    return parts.mapInArrow(whole, StructType([kind[0], StructField("n_shingles", DoubleType()), kind[1]]))
+
+
 def edited(text: str, following: str) -> str:
     """The last half of the code points (rounded down) replaced with the first as many of the following text."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
+#: Keys whose sketches a task holds at once as it merges.
+MERGED = 20_000
+#: Bytes of a table that a range of ids is to hold about.
+RANGE = 64 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, containment_in_edited double"
 
 
@@ -120,12 +175,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows (place, guest, doc_id, text) dealt by ranges of doc_id and sorted, so that each row's next document follows it.
 
     A range ends with a guest: the first document of the following range, read again by its id. So no window spans the
-    table, and the texts are shuffled once. The driver holds one id for each range; the ranges are twice
-    the session's shuffle partitions.
+    table, and the texts are shuffled once. The driver holds one id for each range; there is a range for each RANGE bytes that
+    Spark expects of the table, twice the session's shuffle partitions at least. Null ids come first, by a hash of their texts.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = 2 * partitions(spark)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64("text"), F.lit(1 << 40)) - F.lit((1 << 63) - 1) - 1).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # the tree of comparisons that finds a row's range is an expression, so it has an end; beyond it ranges grow
+    n = max(2 * partitions(spark), min(expected // RANGE, 8192))
     splits = rows.select(F.percentile_approx("key", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)]), 10000)).first()[0]
     splits = sorted(set(splits or []))
 
@@ -144,7 +201,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     before = {key: heads[i - 1][0] for i, (_, key) in enumerate(heads)}  # the first head is the guest of the last range
     guests = rows.filter(F.col("key").isin(list(before))).withColumn("place", F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("key")]).withColumn("guest", F.lit(True))
     both = own.unionByName(guests)
-    return both.repartition(partitions(spark), "place").sortWithinPartitions("place", "guest", "key", "text").select("place", "guest", "doc_id", "text")
+    return both.repartition(max(partitions(spark), n // 2), "place").sortWithinPartitions("place", "guest", "key", "text").select("place", "guest", "doc_id", "text")
 
 
 def beside_edits(docs: DataFrame, k: int = K) -> DataFrame:

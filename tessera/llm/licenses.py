@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow, slices, table, text_only, utf8
+from .common import arrow, mix, slices, table, text_only, utf8
 from .jaccard import all_tokens
 
 WORDS, THRESHOLD, MISS = 5, 0.8, 1e-6
 
-#: Well-known notices, by the licenses' usual short names.
+#: Well-known notices and whole texts (-text), by the licenses' usual short names.
 TEMPLATES = {
     "MIT-line": "Released under the MIT License",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0",
@@ -42,13 +42,16 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-3-Clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
 }
 
 #: Bytes that aren't of a word are spaces; bytes of other than ASCII letters are kept.
 _PLAIN = np.array([b if chr(b).isalnum() or b >= 128 else 32 for b in range(256)], np.uint8)
-_ODD = np.random.default_rng(11).integers(0, 1 << 31, 512, np.uint32) * np.uint32(2) + np.uint32(1)
-TOP = np.uint32(0xFFFFFFFF)
+TOP, _STEP = np.uint32(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,7 @@ class Template:
     def bands(self) -> int:
         """So many that a window with the required shingles, and none of the template's in common otherwise, is missed with a chance of MISS at most."""
         least = self.required() / (3 * self.block + len(self.shingles) - self.required())
-        return min(len(_ODD), 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least)))
+        return 1 if least >= 1 else math.ceil(math.log(MISS) / math.log(1 - least))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,14 +85,15 @@ def templates(texts: tuple[tuple[str, str], ...]) -> tuple[Template, ...]:
     for name, text in texts:
         raw = text.encode()
         tokens, _ = shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        if not len(tokens):
+            raise ValueError(f"a template without words: {name}")
         out.append(Template(name, np.unique(tokens)))
     return tuple(out)
 
 
 def hashes(tokens: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash function: a permutation of 32-bit numbers."""
-    x = (tokens >> np.uint64(20)).astype(np.uint32) * _ODD[k]
-    return x ^ (x >> np.uint32(15))
+    """The k-th hash function: the upper half of a mixed 64-bit number, seeded by k."""
+    return (mix(tokens ^ mix(np.array([k + 1], np.uint64) * _STEP)) >> np.uint64(32)).astype(np.uint32)
 
 
 def retrieve(tokens: np.ndarray, bounds: np.ndarray, known: tuple[Template, ...]) -> Iterator[tuple[int, int, int]]:
@@ -139,8 +143,13 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = templates(named)
+        every = np.unique(np.concatenate([t.shingles for t in known]))
         for batch in slices(batches):
             tokens, owner = shingles(*utf8(batch.column("text")))
+            # only texts with a shingle of some template can have a required share of one
+            some = np.zeros(batch.num_rows, bool)
+            some[owner[np.isin(tokens, every)]] = True
+            tokens, owner = tokens[some[owner]], owner[some[owner]]
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
             for i, start, end in retrieve(tokens, bounds, known):

@@ -3,7 +3,7 @@
 Each response gives a metadata record (WARC-Type metadata, fields of the source's headers and of what was found) and a
 conversion record with the page's plain text. Both refer to the response (WARC-Refers-To, its target URI and date)
 and to each other's origin by digests: WARC-Payload-Digest is that of the source's payload, WARC-Block-Digest that of
-the record's own block. Identifiers are derived from the target, date, payload and type, so that building again gives the same
+the record's own block. A source's own identifier, digest and headers are kept. Identifiers that it lacks are derived from the target, date, payload and type, so that building again gives the same
 records; a repeated page gives repeated records.
 
 Everything is an expression of Spark SQL: one pass over the pages, no shuffle, no Python on the executors.
@@ -65,27 +65,39 @@ HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Two records for each response (page_id, uri, date, content_type, http_status, payload): page_id, warc_type and HEADERS as columns, and the block."""
+    """Two records for each response (page_id, uri, date, content_type, http_status, payload): page_id, warc_type and HEADERS as columns, and the block.
+
+    A response may bring its own record_id, payload_digest (with its algorithm's name in front) and headers (a map): the first two
+    are then what the records refer to, and the headers stand in the metadata, by their names, as they came. Where they are null or not
+    columns, the id and digest are computed and there are no more headers.
+    """
+    given = {c: F.col(c).cast("string") if c in responses.columns else F.lit(None).cast("string") for c in ("record_id", "payload_digest")}
+    headers = F.lit("")
+    if "headers" in responses.columns:
+        entries = F.array_sort(F.map_entries("headers"))
+        lines = F.transform(entries, lambda e: F.concat(F.lit("sourceHeader: "), e["key"], F.lit(": "), F.regexp_replace(F.coalesce(e["value"].cast("string"), F.lit("")), "[\r\n]+", " "), F.lit("\r\n")))
+        headers = F.coalesce(F.array_join(lines, ""), F.lit(""))
     # the expensive expressions stand in a projection of their own, below the rows' doubling
     one = responses.select(
+        *(given[c].alias(f"given_{c}") for c in given), headers.alias("headers"),
         "page_id", F.coalesce("uri", F.lit("")).alias("uri"), F.coalesce("date", F.lit(DATE)).alias("date"), F.coalesce("content_type", F.lit("")).alias("content_type"), F.coalesce("http_status", F.lit(0)).alias("http_status"), F.coalesce("payload", F.lit("")).alias("payload")
-    ).withColumn("payload_digest", sha256(F.col("payload")))
-    one = one.withColumn("refers_to", record_id(F.col("uri"), F.col("date"), F.col("payload_digest"), F.lit("response")))
+    ).withColumn("payload_digest", F.coalesce("given_payload_digest", sha256(F.col("payload"))))
+    one = one.withColumn("refers_to", F.coalesce("given_record_id", record_id(F.col("uri"), F.col("date"), F.col("payload_digest"), F.lit("response"))))
     blocks = F.array(
         F.struct(
             F.lit("metadata").alias("warc_type"),
             F.lit("application/warc-fields").alias("type"),
             F.concat(
                 F.lit("sourceContentType: "), F.col("content_type"), F.lit("\r\nsourceStatus: "), F.col("http_status").cast("string"), F.lit("\r\nsourceLength: "), F.octet_length("payload").cast("string"),
-                F.lit("\r\nsourceDigest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title(F.col("payload")), F.lit("\r\n"),
+                F.lit("\r\nsourceDigest: "), F.col("payload_digest"), F.lit("\r\ntitle: "), title(F.col("payload")), F.lit("\r\n"), F.col("headers"),
             ).alias("block"),
         ),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("type"), plain_text(F.col("payload")).alias("block")),
     )
-    two = one.withColumn("made", F.explode(blocks)).select("*", "made.*").drop("made", "payload")
+    two = one.withColumn("made", F.explode(blocks)).select("*", "made.*").drop("made", "payload", "headers")
     return two.select(
         "page_id", "warc_type",
-        record_id(F.col("uri"), F.col("date"), F.col("payload_digest"), F.col("warc_type")).alias("record_id"),
+        record_id(F.col("uri"), F.col("date"), F.col("payload_digest"), F.col("warc_type"), F.col("given_record_id")).alias("record_id"),
         F.col("date").alias("warc_date"), F.col("uri").alias("target_uri"), F.col("refers_to"), F.col("uri").alias("refers_to_target_uri"), F.col("date").alias("refers_to_date"),
         "payload_digest", sha256(F.col("block")).alias("block_digest"), F.col("type").alias("content_type"), F.octet_length("block").cast("long").alias("content_length"), "block",
     )

@@ -58,6 +58,10 @@ def test_warc_links(spark):
         assert rest[size : size + 4] == b"\r\n\r\n"
         at, n = at + len(head) + 4 + size + 4, n + 1
     assert n == 8
+    own = warc.responses_of(pages.filter("page_id = 2")).withColumns({"record_id": warc.F.lit("<urn:uuid:own>"), "payload_digest": warc.F.lit("sha1:ABC"), "headers": warc.F.create_map(warc.F.lit("X-B"), warc.F.lit("2\r\n3"), warc.F.lit("Server"), warc.F.lit("s")), "block": warc.F.lit(1)})
+    for r in warc.derivatives(own.unionByName(own)).collect():
+        assert r["refers_to"] == "<urn:uuid:own>" and r["payload_digest"] == "sha1:ABC"
+        assert r["warc_type"] == "conversion" or r["block"].endswith("title: \r\nsourceHeader: Server: s\r\nsourceHeader: X-B: 2 3\r\n")
     assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
 
 
@@ -85,6 +89,14 @@ def test_top_k(spark, block):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, range(0, 2300, 50), 5)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [None, 1.0]), (0, [1.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, []), (5, [0.5, 0.5]), (None, [9.0, 9.0]), (6, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", topk.F.lit("x")).withColumn("rank", topk.F.lit("y"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, topk.F.col("vec_id") % 5 == 0, k=3).collect())
+    # the usable row of id 0 asks; repeated rows are candidates of their own
+    assert got == [(0, 1, 1, 256 * 512), (0, 2, 1, 256 * 512), (0, 3, 5, 256 * 256), (5, 1, 0, 2 * 128 * 256), (5, 2, 1, 128 * 512), (5, 3, 1, 128 * 512)]
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), common.F.lit(True)).count() == 0
 
@@ -175,11 +187,15 @@ def test_fields(spark):
 
 
 def test_fast_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
     path, rng = tokens.default_vocabulary(), random.Random(4)
+    plain = Tokenizer.from_file(path)
+    assert tokens.encode(path, "a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     pieces = ["the", " of", "é", "ß", "你", "🙂", "  ", "\n", "\t", "'s", "12", "ſ", " ", "\x00", "AKIA", "<|endoftext|>", "Ⅷ", "̈"]
     for _ in range(400):
         t = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
-        assert tokens.encode(path, t).tolist() == tokens.exact(path).encode(t, add_special_tokens=False).ids
+        assert tokens.encode(path, t).tolist() == plain.encode(t, add_special_tokens=False).ids
         assert tokens.byte_lengths(path)[tokens.encode(path, t)].sum() == len(t.encode())
 
 
@@ -202,6 +218,18 @@ def test_sketches_are_bottoms():
         assert (fingerprints.merge(x, y) == fingerprints.bottom(np.concatenate([fingerprints.shingle_hashes(t.encode()) for t in (a, b)]))).all()
 
 
+def test_merged_sketches(spark):
+    rng = random.Random(15)
+    rows = [(i, rng.choice(["a", "a", "b", None]), "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 300)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    prints = fingerprints.fingerprints(df).join(df.select("doc_id", "source"), "doc_id")
+    got = {r["source"]: r for r in fingerprints.merged(prints, "source").collect()}
+    for source in ("a", "b", None):
+        whole = np.unique(np.concatenate([fingerprints.shingle_hashes(t.encode()) for _, k, t in rows if k == source]))
+        assert fingerprints.unpack(got[source]["fingerprint"]).tolist() == whole[: fingerprints.K].tolist() and got[source]["n_shingles"] == fingerprints.distinct(whole[: fingerprints.K])
+    assert len(got) == 3 and fingerprints.merged(prints.limit(0), "source").count() == 0
+
+
 def test_next_documents(spark):
     rng = random.Random(6)
     rows = [(rng.randint(0, 10**6) * 7 + i, "".join(rng.choice("ab é\n") for _ in range(rng.randint(0, 40)))) for i in range(300)]
@@ -355,6 +383,35 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_recall_of_retrieval():
+    """Windows that hold just the required share of a template, in random words: all are retrieved."""
+    rng, known = random.Random(16), licenses.templates(tuple(sorted(licenses.TEMPLATES.items())))
+    missed, tried = 0, 0
+    for t in known:
+        words = re.findall("[a-z0-9]+", licenses.TEMPLATES[t.name].lower())
+        for _ in range(40):
+            # one change costs up to five shingles
+            kept, shingle = list(words), lambda w: len({tuple(w[i : i + 5]) for i in range(len(w) - 4)} & {tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+            for _ in range(50):
+                other = list(kept)
+                other[rng.randrange(len(other))] = f"q{rng.random()}"[2:]
+                if shingle(other) >= t.required():
+                    kept = other
+            text = " ".join([f"n{rng.random()}"[3:] for _ in range(rng.randrange(3 * t.block))] + kept + [f"n{rng.random()}"[3:] for _ in range(40)]).encode()
+            tokens, owner = licenses.shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            found = {i for i, s, e in licenses.retrieve(tokens, np.array([0, len(tokens)]), known) if known[i] is t and len(np.intersect1d(tokens[s:e], t.shingles)) >= t.required()}
+            tried, missed = tried + 1, missed + (not found)
+    assert tried == 40 * len(known) and missed == 0
+    with pytest.raises(ValueError, match="without words"):
+        licenses.templates((("empty", " -- "),))
+
+
+def test_licenses_of_repeated_rows(spark):
+    text = licenses.TEMPLATES["ISC"]
+    df = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, None, 7), (3, "", 7)], "doc_id long, text string, template int").repartition(2)
+    assert [r["doc_id"] for r in licenses.scan(df).filter("template = 'ISC'").collect()] == [1, 1]
+
+
 def test_bands_bound_the_miss():
     for t in licenses.templates(tuple(licenses.TEMPLATES.items())):
         least = t.required() / (3 * t.block + len(t.shingles) - t.required())
@@ -381,6 +438,39 @@ def test_best_fit(score, most):
     assert bins <= 1.1 * least + 2
 
 
+def test_packing_in_several_slots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "IN_SLOT", 7)
+    df = spark.createDataFrame([(1, "same text", "x")] * 60 + [(2, "word " * 3000, "y")] * 3 + [(None, None, None)] * 4, "doc_id long, text string, offset string").repartition(4)
+    got = packing.pack(df).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 60 + 4 + 3 * sum(1 for r in got if r["doc_id"] == 2) / 3
+    for placed in bins.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def test_bulk_is_piece_by_piece():
+    """Best fit in bulk against best fit of one piece after the other, by the residual norm."""
+    rng = random.Random(17)
+    for cap in (packing.Capacity(), packing.Capacity(tokens=200, documents=4, attention=20_000), packing.Capacity(tokens=300, documents=9, attention=40_000, weights=(1.0, 0.5, 0.25))):
+        lengths = sorted((rng.randint(1, 120) for _ in range(300)), reverse=True)
+        full, bins = np.array(cap.vector(), float), []
+        for n in lengths:
+            need = np.array([n, 1, n * n])
+            fits = [(float(((((b - need) / full) ** 2) * cap.weights).sum()), tuple(b), k) for k, b in enumerate(bins) if (b >= need).all()]
+            if fits:
+                bins[min(fits)[2]] -= need
+            else:
+                bins.append(np.array(cap.vector()) - need)
+        packed = packing.best_fit(dict(Counter(lengths)), cap)
+        assert sorted(tuple(b) for b in bins) == sorted(tuple(int(x) for x in np.array(cap.vector()) - sum(np.array([n, 1, n * n]) * k for n, k in contents)) for contents, many in packed for _ in range(many))
+
+
 def test_packing(spark):
     rng = random.Random(11)
     texts = [*awkward(), *(" ".join(rng.choice(["the", "of", "and", "zebra"]) for _ in range(rng.choice([3, 50, 700, 2600]))) for _ in range(60)), *["same text"] * 20]
@@ -607,6 +697,38 @@ def test_language_held_out():
     assert one.shape == (len(held[0][0].encode()), 3) and one.mean(0) == pytest.approx(p[0], abs=1e-4)
 
 
+def test_logits_are_the_forward_pass():
+    net = language.fit(*zip(*speech(4, 20), strict=True), language.Settings(steps=5))
+    steps = np.random.default_rng(1).integers(0, 256, (9, 4))
+
+    def states(s, order):
+        out, hid = {}, np.zeros((4, len(net.weights[f"{s}Uz"])))
+        for k in order:
+            z, r = (1 / (1 + np.exp(-2 * (net.weights[f"{s}E{g}"][steps[k]] + hid @ net.weights[f"{s}U{g}"]))) for g in "zr")
+            hid = z * hid + (1 - z) * np.tanh(net.weights[f"{s}En"][steps[k]] + r * (hid @ net.weights[f"{s}Un"]))
+            out[k] = hid
+        return np.array([out[k] for k in range(9)])
+
+    want = states("f", range(9)) @ net.weights["Wf"] + states("b", range(8, -1, -1)) @ net.weights["Wb"] + net.weights["b"]
+    assert language.logits(net.weights, steps)[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_sample_is_by_language(spark):
+    rows = [(None, f"{'ab' * 40} {i}", "aa") for i in range(400)] + [(i, f"{'xy' * 900} {i}", "zz") for i in range(3)] + [(9, "q", "q"), (9, "q", "q"), (10, None, "q"), (11, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("draw", language.F.lit("x")).repartition(3)
+    taken = []
+    real = language.fit
+    try:
+        language.fit = lambda texts, labels, settings: taken.append((texts, labels)) or real(["a"], ["aa"], settings)
+        language.train(df, language.Settings(sample_rows=60, steps=1))
+    finally:
+        language.fit = real
+    texts, labels = taken[0]
+    by = Counter(labels)
+    # 20 rows of two parts each, three of eight parts, and the repeated row twice
+    assert by["zz"] == 24 and by["q"] == 2 and by["aa"] == 40 and all(0 < len(t) <= 64 for t in texts)
+
+
 def test_language_query_parts(spark):
     rows = [(i, t, k if i % 9 else None) for i, (t, k) in enumerate(speech(3, 60))]
     df = spark.createDataFrame([*rows, (1001, None, "xx"), (1002, "", "xx"), (1003, "12 34 !", "yy"), (1004, "é" * 9000, None), (1004, "é" * 9000, None)], "doc_id long, text string, lang string").repartition(3)

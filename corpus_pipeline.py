@@ -17,34 +17,34 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no letter, or are like none of the languages learned from the labelled ones, go. If none is labelled, all with a letter stay."""
+    """Documents that hold no letter, or are like none of the languages learned from the labelled ones, go. If none is labelled, all stay."""
     net = language.train(docs)
-    columns = docs.columns
-    # whole rows go through the operator, so that repeated rows and ids stay as they are
-    rows = docs.select(F.struct(*[F.col(c) for c in columns]).alias("_row"), "doc_id", "text")
-    told = language.predict(rows, net, "_row")
     if not net.languages:
         return docs
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*").select(*columns)
+    # whole rows go through the operator, so that repeated rows and ids stay as they are
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    told = language.predict(docs.select(F.struct(*others).alias("_row"), "doc_id", "text"), net, "_row", with_text=True)
+    kept = told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, in one row: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays, in one row: five-word shingles, a Jaccard similarity of 0.8 or more. Null, empty and wordless texts, and rows without an id, stay; an empty table stays empty."""
     return jaccard.one_of_each(docs, jaccard.Join(words=5, percent=80))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by their kinds."""
+    """Every document stays; its secrets are replaced by their kinds. A null text stays null, repeated rows stay repeated; an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics come to their target weights."""
+    """Documents sampled so that sources, languages and topics come to their target weights. Null labels are a value of their own; rows of one id, ties too, are drawn alike; a null or empty text is drawn by its cell; an empty table stays empty."""
     return mixing.sample(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents packed into sequences of 1024 tokens."""
+    """Pieces of all documents packed into sequences of 1024 tokens. A null or empty text is its end mark; repeated rows are packed each; an empty table gives no pieces."""
     return packing.pack(docs)
 
 
@@ -63,7 +63,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.cut(docs)
+            if k:
+                common.drop(before)
     return docs

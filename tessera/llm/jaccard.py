@@ -18,7 +18,7 @@ is at least `percent` hundredths of its union. Steps:
    already joined through others needs no check, as only the groups are asked for. Clusters and links become groups by
    alternating large-star and small-star steps.
 
-A token's or cluster's rows are dealt evenly into chunks, to each of which its first and last document go too: groups of near
+A token's or cluster's rows are dealt evenly into chunks, to each of which some documents of the key go too: groups of near
 copies are mostly joined by these. Only where that leaves a key's chunks in several groups do its rows meet again, by pairs of
 slices and across these groups alone: a token's by their coarse points, a cluster's by their fine points, and then the sets of
 each surviving pair in tasks of their own.
@@ -48,6 +48,8 @@ GROUPS, MOST_GROUPS, SLOTS = 32, 8192, 1 << 18
 LEAF, FAN = 64, 8
 #: Rows of a token that meet in a task at first, members of a cluster that do, and rows of a slice of what these leave.
 CHUNK, MEMBERS, SLICE = 4096, 512, 4096
+#: Rows of a key that each of its chunks gets, about.
+PIVOTS = 4
 #: Documents up to this many are broadcast by their ids, to find their texts.
 FEW = 200_000
 #: Edges that a task joins at once.
@@ -197,6 +199,15 @@ def point_of(tokens: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(BITS - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point in bytes, as narrow as its largest coordinate lets it be."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def unpacked(raw: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // groups}")
+
+
 POINTS = "doc_id long, n long, digest binary, point binary, fine binary, first array<long>"
 
 
@@ -213,14 +224,14 @@ def points(docs: DataFrame, join: Join, levels: np.ndarray) -> DataFrame:
             running = np.zeros((2, len(tokens) + 1), np.uint64)
             np.cumsum(np.stack([mix(tokens), mix(tokens ^ _BASE)]), axis=1, out=running[:, 1:])
             digest = np.ascontiguousarray(mix(running[:, at[1:]] - running[:, at[:-1]] + n.astype(np.uint64)).T)
-            counts = np.bincount(owner * GROUPS + (tokens >> np.uint64(BITS - 5)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
+            counts = np.bincount(owner * GROUPS + (tokens >> np.uint64(BITS - 5)).astype(np.int64), minlength=len(n) * GROUPS).reshape(-1, GROUPS)
             high = levels[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
-            fine = [point_of(tokens[at[i] : at[i + 1]], groups_of(int(n[i]))).astype(np.uint32).tobytes() for i in range(len(n))]
+            fine = [packed(point_of(tokens[at[i] : at[i + 1]], groups_of(int(n[i])))) for i in range(len(n))]
             ordered = np.sort((owner.astype(np.uint64) << np.uint64(BITS + 2)) | (high << np.uint64(BITS)) | tokens) & np.uint64((1 << BITS) - 1)
             rank = np.arange(len(tokens)) - np.repeat(at[:-1], n)
             chosen = rank < np.repeat(join.prefix(n), n)
             first, bounds = ordered[chosen], np.concatenate([[0], np.cumsum(np.where(n > 0, join.prefix(n), 0))])
-            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(first.astype(np.int64)))]
+            columns = [batch.column("doc_id"), pa.array(n), pa.array([x.tobytes() for x in digest], pa.binary()), pa.array([packed(x) for x in counts], pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(first.astype(np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "point", "fine", "first"])
 
     return text_only(docs).mapInArrow(run, POINTS)
@@ -398,14 +409,15 @@ def pieces(rows: int, weight: str | None):
 
 
 def in_chunks(rows: DataFrame, key: str, most: int, weight: str | None = None) -> DataFrame:
-    """The rows of keys with two documents at least, dealt evenly into chunks of a task each (column part; _chunks: how many).
+    """The rows of keys with two rows at least, dealt evenly into chunks of a task each (column part; _chunks: how many).
 
-    A key's first and last document go to each of its chunks, so that chunks whose rows link with these are joined by them.
-    The count is combined before it is shuffled, and the join with it can be split where a key is hot.
+    About PIVOTS documents of a key, drawn by a hash, go to each of its chunks, so that chunks whose rows link with these are joined
+    by them. The count is combined before it is shuffled, and the join with it can be split where a key is hot.
     """
-    many = rows.groupBy(key).agg(F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"), pieces(most, weight).alias("_chunks")).filter("_low < _high")
-    part = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).when(F.col("doc_id").isin(F.col("_low"), F.col("_high")), F.sequence(F.lit(0), F.col("_chunks") - 1))
-    return rows.join(many, key).withColumn("part", F.explode(part.otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int"))))).drop("_low", "_high")
+    many = rows.groupBy(key).agg(F.count("*").alias("_n"), pieces(most, weight).alias("_chunks")).filter("_n > 1")
+    pivot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("_n")) < PIVOTS
+    part = F.when(F.col("_chunks") == 1, F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("_chunks") - 1))
+    return rows.join(many, key).withColumn("part", F.explode(part.otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int"))))).drop("_n")
 
 
 def in_crossed_slices(rows: DataFrame, key: str, stars: DataFrame, most: int, weight: str | None = None) -> DataFrame:
@@ -425,17 +437,21 @@ def sorted_by(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def buckets(leaders: DataFrame) -> DataFrame:
-    """A row for each of a leader's first tokens; left: its elements from that token on, all that is shared if the token is the first that is."""
-    return leaders.select("doc_id", "n", F.posexplode("first").alias("_at", "token")).select("token", "doc_id", "n", (F.col("n") - F.col("_at")).alias("left"))
+    """A row for each of a leader's first tokens and its place; what stands from there on is all that is shared if the token is the first that is."""
+    return leaders.select("doc_id", F.posexplode("first").alias("at", "token")).select("token", "doc_id", "at")
+
+
+def with_points(met: DataFrame, leaders: DataFrame) -> DataFrame:
+    return met.join(leaders.select("doc_id", "n", "point"), "doc_id").withColumn("left", F.col("n") - F.col("at")).drop("at")
 
 
 def _coarse(found: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(found.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+    return np.array([unpacked(x, GROUPS) for x in found.column("point").to_pylist()], np.int32).reshape(-1, GROUPS)
 
 
 def candidates(met: DataFrame, leaders: DataFrame, join: Join, seen: Observation) -> DataFrame:
     """Edges that join candidate clusters, joined in each task: leaders that meet by a first token and by their coarse points allow a link. seen: the most chunks of a token."""
-    dealt = in_chunks(met, "token", CHUNK).observe(seen, F.max("_chunks").alias("most")).drop("_chunks").join(leaders.select("doc_id", "point"), "doc_id")
+    dealt = with_points(in_chunks(met, "token", CHUNK).observe(seen, F.max("_chunks").alias("most")).drop("_chunks"), leaders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["token", "part"]
@@ -455,8 +471,8 @@ def candidates(met: DataFrame, leaders: DataFrame, join: Join, seen: Observation
 
 
 def further_candidates(met: DataFrame, leaders: DataFrame, stars: DataFrame, join: Join) -> DataFrame:
-    """Edges that join the clusters of a token's chunks, where its first and last document have not."""
-    dealt = in_crossed_slices(met, "token", stars, CHUNK).join(leaders.select("doc_id", "point"), "doc_id")
+    """Edges that join the clusters of a token's chunks, where the documents that all chunks have did not."""
+    dealt = with_points(in_crossed_slices(met, "token", stars, CHUNK), leaders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["token", "a", "b"]
@@ -600,7 +616,7 @@ def further_pairs(leaders: DataFrame, clusters: DataFrame, links: DataFrame, joi
             at = bounds_of(found, keys)
             ids, sizes, label, own, a, b = (found.column(c).to_numpy() for c in ("doc_id", "n", "label", "own", "a", "b"))
             for s, e in zip(at[:-1], at[1:], strict=True):
-                fine = [np.frombuffer(x.as_py(), np.uint32) for x in found.column("fine").slice(s, e - s)]
+                fine = [unpacked(x, groups_of(int(n))) for x, n in zip(found.column("fine").slice(s, e - s).to_pylist(), sizes[s:e], strict=True)]
                 for i, j in survivors(sizes[s:e], fine, join, across(label[s:e], own[s:e] if a[s] != b[s] else None)):
                     yield edges_of(ids, [np.column_stack([i, j]) + s])
 

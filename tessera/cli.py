@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from . import config
+from . import config, runner
 
 
 def main(args: list[str] | None = None) -> int:
@@ -17,7 +17,9 @@ def main(args: list[str] | None = None) -> int:
     do.add_argument("config")
     do.add_argument("--output", help="folder in place of the configuration's output_dir")
     do.add_argument("--tile", type=int, default=512)
-    do.add_argument("--tiff", action="store_true", help="TIFF files in place of tiles; each image must fit the driver")
+    do.add_argument("--kind", choices=runner.FORMATS, default="tiles", help="what images are written as")
+    do.add_argument("--keep-crop", action="store_true", help="write targets' crops alone, not their whole extent")
+    do.add_argument("--match-histograms", action="store_true", help="give moving planes the fixed ones' distribution before alignment")
     move = commands.add_parser("shapes", help="map GeoJSON through transforms")
     for name in ("shapes", "transforms", "output"):
         move.add_argument(name)
@@ -36,9 +38,7 @@ def main(args: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     if got.command == "run":
-        from . import runner
-
-        print(*runner.run(spark, config.parse(Path(got.config).read_text()), got.output, got.tile, got.tiff), sep="\n")
+        print(*runner.run(spark, config.parse(Path(got.config).read_text()), got.output, got.tile, got.kind, to_original_size=not got.keep_crop, match=got.match_histograms), sep="\n")
         return 0
     sequence = config.load_transforms(Path(got.transforms).read_text())
     text.write_geojson(shapes.to_geojson(shapes.transform(text.read_geojson(spark, got.shapes), sequence, source_res=got.source_res)), got.output)

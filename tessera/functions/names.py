@@ -21,6 +21,11 @@ def merged_name(image: Column, channel: Column) -> Column:
     return F.concat_ws(" - ", image, channel)
 
 
+def merge_names(images: list[str], channels: list[list[str]]) -> list[str]:
+    """The channels of several images in order, each after its image's name."""
+    return [f"{image} - {name}" for image, names in zip(images, channels, strict=True) for name in names]
+
+
 def hop_label(hop: Column, target: Column) -> Column:
     """NNN-to-target, as hops are named in saved transforms."""
     return F.concat(F.lpad(hop.cast("string"), 3, "0"), F.lit("-to-"), target)

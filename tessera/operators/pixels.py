@@ -66,6 +66,13 @@ def threshold_mask(v: Column) -> Column:
     return F.when(v >= 1, 1).otherwise(0)
 
 
+def whole(pixels: DataFrame, w: int, h: int) -> DataFrame:
+    """Pixels of one channel of an image with a corner of 0 where the last pixel of its size isn't there, so that its extent is known."""
+    corner = pixels.sparkSession.createDataFrame([(h - 1, w - 1)], "y long, x long").join(pixels.select("y", "x"), ["y", "x"], "left_anti")
+    named = pixels.select("image_id", "channel").limit(1)
+    return pixels.unionByName(corner.join(named).select("image_id", "channel", "y", "x", F.lit(0.0).alias("v")))
+
+
 def shrink(pixels: DataFrame, k: int) -> DataFrame:
     """Every k-th pixel from the first; the size is cut to whole steps."""
     size = pixels.groupBy("image_id").agg(F.floor((F.max("y") + 1) / k).alias("_h"), F.floor((F.max("x") + 1) / k).alias("_w")) if k > 1 else None

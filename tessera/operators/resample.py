@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.transforms import Sequence, mapped
-from .shapes import map_points
+from ..plans.transforms import Sequence, mapped, read_sequence
+from .shapes import map_points, mapped_boxes
 
 TILES = "image_id string, channel int, ty int, tx int, y0 long, x0 long, h int, w int, dtype string, data binary"
 
@@ -43,6 +43,24 @@ def source_tiles(index: DataFrame, matrix: np.ndarray, size: tuple[int, int], ti
     corners = [mapped((F.col("x0") + dx * (F.col("w") - 1)).cast("double"), (F.col("y0") + dy * (F.col("h") - 1)).cast("double"), matrix) for dx in (0, 1) for dy in (0, 1)]
     xs, ys = [c[0] for c in corners], [c[1] for c in corners]
     box = index.select("ty", "tx", (F.floor(F.least(*xs)) - halo).alias("ax"), (F.ceil(F.greatest(*xs)) + halo).alias("bx"), (F.floor(F.least(*ys)) - halo).alias("ay"), (F.ceil(F.greatest(*ys)) + halo).alias("by"))
+    return tiles_in(box, size, tile)
+
+
+def spline_boxes(index: DataFrame, sequence: Sequence, source_res: float, halo: int = 2) -> DataFrame:
+    """(ty, tx, ax, bx, ay, by): the source box of each output tile through a sequence with B-splines, from bounds on their coefficients."""
+
+    def run(batches):
+        for batch in batches:
+            ty, tx, y0, x0, h, w = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ty", "tx", "y0", "x0", "h", "w"))
+            low, high = mapped_boxes(sequence, np.column_stack([x0, y0]) * sequence.spacing, np.column_stack([x0 + w - 1, y0 + h - 1]) * sequence.spacing)
+            a, b = np.floor(low / source_res).astype(np.int64) - halo, np.ceil(high / source_res).astype(np.int64) + halo
+            yield pa.RecordBatch.from_arrays([pa.array(ty.astype(np.int32)), pa.array(tx.astype(np.int32)), *map(pa.array, (a[:, 0], b[:, 0], a[:, 1], b[:, 1]))], ["ty", "tx", "ax", "bx", "ay", "by"])
+
+    return index.mapInArrow(run, "ty int, tx int, ax long, bx long, ay long, by long")
+
+
+def tiles_in(box: DataFrame, size: tuple[int, int], tile: int) -> DataFrame:
+    """(ty, tx, sy, sx): the tiles of a source of size (w, h) that each box meets."""
     w, h = size
     inside = box.filter((F.col("bx") >= 0) & (F.col("by") >= 0) & (F.col("ax") < w) & (F.col("ay") < h))
     tiles = lambda a, b, n: F.sequence(F.floor(F.greatest(F.col(a), F.lit(0)) / tile).cast("int"), F.floor(F.least(F.col(b), F.lit(n - 1)) / tile).cast("int"))
@@ -97,11 +115,13 @@ def resample_tiles(tiles: DataFrame, source_size: tuple[int, int], sequence: Seq
     """Output tiles of every channel on the sequence's grid. An output tile that nothing reaches isn't made."""
     (w, h), spacing = sequence.size, sequence.spacing
     spark = tiles.sparkSession
-    if not sequence.linear:
-        raise ValueError("a B-spline's source boxes aren't known from corners; use resample_plane")
-    m = np.diag([1 / source_res, 1 / source_res, 1]) @ sequence.composite() @ np.diag([spacing[0], spacing[1], 1])
     index = tile_index(spark, w, h, tile)
-    needs = source_tiles(index, m, source_size, tile).join(index, ["ty", "tx"])
+    m = None
+    if sequence.linear:
+        m = np.diag([1 / source_res, 1 / source_res, 1]) @ sequence.composite() @ np.diag([spacing[0], spacing[1], 1])
+        needs = source_tiles(index, m, source_size, tile).join(index, ["ty", "tx"])
+    else:
+        needs = tiles_in(spline_boxes(index, sequence, source_res), source_size, tile).join(index, ["ty", "tx"])
     given = tiles.select("image_id", "channel", F.col("ty").alias("sy"), F.col("tx").alias("sx"), F.col("y0").alias("py"), F.col("x0").alias("px"), F.col("h").alias("ph"), F.col("w").alias("pw"), "dtype", "data")
 
     def run(table: pa.Table) -> pa.Table:
@@ -112,7 +132,8 @@ def resample_tiles(tiles: DataFrame, source_size: tuple[int, int], sequence: Seq
         for p in rows:
             plane[p["py"] - ay : p["py"] - ay + p["ph"], p["px"] - ax : p["px"] - ax + p["pw"]] = np.frombuffer(p["data"], p["dtype"]).reshape(p["ph"], p["pw"])
         y, x = np.mgrid[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]]
-        p = np.column_stack([x.ravel(), y.ravel()]) @ m[:2, :2].T + m[:2, 2]
+        p = np.column_stack([x.ravel(), y.ravel()]).astype(float)
+        p = p @ m[:2, :2].T + m[:2, 2] if m is not None else map_points(sequence, p * spacing) / source_res
         out = interpolate(plane, (ax, ay), p, source_size, kind)
         out = out.astype(r["dtype"]) if r["dtype"].startswith("float") else np.floor(out + (0.5 if kind == "linear" else 0)).astype(r["dtype"])
         one = lambda v, t: pa.array([v], t)
@@ -129,3 +150,12 @@ def resample_plane(plane: np.ndarray, sequence: Sequence, source_res: float, kin
     p = np.column_stack([x.ravel() * sequence.spacing[0], y.ravel() * sequence.spacing[1]]).astype(float)
     p = map_points(sequence, p) / source_res
     return interpolate(plane, (0, 0), p, plane.shape[::-1], kind).reshape(h, w)
+
+
+def transform_image(tiles: DataFrame, source_size: tuple[int, int], transforms, source_res: float, tile: int = 512, kind: str = "nearest") -> DataFrame:
+    """All channels of an image, colours too, through a sequence, transform JSON, or a list of key-to-values maps that count as one group."""
+    if isinstance(transforms, Sequence):
+        sequence = transforms
+    else:
+        sequence = read_sequence({"all": transforms} if isinstance(transforms, list) else transforms)
+    return resample_tiles(tiles, source_size, sequence, source_res, tile, kind)

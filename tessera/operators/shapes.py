@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.transforms import Sequence, Transform, mapped
@@ -66,12 +66,13 @@ def bounding_boxes(vertices: DataFrame, *keys: str) -> DataFrame:
 
 
 def close_rings(vertices: DataFrame, keys: tuple[str, ...] = KEY, order: str = "vertex") -> DataFrame:
-    """Appends each open ring's first vertex."""
-    ends = vertices.groupBy(*keys).agg(F.min_by(F.struct("x", "y"), order).alias("a"), F.max_by(F.struct("x", "y"), order).alias("b"), F.max(order).alias("_last"))
-    open_ = ends.filter((F.col("a.x") != F.col("b.x")) | (F.col("a.y") != F.col("b.y")))
-    first = vertices.join(open_.select(*keys, "_last"), list(keys)).withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_first = 1")
-    added = first.withColumn(order, (F.col("_last") + 1).cast(vertices.schema[order].dataType)).select(*vertices.columns)
-    return vertices.unionByName(added)
+    """Appends each open ring's first vertex: one aggregate, whose first rows are the vertices to add."""
+    others = [c for c in vertices.columns if c not in keys and c != order]
+    row = F.struct(*others)
+    ends = vertices.groupBy(*keys).agg(F.min_by(row, order).alias("_a"), F.max_by(F.struct("x", "y"), order).alias("_b"), F.max(order).alias("_last"))
+    open_ = ends.filter((F.col("_a.x") != F.col("_b.x")) | (F.col("_a.y") != F.col("_b.y")))
+    added = open_.select(*keys, (F.col("_last") + 1).cast(vertices.schema[order].dataType).alias(order), *[F.col(f"_a.{c}").alias(c) for c in others])
+    return vertices.unionByName(added.select(*vertices.columns))
 
 
 def transform(vertices: DataFrame, sequence: Sequence, pixels_in: bool = True, source_res: float = 1.0, pixels_out: bool = True) -> DataFrame:
@@ -86,7 +87,7 @@ def transform(vertices: DataFrame, sequence: Sequence, pixels_in: bool = True, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"]) * into
-            p = inverse_points(sequence, p) * out_of
+            p = inverse_points(sequence, p) * out_of if batch.num_rows else p
             columns = [pa.array(p[:, "xy".index(n)]) if n in ("x", "y") else batch.column(n) for n in batch.schema.names]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -101,22 +102,31 @@ def basis(u: np.ndarray) -> np.ndarray:
     return np.stack([(1 - u) ** 3, 3 * u**3 - 6 * u**2 + 4, -3 * u**3 + 3 * u**2 + 3 * u + 1, u**3], -1) / 6
 
 
-def displacement(t: Transform, p: np.ndarray) -> np.ndarray:
-    """Of points (n, 2) by a cubic B-spline grid whose coefficients are all x, then all y; none outside of the grid's support."""
+def basis_slope(u: np.ndarray) -> np.ndarray:
+    """How the weights change with u."""
+    return np.stack([-((1 - u) ** 2), 3 * u**2 - 4 * u, -3 * u**2 + 2 * u + 1, u**2], -1) / 2
+
+
+def displacement(t: Transform, p: np.ndarray, slope: bool = False):
+    """Of points (n, 2) by a cubic B-spline grid whose coefficients are all x, then all y; none outside of the grid's support. With slope also its Jacobian (n, component, by)."""
     nx, ny = t.grid_size
     c = np.array(t.params).reshape(2, ny, nx)
     u = (p - np.array(t.grid_origin)) / np.array(t.grid_spacing)
     cell = np.floor(u).astype(int) - 1
-    wx, wy = basis(u[:, 0] - np.floor(u[:, 0])), basis(u[:, 1] - np.floor(u[:, 1]))
     inside = (cell >= 0).all(1) & (cell[:, 0] + 3 < nx) & (cell[:, 1] + 3 < ny)
-    out = np.zeros_like(p)
+    out, jacobian = np.zeros_like(p), np.zeros((len(p), 2, 2))
     if inside.any():
-        at = cell[inside]
+        at, part = cell[inside], (u - np.floor(u))[inside]
         i, j = at[:, 0, None] + np.arange(4), at[:, 1, None] + np.arange(4)
         near = c[:, j[:, :, None], i[:, None, :]]
-        rows = (near * wx[inside][None, :, None, :]).sum(-1)
-        out[inside] = (rows * wy[inside][None]).sum(-1).T
-    return out
+        wx, wy = basis(part[:, 0]), basis(part[:, 1])
+        rows = (near * wx[None, :, None, :]).sum(-1)
+        out[inside] = (rows * wy[None]).sum(-1).T
+        if slope:
+            by_x = ((near * basis_slope(part[:, 0])[None, :, None, :]).sum(-1) * wy[None]).sum(-1) / t.grid_spacing[0]
+            by_y = (rows * basis_slope(part[:, 1])[None]).sum(-1) / t.grid_spacing[1]
+            jacobian[inside] = np.stack([by_x, by_y], -1).transpose(1, 0, 2)
+    return (out, jacobian) if slope else out
 
 
 def forward(t: Transform, p: np.ndarray) -> np.ndarray:
@@ -133,49 +143,100 @@ def map_points(sequence: Sequence, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def inverse_points(sequence: Sequence, p: np.ndarray, tolerance: float = 1e-6, most: int = 200) -> np.ndarray:
-    """Source points to output points; a B-spline's inverse by fixed-point steps y = p - d(y)."""
+def unspline(t: Transform, p: np.ndarray, tolerance: float = 1e-6, most: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(y, residual): where y + d(y) = p, by Newton steps; residual is how far y still maps from p.
+
+    A spline ends at the edge of its grid, so points near it may have no such y, and a folded spline may have none or several: then y is
+    the step that came nearest, and the residual says so.
+    """
+    y = p - displacement(t, p)
+    best, least = y.copy(), np.full(len(p), np.inf)
+    open_ = np.arange(len(p))
+    for k in range(most):
+        d, jacobian = displacement(t, y[open_], slope=True)
+        off = y[open_] + d - p[open_]
+        far = np.abs(off).max(1, initial=0)
+        nearer = far < least[open_]
+        best[open_[nearer]], least[open_[nearer]] = y[open_[nearer]], far[nearer]
+        going = far >= tolerance
+        open_, off, jacobian = open_[going], off[going], jacobian[going]
+        if not len(open_):
+            break
+        a, b, c, e = 1 + jacobian[:, 0, 0], jacobian[:, 0, 1], jacobian[:, 1, 0], 1 + jacobian[:, 1, 1]
+        det = a * e - b * c
+        newton = np.column_stack([e * off[:, 0] - b * off[:, 1], a * off[:, 1] - c * off[:, 0]]) / np.where(np.abs(det) < 0.05, 1.0, det)[:, None]
+        # where the map all but folds, and every fourth step where points don't settle, the plain step y = p - d(y)
+        y[open_] -= np.where((np.abs(det) < 0.05)[:, None] | (k % 4 == 3), off, newton)
+    return best, least
+
+
+def inverse_points(sequence: Sequence, p: np.ndarray, tolerance: float = 1e-6, residual: np.ndarray | None = None) -> np.ndarray:
+    """Source points to output points. residual: gets for each point the most that a B-spline's inverse is off by; see unspline()."""
     for i in sequence.order():
         t = sequence.transforms[i]
         if t.linear:
             m = t.inverse()
             p = p @ m[:2, :2].T + m[:2, 2]
         else:
-            # only points that still move go on; those on the grid's edge may hop in and out of it until the last step
-            y, open_ = p.copy(), np.arange(len(p))
-            for _ in range(most):
-                after = p[open_] - displacement(t, y[open_])
-                moved = np.abs(after - y[open_]).max(1, initial=0) >= tolerance
-                y[open_] = after
-                open_ = open_[moved]
-                if not len(open_):
-                    break
-            p = y
+            p, off = unspline(t, p, tolerance)
+            if residual is not None:
+                np.maximum(residual, off, out=residual)
     return p
 
 
+def mapped_boxes(sequence: Sequence, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes (n, 2) that hold whatever the sequence makes of boxes of output points: by their corners where it is linear, and by the least and largest coefficients near by where it is a B-spline."""
+    low, high = low.astype(float), high.astype(float)
+    for k in reversed(sequence.order()):
+        t = sequence.transforms[k]
+        if t.linear:
+            m = t.matrix()
+            corners = np.stack([np.column_stack([x[:, 0], y[:, 1]]) @ m[:2, :2].T + m[:2, 2] for x in (low, high) for y in (low, high)])
+            low, high = corners.min(0), corners.max(0)
+            continue
+        nx, ny = t.grid_size
+        c = np.array(t.params).reshape(2, ny, nx)
+        first = np.clip(np.floor((low - t.grid_origin) / t.grid_spacing).astype(int) - 1, 0, [nx - 1, ny - 1])
+        last = np.clip(np.floor((high - t.grid_origin) / t.grid_spacing).astype(int) + 2, 0, [nx - 1, ny - 1])
+        for n, ((i, j), (u, v)) in enumerate(zip(first, last, strict=True)):
+            near = c[:, j : v + 1, i : u + 1].reshape(2, -1)
+            low[n] += np.minimum(near.min(1), 0)
+            high[n] += np.maximum(near.max(1), 0)
+    return low, high
+
+
 # --- rasters
 
 
+def counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run of n numbers, one run after the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def fill(size: tuple[int, int], rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(y, x) of the pixels of one polygon, its rings filled by the even-odd rule along scan lines, with its outline. Vertices are cut to integers."""
     w, h = size
     rings = [np.trunc(r).astype(np.int64) for r in rings]
-    found: set[tuple[int, int]] = set()
-    edges = [(tuple(r[k]), tuple(r[(k + 1) % len(r)])) for r in rings for k in range(len(r))]
-    low, top = min(int(r[:, 1].min()) for r in rings), max(int(r[:, 1].max()) for r in rings)
-    for y in range(max(low, 0), min(top, h - 1) + 1):
-        cuts = sorted(x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in edges if y0 != y1 and min(y0, y1) <= y < max(y0, y1))
-        for a, b in zip(cuts[::2], cuts[1::2], strict=False):
-            found.update((y, x) for x in range(max(int(np.ceil(a)), 0), min(int(np.floor(b)), w - 1) + 1))
-    for (x0, y0), (x1, y1) in edges:
-        n = max(abs(x1 - x0), abs(y1 - y0), 1)
-        for k in range(n + 1):
-            x, y = round(x0 + (x1 - x0) * k / n), round(y0 + (y1 - y0) * k / n)
-            if 0 <= x < w and 0 <= y < h:
-                found.add((y, x))
-    out = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    (x0, y0), (x1, y1) = a.T, b.T
+    # where scan lines cut edges: an edge is cut from its lower end on, up to but without its upper one
+    low, top = np.maximum(np.minimum(y0, y1), 0), np.minimum(np.maximum(y0, y1), h)
+    n = np.maximum(top - low, 0)
+    edge, y = np.repeat(np.arange(len(n)), n), counted(low, n)
+    x = x0[edge] + (y - y0[edge]) * (x1 - x0)[edge] / np.where(y1 == y0, 1, y1 - y0)[edge]
+    order = np.lexsort((x, y))
+    x, y = x[order], y[order]
+    left, right = np.maximum(np.ceil(x[::2]).astype(np.int64), 0), np.minimum(np.floor(x[1::2]).astype(np.int64), w - 1)
+    n = np.maximum(right - left + 1, 0)
+    inner = np.repeat(y[::2], n) * w + counted(left, n)
+    # the outline, by as many steps as the edge's longer side has pixels
+    n = np.maximum(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)), 1) + 1
+    edge, k = np.repeat(np.arange(len(n)), n), counted(np.zeros(len(n), np.int64), n)
+    x, y = (np.rint(p[edge] + (q - p)[edge] * k / (n - 1)[edge]).astype(np.int64) for p, q in ((x0, x1), (y0, y1)))
+    seen = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    out = np.unique(np.concatenate([inner, y[seen] * w + x[seen]]))
+    return out // w, out % w
 
 
 def rasterise(vertices: DataFrame, size: tuple[int, int], labels: bool = True) -> DataFrame:
@@ -214,6 +275,33 @@ def to_geojson(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("set_name", "feature_id").applyInArrow(run, "set_name string, feature_id long, feature string")
 
 
-def polygon_area(x: Column, y: Column, nx: Column, ny: Column) -> Column:
-    """A ring's share of the shoelace sum for one edge."""
-    return (x * ny - nx * y) / 2
+def from_arrays(spark: SparkSession, items: list[dict], set_name: str = "shapes") -> DataFrame:
+    """Vertices of shapes at hand: each a dict of "array" (n, 2), "shape_type" (a name of NESTING in any case) and "shape_name"."""
+    kinds = {k.lower(): k for k in NESTING}
+    rows = []
+    for k, item in enumerate(items):
+        kind = kinds.get(str(item.get("shape_type", "polygon")).lower())
+        a = np.asarray(item["array"], float)
+        if kind is None or a.ndim != 2 or a.shape[1] != 2 or not len(a):
+            raise ValueError(f"shape {k}: not an array of vertices of one of {', '.join(NESTING)}")
+        rows += [(set_name, k, 0, 0, v, float(x), float(y), kind, item.get("shape_name") or "unnamed") for v, (x, y) in enumerate(a)]
+    return spark.createDataFrame(rows, VERTICES)
+
+
+def add(vertices: DataFrame, more: DataFrame) -> DataFrame:
+    """The features of both in the first one's sets, those that are added counted on from the last one there."""
+    last = vertices.groupBy("set_name").agg(F.max("feature_id").alias("_last"))
+    counted_on = more.join(F.broadcast(last), "set_name", "left").withColumn("feature_id", F.col("feature_id") + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    return vertices.unionByName(counted_on.select(*vertices.columns))
+
+
+def update(vertices: DataFrame, moved: DataFrame) -> DataFrame:
+    """The same vertices at the places that `moved` has for them (by set, feature, part, ring and vertex); others stay where they are."""
+    keys = [*KEY, "vertex"]
+    joined = vertices.join(moved.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y")), keys, "left")
+    return joined.withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")}).select(*vertices.columns)
+
+
+def counts(vertices: DataFrame) -> DataFrame:
+    """(set_name, shape_type, shape_name, n_shapes): how many features a set has of each."""
+    return vertices.groupBy("set_name", "shape_type", "shape_name").agg(F.countDistinct("feature_id").alias("n_shapes"))

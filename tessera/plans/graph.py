@@ -1,7 +1,7 @@
 """The alignment graph: images as nodes, pairwise alignments as edges, paths of hops to a target.
 
 The graph is small and lives on the driver; `tables` gives it as DataFrames for joins with pixels and shapes, and
-`resolve` finds paths for any table of edges by a recursive query.
+`resolve` finds paths for any table of edges by joins.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -18,6 +19,9 @@ class Node:
     image_res: float = 1.0
     channel_names: tuple[str, ...] = ()
     attached_to: str | None = None
+    mask: str = ""
+    channel_colors: tuple[str, ...] = ()
+    output_res: float | None = None
 
 
 @dataclass(frozen=True)
@@ -27,6 +31,9 @@ class Edge:
     params: tuple[str, ...] = ("rigid",)
     registered: bool = False
     transforms: tuple = ()
+    #: Preprocessing of this edge's source and target that stands in for the images' own.
+    source_prepro: object = None
+    target_prepro: object = None
 
 
 @dataclass
@@ -47,31 +54,43 @@ class Graph:
         if name not in self.nodes:
             raise ValueError(f"no image named {name}")
 
-    def add_image(self, name: str, image: str = "", image_res: float = 1.0, channel_names=()) -> None:
+    def add_image(self, name: str, image: str = "", image_res: float = 1.0, channel_names=(), mask: str = "", channel_colors=(), output_res: float | None = None) -> None:
         self._new(name)
-        self.nodes[name] = Node(name, image, image_res, tuple(channel_names))
+        if image_res <= 0 or (output_res is not None and output_res <= 0):
+            raise ValueError(f"{name}: a resolution is above 0")
+        self.nodes[name] = Node(name, image, image_res, tuple(channel_names), None, mask, tuple(channel_colors), output_res)
 
-    def attach_image(self, to: str, name: str, image: str = "") -> None:
+    def attach_image(self, to: str, name: str, image: str = "", channel_names=(), channel_colors=()) -> None:
         self._known(to)
         self._new(name)
-        self.nodes[name] = Node(name, image, self.nodes[to].image_res, attached_to=to)
+        self.nodes[name] = Node(name, image, self.nodes[to].image_res, tuple(channel_names), to, "", tuple(channel_colors), self.nodes[to].output_res)
 
     def attach_shapes(self, to: str, name: str) -> None:
         self._known(to)
         self._new(name)
         self.shapes[name] = to
 
-    def add_path(self, source: str, target: str, thru: str | None = None, params=("rigid",)) -> None:
+    def add_path(self, source: str, target: str, thru: str | None = None, params=("rigid",), override: dict | None = None) -> None:
+        """override: preprocessing under "source" and "target" for this edge alone."""
         for name in (source, target, *([thru] if thru else [])):
             self._known(name)
         self.paths[source] = (thru, target) if thru else (target,)
-        self.edges.append(Edge(source, thru or target, tuple(params)))
+        override = override or {}
+        self.edges.append(Edge(source, thru or target, (params,) if isinstance(params, str) else tuple(params), source_prepro=override.get("source"), target_prepro=override.get("target")))
 
     def add_merge(self, name: str, members) -> None:
         for m in members:
             self._known(m)
+        if not members:
+            raise ValueError(f"{name}: a merge has members")
         self.merges[name] = tuple(members)
 
+    def remove_merge(self, name: str) -> None:
+        """The merge goes; its members are written alone again."""
+        if name not in self.merges:
+            raise ValueError(f"no merge named {name}")
+        del self.merges[name]
+
     def find_path(self, start: str, end: str, seen: tuple[str, ...] = ()) -> list[str] | None:
         """Depth first, the image in between before the target; a node is not visited twice."""
         seen = (*seen, start)
@@ -135,16 +154,57 @@ class Graph:
         }
 
 
-def resolve(edges: DataFrame, most: int = 16) -> DataFrame:
-    """(start, hop, source, target) of the paths from every source along edges (source, target), by a recursive query. A path ends where no edge goes on, and doesn't visit a node twice."""
-    edges.createOrReplaceTempView("tessera_edges")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(start, hop, source, target, seen) AS (
-            SELECT source, 0, source, target, array(source) FROM tessera_edges
-            UNION ALL
-            SELECT w.start, w.hop + 1, e.source, e.target, array_append(w.seen, e.source)
-            FROM walk w JOIN tessera_edges e ON w.target = e.source
-            WHERE NOT array_contains(w.seen, e.source) AND w.hop < {most}
-        )
-        SELECT start, hop, source, target FROM walk
-    """)
+# --- graphs as tables
+
+#: Joins that a plan of resolve() may hold.
+DEEPEST = 64
+
+
+def depth(edges: DataFrame) -> int:
+    """Hops of the longest path along edges (source, target), or a bound on it where there are cycles. One count a hop; no name reaches the driver."""
+    reached, before, hops = edges.select(F.col("target").alias("node")).distinct(), None, 1
+    while True:
+        reached = edges.join(reached, edges["source"] == reached["node"], "left_semi").select(F.col("target").alias("node")).distinct()
+        now = reached.count()
+        if not now:
+            return hops
+        if now == before:
+            # what is still reached may lie on cycles, and a path visits each node once
+            if hops + now > DEEPEST:
+                raise ValueError(f"paths of up to {hops + now} hops: resolve such chains in parts")
+            if hops > now:
+                return hops + now
+        if hops >= DEEPEST:
+            raise ValueError(f"paths of more than {DEEPEST} hops: resolve such chains in parts")
+        before, hops = now, hops + 1
+
+
+def resolve(edges: DataFrame) -> DataFrame:
+    """(start, hop, source, target) of the paths from every source along edges (source, target). A path ends where no edge goes on, and doesn't visit a node twice.
+
+    As many joins as the longest path has hops; each is by the path's end, so no join grows with the paths' length.
+    """
+    edges = edges.select("source", "target")
+    step = edges.select(F.col("source").alias("start"), F.lit(0).alias("hop"), "source", "target", F.array("source").alias("seen"))
+    out, on = step.drop("seen"), edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+    for hop in range(1, depth(edges)):
+        further = step.join(on, step["target"] == on["_from"]).filter(~F.array_contains("seen", F.col("_from")))
+        step = further.select("start", F.lit(hop).alias("hop"), F.col("_from").alias("source"), F.col("_to").alias("target"), F.array_append("seen", F.col("_from")).alias("seen"))
+        out = out.unionAll(step.drop("seen"))
+    return out
+
+
+def finals(edges: DataFrame) -> DataFrame:
+    """(name): nodes that edges lead to and no edge moves."""
+    return edges.select(F.col("target").alias("name")).distinct().join(edges.select(F.col("source").alias("name")), "name", "left_anti")
+
+
+def strays(rows: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """The rows whose node, named by the column key of both tables, isn't there; a null names none."""
+    return rows.join(nodes.select(key), key, "left_anti")
+
+
+def without(walk: DataFrame, gone: DataFrame) -> DataFrame:
+    """What resolve() found less the paths that a removed node (name) is on."""
+    on = walk.select("start", F.explode(F.array("source", "target")).alias("name")).join(gone.select("name"), "name", "left_semi")
+    return walk.join(on.select("start").distinct(), "start", "left_anti")

@@ -14,7 +14,7 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINEAR = ("euler", "similarity", "affine", "translation")
@@ -113,7 +113,7 @@ class Sequence:
 
     def with_spacing(self, spacing: tuple[float, float]) -> Sequence:
         """The same extent at another spacing: sizes are rounded up."""
-        size = tuple(math.ceil(n * old / new) for n, old, new in zip(self.size, self.spacing, spacing, strict=True))
+        size = tuple(up(n * old / new) for n, old, new in zip(self.size, self.spacing, spacing, strict=True))
         return replace(self, size=size, spacing=tuple(spacing))
 
     @property
@@ -121,6 +121,13 @@ class Sequence:
         return all(t.linear for t in self.transforms)
 
 
+def reindexed(rows: DataFrame, key: str, place: str, groups: str) -> DataFrame:
+    """Many sequences as one table: adds each transform's group, counted on from the groups of those before it, and its place in the reversed order. groups: how far a transform's groups reach."""
+    w = Window.partitionBy(key).orderBy(place)
+    before = F.coalesce(F.sum(groups).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumns({"seq_idx": F.col(groups) + before, "reversed": F.row_number().over(Window.partitionBy(key).orderBy(F.desc(place)))})
+
+
 def read_sequence(data: str | dict) -> Sequence:
     """A sequence from transform JSON: under a key that is "initial" alone each entry is its own group, a list under any other key is one group."""
     entries = json.loads(data) if isinstance(data, str) else data
@@ -143,13 +150,18 @@ def rotation_bound(w: float, h: float, degrees: float) -> tuple[float, float]:
     return h * s + w * c, h * c + w * s
 
 
+def up(x):
+    """The next whole number; of a number or a column, as all sizes here can be either."""
+    return F.ceil(F.round(x, 9)) if isinstance(x, Column) else math.ceil(round(x, 9))
+
+
 def rotation(size: tuple[int, int], spacing: float, degrees: float) -> Transform:
     """Turns an image about its centre and moves it into the bound of the turned one."""
     bound = rotation_bound(*size, degrees)
     center = tuple((b - 1) / 2 * spacing for b in bound)
     old = tuple((n - 1) / 2 * spacing for n in size)
     shift = tuple(o - c for o, c in zip(old, center, strict=True))
-    return Transform("euler", (math.radians(degrees), *shift), center, tuple(math.ceil(round(b, 9)) for b in bound), (spacing, spacing))
+    return Transform("euler", (math.radians(degrees), *shift), center, tuple(up(b) for b in bound), (spacing, spacing))
 
 
 def flip(size: tuple[int, int], spacing: float, axis: str) -> Transform:
@@ -211,4 +223,4 @@ class OutputRule:
 
     def grid(self) -> tuple[tuple[int, int], float]:
         new = self.output_res or self.spacing
-        return tuple(math.ceil(n * self.spacing / new) for n in self.size), new
+        return tuple(up(n * self.spacing / new) for n in self.size), new

@@ -1,25 +1,33 @@
-"""A project end to end: preprocess planes, align every edge, map images and shapes along their paths, write the results.
+"""A project end to end: preprocess planes, align every edge, map images and shapes along their paths.
 
-Edges are aligned as one table, each in a task of its own. Planes for alignment are gathered per image in one row, so
-an image must be shrunk to fit a task; pixels are mapped at full size by tiles.
+Planes and edges are tables, and all edges are aligned by one job, each in a task of its own. Planes for alignment are gathered
+per image in one row, so one that is larger than `most_pixels` is shrunk further, by a whole step; pixels are mapped at full size by tiles.
+Writing is `runner`'s.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import math
+from dataclasses import asdict, dataclass, field, fields, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import pixels as px
 from .operators import register, resample, shapes
-from .plans.graph import Graph
-from .plans.transforms import Sequence, Transform, crop, flip, identity, rotation
+from .plans.graph import Edge, Graph
+from .plans.transforms import OutputRule, Sequence, Transform, crop, flip, identity, rotation, uncrop
 
 
 @dataclass(frozen=True)
 class Prepro:
-    """How an image is made fit for alignment, in this order: channels, projection, contrast, inversion, own functions; then shrinking, turning, mirroring, cropping."""
+    """How an image is made fit for alignment, in this order: channels, projection, contrast, inversion, own functions; then shrinking, turning, mirroring, cropping.
+
+    as_uint8: planes of 8 bits; else values stay as they are. use_mask: alignment keeps to the image's mask, if it has one. crop_to_mask:
+    the box, where none is given, is that of the mask.
+    """
 
     image_type: str = "FL"
     channels: tuple[int, ...] = ()
@@ -31,27 +39,58 @@ class Prepro:
     rotate: float = 0
     flip: str | None = None
     box: tuple[int, int, int, int] | None = None
+    as_uint8: bool = True
+    use_mask: bool = True
+    crop_to_mask: bool = False
+
+    def __post_init__(self):
+        # a channel or a list of them, a box as any four numbers
+        object.__setattr__(self, "channels", (self.channels,) if isinstance(self.channels, int) else tuple(self.channels or ()))
+        object.__setattr__(self, "box", None if self.box is None else tuple(int(x) for x in self.box))
+        if self.image_type not in ("FL", "BF") or self.flip not in (None, "h", "v") or self.downsampling < 1 or (self.box is not None and len(self.box) != 4) or not all(map(callable, self.custom)):
+            raise ValueError(f"not a preprocessing: {self}")
 
     def effective(self) -> Prepro:
         """Fluorescence is never inverted; bright field is neither projected nor enhanced."""
-        from dataclasses import replace
-
         return replace(self, invert=False) if self.image_type == "FL" else replace(self, max_projection=False, contrast=False)
 
+    def with_override(self, other: Prepro | None) -> Prepro:
+        """Another's fields where they differ from the defaults, this one's elsewhere."""
+        if other is None:
+            return self
+        return replace(self, **{f.name: getattr(other, f.name) for f in fields(Prepro) if getattr(other, f.name) != f.default and f.name != "custom"}, custom=other.custom or self.custom)
+
+    def told(self, given_only: bool = False) -> dict:
+        """The fields as plain values, own functions by their names; given_only: those that aren't the defaults."""
+        out = asdict(self) | {"custom": [f.__name__ for f in self.custom], "channels": list(self.channels), "box": None if self.box is None else list(self.box)}
+        blank = {f.name: [] if f.name in ("custom", "channels") else f.default for f in fields(Prepro)}
+        return {k: v for k, v in out.items() if not given_only or v != blank[k]}
+
+
+class Encoder(json.JSONEncoder):
+    """Writes numpy's numbers and arrays and preprocessing as plain JSON."""
+
+    def default(self, o):
+        if isinstance(o, np.generic):
+            return o.item()
+        if isinstance(o, np.ndarray):
+            return o.tolist()
+        return o.told() if isinstance(o, Prepro) else super().default(o)
+
 
 def intensity(image: DataFrame, prepro: Prepro, rgb: bool = False) -> DataFrame:
-    """One 8-bit channel from an image's pixels."""
+    """One channel from an image's pixels, of 8 bits unless told otherwise."""
     p = prepro.effective()
     if rgb:
         out = px.grayscale_image(image)
     else:
-        out = px.rescale(px.select_channels(image, list(p.channels)) if p.channels else image)
-        if p.max_projection:
-            out = px.max_projection(out)
+        out = px.select_channels(image, list(p.channels)) if p.channels else image
+        out = px.rescale(out) if p.as_uint8 else out
+        out = px.max_projection(out) if p.max_projection else px.single_channel(out, 0)
     if p.contrast:
         out = out.withColumn("v", px.contrast(F.col("v")))
     if p.invert or (p.image_type == "BF" and rgb):
-        out = out.withColumn("v", px.invert(F.col("v")))
+        out = out.withColumn("v", px.invert(F.col("v"), 255.0 if p.as_uint8 or rgb else 65535.0))
     for f in p.custom:
         out = f(out)
     return out
@@ -84,6 +123,23 @@ def _pixels(seq: Sequence, res: float):
     return np.diag([1 / res, 1 / res, 1]) @ seq.composite() @ np.diag([seq.spacing[0], seq.spacing[1], 1])
 
 
+def mask_of(mask: DataFrame) -> DataFrame:
+    """A mask's pixels as 0 and 1, of one channel."""
+    return px.single_channel(mask, 0).withColumn("v", px.threshold_mask(F.col("v")).cast("double"))
+
+
+@dataclass(frozen=True)
+class Plane:
+    """An image made fit for alignment: its pixels, mask, size and spacing, and what undoes its spatial steps."""
+
+    pixels: DataFrame
+    mask: DataFrame | None
+    size: tuple[int, int]
+    res: float
+    steps: tuple[Transform, ...]
+    dtype: str
+
+
 @dataclass
 class Project:
     graph: Graph
@@ -93,49 +149,103 @@ class Project:
     rgb: set[str] = field(default_factory=set)
     found: dict[str, tuple[Transform, ...]] = field(default_factory=dict)  # source -> its edge's stages
     initial: dict[str, list[Transform]] = field(default_factory=dict)
-
-    def plane(self, name: str) -> tuple[DataFrame, tuple[int, int], float]:
-        p = self.prepro.get(name, Prepro())
-        grey = intensity(self.pixels[name], p, name in self.rgb)
-        out, steps, size, res = spatial(grey, p, self.sizes[name], self.graph.nodes[name].image_res)
-        self.initial[name] = steps
-        return out, size, res
-
-    def register(self, spark: SparkSession, models: dict[str, register.Model] = register.MODELS) -> None:
-        """Aligns every edge that isn't yet, by all its stages in turn. Source images move onto their edge's target."""
+    masks: dict[str, DataFrame] = field(default_factory=dict)  # image -> (image_id, channel, y, x, v)
+    logs: dict[str, list[tuple]] = field(default_factory=dict)  # source -> (stage, resolution, iteration, metric)
+    most_pixels: int = 1 << 26
+
+    def plane(self, name: str, override: Prepro | None = None) -> Plane:
+        p = self.prepro.get(name, Prepro()).with_override(override)
+        w, h = self.sizes[name]
+        p = replace(p, downsampling=max(p.downsampling, math.ceil(math.sqrt(w * h / self.most_pixels))))
+        mask = mask_of(self.masks[name]) if name in self.masks and (p.use_mask or p.crop_to_mask) else None
+        if p.crop_to_mask and p.box is None and mask is not None:
+            # the box after shrinking, turning and mirroring, as a box that is given
+            turned = spatial(mask, replace(p, box=None), (w, h), self.graph.nodes[name].image_res)[0]
+            box = px.mask_box(turned).first()
+            p = p if box is None else replace(p, box=tuple(int(box[c]) for c in "xywh"))
+        res = self.graph.nodes[name].image_res
+        out, steps, size, spacing = spatial(intensity(self.pixels[name], p, name in self.rgb), p, (w, h), res)
+        return Plane(out, spatial(mask, p, (w, h), res)[0] if mask is not None and p.use_mask else None, size, spacing, tuple(steps), "float32" if p.custom or not p.as_uint8 else "uint8")
+
+    def _rows(self, spark: SparkSession, planes: dict[str, Plane], masks: bool) -> DataFrame:
+        """(name, h, w, dtype, data): whole planes, or masks, one a row."""
+        rows = spark.createDataFrame([], "name string, h int, w int, dtype string, data binary")
+        for key, p in planes.items():
+            if (own := p.mask if masks else p.pixels) is not None:
+                rows = rows.unionByName(resample.to_tiles(own, 1 << 30, "uint8" if masks else p.dtype).select(F.lit(key).alias("name"), "h", "w", "dtype", "data"))
+        return rows
+
+    def register(self, spark: SparkSession, models: dict[str, register.Model] = register.MODELS, match: bool = False) -> None:
+        """Aligns every edge that isn't yet, by all its stages in turn and all edges in one job. Source images move onto their edge's target."""
         edges = [e for e in self.graph.edges if not e.registered]
-        stages_of = {e.source: register.models_of(e.params, models) for e in edges}
-        used = {n for e in edges for n in (e.source, e.target)}
-        planes = {n: self.plane(n) for n in used}
-        whole = lambda n: resample.to_tiles(planes[n][0], 1 << 30).select(F.lit(n).alias("name"), "h", "w", "dtype", "data")
-        rows = None
-        for n in used:
-            rows = whole(n) if rows is None else rows.unionByName(whole(n))
+        stages = {e.source: register.models_of(e.params, models) for e in edges}
+        if not edges:
+            return
+        # a plane for each image, and others where an edge has its own preprocessing
+        planes, of = {}, {}
         for e in edges:
-            fixed = rows.filter(F.col("name") == e.target).select("dtype", "h", "w", F.col("data").alias("fixed"))
-            moving = rows.filter(F.col("name") == e.source).select(F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
-            pair = fixed.crossJoin(moving).withColumn("edge_id", F.lit(e.source))  # one row by one row
-            stages = register.register_edges(pair, stages_of[e.source], planes[e.target][2]).orderBy("stage").collect()
-            self.found[e.source] = tuple(Transform(r["kind"], tuple(r["params"]), tuple(r["center"]), tuple(r["size"]), (r["spacing"], r["spacing"])) for r in stages)
-        from dataclasses import replace
-
+            for end, name, own in (("source", e.source, e.source_prepro), ("target", e.target, e.target_prepro)):
+                key = name if own is None else f"{e.source}/{end}"
+                of[e.source, end] = key
+                if key not in planes:
+                    planes[key] = self.plane(name, own)
+        rows, masks = self._rows(spark, planes, False), self._rows(spark, planes, True).select("name", F.col("data").alias("mask"))
+        table = rows.join(masks, "name", "left")
+        told = spark.createDataFrame([(e.source, of[e.source, "target"], of[e.source, "source"], planes[of[e.source, "target"]].res) for e in edges], "edge_id string, fixed_name string, moving_name string, res double")
+        fixed = table.select(F.col("name").alias("fixed_name"), "h", "w", "dtype", F.col("data").alias("fixed"), F.col("mask").alias("fixed_mask"))
+        moving = table.select(F.col("name").alias("moving_name"), F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("dtype").alias("mdtype"), F.col("data").alias("moving"), F.col("mask").alias("moving_mask"))
+        pairs = told.join(fixed, "fixed_name").join(moving, "moving_name").drop("fixed_name", "moving_name")
+        results: dict[str, list] = {}
+        for r in register.register_edges(pairs, stages, match=match).orderBy("edge_id", "stage").collect():
+            results.setdefault(r["edge_id"], []).append(register.transform_of(r))
+            self.logs.setdefault(r["edge_id"], []).extend((r["stage"], x["resolution"], x["iteration"], x["metric"]) for x in r["log"])
+        for e in edges:
+            self.found[e.source] = tuple(results[e.source])
+            for end, name in (("source", e.source), ("target", e.target)):
+                self.initial.setdefault(name, list(planes[of[e.source, end]].steps))
+            # the source's own steps are those of the plane that was aligned
+            self.initial[e.source] = list(planes[of[e.source, "source"]].steps)
         self.graph.edges = [replace(e, registered=True, transforms=self.found[e.source]) if e.source in self.found else e for e in self.graph.edges]
 
+    def hops(self, name: str) -> list[Edge]:
+        return self.graph.transform_paths().get(self.graph.nodes[name].attached_to or name, [])
+
+    def target_of(self, name: str) -> str:
+        hops = self.hops(name)
+        return hops[-1].target if hops else self.graph.nodes[name].attached_to or name
+
     def sequence(self, name: str) -> Sequence:
         """From the path's end to the image: its own steps, then each hop's."""
         node = self.graph.nodes[name]
         name = node.attached_to or name
         out = Sequence().add(self.initial.get(name, []))
-        for e in self.graph.transform_paths().get(name, []):
+        for e in self.hops(name):
             out = out.add(e.transforms, [0] * len(e.transforms))
         if not out.transforms:
             out = out.add([identity(self.sizes[name], node.image_res)])
         return out
 
-    def transformed(self, name: str, tile: int = 512, kind: str = "nearest") -> DataFrame:
+    def output(self, name: str, to_original_size: bool = True) -> Sequence:
+        """What writes an image: to_original_size undoes the last target's crop, so that all of it is covered; the spacing is the image's output_res, else the target's own resolution."""
+        target = self.target_of(name)
+        sequence, res = self.sequence(name), self.graph.nodes[target].image_res
+        if self.hops(name):
+            box = [t for t in self.initial.get(target, []) if t.kind == "translation"]
+            if to_original_size and box:
+                (w, h), spacing = self.sizes[target], box[0].spacing[0]
+                turned = [t for t in self.initial[target] if t.kind != "translation"]
+                size = turned[-1].size if turned else tuple(int(n * res / spacing) for n in (w, h))
+                sequence = sequence.add([uncrop(box[0], size)])
+        elif name in self.sizes:
+            # an image without a path is written as it is
+            sequence = Sequence().add([identity(self.sizes[name], self.graph.nodes[name].image_res)])
+        size, spacing = OutputRule(sequence.size, sequence.spacing[0], self.graph.nodes[name].output_res or res).grid()
+        return replace(sequence, size=size, spacing=(spacing, spacing))
+
+    def transformed(self, name: str, tile: int = 512, kind: str = "nearest", sequence: Sequence | None = None) -> DataFrame:
         """All channels of an image on its target's grid, as tiles."""
         tiles = resample.to_tiles(self.pixels[name], tile)
-        return resample.resample_tiles(tiles, self.sizes[name], self.sequence(name), self.graph.nodes[name].image_res, tile, kind)
+        return resample.resample_tiles(tiles, self.sizes[name], sequence or self.sequence(name), self.graph.nodes[name].image_res, tile, kind)
 
     def shapes(self, vertices: DataFrame, name: str) -> DataFrame:
         """A shape set attached to an image, on the target's grid."""

@@ -1,93 +1,114 @@
 """A configuration carried out: images read, edges aligned, images and shapes mapped and written with their transforms.
 
-An image without a path is written on its own grid. Outputs have the target's resolution and the extent of its
-preprocessed plane, so a target's crop stays. The output folder is one that the driver can write to as well.
+An image without a path is written on its own grid. Outputs have the target's resolution, or the image's output_res, and the
+target's whole extent: its crop is undone unless told otherwise. The output folder is one that driver and tasks can write to.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cf
+from .functions.names import merge_names
+from .operators import pixels as px
 from .operators import register, resample, shapes
+from .plots import write_plots
 from .project import Project
-from .sources import images, text
+from .sources import cache, formats, images, text
 
+FORMATS = ("tiles", "tiff", "zarr")
 
-def read_image(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """Tiles of the full size, and whether the image is RGB: TIFF, or the engine's own tiles."""
-    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("tif", "tiff"):
-        return images.read_tiff(spark, path).filter("level = 0").drop("level"), images.is_rgb(spark, path)
-    if kind == "tiles":
-        return images.read_tiles(spark, path).filter("level = 0").drop("level"), False
-    raise ValueError(f"{path}: only TIFF and tiles are read")
 
+def read_image(spark: SparkSession, path: str, tile: int) -> tuple[DataFrame, formats.Info]:
+    """Tiles of the full size on a grid, and what the file says of the image."""
+    return formats.retiled(formats.read(spark, path), tile).drop("level"), formats.info(spark, path)
 
-def size_of(tiles: DataFrame) -> tuple[int, int]:
-    r = tiles.agg(F.max(F.col("x0") + F.col("w")), F.max(F.col("y0") + F.col("h"))).first()
-    return int(r[0]), int(r[1])
 
+def write_image(tiles: DataFrame, path: str, kind: str, size: tuple[int, int], channels: int, dtype: str, tile: int, names: list[str], rgb: bool, res: float, pyramid: bool = True) -> None:
+    """Tiles of the full size (without a level) as one of FORMATS. Tiles that are missing are 0."""
+    if kind == "tiff":
+        images.write_tiff(tiles, path, size, channels, dtype, tile, tuple(names), rgb, res, pyramid)
+    elif kind == "zarr":
+        images.write_chunks(tiles, path, size, channels, dtype, tile, tuple(names), pyramid)
+    else:
+        images.write_tiles(tiles.withColumn("level", F.lit(0)).select(*images.NAMES), path)
 
-def run(spark: SparkSession, config: dict, output: str | None = None, tile: int = 512, tiff: bool = False, models: dict[str, register.Model] = register.MODELS) -> list[str]:
-    """Writes <output>/<name>.tiles for every image of Graph.outputs() (tiles that are all outside aren't made and are 0), with tiff <name>.tiff in its place, which is gathered on the driver; and each path's transforms and each shape file. Returns the paths."""
+
+def check_merge(name: str, infos: list[formats.Info], sequences: list) -> None:
+    """Members of a merge are written on one grid, and colours can't be merged with channels."""
+    if len({(s.size, s.spacing) for s in sequences}) > 1:
+        raise ValueError(f"{name}: its members have several grids: {', '.join(str(s.size) for s in sequences)}")
+    if len(infos) > 1 and any(i.rgb for i in infos) and not all(i.rgb for i in infos):
+        raise ValueError(f"{name}: colours and channels can't be merged")
+
+
+def run(spark: SparkSession, config: dict, output: str | None = None, tile: int = 512, kind: str = "tiles", models: dict[str, register.Model] = register.MODELS, to_original_size: bool = True, match: bool = False) -> list[str]:
+    """Writes <output>/<name>.<kind> for every image of Graph.outputs() (tiles that are all outside aren't made and are 0), each path's transforms and alignment log, each shape file and the configuration. Returns the paths."""
+    if kind not in FORMATS or tile % 16:
+        raise ValueError("kind is one of tiles, tiff and zarr, and a tile's side a multiple of 16")
     config = cf.check(config)
     output = str(output or config["output_dir"]).rstrip("/")
+    Path(output).mkdir(parents=True, exist_ok=True)
     graph = cf.load(config)
-    tiles, rgb = {}, set()
+    read = {name: read_image(spark, node.image, tile) for name, node in graph.nodes.items()}
+    tiles, infos = {n: t for n, (t, _) in read.items()}, {n: i for n, (_, i) in read.items()}
+    own = cf.prepros(config)
+    pixels = {n: resample.to_pixels(t) for n, t in tiles.items()}
+    if config["cache_images"]:
+        # what alignment reads is kept beside its parameters and read again only for the same ones
+        pixels = {n: cache.cached(p, f"{output}/cache", n, {"image": graph.nodes[n].image}) if n in own and any(n in (e.source, e.target) for e in graph.edges) else p for n, p in pixels.items()}
+    masks = {}
     for name, node in graph.nodes.items():
-        tiles[name], is_rgb = read_image(spark, node.image)
-        if is_rgb:
-            rgb.add(name)
-    project = Project(graph, {n: resample.to_pixels(t) for n, t in tiles.items()}, {n: size_of(t) for n, t in tiles.items()}, cf.prepros(config), rgb)
-    project.register(spark, models)
-    paths = graph.transform_paths()
-
-    def res_of(name: str) -> float:
-        hops = paths.get(graph.nodes[name].attached_to or name)
-        return graph.nodes[hops[-1].target if hops else name].image_res
-
-    def moved(name: str) -> DataFrame:
-        sequence = project.sequence(name).with_spacing((res_of(name),) * 2)
-        # the file's tiles may be of any size
-        own = resample.to_tiles(project.pixels[name], tile, tiles[name].first()["dtype"])
-        return resample.resample_tiles(own, project.sizes[name], sequence, graph.nodes[name].image_res, tile).withColumn("image_id", F.lit(name)).withColumn("level", F.lit(0))
-
+        if node.mask:
+            if suffix_is_shapes(node.mask):
+                drawn = shapes.rasterise(text.read_geojson(spark, node.mask), infos[name].size, labels=False)
+                masks[name] = px.whole(drawn.select(F.lit(name).alias("image_id"), F.lit(0).alias("channel"), "y", "x", F.col("v").cast("double").alias("v")), *infos[name].size)
+            else:
+                masks[name] = resample.to_pixels(formats.read(spark, node.mask))
+    project = Project(graph, pixels, {n: i.size for n, i in infos.items()}, own, {n for n, i in infos.items() if i.rgb}, masks=masks)
+    project.register(spark, models, match)
     written = []
-    Path(output).mkdir(parents=True, exist_ok=True)
     for name in graph.outputs():
         members = graph.merges.get(name, (name,))
+        sequences = [project.output(m, to_original_size) for m in members]
+        check_merge(name, [infos[m] for m in members], sequences)
+        # of several types the widest
+        dtype = str(np.result_type(*(infos[m].dtype for m in members)))
         df, before = None, 0
-        for m in members:
-            one = moved(m).withColumn("image_id", F.lit(name)).withColumn("channel", (F.col("channel") + before).cast("int"))
-            before += tiles[m].agg(F.max("channel")).first()[0] + 1
+        for m, sequence in zip(members, sequences, strict=True):
+            one = resample.resample_tiles(tiles[m], infos[m].size, sequence, graph.nodes[m].image_res, tile)
+            one = one.withColumn("image_id", F.lit(name)).withColumn("channel", (F.col("channel") + before).cast("int"))
+            before += infos[m].channels
             df = one if df is None else df.unionByName(one)
-        df = df.select(*images.NAMES)
-        if tiff:
-            (w, h), res = project.sequence(members[0]).with_spacing((res_of(members[0]),) * 2).size, res_of(members[0])
-            plane = images.planes(df, name, size=(before, h, w))
-            names = [c for m in members for c in graph.nodes[m].channel_names]
-            names = names if len(names) == before else [f"C{k}" for k in range(before)]
-            path = f"{output}/{name}.tiff"
-            as_rgb = len(members) == 1 and members[0] in rgb
-            Path(path).write_bytes(images.tiff_bytes([plane.transpose(1, 2, 0) if as_rgb else plane], 256, images.image_xml(h, w, names[:1] if as_rgb else names, str(plane.dtype), as_rgb, res), as_rgb))
-        else:
-            path = f"{output}/{name}.tiles"
-            images.write_tiles(df, path)
+        of = [list(graph.nodes[m].channel_names or infos[m].names) for m in members]
+        of = [n if len(n) == infos[m].channels else [f"C{k}" for k in range(infos[m].channels)] for m, n in zip(members, of, strict=True)]
+        names = of[0] if len(members) == 1 else merge_names(list(members), of)
+        path = f"{output}/{name}.{kind}"
+        rgb = len(members) == 1 and infos[members[0]].rgb
+        write_image(df, path, kind, sequences[0].size, before, dtype, tile, names, rgb, sequences[0].spacing[0])
         written.append(path)
-    for name, hops in paths.items():
+    for name, hops in graph.transform_paths().items():
         path = f"{output}/{name}_transformations.json"
         Path(path).write_text(cf.save_transforms(project.initial.get(name, []), [(e.target, list(e.transforms)) for e in hops]))
         written.append(path)
+        if name in project.logs:
+            written += write_plots(project.logs[name], f"{output}/{name}_iterations")
     for name, to in (config.get("attachment_shapes") or {}).items():
         for k, file in enumerate(to.get("shape_files") or []):
             file = file if isinstance(file, str) else file["shape_fp"]
             image = graph.shapes[name]
-            sequence = project.sequence(image).with_spacing((res_of(image),) * 2)
             path = f"{output}/{name}_{k}.geojson"
-            text.write_geojson(shapes.to_geojson(shapes.transform(text.read_geojson(spark, file), sequence, source_res=graph.nodes[image].image_res)), path)
+            moved = shapes.transform(text.read_geojson(spark, file), project.output(image, to_original_size), source_res=graph.nodes[image].image_res)
+            text.write_geojson(shapes.to_geojson(moved), path)
             written.append(path)
-    return written
+    path = f"{output}/{config['project_name']}_configuration.json"
+    Path(path).write_text(cf.text_of(cf.dump(graph, config["project_name"], output, own)))
+    return [*written, path]
+
+
+def suffix_is_shapes(path: str) -> bool:
+    return formats.suffix(path) in ("json", "geojson", "zip")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -25,6 +26,14 @@ def parameter_values(line: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(inner, '"', ""), r"\s+"), lambda v: v != "")
 
 
+def parameters_of(text: str) -> dict[str, list[str]]:
+    """One file's map, on the driver: the first line of each key counts."""
+    out: dict[str, list[str]] = {}
+    for key, values in re.findall(r"^\s*\((\S+)\s*([^)]*)\)", text, re.M):
+        out.setdefault(key, values.replace('"', "").split())
+    return out
+
+
 def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     """(file, params): a map from key to values for each parameter file under the path."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")

@@ -9,8 +9,8 @@ from tessera import cli, config
 from tessera.operators import register, resample, shapes
 from tessera.plans import transforms as tf
 from tessera.plans.graph import Graph
-from tessera.sources import images
-from tessera.project import Prepro, Project, intensity, spatial
+from tessera.sources import formats, images
+from tessera.project import Encoder, Prepro, Project, intensity, spatial
 from tests.test_engine import array, blobs, frame, network
 
 
@@ -102,8 +102,10 @@ def test_models_are_the_references(spark):
     g = Graph()
     for name in "ac":
         g.add_image(name)
-    g.add_path("a", "c", params=("rigid", "nl"))
-    with pytest.raises(ValueError, match="nl is non-linear, which is not built"):
+    assert budget("nl") == ("bspline", 10, 200, 50000, 32) and budget("nl_reduced") == ("bspline", 5, 150, 50000, 32) and budget("nl2")[3] == 15000 and budget("nl3")[2] == 1000 and budget("nl_test")[2] == 10
+    assert register.MODELS["nl-mid"].grid == 150 and register.MODELS["nl-mid"].schedule == (512, 128, 64, 32, 2) and register.MODELS["nl-reduced"].steps == (50, 40, 30, 20)
+    g.add_path("a", "c", params=("rigid", "nl9"))
+    with pytest.raises(ValueError, match="nl9 is not known"):
         Project(g, {}, {}).register(spark)
 
 
@@ -113,13 +115,26 @@ def test_preprocessing_of_a_configuration():
     want = {"a": Prepro("BF", (0,), False, True, True, downsampling=2, rotate=90, flip="h", box=(1, 2, 3, 4)), "b": Prepro()}
     assert config.prepros(data) == want
     assert config.prepros(json.loads(json.dumps(config.dump(config.load(data), "p", "o", want)))) == want
-    for bad in ({"mask": "m.tif"}, {"preprocessing": {"crop_to_mask_bbox": True}}, {"preprocessing": {"as_uint8": False}}, {"preprocessing": {"rotate": 3}}):
+    for bad in ({"preprocessing": {"custom_processing": ["none"]}}, {"preprocessing": {"flip": "x"}}, {"preprocessing": {"rotate": 3}}, {"image_res": 0}):
         with pytest.raises(ValueError):
             config.load(data | {"modalities": {"a": bad}})
+    more = {"a": {"mask": "m.tif", "output_res": 2, "channel_colors": ["red"], "preprocessing": {"crop_to_mask_bbox": True, "as_uint8": False, "use_mask": False, "custom_processing": ["double"]}}, "b": {}}
+    paths = {"p": {"src_modality_name": "a", "tgt_modality_name": "b", "reg_params": "affine", "override_prepro": {"source": {"rot_cc": 90}, "target": None}}}
 
+    def double(image):
+        return image.withColumn("v", image["v"] * 2)
 
-@pytest.mark.parametrize("tiff", [False, True])
-def test_run_of_a_configuration(spark, tmp_path, capsys, tiff):
+    given = data | {"modalities": more, "reg_paths": paths}
+    own, g = config.prepros(given, {"double": double}), config.load(given, {"double": double})
+    assert own["a"] == Prepro(as_uint8=False, use_mask=False, crop_to_mask=True, custom=(double,)) and g.nodes["a"].mask == "m.tif" and g.nodes["a"].output_res == 2 and g.edges[0].source_prepro == Prepro(rotate=90) and g.edges[0].target_prepro is None
+    again = json.loads(config.text_of(config.dump(g, "p", "o", own)))
+    assert config.load(again, {"double": double}) == g and config.prepros(again, {"double": double}) == own
+    assert own["a"].told(given_only=True) == {"as_uint8": False, "use_mask": False, "crop_to_mask": True, "custom": ["double"]}
+    assert json.loads(json.dumps({"x": np.float32(2), "y": np.arange(2), "p": Prepro()}, cls=Encoder))["y"] == [0, 1]
+
+
+@pytest.mark.parametrize("kind", ["tiles", "tiff", "zarr"])
+def test_run_of_a_configuration(spark, tmp_path, capsys, kind):
     c = np.round(blobs(96, 96, 5) * 255 / blobs(96, 96, 5).max()).astype("uint8")
     # a is c moved, then turned by the quarter that its preprocessing takes back
     moved = resample.resample_plane(c.astype(float), tf.Sequence().add([tf.Transform("euler", (-0.05, -3.0, 2.0), (47.5, 47.5), (96, 96))]), 1.0, "linear")
@@ -132,11 +147,13 @@ def test_run_of_a_configuration(spark, tmp_path, capsys, tiff):
         "reg_paths": {"r": {"src_modality_name": "a", "tgt_modality_name": "c", "reg_params": ["rigid_ams"]}}, "attachment_shapes": {"marks": {"attachment_modality": "a", "shape_files": [str(tmp_path / "marks.json")]}}, "merge_modalities": {"both": ["c", "a"]},
     }
     (tmp_path / "p.json").write_text(json.dumps(data))
-    assert cli.main(["run", str(tmp_path / "p.json"), "--output", str(tmp_path / "out"), "--tile", "64", *(["--tiff"] if tiff else [])]) == 0
+    assert cli.main(["run", str(tmp_path / "p.json"), "--output", str(tmp_path / "out"), "--tile", "64", "--kind", kind]) == 0
     told = [x.rsplit("/", 1)[-1] for x in capsys.readouterr().out.split()]
-    assert told == [f"both.{'tiff' if tiff else 'tiles'}", "a_transformations.json", "marks_0.geojson"]
+    assert told == [f"both.{kind}", "a_transformations.json", "a_iterations_0.svg", "marks_0.geojson", "p_configuration.json"]
     path = str(tmp_path / "out" / told[0])
-    got = images.planes(images.read_tiff(spark, path) if tiff else images.read_tiles(spark, path), "both")
+    got = images.planes(formats.read(spark, path), "both")
+    assert formats.info(spark, path).channels == 3 and (kind != "tiff" or formats.info(spark, path).names == ("c - C0", "a - C0", "a - C1"))
+    assert config.load(json.loads((tmp_path / "out" / "p_configuration.json").read_text())).merges == {"both": ("c", "a")}
     assert got.shape == (3, 96, 96) and got.dtype == np.uint8 and (got[0] == c).all()
     inner = (slice(16, 80), slice(16, 80))
     assert np.corrcoef(got[1][inner].ravel(), c[inner].ravel())[0, 1] > 0.95

@@ -124,6 +124,15 @@ def pyramid_sizes(w: int, h: int, tile: int) -> list[tuple[int, int]]:
     return sizes[:-1] if len(sizes) > 1 else sizes
 
 
+def pyramid_table(sizes: DataFrame, tile: int, most: int = 40) -> DataFrame:
+    """pyramid_sizes() of a table of images with columns w and h: a row for each image and level, with the level's w and h."""
+    at = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2), level))
+    # a level is there if it is over the tile, as each one before it then is too
+    kept = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: (k == 0) | (F.least(at("w", k), at("h", k)) > tile))
+    each = sizes.withColumn("level", F.explode(kept))
+    return each.withColumns({"w": at("w", F.col("level")), "h": at("h", F.col("level"))})
+
+
 def narrowest(most: Column) -> Column:
     """The name of the smallest integer type that holds values up to `most`."""
     out = F.when(most <= UNSIGNED[0][1], UNSIGNED[0][0])

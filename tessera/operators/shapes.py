@@ -94,6 +94,21 @@ def transform(vertices: DataFrame, sequence: Sequence, pixels_in: bool = True, s
     return vertices.mapInArrow(run, vertices.schema)
 
 
+def mapped_by(rows: DataFrame, sequence: Sequence, columns: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Output points in physical units, in two columns, to source points."""
+    if sequence.linear:
+        x, y = mapped(F.col(columns[0]), F.col(columns[1]), sequence.composite())
+        return rows.withColumns(dict(zip(columns, (x, y), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                p = map_points(sequence, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]))
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, columns.index(n)]) if n in columns else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 # --- B-splines
 
 
@@ -239,21 +254,44 @@ def fill(size: tuple[int, int], rings: list[np.ndarray]) -> tuple[np.ndarray, np
     return out // w, out % w
 
 
+def in_order(vertices: DataFrame) -> DataFrame:
+    """Vertices dealt by their feature and sorted, for features_of()."""
+    return vertices.repartition("set_name", "feature_id").sortWithinPartitions("set_name", "feature_id", "part", "ring", "vertex")
+
+
+def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The vertices of each feature, from sorted batches; one feature is held at a time beside a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+        sets, ids = whole.column("set_name").to_numpy(zero_copy_only=False), whole.column("feature_id").to_numpy()
+        edges = [0, *(np.flatnonzero((sets[1:] != sets[:-1]) | (ids[1:] != ids[:-1])) + 1).tolist()]
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            yield whole.slice(start, end - start)
+        held = whole.slice(edges[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def rasterise(vertices: DataFrame, size: tuple[int, int], labels: bool = True) -> DataFrame:
-    """(set_name, y, x, v): v is feature_id + 1, a later feature over an earlier one, or 255. Each feature is filled in a task of its own."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("part", "ascending"), ("ring", "ascending"), ("vertex", "ascending")]).to_pandas()
-        ys, xs = [], []
-        for _, part in rows.groupby("part"):
-            y, x = fill(size, [r[["x", "y"]].to_numpy() for _, r in part.groupby("ring")])
-            ys.append(y)
-            xs.append(x)
-        y, x = np.concatenate(ys), np.concatenate(xs)
-        first = rows.iloc[0]
-        return pa.table({"set_name": [first["set_name"]] * len(y), "feature_id": pa.array([first["feature_id"]] * len(y), pa.int64()), "y": y, "x": x})
-
-    filled = vertices.select(*KEY, "vertex", "x", "y").groupBy("set_name", "feature_id").applyInArrow(run, "set_name string, feature_id long, y long, x long")
+    """(set_name, y, x, v): v is feature_id + 1, a later feature over an earlier one, or 255. Features are filled one by one in the tasks they are dealt to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in features_of(batches):
+            part, ring = (table.column(c).to_numpy() for c in ("part", "ring"))
+            points = np.column_stack([table.column(c).to_numpy() for c in "xy"])
+            found = []
+            for p in np.unique(part):
+                rows = part == p
+                found.append(fill(size, [points[rows & (ring == r)] for r in np.unique(ring[rows])]))
+            y, x = (np.concatenate(c) for c in zip(*found, strict=True))
+            first, n = table.slice(0, 1), len(y)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([first.column("set_name")[0].as_py()] * n, pa.string()), pa.array(np.full(n, first.column("feature_id")[0].as_py(), np.int64)), pa.array(y), pa.array(x)], ["set_name", "feature_id", "y", "x"])
+
+    filled = in_order(vertices.select(*KEY, "vertex", "x", "y")).mapInArrow(run, "set_name string, feature_id long, y long, x long")
     v = (F.max("feature_id") + 1) if labels else F.lit(255)
     return filled.groupBy("set_name", "y", "x").agg(v.cast("long").alias("v"))
 
@@ -267,12 +305,23 @@ def label_boxes(labels: DataFrame) -> DataFrame:
 def to_geojson(vertices: DataFrame) -> DataFrame:
     """(set_name, feature_id, feature): each feature as GeoJSON text."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        feature = feature_of(rows[0]["shape_type"], rows[0]["shape_name"], [(r["part"], r["ring"], r["vertex"], r["x"], r["y"]) for r in rows])
-        return pa.table({"set_name": [rows[0]["set_name"]], "feature_id": pa.array([rows[0]["feature_id"]], pa.int64()), "feature": [json.dumps(feature)]})
-
-    return vertices.groupBy("set_name", "feature_id").applyInArrow(run, "set_name string, feature_id long, feature string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for table in features_of(batches):
+            columns = {c: table.column(c).to_pylist() for c in ("part", "ring", "vertex", "x", "y")}
+            head = table.slice(0, 1).to_pylist()[0]
+            told = json.dumps(feature_of(head["shape_type"], head["shape_name"], list(zip(*columns.values(), strict=True))))
+            out.append((head["set_name"], head["feature_id"], told))
+            if len(out) == 1000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        sets, ids, told = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), pa.array(ids, pa.int64()), pa.array(told, pa.string())], ["set_name", "feature_id", "feature"])
+
+    return in_order(vertices).mapInArrow(run, "set_name string, feature_id long, feature string")
 
 
 def from_arrays(spark: SparkSession, items: list[dict], set_name: str = "shapes") -> DataFrame:

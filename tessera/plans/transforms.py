@@ -150,9 +150,11 @@ def rotation_bound(w: float, h: float, degrees: float) -> tuple[float, float]:
     return h * s + w * c, h * c + w * s
 
 
-def up(x):
-    """The next whole number; of a number or a column, as all sizes here can be either."""
-    return F.ceil(F.round(x, 9)) if isinstance(x, Column) else math.ceil(round(x, 9))
+def up(x, digits: int | None = None):
+    """The next whole number, of what x is when it is rounded to so many digits; of a number or a column, as all sizes here can be either."""
+    if isinstance(x, Column):
+        return F.ceil(x if digits is None else F.round(x, digits))
+    return math.ceil(x if digits is None else round(x, digits))
 
 
 def rotation(size: tuple[int, int], spacing: float, degrees: float) -> Transform:
@@ -161,7 +163,7 @@ def rotation(size: tuple[int, int], spacing: float, degrees: float) -> Transform
     center = tuple((b - 1) / 2 * spacing for b in bound)
     old = tuple((n - 1) / 2 * spacing for n in size)
     shift = tuple(o - c for o, c in zip(old, center, strict=True))
-    return Transform("euler", (math.radians(degrees), *shift), center, tuple(up(b) for b in bound), (spacing, spacing))
+    return Transform("euler", (math.radians(degrees), *shift), center, tuple(up(b, 9) for b in bound), (spacing, spacing))
 
 
 def flip(size: tuple[int, int], spacing: float, axis: str) -> Transform:

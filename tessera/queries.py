@@ -15,7 +15,7 @@ from .operators import pixels as px
 from .operators import resample, shapes
 from .plans import graph
 from .plans import transforms as tf
-from .sources import text
+from .sources import images, text
 from .streaming import iterations
 
 QUERIES: dict = {}
@@ -74,6 +74,10 @@ def r6(*columns: str):
     return [(F.round(c, 6) + 0.0).alias(c) for c in columns]
 
 
+def r6_(named):
+    return [(F.round(c, 6) + 0.0).alias(n) for n, c in named]
+
+
 # --- graph
 
 
@@ -101,28 +105,28 @@ def path_hops(spark, sf_dir):
 
 @query(f"with {EDGES} select distinct target as name from e where target not in (select source from e)")
 def nonreg_nodes(spark, sf_dir):
-    e = edge_table(spark, sf_dir)
-    return e.select(F.col("target").alias("name")).distinct().join(e.select(F.col("source").alias("name")), "name", "left_anti")
+    return graph.finals(edge_table(spark, sf_dir))
 
 
 @query("with gone as (select n_nationkey from nation where n_regionkey = 1) select c_custkey from customer where c_nationkey not in (select n_nationkey from gone)")
 def cascade_remove(spark, sf_dir):
     """A removed region takes the paths through it with it."""
-    gone = t(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return t(spark, sf_dir, "customer").join(gone, "c_nationkey", "left_anti").select("c_custkey")
+    walk = graph.resolve(edge_table(spark, sf_dir))
+    left = graph.without(walk, spark.createDataFrame([("R1",)], "name string"))
+    return left.filter("hop = 0 and start like 'C%'").select(F.expr("cast(substring(start, 2) as bigint)").alias("c_custkey"))
 
 
 @query("select count(*) as n, count(*) filter (exists (select 1 from customer where c_custkey = o_custkey)) as attached from orders")
 def fk_check(spark, sf_dir):
     """Attachments whose node is there."""
     o, c = t(spark, sf_dir, "orders"), t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    found = o.join(c, "o_custkey", "left_semi").agg(F.count("*").alias("attached"))
-    return o.agg(F.count("*").alias("n")).crossJoin(found)
+    lost = graph.strays(o, c, "o_custkey").agg(F.count("*").alias("lost"))
+    return o.agg(F.count("*").alias("n")).crossJoin(lost).select("n", (F.col("n") - F.col("lost")).alias("attached"))
 
 
 # --- transforms of points
 
-AFFINE = tf.Transform("affine", (0.75, 0.05, -0.125, 1.0, 469.5, 156.25), (1023.0, 1023.0))
+AFFINE = tf.Transform("affine", (0.75, 0.05, -0.125, 1.0, 31.5, -44.25), (640.0, 480.0))
 EULER = tf.Transform("euler", (0.3, 12.0, -7.0), (500.0, 400.0))
 SIMILARITY = tf.Transform("similarity", (1.25, -0.2, 3.0, 4.0), (500.0, 400.0))
 SHIFT = tf.Transform("translation", (17.5, -2.25))
@@ -140,7 +144,7 @@ def _points_sql(x: str, y: str) -> str:
     return f"with {L} select l_orderkey, l_linenumber, round({x}, 6) + 0.0 as x, round({y}, 6) + 0.0 as y from l"
 
 
-AX, AY = "0.75 * (x - 1023.0) + 0.05 * (y - 1023.0) + 1023.0 + 469.5", "-0.125 * (x - 1023.0) + 1.0 * (y - 1023.0) + 1023.0 + 156.25"
+AX, AY = "0.75 * (x - 640.0) + 0.05 * (y - 480.0) + 640.0 + 31.5", "-0.125 * (x - 640.0) + 1.0 * (y - 480.0) + 480.0 - 44.25"
 EX, EY = "cos(0.3) * (x - 500.0) - sin(0.3) * (y - 400.0) + 500.0 + 12.0", "sin(0.3) * (x - 500.0) + cos(0.3) * (y - 400.0) + 400.0 - 7.0"
 for _name, _t, _x, _y in (
     ("affine_points", AFFINE, AX, AY),
@@ -151,17 +155,15 @@ for _name, _t, _x, _y in (
     QUERIES[_name], ORACLE[_name] = _points_by(_t.matrix()), _points_sql(_x, _y)
 _det = "(0.75 * 1.0 + 0.05 * 0.125)"
 QUERIES["inverse_points"] = _points_by(AFFINE.inverse())
-ORACLE["inverse_points"] = _points_sql(f"(1.0 * (x - 1492.5) - 0.05 * (y - 1179.25)) / {_det} + 1023.0", f"(0.125 * (x - 1492.5) + 0.75 * (y - 1179.25)) / {_det} + 1023.0")
+ORACLE["inverse_points"] = _points_sql(f"(1.0 * (x - 671.5) - 0.05 * (y - 435.75)) / {_det} + 640.0", f"(0.125 * (x - 671.5) + 0.75 * (y - 435.75)) / {_det} + 480.0")
 QUERIES["compose_points"] = _points_by(tf.Sequence().add([EULER, AFFINE], [0, 1]).composite())
 ORACLE["compose_points"] = f"with {L}, a as (select l_orderkey, l_linenumber, {AX} as x, {AY} as y from l) select l_orderkey, l_linenumber, round({EX}, 6) + 0.0 as x, round({EY}, 6) + 0.0 as y from a"
 
 
 @query(f"with {V} select l_orderkey, vertex, l_linenumber + coalesce(sum(l_linenumber) over (partition by l_orderkey order by vertex rows between unbounded preceding and 1 preceding), 0)::bigint as seq_idx, row_number() over (partition by l_orderkey order by vertex desc)::integer as reversed from l")
 def seq_reindex(spark, sf_dir):
-    """Within each order as a sequence: groups counted on from those before, and places reversed."""
-    w = Window.partitionBy("l_orderkey").orderBy("vertex")
-    before = F.coalesce(F.sum("l_linenumber").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rings(spark, sf_dir).select("l_orderkey", "vertex", (F.col("l_linenumber") + before).alias("seq_idx"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("vertex"))).alias("reversed"))
+    """Each order as a sequence: groups counted on from those before, and places reversed."""
+    return tf.reindexed(rings(spark, sf_dir), "l_orderkey", "vertex", "l_linenumber").select("l_orderkey", "vertex", "seq_idx", "reversed")
 
 
 # --- sizes
@@ -175,26 +177,29 @@ def sizes(spark, sf_dir):
 
 @query(f"with {SIZES} select p_partkey, ceil(w * 0.65 / 2.0)::bigint as w, ceil(h * 0.65 / 2.0)::bigint as h from s")
 def output_size(spark, sf_dir):
-    return sizes(spark, sf_dir).select("p_partkey", F.ceil(F.col("w") * 0.65 / 2.0).alias("w"), F.ceil(F.col("h") * 0.65 / 2.0).alias("h"))
+    w, h = tf.Sequence(size=(F.col("w"), F.col("h")), spacing=(0.65, 0.65)).with_spacing((2.0, 2.0)).size
+    return sizes(spark, sf_dir).select("p_partkey", w.alias("w"), h.alias("h"))
 
 
 @query(f"with {SIZES} select p_partkey, round(h * abs(sin(radians(30))) + w * abs(cos(radians(30))), 6) as bw, round(h * abs(cos(radians(30))) + w * abs(sin(radians(30))), 6) as bh from s")
 def rot_bound(spark, sf_dir):
-    c, s = F.abs(F.cos(F.radians(F.lit(30)))), F.abs(F.sin(F.radians(F.lit(30))))
-    return sizes(spark, sf_dir).select("p_partkey", F.round(F.col("h") * s + F.col("w") * c, 6).alias("bw"), F.round(F.col("h") * c + F.col("w") * s, 6).alias("bh"))
+    w, h = tf.rotation_bound(F.col("w"), F.col("h"), 30)
+    return sizes(spark, sf_dir).select("p_partkey", F.round(w, 6).alias("bw"), F.round(h, 6).alias("bh"))
 
 
 @query(f"with {SIZES}, b as (select *, h as bw, w as bh from s) select p_partkey, round((bw - 1) / 2 * 0.5, 6) as cx, round((bh - 1) / 2 * 0.5, 6) as cy, round((w - bw) / 2 * 0.5, 6) + 0.0 as tx, round((h - bh) / 2 * 0.5, 6) + 0.0 as ty from b")
 def rot_params(spark, sf_dir):
     """A quarter turn's centre and shift at spacing 0.5."""
-    s = sizes(spark, sf_dir).withColumns({"bw": F.col("h"), "bh": F.col("w")})
-    return s.select("p_partkey", *[F.round(c, 6).alias(n) for n, c in (("cx", (F.col("bw") - 1) / 2 * 0.5), ("cy", (F.col("bh") - 1) / 2 * 0.5))], *[(F.round(c, 6) + 0.0).alias(n) for n, c in (("tx", (F.col("w") - F.col("bw")) / 2 * 0.5), ("ty", (F.col("h") - F.col("bh")) / 2 * 0.5))])
+    turn = tf.rotation((F.col("w"), F.col("h")), 0.5, 90)
+    return sizes(spark, sf_dir).select("p_partkey", *r6_(zip(("cx", "cy", "tx", "ty"), (*turn.center, *turn.params[1:]), strict=True)))
 
 
 @query(f"with {SIZES} select p_partkey, -1.0::double as a11, 1.0::double as a22, (w - 1) / 2 * 0.5 as cx, (h - 1) / 2 * 0.5 as cy, floor(w / 4) * 0.5 as crop_tx, floor(h / 4) * 0.5 as crop_ty, floor(w / 2)::bigint as crop_w, floor(h / 2)::bigint as crop_h from s")
 def flip_crop_params(spark, sf_dir):
     w, h = F.col("w"), F.col("h")
-    return sizes(spark, sf_dir).select("p_partkey", F.lit(-1.0).alias("a11"), F.lit(1.0).alias("a22"), ((w - 1) / 2 * 0.5).alias("cx"), ((h - 1) / 2 * 0.5).alias("cy"), (F.floor(w / 4) * F.lit(0.5)).cast("double").alias("crop_tx"), (F.floor(h / 4) * F.lit(0.5)).cast("double").alias("crop_ty"), F.floor(w / 2).alias("crop_w"), F.floor(h / 2).alias("crop_h"))
+    mirror, cut = tf.flip((w, h), 0.5, "h"), tf.crop((F.floor(w / 4), F.floor(h / 4), F.floor(w / 2), F.floor(h / 2)), 0.5)
+    named = {"a11": F.lit(mirror.params[0]), "a22": F.lit(mirror.params[3]), "cx": mirror.center[0], "cy": mirror.center[1], "crop_tx": cut.params[0], "crop_ty": cut.params[1]}
+    return sizes(spark, sf_dir).select("p_partkey", *[c.cast("double").alias(n) for n, c in named.items()], cut.size[0].alias("crop_w"), cut.size[1].alias("crop_h"))
 
 
 # --- shapes
@@ -322,10 +327,7 @@ for _k in (1, 2, 3):
 @query("with s as (select p_partkey, p_size * 97 as w, p_size * 53 + 40 as h from part), n as (select *, unnest(generate_series(0, 20)) as k from s) select p_partkey, k::integer as level, (w // (1 << k))::bigint as w, (h // (1 << k))::bigint as h from n where k = 0 or (least(w, h) // (1 << k) > 64)")
 def pyramid_levels(spark, sf_dir):
     """Levels of images of many sizes at tile 64."""
-    s = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).alias("w"), (F.col("p_size") * 53 + 40).alias("h"))
-    n = s.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2), F.col("level")))
-    return n.filter((F.col("level") == 0) | (F.least(at("w"), at("h")) > 64)).select("p_partkey", "level", at("w").alias("w"), at("h").alias("h"))
+    return px.pyramid_table(t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 97).alias("w"), (F.col("p_size") * 53 + 40).alias("h")), 64)
 
 
 @query(f"with {C} select channel, y, x, v, 'a' as source from c union all select (channel + 4)::integer, y, x, 255.0 - v, 'b' from c where channel < 2")
@@ -397,13 +399,13 @@ def natural_sort(spark, sf_dir):
 
 @query("select event_id, user_id, round(value - lag(value) over w, 6) + 0.0 as delta, row_number() over w as iteration from events window w as (partition by user_id order by ts, event_id)")
 def iteration_series(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, sf_dir, "events").select("event_id", "user_id", (F.round(F.col("value") - F.lag("value").over(w), 6) + 0.0).alias("delta"), F.row_number().over(w).cast("long").alias("iteration"))
+    told = text.series(t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return told.select("event_id", "user_id", (F.round("delta", 6) + 0.0).alias("delta"), "iteration")
 
 
 @query("select user_id, arg_max(event_id, (value, -event_id)) as largest, count(*) as n from events group by user_id")
 def largest_series(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("largest"), F.count("*").alias("n"))
+    return images.largest_series(t(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
 @query("select date_trunc('hour', ts) as start, round(avg(value), 6) as mean, count(*) as n from events group by 1")
@@ -452,25 +454,302 @@ def flagship(spark, sf_dir):
     return second.groupBy(F.col("n_regionkey").cast("string").alias("region")).agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("x0"), F.round(F.min("y"), 6).alias("y0"), F.round(F.max("x"), 6).alias("x1"), F.round(F.max("y"), 6).alias("y1"), low(F.min("x")).alias("px"), low(F.min("y")).alias("py"))
 
 
-# --- no SQL
+# --- filled polygons
 
+POLYGONS = f"{V}, o as (select o_orderkey, (o_custkey % 10)::varchar as set_name from orders), many as (select l_orderkey from l group by 1 having count(*) >= 3), v as (select set_name, l_orderkey as id, vertex, trunc(x / 10)::bigint as x, trunc(y / 10)::bigint as y from l join many using (l_orderkey) join o on l_orderkey = o_orderkey)"
+FILL = f"""
+with {POLYGONS},
+e as (select *, coalesce(lead(x) over w, first(x) over w) as x1, coalesce(lead(y) over w, first(y) over w) as y1 from v window w as (partition by id order by vertex rows between unbounded preceding and unbounded following)),
+cut as (select set_name, id, k as y, x + (k - y) * (x1 - x) / (y1 - y) as x from (select *, unnest(generate_series(greatest(least(y, y1), 0), least(greatest(y, y1), 100) - 1)) as k from e where y <> y1)),
+pair as (select *, row_number() over w as n, lead(x) over w as b from cut window w as (partition by id, y order by x)),
+inner_ as (select set_name, id, y, unnest(generate_series(greatest(ceil(x), 0)::bigint, least(floor(b), 99)::bigint)) as x from pair where n % 2 = 1),
+step as (select *, greatest(abs(x1 - x), abs(y1 - y), 1) as n from e),
+outline as (select set_name, id, round_even(y + (y1 - y) * k / n, 0)::bigint as y, round_even(x + (x1 - x) * k / n, 0)::bigint as x from (select *, unnest(generate_series(0, n)) as k from step))
+select set_name, y, x, max(id) + 1 as v from (select * from inner_ union all select set_name, id, y, x from outline where x between 0 and 99 and y between 0 and 99) group by set_name, y, x
+"""
 
-@query()
-def rasterise(spark, sf_dir):
-    """Orders of three lines or more as filled polygons on a raster of 1000 x 1000, by the last digit of the order's customer."""
+
+def polygons(spark, sf_dir):
+    """Orders of three lines or more as polygons a tenth of the size, in sets by the last digit of the order's customer."""
     o = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("set_name"))
-    p = points(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    p = rings(spark, sf_dir)
     many = p.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n >= 3").select("l_orderkey")
-    v = p.join(many, "l_orderkey").select("set_name", F.col("l_orderkey").alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("l_linenumber").alias("vertex"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"))
-    return shapes.rasterise(v, (100, 100))
+    return p.join(many, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "set_name", F.col("l_orderkey").alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("vertex").cast("int").alias("vertex"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), F.lit("Polygon").alias("shape_type"), F.concat(F.lit("s"), "set_name").alias("shape_name")
+    )
 
 
-@query()
+@query(FILL)
+def rasterise(spark, sf_dir):
+    """The polygons filled on a raster of 100 x 100 for each set, a later order over an earlier one."""
+    return shapes.rasterise(polygons(spark, sf_dir), (100, 100))
+
+
+@query(f"with {POLYGONS} select set_name, id as feature_id, '{{\"type\": \"Feature\", \"geometry\": {{\"type\": \"Polygon\", \"coordinates\": [[' || string_agg('[' || x::double || ', ' || y::double || ']', ', ' order by vertex) || case when arg_min(x, vertex) <> arg_max(x, vertex) or arg_min(y, vertex) <> arg_max(y, vertex) then ', [' || arg_min(x, vertex)::double || ', ' || arg_min(y, vertex)::double || ']' else '' end || ']]}}, \"properties\": {{\"classification\": {{\"name\": \"s' || set_name || '\"}}}}}}' as feature from v group by set_name, id")
+def geojson_features(spark, sf_dir):
+    """Polygons as GeoJSON text, their rings closed."""
+    v = polygons(spark, sf_dir).withColumns({c: F.floor(c).cast("double") for c in "xy"})
+    return shapes.to_geojson(v)
+
+
+@query(f"with {POLYGONS}, last as (select set_name, max(id) as last from v group by 1) select set_name, id as feature_id, vertex, x::double as x, y::double as y from v union all select set_name, id + last + 1, vertex, x * 2.0, y * 2.0 from v join last using (set_name) where id % 3 = 0")
+def shape_add(spark, sf_dir):
+    """A set with some of its shapes, doubled, added once more."""
+    v = polygons(spark, sf_dir).withColumns({c: F.floor(c).cast("double") for c in "xy"})
+    return shapes.add(v, shapes.scale(v.filter("feature_id % 3 = 0"), 2.0)).select("set_name", "feature_id", "vertex", "x", "y")
+
+
+@query(f"with {POLYGONS} select set_name, id as feature_id, vertex, case when id % 3 = 0 then x + 0.5 else x end::double as x, y::double as y from v")
+def shape_update(spark, sf_dir):
+    v = polygons(spark, sf_dir).withColumns({c: F.floor(c).cast("double") for c in "xy"})
+    moved = v.filter("feature_id % 3 = 0").withColumn("x", F.col("x") + 0.5)
+    return shapes.update(v, moved).select("set_name", "feature_id", "vertex", "x", "y")
+
+
+@query(f"with {POLYGONS} select set_name, 'Polygon' as shape_type, 's' || set_name as shape_name, count(distinct id) as n_shapes from v group by set_name")
+def shape_counts(spark, sf_dir):
+    return shapes.counts(polygons(spark, sf_dir))
+
+
+@query("with r as (select unnest(generate_series(0, (select max(vec_id) from embeddings) // 50)) as k), b as (select k, max(vec_id) - k * 50 + 1 as h from r join embeddings on vec_id // 50 = k group by k) select k * 2 + s as feature_id, (s * 32)::double as x0, (k * 50)::double as y0, (s * 32 + 32)::double as x1, (k * 50 + h)::double as y1, 4::bigint as n_vertices from b, (select unnest([0, 1]) as s)")
+def label_outlines(spark, sf_dir):
+    """The plane in labelled blocks of 50 x 32, turned back into polygons."""
+    from .operators import contours
+
+    raster = plane(spark, sf_dir).select(F.lit("set").alias("set_name"), "y", "x", (F.floor(F.col("y") / 50) * 2 + F.floor(F.col("x") / 32) + 1).alias("v"))
+    return shapes.bounding_boxes(contours.label_polygons(raster), "feature_id")
+
+
+@query(f"with {P}, r as (select (y // 50) * 2 + x // 32 + 1 as label, y, x from p) select label, min(x) as x, min(y) as y, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h, count(*) as area from r group by label")
+def label_boxes(spark, sf_dir):
+    raster = plane(spark, sf_dir).select(F.lit("set").alias("set_name"), "y", "x", (F.floor(F.col("y") / 50) * 2 + F.floor(F.col("x") / 32) + 1).alias("v"))
+    return shapes.label_boxes(raster).drop("set_name")
+
+
+# --- B-splines
+
+#: Coefficients by place, x and then y, of a grid of 14 x 14.
+SPLINE = tf.Transform("bspline", tuple(((i * 7 + j * 3 + c * 5) % 17 - 8) * 0.7310585 for c in (0, 1) for j in range(14) for i in range(14)), size=(1000, 1000), grid_size=(14, 14), grid_spacing=(100.0, 100.0), grid_origin=(-150.0, -150.0))
+
+
+def _weight(k: str, u: str) -> str:
+    return f"(case {k} when 0 then (1 - {u}) ** 3 when 1 then 3 * {u} ** 3 - 6 * {u} ** 2 + 4 when 2 then -3 * {u} ** 3 + 3 * {u} ** 2 + 3 * {u} + 1 else {u} ** 3 end / 6)"
+
+
+SPLINED = f"""{L}, k as (select unnest([0, 1, 2, 3]) as k), u as (select *, (x + 150.0) / 100.0 as ux, (y + 150.0) / 100.0 as uy from l),
+near as (select l_orderkey, l_linenumber, x, y, floor(ux)::bigint - 1 + a.k as i, floor(uy)::bigint - 1 + b.k as j, {_weight('a.k', '(ux - floor(ux))')} * {_weight('b.k', '(uy - floor(uy))')} as w from u, k a, k b),
+d as (select l_orderkey, l_linenumber, x, y, sum(w * ((i * 7 + j * 3) % 17 - 8) * 0.7310585) as dx, sum(w * ((i * 7 + j * 3 + 5) % 17 - 8) * 0.7310585) as dy, count(*) // 16 as n from near group by all)"""
+
+
+@query(f"with {SPLINED} select l_orderkey, l_linenumber, x, y, round(x + dx / n, 6) + 0.0 as mx, round(y + dy / n, 6) + 0.0 as my, n from d")
+def bspline_forward(spark, sf_dir):
+    """Points through a cubic B-spline grid; n: how often the same point is in its order."""
+    p = points(spark, sf_dir).groupBy("l_orderkey", "l_linenumber", "x", "y").agg(F.count("*").alias("n"))
+    moved = shapes.mapped_by(p.withColumns({"mx": F.col("x"), "my": F.col("y")}), tf.Sequence().add([SPLINE]), ("mx", "my"))
+    return moved.select("l_orderkey", "l_linenumber", "x", "y", *r6("mx", "my"), "n")
+
+
+@query(f"with {L} select l_orderkey, l_linenumber, x, y from l")
 def bspline_points(spark, sf_dir):
-    """Points through a B-spline grid and a turn."""
-    rng = np.random.default_rng(3)
-    spline = tf.Transform("bspline", tuple(rng.uniform(-8, 8, 2 * 14 * 14)), size=(1000, 1000), grid_size=(14, 14), grid_spacing=(100.0, 100.0), grid_origin=(-150.0, -150.0))
-    return shapes.transform(points(spark, sf_dir), tf.Sequence().add([EULER, spline]))
+    """Points through the inverse of a B-spline grid and a turn, and back through both: each returns to itself."""
+    # the turn comes first, about the middle and small, so that all points stay on the grid
+    seq = tf.Sequence().add([tf.Transform("euler", (0.02, 1.0, -2.0), (500.0, 500.0)), SPLINE], [0, 1])
+    back = shapes.mapped_by(shapes.transform(points(spark, sf_dir), seq), seq)
+    return back.select("l_orderkey", "l_linenumber", *[(F.round(c, 3) + 0.0).alias(c) for c in "xy"])
+
+
+# --- graphs on the driver, from nations and regions
+
+
+def project_graph(spark, sf_dir) -> graph.Graph:
+    """Nation k is aligned to its region through nation k // 2, the first one straight; every fifth has an image attached, every seventh shapes; three merges."""
+    n = [tuple(r) for r in t(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
+    g = graph.Graph()
+    for k, name in n:
+        g.add_image(f"N{k}", f"{name}.tiff", 0.5 + k, [name])
+    g.add_image("R", "region.tiff", 2.0, output_res=4.0)
+    g.add_path("N0", "R")
+    for k, _ in n[1:]:
+        g.add_path(f"N{k}", "R", f"N{k // 2}", ("rigid", "affine"))
+    for k, _ in n[::5]:
+        g.attach_image(f"N{k}", f"A{k}")
+    for k, _ in n[::7]:
+        g.attach_shapes(f"N{k}", f"S{k}")
+    for k in (1, 2, 3):
+        g.add_merge(f"M{k}", [f"N{k}", f"N{k + 10}"])
+    return g
+
+
+PARENTS = "a as (select n_nationkey as k from nation), h(start, hop, source) as (select k, 0, k from a union all select start, hop + 1, source // 2 from h where source > 0)"
+
+
+@query(f"with recursive {PARENTS} select 'N' || start as modality, hop::integer as hop, 'N' || source as source, case when source = 0 then 'R' else 'N' || (source // 2) end as target from h")
+def graph_hops(spark, sf_dir):
+    return project_graph(spark, sf_dir).tables(spark)["hop"]
+
+
+@query("select 'N' || n_nationkey as name, n_name || '.tiff' as image, 0.5 + n_nationkey as image_res, null::varchar as attached_to from nation union all select 'R', 'region.tiff', 2.0, null union all select 'A' || n_nationkey, '', 0.5 + n_nationkey, 'N' || n_nationkey from nation where n_nationkey % 5 = 0")
+def graph_images(spark, sf_dir):
+    return project_graph(spark, sf_dir).tables(spark)["image"]
+
+
+@query("with o as (select 1 as part, n_nationkey as k, 'N' || n_nationkey as name from nation where n_nationkey not in (1, 2, 3, 11, 12, 13) union all select 2, n_nationkey, 'A' || n_nationkey from nation where n_nationkey % 5 = 0 union all select 3, k, 'M' || k from (select unnest([1, 2, 3]) as k) union all select 4, 0, 'R') select (row_number() over (order by part, k) - 1)::integer as place, name from o")
+def graph_outputs(spark, sf_dir):
+    """What a project writes, in order; merged images aren't written alone."""
+    return spark.createDataFrame(list(enumerate(project_graph(spark, sf_dir).outputs())), "place int, name string")
+
+
+@query(f"""with recursive {PARENTS}, gone as (select distinct start as k from h where source = 5),
+merges as (select k, k as a, k + 10 as b from (select unnest([1, 3]) as k))
+select 'image' as kind, 'N' || k as name from a where k <> 5 union all select 'image', 'R' union all select 'image', 'A' || k from a where k % 5 = 0 and k <> 5
+union all select 'path', 'N' || k from a where k not in (select k from gone) union all select 'edge', 'N' || k || '-' || case when k = 0 then 'R' else 'N' || (k // 2) end from a where k not in (select k from gone) and k <> 5 and k // 2 <> 5
+union all select 'shapes', 'S' || k from a where k % 7 = 0 and k <> 7 union all select 'merge', 'M' || k from merges where a <> 5 and b <> 5""")
+def graph_removal(spark, sf_dir):
+    """An image goes with the paths that use it, a shape set and a merge alone."""
+    g = project_graph(spark, sf_dir)
+    g.remove("N5")
+    g.remove("S7")
+    g.remove_merge("M2")
+    rows = [("image", n) for n in g.nodes] + [("path", s) for s in g.paths] + [("edge", f"{e.source}-{e.target}") for e in g.edges] + [("shapes", n) for n in g.shapes] + [("merge", n) for n in g.merges]
+    return spark.createDataFrame(rows, "kind string, name string")
+
+
+@query("select 'N' || n_nationkey as source, case when n_nationkey = 0 then 'R' else 'N' || (n_nationkey // 2) end as target, case when n_nationkey = 0 then 'rigid' else 'rigid,affine' end as params, n_nationkey % 4 <> 0 as registered from nation")
+def graph_reset(spark, sf_dir):
+    """All edges aligned, then every fourth to be aligned anew."""
+    from dataclasses import replace
+
+    g = project_graph(spark, sf_dir)
+    g.edges = [replace(e, registered=True, transforms=(EULER,)) for e in g.edges]
+    g.reset([e.source for e in g.edges][::4])
+    return g.tables(spark)["edge"].withColumn("params", F.array_join("params", ","))
+
+
+@query("select 'N' || n_nationkey as name, n_name || '.tiff' as image, 0.5 + n_nationkey as image_res, n_name as channels, case when n_nationkey = 0 then 'R' else 'N' || (n_nationkey // 2) || ',R' end as path, case when n_nationkey % 2 = 0 then 90 else 0 end::double as rotate, null::double as output_res from nation union all select 'R', 'region.tiff', 2.0, '', null, 0, 4.0")
+def configuration(spark, sf_dir):
+    """The graph and preprocessing as a configuration's text, and read again."""
+    from . import config
+    from .project import Prepro
+
+    g = project_graph(spark, sf_dir)
+    own = {n.name: Prepro(rotate=90.0 if n.name[1:] and int(n.name[1:]) % 2 == 0 else 0.0) for n in g.nodes.values() if n.attached_to is None}
+    data = config.check(config.parse(config.text_of(config.dump(g, "p", "o", own))))
+    back, prepro = config.load(data), config.prepros(data)
+    rows = [(n.name, n.image, n.image_res, ",".join(n.channel_names), ",".join(back.paths[n.name]) if n.name in back.paths else None, float(prepro[n.name].rotate), n.output_res) for n in back.nodes.values() if n.attached_to is None]
+    return spark.createDataFrame(rows, "name string, image string, image_res double, channels string, path string, rotate double, output_res double")
+
+
+# --- what the driver knows by heart, against written-out values
+
+
+def fixed(schema: str, rows: str):
+    """A query whose rows are made on the driver, against these values."""
+    kinds = dict(x.split() for x in schema.split(", "))
+    cast = ", ".join(f"{k}::{ {'string': 'varchar', 'int': 'integer'}.get(v, v)} as {k}" for k, v in kinds.items())
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: spark.createDataFrame(f(), schema)
+        ORACLE[f.__name__] = f"select {cast} from (values {rows}) v({', '.join(kinds)})"
+        return f
+
+    return register
+
+
+@fixed("name string, kind string, metric string, resolutions int, iterations int, samples int, bins int, grid double", "('rigid', 'euler', 'mutual_information', 10, 200, 10000, 16, null::double), ('affine', 'affine', 'mutual_information', 10, 200, 10000, 32, null), ('similarity', 'similarity', 'mutual_information', 10, 200, 10000, 32, null), ('nl', 'bspline', 'mutual_information', 10, 200, 50000, 32, 100), ('fi_correction', 'euler', 'mutual_information', 4, 75, 10000, 16, null), ('nl-reduced', 'bspline', 'mutual_information', 5, 150, 50000, 32, 100), ('nl_mid', 'bspline', 'mutual_information', 5, 200, 50000, 32, 150), ('rigid-expanded', 'euler', 'mutual_information', 10, 500, 30000, 16, null), ('nl3', 'bspline', 'mutual_information', 1, 1000, 125000, 32, 200), ('nl2', 'bspline', 'mutual_information', 10, 200, 15000, 32, 75), ('affine_test', 'affine', 'mutual_information', 10, 10, 10000, 32, null), ('nl_ams', 'bspline', 'mean_squares', 10, 200, 50000, 32, 100), ('rigid_anc', 'euler', 'correlation', 10, 200, 10000, 16, null)")
+def alignment_models():
+    from .operators import register
+
+    names_ = ("rigid", "affine", "similarity", "nl", "fi_correction", "nl-reduced", "nl_mid", "rigid-expanded", "nl3", "nl2", "affine_test", "nl_ams", "rigid_anc")
+    found = zip(names_, register.models_of(names_), strict=True)
+    return [(n, m.kind, m.metric, m.resolutions, m.iterations, m.samples, m.bins, float(m.grid) if m.kind == "bspline" else None) for n, m in found]
+
+
+@fixed("kind string, channels string, max_projection boolean, contrast boolean, invert boolean, box string", "('FL', '3', true, true, false, null), ('BF', '', false, false, true, '1,2,3,4'), ('FL', '0,2', false, false, false, null)")
+def preprocessing_rules():
+    from .config import prepro_of
+
+    blocks = ({"image_type": "FL", "ch_indices": 3, "contrast_enhance": True, "invert_intensity": True}, {"image_type": "BF", "contrast_enhance": True, "invert_intensity": True, "mask_bbox": [1, 2, 3, 4]}, {"ch_indices": [0, 2], "max_int_proj": False})
+    rules = [prepro_of("a", b).effective() for b in blocks]
+    return [(p.image_type, ",".join(map(str, p.channels)), p.max_projection, p.contrast, p.invert, ",".join(map(str, p.box)) if p.box else None) for p in rules]
+
+
+@fixed("place int, seq_idx int, ordinal int, kind string, x double, y double", "(0, 0, 0, 'euler', 7.0, 3.0), (1, 1, 1, 'affine', 7.0, 3.0), (2, 2, 4, 'euler', 7.0, 3.0), (3, 2, 3, 'translation', 7.0, 3.0), (4, 2, 2, 'similarity', 7.0, 3.0)")
+def transform_files():
+    """Transforms saved as JSON and read again: groups, the order of the composite, and a point through it and back."""
+    from . import config
+
+    first = [EULER, AFFINE]
+    hop = [SIMILARITY, SHIFT, EULER]
+    seq = config.load_transforms(config.save_transforms(first, [("target", hop[::-1])]))
+    seq = tf.Sequence().add(seq.transforms, seq.groups)
+    back = shapes.inverse_points(seq, shapes.map_points(seq, np.array([[7.0, 3.0]]))).round(6)[0]
+    place = {i: k for k, i in enumerate(seq.order())}
+    return [(k, g, place[k], x.kind, float(back[0]), float(back[1])) for k, (g, x) in enumerate(zip(seq.groups, seq.transforms, strict=True))]
+
+
+@fixed("rule string, w int, h int, spacing double", "('own', 200, 100, 0.65), ('coarser', 65, 33, 2.0), ('finer', 260, 130, 0.5)")
+def output_rules():
+    rules = {"own": None, "coarser": 2.0, "finer": 0.5}
+    return [(k, *tf.OutputRule((200, 100), 0.65, r).grid()[0], tf.OutputRule((200, 100), 0.65, r).grid()[1]) for k, r in rules.items()]
+
+
+@fixed("place int, name string", "(0, 'a - DAPI'), (1, 'a - C1'), (2, 'b - red')")
+def merged_channel_names():
+    return list(enumerate(names.merge_names(["a", "b"], [["DAPI", "C1"], ["red"]])))
+
+
+@fixed("w int, h int, channels string, res double", "(640, 480, 'one,two & three', 0.5)")
+def image_descriptions():
+    """The description written with an image, and read again."""
+    told, res = images.xml_info(images.image_xml(480, 640, ["one", "two & three"], "uint16", False, 0.5))
+    return [(640, 480, ",".join(told), res)]
+
+
+# --- tiles
+
+
+@query(f"with {C} select channel, y, x, v from c")
+def tile_round_trip(spark, sf_dir):
+    """Pixels as tiles of 48 and back."""
+    return resample.to_pixels(resample.to_tiles(channels(spark, sf_dir), 48, "uint8")).select("channel", "y", "x", "v")
+
+
+@query(f"with {P}, o as (select y, x, floor(round(x * 0.8 + y * 0.3 + 2.25, 9) + 0.5)::bigint as sx, floor(round(x * -0.2 + y * 1.1 + 5.5, 9) + 0.5)::bigint as sy from (select unnest(generate_series(0, 79)) as x), (select unnest(generate_series(0, 199)) as y)) select o.y::bigint as y, o.x::bigint as x, p.v as v from o join p on p.x = sx and p.y = sy where p.v > 0")
+def tile_resample(spark, sf_dir):
+    """What nearest_resample gives, by tiles."""
+    turn = tf.Transform("affine", (0.8, 0.3, -0.2, 1.1, 2.25, 5.5), size=(80, 200))
+    h = t(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    tiles = resample.resample_tiles(resample.to_tiles(plane(spark, sf_dir), 32, "uint8"), (64, h), tf.Sequence().add([turn]), 1.0, 32)
+    return resample.to_pixels(tiles).filter("v > 0").select("y", "x", "v")
+
+
+@query(f"with {P}, h as (select max(y) + 1 as h from p) select y // 4 as y, x // 4 as x, avg(v) as v from p, h where y < h // 4 * 4 group by 1, 2")
+def tile_pyramid(spark, sf_dir):
+    """The second level below, by halving tiles twice."""
+    h = t(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    tiles = resample.to_tiles(plane(spark, sf_dir), 32, "uint8")
+    small = images.halved_tiles(images.halved_tiles(tiles, 64, h, 32), 32, h // 2, 32)
+    return resample.to_pixels(small).select("y", "x", "v")
+
+
+@query("select 'x' as edge_id, true as found union all select 'y', true union all select 'z', true")
+def register_shift(spark, sf_dir):
+    """Three planes whose shifts are known, aligned in one job: each is found to within a pixel."""
+    from .operators import register
+
+    y, x = np.mgrid[0:96, 0:96]
+    picture = lambda u, v: 127 + 60 * np.sin((x + u) / 9.0) * np.cos((y + v) / 7.0) + 60 * np.exp(-(((x + u - 40) / 20.0) ** 2) - ((y + v - 50) / 15.0) ** 2)
+    shifts = {"x": (3.0, -2.0), "y": (-1.5, 2.5), "z": (0.0, 0.0)}
+    raw = lambda a: bytearray(a.astype(np.float32).tobytes())
+    rows = [(k, raw(picture(*s)), raw(picture(0, 0)), 96, 96, 96, 96, "float32") for k, s in shifts.items()]
+    edges = spark.createDataFrame(rows, "edge_id string, fixed binary, moving binary, h int, w int, mh int, mw int, dtype string")
+    got = register.register_edges(edges, register.Model("translation", "mean_squares", 3, 80, 4000))
+    want = F.create_map(*[F.lit(v) for k, s in shifts.items() for v in (k, F.array(F.lit(s[0]), F.lit(s[1])))])[F.col("edge_id")]
+    near = lambda i: F.abs(F.col("params")[i] - want[i]) < 1.0
+    return got.select("edge_id", (near(0) & near(1)).alias("found"))
+
+
+# --- no SQL
 
 
 @query()

@@ -169,6 +169,11 @@ def series_of(pages: list[dict]) -> list[dict]:
     return [p for p in pages if (p[WIDTH], p[LENGTH]) == (first[WIDTH], first[LENGTH])]
 
 
+def largest_series(pages: DataFrame, key: str, place: str, size: str) -> DataFrame:
+    """(key, largest, n): of each file's pages the place of the largest, the first of equals, and how many there are."""
+    return pages.groupBy(key).agg(F.max_by(place, F.struct(size, -F.col(place))).alias("largest"), F.count("*").alias("n"))
+
+
 def files_at(path: str) -> list[str]:
     """The file, or the TIFF files right in a folder, by name."""
     from pyarrow import fs

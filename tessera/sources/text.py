@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.shapes import VERTICES, shape_name, vertices_of
@@ -51,6 +51,12 @@ def read_iterations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(name, r"IterationInfo\.(\d+)\.R(\d+)", 1).cast("int").alias("model"), F.regexp_extract(name, r"IterationInfo\.(\d+)\.R(\d+)", 2).cast("int").alias("resolution"), *[F.col(c.split()[0]) for c in ITERATION.split(", ")])
 
 
+def series(log: DataFrame, keys: list[str], order: list[str], metric: str) -> DataFrame:
+    """A log's rows with their place in their own run (iteration, from 1) and how the metric changed from the row before (delta)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return log.withColumns({"iteration": F.row_number().over(w).cast("long"), "delta": F.col(metric) - F.lag(metric).over(w)})
+
+
 def per_resolution(name: Column) -> Column:
     """Whether a file of transform parameters is that of one resolution: its name has more than three dotted parts."""
     return F.size(F.split(name, r"\.")) > 3

@@ -1,4 +1,4 @@
-"""Command line: checks a configuration and shows what would be aligned and written, carries it out, or maps a shape file through saved transforms."""
+"""Command line: checks a configuration and shows what would be aligned and written, carries it out, or maps an image or a shape file through saved transforms."""
 
 from __future__ import annotations
 
@@ -20,6 +20,12 @@ def main(args: list[str] | None = None) -> int:
     do.add_argument("--kind", choices=runner.FORMATS, default="tiles", help="what images are written as")
     do.add_argument("--keep-crop", action="store_true", help="write targets' crops alone, not their whole extent")
     do.add_argument("--match-histograms", action="store_true", help="give moving planes the fixed ones' distribution before alignment")
+    image = commands.add_parser("image", help="map one image through transforms")
+    for name in ("image", "transforms", "output"):
+        image.add_argument(name)
+    image.add_argument("--tile", type=int, default=512)
+    image.add_argument("--source-res", type=float, default=None, help="the image's pixel size, where its file doesn't say")
+    image.add_argument("--interpolation", choices=("nearest", "linear"), default="nearest")
     move = commands.add_parser("shapes", help="map GeoJSON through transforms")
     for name in ("shapes", "transforms", "output"):
         move.add_argument(name)
@@ -40,6 +46,10 @@ def main(args: list[str] | None = None) -> int:
     if got.command == "run":
         print(*runner.run(spark, config.parse(Path(got.config).read_text()), got.output, got.tile, got.kind, to_original_size=not got.keep_crop, match=got.match_histograms), sep="\n")
         return 0
+    if got.command == "image":
+        runner.transform_file(spark, got.image, config.load_transforms(Path(got.transforms).read_text()), got.output, got.tile, got.interpolation, got.source_res)
+        print(got.output)
+        return 0
     sequence = config.load_transforms(Path(got.transforms).read_text())
     text.write_geojson(shapes.to_geojson(shapes.transform(text.read_geojson(spark, got.shapes), sequence, source_res=got.source_res)), got.output)
     return 0

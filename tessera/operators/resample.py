@@ -154,8 +154,10 @@ def resample_plane(plane: np.ndarray, sequence: Sequence, source_res: float, kin
 
 def transform_image(tiles: DataFrame, source_size: tuple[int, int], transforms, source_res: float, tile: int = 512, kind: str = "nearest") -> DataFrame:
     """All channels of an image, colours too, through a sequence, transform JSON, or a list of key-to-values maps that count as one group."""
+    return resample_tiles(tiles, source_size, sequence_of(transforms), source_res, tile, kind)
+
+
+def sequence_of(transforms) -> Sequence:
     if isinstance(transforms, Sequence):
-        sequence = transforms
-    else:
-        sequence = read_sequence({"all": transforms} if isinstance(transforms, list) else transforms)
-    return resample_tiles(tiles, source_size, sequence, source_res, tile, kind)
+        return transforms
+    return read_sequence({"all": transforms} if isinstance(transforms, list) else transforms)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from . import config as cf
 from .functions.names import merge_names
-from .operators import pixels as px
 from .operators import register, resample, shapes
 from .plots import write_plots
 from .project import Project
@@ -28,12 +27,14 @@ def read_image(spark: SparkSession, path: str, tile: int) -> tuple[DataFrame, fo
     return formats.retiled(formats.read(spark, path), tile).drop("level"), formats.info(spark, path)
 
 
-def write_image(tiles: DataFrame, path: str, kind: str, size: tuple[int, int], channels: int, dtype: str, tile: int, names: list[str], rgb: bool, res: float, pyramid: bool = True) -> None:
+def write_image(tiles: DataFrame, path: str, kind: str, size: tuple[int, int], channels: int, dtype: str, tile: int, names: list[str], rgb: bool, res: float, pyramid: bool = True, colors: tuple[str, ...] = ()) -> None:
     """Tiles of the full size (without a level) as one of FORMATS. Tiles that are missing are 0."""
+    if len(names) != channels or (colors and len(colors) != channels):
+        raise ValueError(f"{path}: {channels} channels, but {len(names)} names and {len(colors)} colours")
     if kind == "tiff":
         images.write_tiff(tiles, path, size, channels, dtype, tile, tuple(names), rgb, res, pyramid)
     elif kind == "zarr":
-        images.write_chunks(tiles, path, size, channels, dtype, tile, tuple(names), pyramid)
+        images.write_chunks(tiles, path, size, channels, dtype, tile, tuple(names), pyramid, colors)
     else:
         images.write_tiles(tiles.withColumn("level", F.lit(0)).select(*images.NAMES), path)
 
@@ -61,14 +62,7 @@ def run(spark: SparkSession, config: dict, output: str | None = None, tile: int
     if config["cache_images"]:
         # what alignment reads is kept beside its parameters and read again only for the same ones
         pixels = {n: cache.cached(p, f"{output}/cache", n, {"image": graph.nodes[n].image}) if n in own and any(n in (e.source, e.target) for e in graph.edges) else p for n, p in pixels.items()}
-    masks = {}
-    for name, node in graph.nodes.items():
-        if node.mask:
-            if suffix_is_shapes(node.mask):
-                drawn = shapes.rasterise(text.read_geojson(spark, node.mask), infos[name].size, labels=False)
-                masks[name] = px.whole(drawn.select(F.lit(name).alias("image_id"), F.lit(0).alias("channel"), "y", "x", F.col("v").cast("double").alias("v")), *infos[name].size)
-            else:
-                masks[name] = resample.to_pixels(formats.read(spark, node.mask))
+    masks = {name: formats.read_mask(spark, node.mask, infos[name].size, name) for name, node in graph.nodes.items() if node.mask}
     project = Project(graph, pixels, {n: i.size for n, i in infos.items()}, own, {n for n, i in infos.items() if i.rgb}, masks=masks)
     project.register(spark, models, match)
     written = []
@@ -89,7 +83,8 @@ def run(spark: SparkSession, config: dict, output: str | None = None, tile: int
         names = of[0] if len(members) == 1 else merge_names(list(members), of)
         path = f"{output}/{name}.{kind}"
         rgb = len(members) == 1 and infos[members[0]].rgb
-        write_image(df, path, kind, sequences[0].size, before, dtype, tile, names, rgb, sequences[0].spacing[0])
+        colors = tuple(c for m in members for c in graph.nodes[m].channel_colors)
+        write_image(df, path, kind, sequences[0].size, before, dtype, tile, names, rgb, sequences[0].spacing[0], colors=colors if len(colors) == before else ())
         written.append(path)
     for name, hops in graph.transform_paths().items():
         path = f"{output}/{name}_transformations.json"
@@ -110,5 +105,13 @@ def run(spark: SparkSession, config: dict, output: str | None = None, tile: int
     return [*written, path]
 
 
-def suffix_is_shapes(path: str) -> bool:
-    return formats.suffix(path) in ("json", "geojson", "zip")
+def transform_file(spark: SparkSession, source: str, transforms, output: str, tile: int = 512, interpolation: str = "nearest", res: float | None = None, pyramid: bool = True) -> None:
+    """One image through a sequence, transform JSON or a list of key-to-values maps, written as what the output's suffix says. res: the source's pixel size, else what its file says, else 1."""
+    kind = {"tif": "tiff"}.get(formats.suffix(output), formats.suffix(output))
+    if kind not in FORMATS:
+        raise ValueError(f"{output}: one of .tiff, .zarr and .tiles is written")
+    tiles, info = read_image(spark, source, tile)
+    sequence = resample.sequence_of(transforms)
+    moved = resample.resample_tiles(tiles, info.size, sequence, res or info.res or 1.0, tile, interpolation)
+    names = list(info.names) or [f"C{k}" for k in range(info.channels)]
+    write_image(moved, output, kind, sequence.size, info.channels, info.dtype, tile, names, info.rgb, sequence.spacing[0], pyramid)

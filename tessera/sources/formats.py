@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import shapes
+from ..operators.pixels import threshold_mask, whole
+from ..operators.resample import to_pixels
 from . import images
 from .images import ARROW, NAMES, TILES, Info, opened, reader
+from .text import read_geojson
 
 
 def suffix(path: str) -> str:
@@ -73,6 +77,20 @@ def read(spark: SparkSession, source, name: str | None = None, tile: int = 512,
     return out if name is None else out.withColumn("image_id", F.lit(name))
 
 
+#: Suffixes of files of shapes.
+SHAPES = ("json", "geojson", "zip")
+
+
+def read_mask(spark: SparkSession, source, size: tuple[int, int], name: str = "mask") -> DataFrame:
+    """A mask's pixels (image_id, channel, y, x, v), 1 within it and 0 without: an image, an array, or a file of shapes that are filled on a raster of size (w, h)."""
+    if isinstance(source, str) and suffix(source) in SHAPES:
+        drawn = shapes.rasterise(read_geojson(spark, source).withColumn("set_name", F.lit(name)), size, labels=False)
+        named = drawn.select(F.lit(name).alias("image_id"), F.lit(0).alias("channel"), "y", "x", F.lit(1.0).alias("v"))
+        return whole(named, *size)
+    pixels = to_pixels(read(spark, source, name, channel=0))
+    return pixels.withColumn("v", threshold_mask(F.col("v")).cast("double"))
+
+
 # --- arrays
 
 

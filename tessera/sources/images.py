@@ -454,7 +454,7 @@ class TiffPage:
         return struct.pack("<Q", len(entries)) + table + struct.pack("<Q", following) + more
 
 
-def write_chunks(tiles: DataFrame, path: str, size: tuple[int, int], channels: int, dtype: str, tile: int, names: tuple[str, ...] = (), pyramid: bool = True) -> None:
+def write_chunks(tiles: DataFrame, path: str, size: tuple[int, int], channels: int, dtype: str, tile: int, names: tuple[str, ...] = (), pyramid: bool = True, colors: tuple[str, ...] = ()) -> None:
     """Writes an image's tiles of the full size as a chunked directory with its levels and metadata. Each task writes the files of its own chunks; to write one again makes the same file."""
     w, h = size
     tiles = tiles.drop("level")
@@ -471,7 +471,7 @@ def write_chunks(tiles: DataFrame, path: str, size: tuple[int, int], channels: i
         system.create_dir(f"{where}/{k}", recursive=True)
         write(system, f"{k}/.zarray", json.dumps({"zarr_format": 2, "shape": [channels, h_, w_], "chunks": [1, tile, tile], "dtype": code, "compressor": {"id": "zlib", "level": 6}, "fill_value": 0, "order": "C", "filters": None}).encode())
     write(system, ".zgroup", json.dumps({"zarr_format": 2}).encode())
-    write(system, ".zattrs", multiscales(len(sizes), list(names) or [f"C{k}" for k in range(channels)], dtype).encode())
+    write(system, ".zattrs", multiscales(len(sizes), list(names) or [f"C{k}" for k in range(channels)], dtype, colors).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = opened(path)
@@ -530,26 +530,6 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TILES).parquet(path).select(*NAMES)
 
 
-def chunk_records(tiles: DataFrame, tile: int) -> DataFrame:
-    """(key, content): the entries of a chunked directory (version 2, zlib) with a group for each image: its array "level" has shape (channel, y, x) and chunks of one channel's tile."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, contents = [], []
-            for r in batch.to_pylist():
-                block = np.zeros((tile, tile), r["dtype"])
-                block[: r["h"], : r["w"]] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"])
-                keys.append(f"{r['image_id']}/{r['level']}/{r['channel']}.{r['ty']}.{r['tx']}")
-                contents.append(zlib.compress(block.tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(contents, pa.binary())], ["key", "content"])
-
-    chunks = tiles.mapInArrow(run, "key string, content binary")
-    shapes = tiles.groupBy("image_id", "level").agg((F.max("channel") + 1).alias("c"), F.max(F.col("y0") + F.col("h")).alias("h"), F.max(F.col("x0") + F.col("w")).alias("w"), F.first("dtype").alias("dtype"))
-    code = F.create_map(*[F.lit(x) for kv in (("uint8", "|u1"), ("uint16", "<u2"), ("uint32", "<u4"), ("int32", "<i4"), ("float32", "<f4"), ("float64", "<f8")) for x in kv])
-    array = F.to_json(F.struct(F.lit(2).alias("zarr_format"), F.array("c", "h", "w").alias("shape"), F.array(F.lit(1), F.lit(tile), F.lit(tile)).alias("chunks"), code[F.col("dtype")].alias("dtype"), F.struct(F.lit("zlib").alias("id"), F.lit(1).alias("level")).alias("compressor"), F.lit(0).alias("fill_value"), F.lit("C").alias("order")))
-    return chunks.unionByName(shapes.select(F.concat_ws("/", "image_id", F.col("level").cast("string"), F.lit(".zarray")).alias("key"), array.cast("binary").alias("content")))
-
-
 def image_xml(h: int, w: int, names: list[str], dtype: str, rgb: bool = False, spacing: float = 1.0) -> str:
     """The description that goes with a written image."""
     from xml.sax.saxutils import quoteattr
@@ -558,7 +538,8 @@ def image_xml(h: int, w: int, names: list[str], dtype: str, rgb: bool = False, s
     return f'<?xml version="1.0" encoding="UTF-8"?><OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0"><Pixels ID="Pixels:0" DimensionOrder="XYCZT" Type="{dtype}" SizeX="{w}" SizeY="{h}" SizeC="{3 if rgb else len(names)}" SizeZ="1" SizeT="1" PhysicalSizeX="{spacing}" PhysicalSizeY="{spacing}">{channels}</Pixels></Image></OME>'
 
 
-def multiscales(levels: int, names: list[str], dtype: str) -> str:
-    """The metadata of a chunked group: its levels, and each channel's name and window."""
+def multiscales(levels: int, names: list[str], dtype: str, colors: tuple[str, ...] = ()) -> str:
+    """The metadata of a chunked group: its levels, and each channel's name, window and, if given, colour."""
     top = int(np.iinfo(dtype).max) if np.dtype(dtype).kind in "ui" else 1
-    return json.dumps({"multiscales": [{"version": "0.1", "datasets": [{"path": str(k)} for k in range(levels)]}], "omero": {"channels": [{"label": n, "window": {"start": 0, "end": top}} for n in names]}})
+    channels = [{"label": n, "window": {"start": 0, "end": top}} | ({"color": colors[k].lstrip("#")} if colors else {}) for k, n in enumerate(names)]
+    return json.dumps({"multiscales": [{"version": "0.1", "datasets": [{"path": str(k)} for k in range(levels)]}], "omero": {"channels": channels}})

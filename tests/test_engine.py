@@ -231,8 +231,9 @@ def test_tiff_round_trip(spark, tmp_path, dtype):
         assert (images.planes(tiles, "im", k) == level).all()
     images.write_tiles(tiles, str(tmp_path / "tiles"))
     assert (images.planes(images.read_tiles(spark, str(tmp_path / "tiles")), "im") == a).all()
-    keys = {r["key"]: bytes(r["content"]) for r in images.chunk_records(tiles, 32).collect()}
-    assert json.loads(keys["im/0/.zarray"])["shape"] == [2, 70, 90] and "im/1/1.0.1" in keys
+    images.write_chunks(tiles.filter("level = 0"), str(tmp_path / "im.zarr"), (90, 70), 2, dtype, 32, ("a", "b"), colors=("#ff0000", "00ff00"))
+    assert json.loads((tmp_path / "im.zarr/0/.zarray").read_text())["shape"] == [2, 70, 90] and (tmp_path / "im.zarr/1/1.0.1").exists()
+    assert [c["color"] for c in json.loads((tmp_path / "im.zarr/.zattrs").read_text())["omero"]["channels"]] == ["ff0000", "00ff00"]
 
 
 def test_rgb_tiff(spark, tmp_path):

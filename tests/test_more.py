@@ -2,13 +2,14 @@
 
 import io
 import itertools
+import json
 import struct
 import zlib
 
 import numpy as np
 import pytest
 
-from tessera import plots
+from tessera import cli, config, plots, runner
 from tessera.operators import pixels as px
 from tessera.operators import register, resample, shapes
 from tessera.plans import graph
@@ -228,6 +229,38 @@ def test_czi_colours(spark, tmp_path):
     assert (grey == sum(np.floor(a[:, :, c] * px.GREY[c]) for c in range(3))).all()
 
 
+def test_masks_of_images_and_shapes(spark, tmp_path):
+    a = np.zeros((40, 50), np.uint8)
+    a[5:20, 10:30] = 9
+    (tmp_path / "m.json").write_text(json.dumps([{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[10, 5], [29, 5], [29, 19], [10, 19], [10, 5]]]}, "properties": {}}]))
+    np.save(tmp_path / "m.npy", a)
+    for source in (a, str(tmp_path / "m.npy"), str(tmp_path / "m.json")):
+        mask = formats.read_mask(spark, source, (50, 40))
+        assert (array(mask, 40, 50) == (a > 0)).all()
+        assert tuple(px.mask_box(mask, 2).select("x", "y", "w", "h").first()) == (8, 3, 24, 19)
+
+
+@pytest.mark.parametrize("kind", ["tiff", "zarr", "tiles"])
+def test_one_image_through_transforms(spark, tmp_path, kind):
+    a = np.random.default_rng(14).integers(0, 250, (100, 80, 3)).astype("uint8")
+    np.save(tmp_path / "a.npy", a)
+    shift = tf.Transform("translation", (8.0, -5.0), size=(80, 100), spacing=(0.5, 0.5))
+    (tmp_path / "t.json").write_text(config.save_transforms([], [("b", [shift])]))
+    out = str(tmp_path / f"o.{kind}")
+    assert cli.main(["image", str(tmp_path / "a.npy"), str(tmp_path / "t.json"), out, "--tile", "32", "--source-res", "0.5"]) == 0
+    want = np.zeros_like(a)
+    want[10:, :64] = a[:90, 16:]
+    for c in range(3):
+        got = formats.read(spark, out, channel=c)
+        plane = np.zeros((100, 80), np.uint8)
+        for r in got.collect():
+            plane[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = np.frombuffer(r["data"], r["dtype"]).reshape(r["h"], r["w"])
+        assert (plane == want[:, :, c]).all()
+    assert kind == "tiles" or formats.info(spark, out).size == (80, 100)
+    with pytest.raises(ValueError, match="channels"):
+        runner.write_image(got, out, kind, (80, 100), 3, "uint8", 32, ["a"], False, 1.0)
+
+
 # --- transforms
 
 

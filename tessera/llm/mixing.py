@@ -170,28 +170,29 @@ def fit(labelled: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     return found, spark.createDataFrame(rows, "lang string, topic string, by_kind double, rate double")
 
 
-def weigh(docs: DataFrame, mix: Mixture = Mixture(), topics: Column | None = None) -> DataFrame:
-    """docs with the struct _mix: topic, tokens, weight (its cell's factor), probability, sampled."""
+def weigh(docs: DataFrame, mix: Mixture = Mixture(), topics: Column | None = None, counts: Column | None = None) -> DataFrame:
+    """docs with the struct _mix: topic, tokens, weight (its cell's factor), probability, sampled. topics, counts: of columns of docs, in place of topic() and tokens()."""
     arrow(docs.sparkSession)
     text = F.col("text")
-    labelled = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (topic(F.coalesce(text, F.lit(""))) if topics is None else topics).alias("topic"), tokens(text).alias("tokens"))
+    labelled = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (topic(F.coalesce(text, F.lit(""))) if topics is None else topics).alias("topic"), (tokens(text) if counts is None else F.coalesce(counts.cast("long"), F.lit(0))).alias("tokens"))
     by_source, by_kind = fit(labelled, mix)
     if by_source.count() <= FEW_SOURCES:
         # then a source with a third of all rows stays where it is
         by_source = F.broadcast(by_source)
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    own = own.withColumn("_topic", topic(F.coalesce(F.col("_row.text"), F.lit(""))) if topics is None else topics)
+    own = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), (topic(F.coalesce(text, F.lit(""))) if topics is None else topics).alias("_topic"), (tokens(text) if counts is None else F.coalesce(counts.cast("long"), F.lit(0))).alias("_tokens")
+    )
     s, k = by_source.alias("s"), F.broadcast(by_kind).alias("k")
     joined = own.join(k, F.col("_row.lang").cast("string").eqNullSafe(F.col("k.lang")) & F.col("_topic").eqNullSafe(F.col("k.topic")), "left")
     joined = joined.join(s, F.col("_row.source").cast("string").eqNullSafe(F.col("s.source")), "left")
     weight = F.coalesce(F.col("by_source") * F.col("by_kind"), F.lit(1.0))
     chance = F.least(F.lit(1.0), weight * F.coalesce("rate", F.lit(mix.keep)))
-    return joined.select("_row", F.struct(F.col("_topic").alias("topic"), tokens(F.col("_row.text")).alias("tokens"), weight.alias("weight"), chance.alias("probability"), (draw(F.col("_row.doc_id")) < chance).alias("sampled")).alias("_mix"))
+    return joined.select("_row", F.struct(F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), weight.alias("weight"), chance.alias("probability"), (draw(F.col("_row.doc_id")) < chance).alias("sampled")).alias("_mix"))
 
 
-def sample(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
+def sample(docs: DataFrame, mix: Mixture = Mixture(), topics: Column | None = None, counts: Column | None = None) -> DataFrame:
     """The sampled documents with the columns they came with."""
-    return weigh(docs, mix).filter("_mix.sampled").select("_row.*")
+    return weigh(docs, mix, topics, counts).filter("_mix.sampled").select("_row.*")
 
 
 def op3_mixing_to_target_weights(spark, sf_dir: str) -> DataFrame:

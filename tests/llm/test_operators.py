@@ -131,6 +131,21 @@ def test_mixing_given_shares(spark):
     assert {(r["_row"]["source"], round(r["_mix"]["weight"], 6)) for r in got} == {("x", round(2 / 3, 6)), ("y", 2.0)}
 
 
+def test_mixing_by_columns_at_hand(spark):
+    rng = random.Random(18)
+    df = spark.createDataFrame([(i, "x", "en", "s", rng.choice(["news", "code"]), rng.randint(0, 90)) for i in range(600)], "doc_id long, text string, lang string, source string, topic string, n_tokens int")
+    mix = mixing.Mixture(shares={"topic": {"news": 0.25, "code": 0.75}}, keep=0.4)
+    got = [r["_mix"] for r in mixing.weigh(df, mix, mixing.F.col("topic"), mixing.F.col("n_tokens")).collect()]
+    total = sum(r["tokens"] for r in got)
+    assert total == df.agg({"n_tokens": "sum"}).first()[0]
+    assert sum(r["tokens"] * r["probability"] for r in got) == pytest.approx(0.4 * total, rel=1e-6)
+    assert sum(r["tokens"] * r["weight"] for r in got if r["topic"] == "code") == pytest.approx(0.75 * total, rel=1e-6)
+    assert mixing.sample(df, mix, mixing.F.col("topic"), mixing.F.col("n_tokens")).columns == df.columns
+    # repeated rows share their draw
+    twice = mixing.weigh(df.unionByName(df)).select("_row.doc_id", "_mix.sampled").distinct()
+    assert twice.count() == 600
+
+
 def test_mixing_awkward(spark):
     df = documents(spark, awkward())
     assert mixing.sample(df).columns == df.columns

@@ -241,9 +241,10 @@ def predict(docs: DataFrame, net: Network, *keep: str, with_text: bool = False)
         net = shared.value
         for whole in batches:
             place = whole.schema.get_field_index("text")
-            names = [*whole.schema.names, "filled"]
-            for batch in slices(iter([pa.RecordBatch.from_arrays([*whole.columns, whole.column(place).fill_null("")], names)]), column="filled"):
-                texts = batch.column("filled")
+            filled = max(whole.schema.names, key=len) + "_"  # a name of its own
+            names = [*whole.schema.names, filled]
+            for batch in slices(iter([pa.RecordBatch.from_arrays([*whole.columns, whole.column(place).fill_null("")], names)]), column=filled):
+                texts = batch.column(filled)
                 n = batch.num_rows
                 labels, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 if net.languages:

@@ -195,6 +195,12 @@ def test_sections_awkward(spark):
     assert attribution.count_tokens(documents(spark, awkward()).limit(0)).count() == 0
 
 
+def test_sections_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b\nc", 7), (1, "a b\nc", 7), (None, None, 7)], "doc_id long, text string, section int")
+    got = sorted((r["doc_id"] or 0, r["section"], r["n_tokens"]) for r in attribution.count_tokens(df).collect())
+    assert len(got) == 5 and got[0] == (0, 0, 0.0) and got[1] == got[2] and got[3] == got[4]
+
+
 def test_fields(spark):
     df = spark.createDataFrame([(1, "user", "hello there"), (2, None, "x")], "id long, role string, body string")
     got = {(r["doc_id"], r["section"]): r["n_tokens"] for r in attribution.count_fields(df, ["role", "body"], "id").collect()}
@@ -296,6 +302,12 @@ def test_secrets(spark):
         assert set(filter(None, told.split(","))) <= set(got[i]["spans"].split(","))
 
 
+def test_secrets_of_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "x"), (1, "token=abcdefgh", "x"), (None, None, None)], "doc_id long, text string, spans string").withColumn("n_hex", secrets.F.lit("y"))
+    got = sorted((r["doc_id"] or 0, r["n_assign"], r["spans"]) for r in secrets.scan(df).collect())
+    assert got == [(0, 0, ""), (1, 1, "assign:0:14"), (1, 1, "assign:0:14")] and secrets.scan(df.limit(0)).count() == 0
+
+
 def test_further_secrets(spark):
     texts = ["x ghp_" + "a1B2" * 9, "xoxb-12345678901-abc", "-----BEGIN RSA PRIVATE KEY-----", "sk_live_" + "a" * 20, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "clean text"]
     got = [r["spans"] for r in secrets.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]

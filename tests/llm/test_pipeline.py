@@ -72,7 +72,10 @@ def test_stages(spark):
 def test_stages_on_odd_tables(spark):
     docs = corpus(spark).withColumn("score", corpus_pipeline.F.lit(1)).withColumn("topic", corpus_pipeline.F.lit("t")).withColumn("component_id", corpus_pipeline.F.lit(2))
     twice = docs.unionByName(docs.filter("doc_id < 20"))
-    for df in (docs.limit(0), twice, docs.withColumn("lang", corpus_pipeline.F.lit(None).cast("string")).limit(30)):
+    clashing = twice
+    for name in ("_row", "lang_pred", "held_out", "_mix", "safe_text", "_place", "filled", "piece", "cluster"):
+        clashing = clashing.withColumn(name, corpus_pipeline.F.lit(None).cast("int"))
+    for df in (docs.limit(0), twice, clashing, docs.withColumn("lang", corpus_pipeline.F.lit(None).cast("string")).limit(30)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, "")
             assert name == "packing" or out.columns == df.columns

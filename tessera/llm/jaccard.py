@@ -10,9 +10,10 @@ is at least `percent` hundredths of its union. Steps:
    up to a coarser one, so that points of two sizes can be compared.
 3. Linked sets must share one of the first (1 - J) n + 1 tokens in any order common to all. The order here puts
    tokens last by how high their counter in a table of fixed size (`SLOTS`) stands over the mean, in standard deviations, so that
-   passages which many documents share don't bring these together. Leaders meet by these tokens. The coarse points of those that
-   meet make an R-tree, packed from the leaves to a root; it is joined with itself from the root down, and pairs of nodes, then
-   of points, outside the bound are passed over. A pair whose shared token stands so late in its sets that what follows it can't
+   passages which many documents share don't bring these together. (With 10**13 tokens in all a counter has 4 * 10**7, give or
+   take 6 * 10**3, so that a token stands out from some 25,000 repeats on; what is rarer makes buckets of few chunks.)
+   Leaders meet by these tokens. The coarse points of those that meet make an R-tree, packed from the leaves to a root; it is
+   joined with itself from the root down, and pairs of nodes, then of points, outside the bound are passed over. A pair whose shared token stands so late in its sets that what follows it can't
    reach the least overlap is passed over too: it meets by an earlier token, or isn't linked. The rest make candidate clusters.
 4. Within a cluster an R-tree of the fine points is joined with itself, and the surviving pairs are verified on the sets. A pair
    already joined through others needs no check, as only the groups are asked for. Clusters and links become groups by
@@ -26,8 +27,8 @@ each surviving pair in tasks of their own.
 Nothing is capped: chunks and slices change where a pair is checked, not whether. Hashes are of 51 bits (set digests of 128).
 
 A null or empty text, or one without words, has an empty set and is linked with nothing, not with its like either. With
-fewer words than a run, the whole sequence is its one element. Repeated rows share their class, and rows of one doc_id are taken to hold one text; rows with a null doc_id
-are given component null and link nothing. An empty table gives an empty result. Columns other than doc_id and text
+fewer words than a run, the whole sequence is its one element. Repeated rows share their class, and rows of one doc_id are
+taken to hold one text; rows with a null doc_id are given component null and link nothing. An empty table gives an empty result. Columns other than doc_id and text
 aren't read.
 """
 

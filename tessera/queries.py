@@ -754,11 +754,12 @@ def register_shift(spark, sf_dir):
 
 @query()
 def register_edge(spark, sf_dir):
-    """Each pair of the plane's neighbouring channels aligned: a rigid model with few iterations."""
+    """The plane's two halves, each moved by two rows against itself, aligned by the rigid model over all its levels, both in one job."""
     from .operators import register
 
-    tiles = resample.to_tiles(channels(spark, sf_dir), 1 << 20)
-    a = tiles.select(F.col("channel"), F.col("h"), F.col("w"), F.col("dtype"), F.col("data").alias("fixed"))
-    b = tiles.select((F.col("channel") - 1).alias("channel"), F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
+    half = plane(spark, sf_dir).withColumns({"channel": F.floor(F.col("x") / 32).cast("int"), "x": F.col("x") % 32})
+    a, b = (resample.to_tiles(half.filter(F.col("y") >= k).withColumn("y", F.col("y") - k), 1 << 20) for k in (0, 2))
+    a = a.select("channel", "h", "w", "dtype", F.col("data").alias("fixed"))
+    b = b.select("channel", F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
     edges = a.join(b, "channel").select(F.concat(F.lit("edge"), F.col("channel").cast("string")).alias("edge_id"), "fixed", "moving", "h", "w", "mh", "mw", "dtype")
-    return register.register_edges(edges, register.MODELS["rigid_test"])
+    return register.register_edges(edges, register.MODELS["rigid"]).drop("log")

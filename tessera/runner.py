@@ -31,12 +31,19 @@ def write_image(tiles: DataFrame, path: str, kind: str, size: tuple[int, int], c
     """Tiles of the full size (without a level) as one of FORMATS. Tiles that are missing are 0."""
     if len(names) != channels or (colors and len(colors) != channels):
         raise ValueError(f"{path}: {channels} channels, but {len(names)} names and {len(colors)} colours")
+    if kind == "tiles":
+        images.write_tiles(tiles.withColumn("level", F.lit(0)).select(*images.NAMES), path)
+        return
+    # each level reads the full size, which is made once and kept beside the file until that is written
+    staged = f"{path}.parts"
+    images.write_tiles(tiles.withColumn("level", F.lit(0)).select(*images.NAMES), staged)
+    tiles = images.read_tiles(tiles.sparkSession, staged).drop("level")
     if kind == "tiff":
         images.write_tiff(tiles, path, size, channels, dtype, tile, tuple(names), rgb, res, pyramid)
-    elif kind == "zarr":
-        images.write_chunks(tiles, path, size, channels, dtype, tile, tuple(names), pyramid, colors)
     else:
-        images.write_tiles(tiles.withColumn("level", F.lit(0)).select(*images.NAMES), path)
+        images.write_chunks(tiles, path, size, channels, dtype, tile, tuple(names), pyramid, colors)
+    system, where = images.opened(staged)
+    system.delete_dir(where)
 
 
 def check_merge(name: str, infos: list[formats.Info], sequences: list) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -67,7 +68,8 @@ def opened(path: str):
     """(file system, path there) of a path or URI, in the driver or a task."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+    # a plain path may hold what a URI may not
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
 
 
 def reader(path: str):

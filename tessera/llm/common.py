@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ready
+
 #: Rows and bytes of an Arrow batch, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Workers give freed memory back to the system: else each keeps the most that any slice has needed, beside a full heap.
 ALLOCATION = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Bounds the Arrow batches of this session, and lets its Python workers find this package where it lies for the driver."""
-    found = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if HOME not in found:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, found)])
+    ready(spark)
     for name, value in ALLOCATION.items():
         spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -19,6 +19,7 @@ from .operators import pixels as px
 from .operators import register, resample, shapes
 from .plans.graph import Edge, Graph
 from .plans.transforms import OutputRule, Sequence, Transform, crop, flip, identity, rotation, uncrop
+from .sources.cache import cached
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,7 @@ class Plane:
     res: float
     steps: tuple[Transform, ...]
     dtype: str
+    told: dict  # what it was made from and with
 
 
 @dataclass
@@ -152,6 +154,8 @@ class Project:
     masks: dict[str, DataFrame] = field(default_factory=dict)  # image -> (image_id, channel, y, x, v)
     logs: dict[str, list[tuple]] = field(default_factory=dict)  # source -> (stage, resolution, iteration, metric)
     most_pixels: int = 1 << 26
+    #: A folder for preprocessed planes, which are read again for the same image and preprocessing; none keeps nothing.
+    cache: str | None = None
 
     def plane(self, name: str, override: Prepro | None = None) -> Plane:
         p = self.prepro.get(name, Prepro()).with_override(override)
@@ -165,14 +169,17 @@ class Project:
             p = p if box is None else replace(p, box=tuple(int(box[c]) for c in "xywh"))
         res = self.graph.nodes[name].image_res
         out, steps, size, spacing = spatial(intensity(self.pixels[name], p, name in self.rgb), p, (w, h), res)
-        return Plane(out, spatial(mask, p, (w, h), res)[0] if mask is not None and p.use_mask else None, size, spacing, tuple(steps), "float32" if p.custom or not p.as_uint8 else "uint8")
+        return Plane(out, spatial(mask, p, (w, h), res)[0] if mask is not None and p.use_mask else None, size, spacing, tuple(steps), "float32" if p.custom or not p.as_uint8 else "uint8", {"image": self.graph.nodes[name].image, "mask": self.graph.nodes[name].mask, "size": [w, h], "prepro": p.told()})
 
     def _rows(self, spark: SparkSession, planes: dict[str, Plane], masks: bool) -> DataFrame:
         """(name, h, w, dtype, data): whole planes, or masks, one a row."""
         rows = spark.createDataFrame([], "name string, h int, w int, dtype string, data binary")
         for key, p in planes.items():
             if (own := p.mask if masks else p.pixels) is not None:
-                rows = rows.unionByName(resample.to_tiles(own, 1 << 30, "uint8" if masks else p.dtype).select(F.lit(key).alias("name"), "h", "w", "dtype", "data"))
+                plane = resample.to_tiles(own, 1 << 30, "uint8" if masks else p.dtype).select(F.lit(key).alias("name"), "h", "w", "dtype", "data")
+                if self.cache:
+                    plane = cached(plane, self.cache, f"{key.replace('/', '-')}-{'mask' if masks else 'plane'}", p.told)
+                rows = rows.unionByName(plane)
         return rows
 
     def register(self, spark: SparkSession, models: dict[str, register.Model] = register.MODELS, match: bool = False) -> None:

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import workers
 from .functions import names
 from .operators import pixels as px
 from .operators import resample, shapes
@@ -33,6 +34,7 @@ def query(sql: str | None = None):
 
 
 def t(spark, sf_dir: str, name: str) -> DataFrame:
+    workers.ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as cf
+from . import workers
 from .functions.names import merge_names
 from .operators import register, resample, shapes
 from .plots import write_plots
 from .project import Project
-from .sources import cache, formats, images, text
+from .sources import formats, images, text
 
 FORMATS = ("tiles", "tiff", "zarr")
 
@@ -58,6 +59,7 @@ def run(spark: SparkSession, config: dict, output: str | None = None, tile: int
     """Writes <output>/<name>.<kind> for every image of Graph.outputs() (tiles that are all outside aren't made and are 0), each path's transforms and alignment log, each shape file and the configuration. Returns the paths."""
     if kind not in FORMATS or tile % 16:
         raise ValueError("kind is one of tiles, tiff and zarr, and a tile's side a multiple of 16")
+    workers.ready(spark)
     config = cf.check(config)
     output = str(output or config["output_dir"]).rstrip("/")
     Path(output).mkdir(parents=True, exist_ok=True)
@@ -66,11 +68,8 @@ def run(spark: SparkSession, config: dict, output: str | None = None, tile: int
     tiles, infos = {n: t for n, (t, _) in read.items()}, {n: i for n, (_, i) in read.items()}
     own = cf.prepros(config)
     pixels = {n: resample.to_pixels(t) for n, t in tiles.items()}
-    if config["cache_images"]:
-        # what alignment reads is kept beside its parameters and read again only for the same ones
-        pixels = {n: cache.cached(p, f"{output}/cache", n, {"image": graph.nodes[n].image}) if n in own and any(n in (e.source, e.target) for e in graph.edges) else p for n, p in pixels.items()}
     masks = {name: formats.read_mask(spark, node.mask, infos[name].size, name) for name, node in graph.nodes.items() if node.mask}
-    project = Project(graph, pixels, {n: i.size for n, i in infos.items()}, own, {n for n, i in infos.items() if i.rgb}, masks=masks)
+    project = Project(graph, pixels, {n: i.size for n, i in infos.items()}, own, {n for n, i in infos.items() if i.rgb}, masks=masks, cache=f"{output}/cache" if config["cache_images"] else None)
     project.register(spark, models, match)
     written = []
     for name in graph.outputs():
@@ -117,6 +116,7 @@ def transform_file(spark: SparkSession, source: str, transforms, output: str, ti
     kind = {"tif": "tiff"}.get(formats.suffix(output), formats.suffix(output))
     if kind not in FORMATS:
         raise ValueError(f"{output}: one of .tiff, .zarr and .tiles is written")
+    workers.ready(spark)
     tiles, info = read_image(spark, source, tile)
     sequence = resample.sequence_of(transforms)
     moved = resample.resample_tiles(tiles, info.size, sequence, res or info.res or 1.0, tile, interpolation)

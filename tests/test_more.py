@@ -443,6 +443,22 @@ def test_output_rules(spark):
     assert (p.output("b").size, p.output("b").spacing) == ((50, 25), (4.0, 4.0)) and p.output("c").size == (10, 20)
 
 
+def test_planes_are_kept_with_their_preprocessing(spark, tmp_path):
+    g = Graph()
+    for name in "ac":
+        g.add_image(name, f"{name}.tif")
+    g.add_path("a", "c", params=("one",))
+    models, plane = {"one": register.Model("translation", "mean_squares", 1, 3, 100)}, np.arange(48 * 40.0).reshape(1, 48, 40)
+    kept = lambda: sorted(p.name for p in (tmp_path / "cache").iterdir())
+    for k, prepro in enumerate(({}, {}, {"a": Prepro(flip="h")})):
+        p = Project(g, {n: frame(spark, plane, n) for n in "ac"}, dict.fromkeys("ac", (40, 48)), prepro, cache=str(tmp_path / "cache"))
+        g.reset("a")
+        p.register(spark, models)
+        # the same preprocessing adds nothing
+        assert len(kept()) == (2, 2, 3)[k]
+    assert [n.split("-")[0] for n in kept()] == ["a", "a", "c"]
+
+
 def test_project_through_rigid_affine_and_grid(spark):
     c = blobs(128, 128, 7)
     seq = tf.Sequence().add([tf.Transform("euler", (-0.06, -3.0, 2.0), (63.5, 63.5), (128, 128)), wavy(amplitude=5)], [0, 0])

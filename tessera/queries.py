@@ -734,6 +734,44 @@ def tile_pyramid(spark, sf_dir):
     return resample.to_pixels(small).select("y", "x", "v")
 
 
+@query("select l::integer as level, c::integer as channel, y::bigint as y, x::bigint as x, ((c * 50 + y * 7 * (1 + l) + x * 3 * (1 + l)) % 251)::double as v from (select unnest([0, 1]) as l), (select unnest([0, 1]) as c), (select unnest(generate_series(0, 44)) as y), (select unnest(generate_series(0, 69)) as x) where l = 0 or (y < 23 and x < 35)")
+def tiff_pixels(spark, sf_dir):
+    """A pyramidal file of two channels, made and decoded again."""
+    workers.ready(spark)
+    c, y, x = np.mgrid[0:2, 0:45, 0:70]
+    full = ((c * 50 + y * 7 + x * 3) % 251).astype("uint16")
+    raw = images.tiff_bytes([full, np.ascontiguousarray(full[:, ::2, ::2])], 16)
+    tiles = images.decode_files(spark.createDataFrame([("made.tiff", bytearray(raw))], "path string, content binary"))
+    # to_pixels() keeps the image's name, which has the level in it here
+    named = tiles.withColumn("image_id", F.col("level").cast("string"))
+    return resample.to_pixels(named).select(F.col("image_id").cast("int").alias("level"), "channel", "y", "x", "v")
+
+
+@query("select y::bigint as y, x::bigint as x, c::integer as channel, ((y * 5 + x * 11 + c * 90) % 256)::double as v from (select unnest([0, 1, 2]) as c), (select unnest(generate_series(0, 19)) as y), (select unnest(generate_series(0, 29)) as x)")
+def array_pixels(spark, sf_dir):
+    """Colours of an array at hand, sent out by tiles."""
+    from .sources import formats
+
+    workers.ready(spark)
+    y, x, c = np.mgrid[0:20, 0:30, 0:3]
+    return resample.to_pixels(formats.read(spark, ((y * 5 + x * 11 + c * 90) % 256).astype("uint8"), tile=16)).select("y", "x", "channel", "v")
+
+
+@query("select y::bigint as y, x::bigint as x, (case when y >= 3 and x >= 5 then 1000 + y * 20 + x else y * 20 + x end)::double as v from (select unnest(generate_series(0, 12)) as y), (select unnest(generate_series(0, 24)) as x) where (y < 10 and x < 20) or (y >= 3 and x >= 5)")
+def mosaic_pixels(spark, sf_dir):
+    """Two blocks of a mosaic that lie over each other, cut to a grid: the later one covers the earlier."""
+    from .sources import formats
+
+    workers.ready(spark)
+    y, x = np.mgrid[0:13, 0:25]
+    whole = (y * 20 + x).astype("uint16")
+    block = lambda k, y0, x0, a: ("m", 0, 0, k, 0, y0, x0, *a.shape, "uint16", bytearray(np.ascontiguousarray(a).tobytes()))
+    rows = [block(0, 0, 0, whole[:10, :20]), block(1, 3, 5, whole[3:, 5:] + 1000)]
+    out = resample.to_pixels(formats.retiled(spark.createDataFrame(rows, images.TILES), 8))
+    # corners that no block covers are 0 there
+    return out.select("y", "x", "v").filter("(y < 10 and x < 20) or (y >= 3 and x >= 5)")
+
+
 @query("select 'x' as edge_id, true as found union all select 'y', true union all select 'z', true")
 def register_shift(spark, sf_dir):
     """Three planes whose shifts are known, aligned in one job: each is found to within a pixel."""

@@ -191,11 +191,14 @@ def read_tiff(spark: SparkSession, path: str, level: int | None = None, channel:
     """Levels and channels of the TIFF files at the path as tiles; pages of equal size are channels.
 
     The driver reads the files' directories alone, and tasks then seek the tiles that they decode: of a level or channel, where one is
-    asked for, no others are read. The files must be where both driver and tasks can open them.
+    asked for, no others are read. The files must be where both driver and tasks can open them; those of a store that only Spark
+    opens are read whole, each by one task (decode_files).
     """
+    if "://" in path and path.split("://")[0] not in SEEKING:
+        return decode_files(spark.read.format("binaryFile").load(path).select("path", "content"), level, channel)
     rows = []
     for file in files_at(path):
-        name, before = file.rsplit("/", 1)[-1].split(".")[0], 0
+        name, before = _stem(file), 0
         for page in series_of(directories(reader(file))):
             for k, tags in enumerate([page, *page["levels"]]):
                 if level is None or k == level:
@@ -214,14 +217,46 @@ def read_tiff(spark: SparkSession, path: str, level: int | None = None, channel:
                     system, where = opened(file)
                     readers[file] = system.open_input_file(where)
                 tile = decoded(part, readers[file].read_at(part["bytes"], part["place"]))
-                for c in range(part["samples"]):
-                    if channel is None or part["channel"] + c == channel:
-                        row = (*(part[k] for k in names[:2]), part["channel"] + c, *(part[k] for k in names[3:9]), str(tile.dtype), np.ascontiguousarray(tile[:, :, c]).tobytes())
-                        yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row, strict=True))], ARROW)
+                yield from tiles_of(part, tile, channel)
 
     return parts.mapInArrow(run, TILES)
 
 
+#: Schemes that pyarrow's file systems open.
+SEEKING = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def tiles_of(part: dict, tile: np.ndarray, channel: int | None) -> Iterator[pa.RecordBatch]:
+    """A decoded part as rows of TILES, one for each of its channels that is asked for."""
+    for c in range(part["samples"]):
+        if channel is None or part["channel"] + c == channel:
+            row = (part["image_id"], part["level"], part["channel"] + c, *(part[k] for k in ("ty", "tx", "y0", "x0", "h", "w")), str(tile.dtype), np.ascontiguousarray(tile[:, :, c]).tobytes())
+            yield pa.RecordBatch.from_pylist([dict(zip(NAMES, row, strict=True))], ARROW)
+
+
+def decode_files(files: DataFrame, level: int | None = None, channel: int | None = None) -> DataFrame:
+    """TIFF files as rows (path, content) as tiles, each file in one task; content up to what a row can hold."""
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.to_pylist():
+                raw, before = file["content"], 0
+                for page in series_of(directories(lambda at, n, raw=raw: raw[at : at + n])):
+                    for k, tags in enumerate([page, *page["levels"]]):
+                        if level is None or k == level:
+                            for row in parts_of(tags, k, before, _stem(file["path"])):
+                                part = dict(zip(names, row, strict=True))
+                                yield from tiles_of(part, decoded(part, raw[part["place"] : part["place"] + part["bytes"]]), channel)
+                    before += page.get(SAMPLES, (1,))[0]
+
+    return files.mapInArrow(run, TILES)
+
+
+def _stem(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".")[0]
+
+
 @dataclass(frozen=True)
 class Info:
     """What a file says of its image, without its pixels. levels: the sizes (w, h) from the full one down."""

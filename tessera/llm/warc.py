@@ -9,7 +9,7 @@ records; a repeated page gives repeated records.
 Everything is an expression of Spark SQL: one pass over the pages, no shuffle, no Python on the executors.
 
 Plain text: comments, scripts, styles and the head's title are dropped with what they hold, block-level tags become line
-feeds, other tags nothing, the five predefined entities and &nbsp; their characters, and runs of white space one space or line feed.
+feeds, other tags nothing, the five predefined entities, &nbsp;, &copy; and numeric references their characters, and runs of white space one space or line feed.
 A null page has an empty text and the digest of an empty payload; a null url becomes the empty target. A row with a null
 page_id is built like any other. An empty table gives an empty result. Columns other than those named aren't read.
 """
@@ -23,7 +23,7 @@ from .common import table
 
 #: Tags that break a line; entities by their characters, the ampersand last.
 BREAKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|body|html|title|pre|blockquote|form|aside|main"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
 DATE = "2024-01-01T00:00:00Z"
 SPACE = "[ \\t\\f\\r\\x0b]"
 
@@ -38,10 +38,29 @@ STEPS = (
 )
 
 
+#: What follows &# in a numeric reference.
+NUMBER = "^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
+
+
+def numbered(text: Column) -> Column:
+    """The text with numeric references as their characters; those of no character stay."""
+
+    def piece(p: Column, i: Column) -> Column:
+        found = F.regexp_extract(p, NUMBER, 1)
+        n = F.when(found.rlike("^[xX]"), F.conv(F.substring(found, 2, 6), 16, 10)).otherwise(found).cast("int")
+        valid = ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF))
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(i == 0, p).when((found != "") & valid, F.concat(char, F.substring(p, F.length(found) + 2, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+
+    # most texts have none
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), piece), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     out = html
     for search, put in STEPS:
         out = F.regexp_replace(out, search, put)
+    out = numbered(out)
     for search, put in ENTITIES:
         out = F.replace(out, F.lit(search), F.lit(put))
     out = F.regexp_replace(out, f"{SPACE}+", " ")
@@ -128,6 +147,9 @@ def oracle() -> str:
     text = "payload"
     for search, put in STEPS:
         text = f"regexp_replace({text}, {_sql(search)}, {_sql(put)}, 'g')"
+    found = f"regexp_extract(p, '{NUMBER}', 1)"
+    n = f"try_cast(case when {found}[1] in ('x', 'X') then '0x' || {found}[2:] else {found} end as bigint)"
+    text = f"array_to_string(list_transform(string_split({text}, '&#'), lambda p, i: case when i = 1 then p when {found} <> '' and ({n} between 1 and 55295 or {n} between 57344 and 1114111) then chr({n}::integer) || substr(p, length({found}) + 2) else '&#' || p end), '')"
     for search, put in ENTITIES:
         text = f"replace({text}, {_sql(search)}, {_sql(put)})"
     for search, put in ((f"{SPACE}+", " "), (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+|[ \\n]+$", "")):

@@ -58,6 +58,8 @@ def test_warc_links(spark):
         assert rest[size : size + 4] == b"\r\n\r\n"
         at, n = at + len(head) + 4 + size + 4, n + 1
     assert n == 8
+    odd = spark.createDataFrame([(1, "u", "&#39;a&#x1F642;b&#8217;&#0;&#xD800;&#1114112;&#;&#x;c &#65;&amp;#66; &apos;")], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses_of(odd)).filter("warc_type = 'conversion'").first()["block"] == "'a🙂b’&#0;&#xD800;&#1114112;&#;&#x;c A&#66; '"
     own = warc.responses_of(pages.filter("page_id = 2")).withColumns({"record_id": warc.F.lit("<urn:uuid:own>"), "payload_digest": warc.F.lit("sha1:ABC"), "headers": warc.F.create_map(warc.F.lit("X-B"), warc.F.lit("2\r\n3"), warc.F.lit("Server"), warc.F.lit("s")), "block": warc.F.lit(1)})
     for r in warc.derivatives(own.unionByName(own)).collect():
         assert r["refers_to"] == "<urn:uuid:own>" and r["payload_digest"] == "sha1:ABC"

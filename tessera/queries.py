@@ -349,6 +349,25 @@ def dtype_pick(spark, sf_dir):
     return t(spark, sf_dir, "orders").select("o_orderkey", px.narrowest(F.col("o_orderkey") * 7).alias("dtype"))
 
 
+@query(f"with {C}, s as (select * from c where channel in (1, 2)), m as (select channel, min(v) as a, max(v) as b from s group by channel), r as (select y, x, max(case when b > a then floor((v - a) * 255.0 / (b - a)) else 0 end) as v from s join m using (channel) group by y, x) select y, x, least(255.0, abs(v * 7 + 1))::double as v from r")
+def preprocess_intensity(spark, sf_dir):
+    """Two of four channels made one plane for alignment: rescaled, projected, their contrast raised; inversion isn't for fluorescence."""
+    from .project import Prepro, intensity
+
+    return intensity(channels(spark, sf_dir), Prepro(channels=(1, 2), contrast=True, invert=True)).select("y", "x", "v")
+
+
+@query(f"with {P}, h as (select (max(y) + 1) // 2 as h from p), s as (select y // 2 as y, 31 - x // 2 as x, v from p, h where y % 2 = 0 and x % 2 = 0 and y // 2 < h) select y - 10 as y, x - 3 as x, v from s where x >= 3 and x < 23 and y >= 10 and y < 110")
+def preprocess_spatial(spark, sf_dir):
+    """Shrunk, mirrored, cropped, in this order."""
+    from .project import Prepro, spatial
+
+    h = t(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    out, steps, size, res = spatial(plane(spark, sf_dir), Prepro(downsampling=2, flip="h", box=(3, 10, 20, 100)), (64, h), 1.0)
+    assert size == (20, 100) and res == 2.0 and [x.kind for x in steps] == ["affine", "translation"]
+    return out.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+
+
 # --- metrics
 
 PAIRS = C + ", q as (select a.v / 256 as a, b.v / 256 as b from c a join c b on a.y = b.y and a.x = b.x where a.channel = 0 and b.channel = 1)"
@@ -695,6 +714,28 @@ def output_rules():
     return [(k, *tf.OutputRule((200, 100), 0.65, r).grid()[0], tf.OutputRule((200, 100), 0.65, r).grid()[1]) for k, r in rules.items()]
 
 
+@fixed("name string, cropped boolean, w int, h int, spacing double, x double, y double", "('a', false, 200, 100, 1.0, 15.0, 37.0), ('a', true, 100, 60, 1.0, 35.0, 47.0), ('b', false, 50, 25, 4.0, 30.0, 40.0), ('c', false, 10, 20, 1.0, 30.0, 40.0)")
+def project_outputs():
+    """The grids that a project's images are written on, a target's crop undone or kept, and where a point of each lies on its image."""
+    from dataclasses import replace
+
+    from .project import Project
+
+    g = graph.Graph()
+    g.add_image("a", image_res=2.0)
+    g.add_image("b", image_res=1.0, output_res=4.0)
+    g.add_image("c", image_res=1.0)
+    g.add_path("a", "b")
+    g.edges = [replace(g.edges[0], registered=True, transforms=(tf.Transform("translation", (5.0, 7.0), size=(100, 60)),))]
+    p = Project(g, {}, {"a": (50, 40), "b": (200, 100), "c": (10, 20)}, initial={"a": [], "b": [tf.crop((20, 10, 100, 60), 1.0)]})
+    out = []
+    for name, cropped in (("a", False), ("a", True), ("b", False), ("c", False)):
+        rule = p.output(name, to_original_size=not cropped)
+        at = shapes.map_points(rule, np.array([[30.0, 40.0]]))[0]
+        out.append((name, cropped, *(int(n) for n in rule.size), rule.spacing[0], float(at[0]), float(at[1])))
+    return out
+
+
 @fixed("place int, name string", "(0, 'a - DAPI'), (1, 'a - C1'), (2, 'b - red')")
 def merged_channel_names():
     return list(enumerate(names.merge_names(["a", "b"], [["DAPI", "C1"], ["red"]])))

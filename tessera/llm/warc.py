@@ -60,7 +60,8 @@ def plain_text(html: Column) -> Column:
     out = html
     for search, put in STEPS:
         out = F.regexp_replace(out, search, put)
-    out = numbered(out)
+    # as the one element of an array the text so far is made once, though the expression names it three times
+    out = F.transform(F.array(out), numbered)[0]
     for search, put in ENTITIES:
         out = F.replace(out, F.lit(search), F.lit(put))
     out = F.regexp_replace(out, f"{SPACE}+", " ")

@@ -160,11 +160,17 @@ class Graph:
 DEEPEST = 64
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint, where the session has a folder for them: then a long chain's plans don't grow with its hops."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def depth(edges: DataFrame) -> int:
     """Hops of the longest path along edges (source, target), or a bound on it where there are cycles. One count a hop; no name reaches the driver."""
     reached, before, hops = edges.select(F.col("target").alias("node")).distinct(), None, 1
     while True:
         reached = edges.join(reached, edges["source"] == reached["node"], "left_semi").select(F.col("target").alias("node")).distinct()
+        reached = cut(reached) if hops % 4 == 0 else reached
         now = reached.count()
         if not now:
             return hops
@@ -190,6 +196,7 @@ def resolve(edges: DataFrame) -> DataFrame:
     for hop in range(1, depth(edges)):
         further = step.join(on, step["target"] == on["_from"]).filter(~F.array_contains("seen", F.col("_from")))
         step = further.select("start", F.lit(hop).alias("hop"), F.col("_from").alias("source"), F.col("_to").alias("target"), F.array_append("seen", F.col("_from")).alias("seen"))
+        step = cut(step) if hop % 4 == 0 else step
         out = out.unionAll(step.drop("seen"))
     return out
 

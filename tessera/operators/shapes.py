@@ -6,12 +6,13 @@ Part and ring are kept, so polygons with holes and multi-part shapes come back a
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.transforms import Sequence, Transform, mapped
@@ -228,35 +229,68 @@ def counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def fill(size: tuple[int, int], rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(y, x) of the pixels of one polygon, its rings filled by the even-odd rule along scan lines, with its outline. Vertices are cut to integers."""
+def fill_edges(size: tuple[int, int], a: np.ndarray, b: np.ndarray, polygon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(polygon, y * width + x) of the pixels of polygons, from the integer ends (n, 2) of the edges of their closed rings: filled by the even-odd rule along scan lines, and their outlines. A pixel may come more than once."""
     w, h = size
-    rings = [np.trunc(r).astype(np.int64) for r in rings]
-    a = np.concatenate(rings)
-    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
     (x0, y0), (x1, y1) = a.T, b.T
     # where scan lines cut edges: an edge is cut from its lower end on, up to but without its upper one
     low, top = np.maximum(np.minimum(y0, y1), 0), np.minimum(np.maximum(y0, y1), h)
     n = np.maximum(top - low, 0)
     edge, y = np.repeat(np.arange(len(n)), n), counted(low, n)
     x = x0[edge] + (y - y0[edge]) * (x1 - x0)[edge] / np.where(y1 == y0, 1, y1 - y0)[edge]
-    order = np.lexsort((x, y))
-    x, y = x[order], y[order]
+    cut = polygon[edge]
+    order = np.lexsort((x, y, cut))
+    x, y, cut = x[order], y[order], cut[order]
     left, right = np.maximum(np.ceil(x[::2]).astype(np.int64), 0), np.minimum(np.floor(x[1::2]).astype(np.int64), w - 1)
     n = np.maximum(right - left + 1, 0)
-    inner = np.repeat(y[::2], n) * w + counted(left, n)
+    inner, inner_of = np.repeat(y[::2] * w, n) + counted(left, n), np.repeat(cut[::2], n)
     # the outline, by as many steps as the edge's longer side has pixels
-    n = np.maximum(np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)), 1) + 1
+    n = steps(a, b) + 1
     edge, k = np.repeat(np.arange(len(n)), n), counted(np.zeros(len(n), np.int64), n)
     x, y = (np.rint(p[edge] + (q - p)[edge] * k / (n - 1)[edge]).astype(np.int64) for p, q in ((x0, x1), (y0, y1)))
     seen = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-    out = np.unique(np.concatenate([inner, y[seen] * w + x[seen]]))
-    return out // w, out % w
+    return np.concatenate([inner_of, polygon[edge[seen]]]), np.concatenate([inner, y[seen] * w + x[seen]])
+
+
+def fill(size: tuple[int, int], rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of the pixels of one polygon, its rings filled by the even-odd rule along scan lines, with its outline. Vertices are cut to integers."""
+    rings = [np.trunc(r).astype(np.int64) for r in rings]
+    a, b = np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    pixel = np.unique(fill_edges(size, a, b, np.zeros(len(a), np.int64))[1])
+    return pixel // size[0], pixel % size[0]
+
+
+def steps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many steps of a pixel an edge's outline takes."""
+    return np.maximum(np.abs(b - a).max(1, initial=0), 1)
 
 
 def in_order(vertices: DataFrame) -> DataFrame:
-    """Vertices dealt by their feature and sorted, for features_of()."""
-    return vertices.repartition("set_name", "feature_id").sortWithinPartitions("set_name", "feature_id", "part", "ring", "vertex")
+    """Vertices sorted by feature, all of a feature in one task, with their number in it (`_n`, from 1). They are shuffled only where they aren't dealt by their feature already."""
+    w = Window.partitionBy("set_name", "feature_id").orderBy("part", "ring", "vertex", "x", "y")
+    return vertices.withColumn("_n", F.row_number().over(w))
+
+
+def features_in(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The vertices of whole features from in_order()'s batches, and where each feature begins; about so many rows at a time, or one feature, are held beside a batch."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return table, np.flatnonzero(table.column("_n").to_numpy() == 1)
+
+    for batch in batches:
+        first = np.flatnonzero(batch.column("_n").to_numpy() == 1)
+        if len(first) and n + first[-1] >= rows:
+            held.append(batch.slice(0, first[-1]))
+            yield whole()
+            held, n = [], 0
+            batch = batch.slice(first[-1])
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield whole()
 
 
 def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -275,23 +309,72 @@ def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Vertices that are painted together, pixels that are filled at once, and the largest raster that is held whole.
+TOGETHER, AT_ONCE, HELD = 1 << 18, 1 << 20, 1 << 22
+
+
+def paint(size: tuple[int, int], points: np.ndarray, first: np.ndarray, part: np.ndarray, ring: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(feature's place, y * width + x) of the pixels of one set's features, a later one over an earlier one; `first` is where each feature's vertices begin.
+
+    Where features cover the raster more than once they are painted from the last one back, and one whose box holds no free pixel any
+    more is left out, as nothing of it would be seen. Else the pixels of some features at a time are sent on.
+    """
+    w, h = size
+    a = np.trunc(points).astype(np.int64)
+    n = np.diff(first, append=len(a))
+    begins = np.zeros(len(a), bool)
+    begins[first] = True
+    begins[1:] |= part[1:] != part[:-1]
+    polygon = np.cumsum(begins) - 1
+    feature = np.repeat(np.arange(len(first)), n)[np.flatnonzero(begins)]
+    begins[1:] |= ring[1:] != ring[:-1]
+    start = np.flatnonzero(begins)
+    follows = np.arange(1, len(a) + 1)
+    follows[np.append(start[1:], len(a)) - 1] = start
+    b = a[follows]
+    low, high = np.maximum(np.minimum.reduceat(a, first), 0), np.minimum(np.maximum.reduceat(a, first), [w - 1, h - 1]) + 1
+    area = np.maximum(high - low, 0).prod(1)
+    work = area + np.add.reduceat(steps(a, b), first)
+    todo = np.flatnonzero(area)[::-1]
+    held = np.full(w * h, -1, np.int64) if w * h <= min(HELD, area.sum()) else None
+    while len(todo):
+        group, todo = np.split(todo, [max(np.searchsorted(np.cumsum(work[todo]), AT_ONCE), 1)])
+        rows = counted(first[group], n[group])
+        of, pixel = fill_edges(size, a[rows], b[rows], polygon[rows])
+        of = feature[of]
+        if held is None:
+            order = np.lexsort((of, pixel))
+            of, pixel = of[order], pixel[order]
+            last = np.append(pixel[1:] != pixel[:-1], True)
+            yield of[last], pixel[last]
+            continue
+        np.maximum.at(held, pixel, of)
+        free = np.zeros((h + 1, w + 1), np.int64)
+        free[1:, 1:] = (held < 0).reshape(h, w).cumsum(0).cumsum(1)
+        (x0, y0), (x1, y1) = low[todo].T, high[todo].T
+        todo = todo[free[y1, x1] - free[y0, x1] - free[y1, x0] + free[y0, x0] > 0]
+    if held is not None:
+        pixel = np.flatnonzero(held >= 0)
+        yield held[pixel], pixel
+
+
 def rasterise(vertices: DataFrame, size: tuple[int, int], labels: bool = True) -> DataFrame:
-    """(set_name, y, x, v): v is feature_id + 1, a later feature over an earlier one, or 255. Features are filled one by one in the tasks they are dealt to."""
+    """(set_name, y, x, v): v is feature_id + 1, a later feature over an earlier one, or 255. Tasks paint some of a set's features over each other before they send pixels on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in features_of(batches):
-            part, ring = (table.column(c).to_numpy() for c in ("part", "ring"))
-            points = np.column_stack([table.column(c).to_numpy() for c in "xy"])
-            found = []
-            for p in np.unique(part):
-                rows = part == p
-                found.append(fill(size, [points[rows & (ring == r)] for r in np.unique(ring[rows])]))
-            y, x = (np.concatenate(c) for c in zip(*found, strict=True))
-            first, n = table.slice(0, 1), len(y)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([first.column("set_name")[0].as_py()] * n, pa.string()), pa.array(np.full(n, first.column("feature_id")[0].as_py(), np.int64)), pa.array(y), pa.array(x)], ["set_name", "feature_id", "y", "x"])
-
-    filled = in_order(vertices.select(*KEY, "vertex", "x", "y")).mapInArrow(run, "set_name string, feature_id long, y long, x long")
+        for table, first in features_in(batches, TOGETHER):
+            part, ring, ids, x, y = (table.column(c).to_numpy() for c in ("part", "ring", "feature_id", "x", "y"))
+            points, sets = np.column_stack([x, y]), table.column("set_name").take(pa.array(first)).to_pylist()
+            edges = [0, *(k for k in range(1, len(first)) if sets[k] != sets[k - 1]), len(first)]
+            for i, j in itertools.pairwise(edges):
+                start, end = first[i], first[j] if j < len(first) else len(ids)
+                for of, pixel in paint(size, points[start:end], first[i:j] - start, part[start:end], ring[start:end]):
+                    for k in range(0, len(of), AT_ONCE):
+                        found, at = ids[first[i:j]][of[k : k + AT_ONCE]], pixel[k : k + AT_ONCE]
+                        yield pa.RecordBatch.from_arrays([pa.array([sets[i]], pa.string()).take(pa.array(np.zeros(len(at), np.int64))), pa.array(found), pa.array(at // size[0]), pa.array(at % size[0])], ["set_name", "feature_id", "y", "x"])
+
+    own = vertices.select("set_name", F.col("feature_id").cast("long").alias("feature_id"), *KEY[2:], "vertex", "x", "y")
+    filled = in_order(own).mapInArrow(run, "set_name string, feature_id long, y long, x long")
     v = (F.max("feature_id") + 1) if labels else F.lit(255)
     return filled.groupBy("set_name", "y", "x").agg(v.cast("long").alias("v"))
 

@@ -493,9 +493,8 @@ select set_name, y, x, max(id) + 1 as v from (select * from inner_ union all sel
 def polygons(spark, sf_dir):
     """Orders of three lines or more as polygons a tenth of the size, in sets by the last digit of the order's customer."""
     o = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).cast("string").alias("set_name"))
-    p = rings(spark, sf_dir)
-    many = p.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter("n >= 3").select("l_orderkey")
-    return p.join(many, "l_orderkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    p = rings(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey"))).filter("n >= 3")
+    return p.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "set_name", F.col("l_orderkey").alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("vertex").cast("int").alias("vertex"), (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), F.lit("Polygon").alias("shape_type"), F.concat(F.lit("s"), "set_name").alias("shape_name")
     )
 

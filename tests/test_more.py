@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera import cli, config, plots, runner
+from tessera import cli, config, plots, queries, runner
 from tessera.operators import pixels as px
 from tessera.operators import register, resample, shapes
 from tessera.plans import graph
@@ -367,6 +367,52 @@ def test_fill_is_the_even_odd_rule():
         assert got == want
 
 
+def painted(features, size):
+    """The later of (id, [rings of each part]) over the earlier, each filled by itself."""
+    out = {}
+    for k, parts in sorted(features, key=lambda f: f[0]):
+        for rings in parts:
+            out |= dict.fromkeys(zip(*(c.tolist() for c in shapes.fill(size, rings)), strict=True), k + 1)
+    return out
+
+
+def rows_of(features, name="s"):
+    return [(name, k, p, r, v, float(x), float(y), "MultiPolygon", "a") for k, parts in features for p, rings in enumerate(parts) for r, ring in enumerate(rings) for v, (x, y) in enumerate(ring)]
+
+
+def test_raster_of_features_over_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    ring = lambda low, high: rng.uniform(low, high, (int(rng.integers(1, 7)), 2))
+    many = lambda n, low, high: [(int(k), [[ring(low, high) for _ in range(int(rng.integers(1, 3)))] for _ in range(int(rng.integers(1, 3)))]) for k in rng.permutation(3 * n)[:n]]
+    sets = {"a": many(400, -5, 45), "b": many(3, 10, 20), "c": [(7, [[np.array([[90.0, 90.0], [99.0, 95.0]])]])]}
+    v = spark.createDataFrame([r for name, features in sets.items() for r in rows_of(features, name)], shapes.VERTICES).repartition(3)
+    want = {(name, y, x, k) for name, features in sets.items() for (y, x), k in painted(features, (40, 38)).items()}
+    for held in (1 << 22, 100):
+        monkeypatch.setattr(shapes, "HELD", held)
+        monkeypatch.setattr(shapes, "AT_ONCE", 5000)
+        monkeypatch.setattr(shapes, "TOGETHER", 300)
+        assert {tuple(r) for r in shapes.rasterise(v, (40, 38)).select("set_name", "y", "x", "v").collect()} == want
+
+
+def test_hidden_features_are_not_filled(monkeypatch):
+    rng = np.random.default_rng(32)
+    features = [(k, [[np.array([[0, 0], [29, 0], [29, 29], [0, 29]]) if k % 100 == 0 else rng.integers(0, 30, (4, 2))]]) for k in range(3000)]
+    points = np.concatenate([f[1][0][0] for f in features]).astype(float)
+    filled, fill_edges = [], shapes.fill_edges
+    monkeypatch.setattr(shapes, "fill_edges", lambda *a: filled.append(len(np.unique(a[3]))) or fill_edges(*a))
+    monkeypatch.setattr(shapes, "AT_ONCE", 20000)
+    zeros = np.zeros(len(points), int)
+    [(of, pixel)] = shapes.paint((30, 30), points, np.arange(0, len(points), 4), zeros, zeros)
+    assert sum(filled) < 200
+    assert dict(zip(zip((pixel // 30).tolist(), (pixel % 30).tolist(), strict=True), (of + 1).tolist(), strict=True)) == painted(features, (30, 30))
+
+
+def test_polygons_are_shuffled_once(spark):
+    """Line items meet by their order for the numbers of vertices, the count, the join and the features."""
+    plan = shapes.to_geojson(queries.polygons(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("lineitem") == 1
+
+
 # --- shape sets
 
 

@@ -41,18 +41,6 @@ def vertices_of(feature: dict) -> list[tuple[int, int, int, float, float]]:
     return [(p, r, v, float(xy[0]), float(xy[1])) for p, rings in enumerate(parts) for r, ring in enumerate(rings) for v, xy in enumerate(ring)]
 
 
-def feature_of(kind: str, name: str, rows: list[tuple[int, int, int, float, float]]) -> dict:
-    """The feature from its vertices; polygon rings are closed."""
-    parts: dict[int, dict[int, list[list[float]]]] = {}
-    for p, r, _, x, y in sorted(rows):
-        parts.setdefault(p, {}).setdefault(r, []).append([x, y])
-    nested = [[ring for _, ring in sorted(rings.items())] for _, rings in sorted(parts.items())]
-    if kind in ("Polygon", "MultiPolygon"):
-        nested = [[ring if ring[0] == ring[-1] else [*ring, ring[0]] for ring in rings] for rings in nested]
-    coords = {"Point": lambda: nested[0][0][0], "MultiPoint": lambda: nested[0][0], "LineString": lambda: nested[0][0], "Polygon": lambda: nested[0], "MultiLineString": lambda: [p[0] for p in nested], "MultiPolygon": lambda: nested}[kind]()
-    return {"type": "Feature", "geometry": {"type": kind, "coordinates": coords}, "properties": {"classification": {"name": name}}}
-
-
 def shape_name(feature: dict) -> str:
     """The classification's name, or "unnamed"."""
     return ((feature.get("properties") or {}).get("classification") or {}).get("name") or "unnamed"
@@ -293,22 +281,6 @@ def features_in(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[
         yield whole()
 
 
-def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The vertices of each feature, from sorted batches; one feature is held at a time beside a batch."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([*held, batch]).combine_chunks()
-        sets, ids = whole.column("set_name").to_numpy(zero_copy_only=False), whole.column("feature_id").to_numpy()
-        edges = [0, *(np.flatnonzero((sets[1:] != sets[:-1]) | (ids[1:] != ids[:-1])) + 1).tolist()]
-        for start, end in zip(edges[:-1], edges[1:], strict=True):
-            yield whole.slice(start, end - start)
-        held = whole.slice(edges[-1]).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 #: Vertices that are painted together, pixels that are filled at once, and the largest raster that is held whole.
 TOGETHER, AT_ONCE, HELD = 1 << 18, 1 << 20, 1 << 22
 
@@ -385,26 +357,57 @@ def label_boxes(labels: DataFrame) -> DataFrame:
     return g.select("set_name", "label", "x", "y", (F.col("_x") - F.col("x") + 1).alias("w"), (F.col("_y") - F.col("y") + 1).alias("h"), "area")
 
 
+def told(table: pa.Table, first: np.ndarray) -> list[str]:
+    """Features as GeoJSON text, as json.dumps() writes it, polygon rings closed, from their sorted vertices and where each begins."""
+    # numbers of a whole column are written at once
+    x, y = (json.dumps(table.column(c).to_pylist())[1:-1].split(", ") for c in "xy")
+    points = [f"[{u}, {v}]" for u, v in zip(x, y, strict=True)]
+    part, ring, x, y = (table.column(c).to_numpy() for c in ("part", "ring", "x", "y"))
+    begins = np.zeros(len(points), bool)
+    begins[first] = True
+    begins[1:] |= part[1:] != part[:-1]
+    parts = begins.copy()
+    begins[1:] |= ring[1:] != ring[:-1]
+    start = np.flatnonzero(begins)
+    end = np.append(start[1:], len(points))
+    open_ = ((x[start] != x[end - 1]) | (y[start] != y[end - 1])) & (end - start > 1)
+    kinds, names = (table.column(c).take(pa.array(first)).to_pylist() for c in ("shape_type", "shape_name"))
+    # rings of a feature, and whether each begins a part
+    edges = np.append(np.searchsorted(start, first), len(start)).tolist()
+    start, end, open_, parts = start.tolist(), end.tolist(), open_.tolist(), parts[start].tolist()
+    tails: dict[str | None, str] = {}
+    out = []
+    for k, (kind, name) in enumerate(zip(kinds, names, strict=True)):
+        nested: list[list[str]] = []
+        for r in range(edges[k], edges[k + 1]):
+            if parts[r]:
+                nested.append([])
+            close = f", {points[start[r]]}" if open_[r] and kind in ("Polygon", "MultiPolygon") else ""
+            nested[-1].append(f"[{', '.join(points[start[r] : end[r]])}{close}]")
+        if kind == "MultiPolygon":
+            coords = f"[{', '.join(f'[{", ".join(rings)}]' for rings in nested)}]"
+        elif kind == "MultiLineString":
+            coords = f"[{', '.join(rings[0] for rings in nested)}]"
+        elif kind == "Polygon":
+            coords = f"[{', '.join(nested[0])}]"
+        else:
+            coords = {"Point": points[start[edges[k]]], "MultiPoint": nested[0][0], "LineString": nested[0][0]}[kind]
+        if name not in tails:
+            tails[name] = json.dumps({"classification": {"name": name}})
+        out.append(f'{{"type": "Feature", "geometry": {{"type": "{kind}", "coordinates": {coords}}}, "properties": {tails[name]}}}')
+    return out
+
+
 def to_geojson(vertices: DataFrame) -> DataFrame:
     """(set_name, feature_id, feature): each feature as GeoJSON text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for table in features_of(batches):
-            columns = {c: table.column(c).to_pylist() for c in ("part", "ring", "vertex", "x", "y")}
-            head = table.slice(0, 1).to_pylist()[0]
-            told = json.dumps(feature_of(head["shape_type"], head["shape_name"], list(zip(*columns.values(), strict=True))))
-            out.append((head["set_name"], head["feature_id"], told))
-            if len(out) == 1000:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out)
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        sets, ids, told = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), pa.array(ids, pa.int64()), pa.array(told, pa.string())], ["set_name", "feature_id", "feature"])
-
-    return in_order(vertices).mapInArrow(run, "set_name string, feature_id long, feature string")
+        for table, first in features_in(batches, 10000):
+            keys = [table.column(c).take(pa.array(first)).combine_chunks() for c in ("set_name", "feature_id")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(told(table, first), pa.string())], ["set_name", "feature_id", "feature"])
+
+    own = vertices.select("set_name", F.col("feature_id").cast("long").alias("feature_id"), *KEY[2:], "vertex", "x", "y", "shape_type", "shape_name")
+    return in_order(own).mapInArrow(run, "set_name string, feature_id long, feature string")
 
 
 def from_arrays(spark: SparkSession, items: list[dict], set_name: str = "shapes") -> DataFrame:

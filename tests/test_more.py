@@ -413,6 +413,33 @@ def test_polygons_are_shuffled_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("lineitem") == 1
 
 
+def test_geojson_text_is_that_of_json(spark):
+    ring = lambda *p: [[float(x), float(y)] for x, y in p]
+    a, b, c = ring((0, 0), (4, 0), (4, 1e16), (0, 0)), ring((1, 1), (-0.0, 2.5e-7)), ring((3, 3.1))
+    closed = lambda r: r if r[0] == r[-1] else [*r, r[0]]
+    of = {
+        "Point": (c[0], [[c]]), "MultiPoint": (b, [[b]]), "LineString": (a, [[a]]), "Polygon": ([a, closed(b), c], [[a, b, c]]),
+        "MultiLineString": ([b, a], [[b], [a]]), "MultiPolygon": ([[a, closed(b)], [c], [closed(b)]], [[a, b], [c], [b]]),
+    }
+    rows, want = [], {}
+    for k, (kind, (coords, parts)) in enumerate(list(of.items()) * 40):
+        name = [None, 'a "b"', "\u00e9"][k % 3]
+        rows += [("s", k, p, r, v, *xy, kind, name) for p, rings in enumerate(parts) for r, one in enumerate(rings) for v, xy in enumerate(one)]
+        want[k] = json.dumps({"type": "Feature", "geometry": {"type": kind, "coordinates": coords}, "properties": {"classification": {"name": name}}})
+    got = shapes.to_geojson(spark.createDataFrame(rows, shapes.VERTICES).repartition(5))
+    assert {r["feature_id"]: r["feature"] for r in got.collect()} == want
+
+
+def test_geojson_is_written_by_column(spark, monkeypatch):
+    """Numbers are written once for many features, not once a feature."""
+    rows = [("s", k, 0, 0, v, k / 7, v / 3, "Polygon", "a") for k in range(2000) for v in range(4)]
+    batches = shapes.in_order(spark.createDataFrame(rows, shapes.VERTICES)).coalesce(1).toArrow().to_batches(1000)
+    calls, dumps = [], json.dumps
+    monkeypatch.setattr(shapes.json, "dumps", lambda x: calls.append(1) or dumps(x))
+    assert sum(len(shapes.told(*x)) for x in shapes.features_in(iter(batches), 4000)) == 2000
+    assert len(calls) <= 12
+
+
 # --- shape sets
 
 

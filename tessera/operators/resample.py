@@ -85,19 +85,40 @@ def interpolate(plane: np.ndarray, origin: tuple[int, int], p: np.ndarray, size:
     return np.where(inside, top * (1 - f[:, 1]) + low * f[:, 1], 0.0)
 
 
+#: Side of the blocks that pixels as rows are packed to before larger tiles are put together from them.
+BLOCK = 512
+
+
 def to_tiles(pixels: DataFrame, tile: int, dtype: str = "float64") -> DataFrame:
-    """Pixels (image_id, channel, y, x, v) as tiles; pixels that are missing are 0."""
+    """Pixels (image_id, channel, y, x, v) as tiles; pixels that are missing are 0. Rows are packed by blocks, so that a task holds a block's rows and no more than a tile's bytes."""
+    side = min(tile, BLOCK)
+
+    def made(head: pa.Table, at: tuple[int, int], corner: tuple[int, int], data: np.ndarray) -> pa.Table:
+        one = lambda v, t: pa.array([v], t)
+        told = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, data.nbytes], np.int32)), pa.py_buffer(data)])
+        return pa.table({"image_id": head.column("image_id").slice(0, 1), "channel": head.column("channel").slice(0, 1), "ty": one(at[0], pa.int32()), "tx": one(at[1], pa.int32()), "y0": one(corner[0], pa.int64()), "x0": one(corner[1], pa.int64()), "h": one(data.shape[0], pa.int32()), "w": one(data.shape[1], pa.int32()), "dtype": one(dtype, pa.string()), "data": told})
 
     def pack(table: pa.Table) -> pa.Table:
         y, x = (table.column(c).to_numpy().astype(np.int64) for c in "yx")
-        ty, tx = int(y[0] // tile), int(x[0] // tile)
-        data = np.zeros((int(y.max()) - ty * tile + 1, int(x.max()) - tx * tile + 1), dtype)
-        data[y - ty * tile, x - tx * tile] = table.column("v").to_numpy()
-        one = lambda v, t: pa.array([v], t)
-        return pa.table({"image_id": table.column("image_id").slice(0, 1), "channel": table.column("channel").slice(0, 1), "ty": one(ty, pa.int32()), "tx": one(tx, pa.int32()), "y0": one(ty * tile, pa.int64()), "x0": one(tx * tile, pa.int64()), "h": one(data.shape[0], pa.int32()), "w": one(data.shape[1], pa.int32()), "dtype": one(dtype, pa.string()), "data": one(data.tobytes(), pa.binary())})
+        at = int(y[0] // tile), int(x[0] // tile)
+        y0, x0 = (k * tile + int(v[0] - k * tile) // side * side for k, v in zip(at, (y, x), strict=True))
+        data = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1), dtype)
+        data[y - y0, x - x0] = table.column("v").to_numpy()
+        return made(table, at, (y0, x0), data)
+
+    def join(table: pa.Table) -> pa.Table:
+        y, x, h, w = (table.column(c).to_numpy().astype(np.int64) for c in ("y0", "x0", "h", "w"))
+        at = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        corner = at[0] * tile, at[1] * tile
+        data, blocks = np.zeros((int((y + h).max()) - corner[0], int((x + w).max()) - corner[1]), dtype), table.column("data")
+        for k, (v, u) in enumerate(zip(y - corner[0], x - corner[1], strict=True)):
+            data[v : v + h[k], u : u + w[k]] = np.frombuffer(blocks[k].as_buffer(), dtype).reshape(h[k], w[k])
+        return made(table, at, corner, data)
 
     own = pixels.select("image_id", F.col("channel").cast("int").alias("channel"), "y", "x", F.col("v").cast("double").alias("v"))
-    return own.groupBy("image_id", "channel", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile)).applyInArrow(pack, TILES)
+    blocks = [F.floor(F.pmod(c, F.lit(tile)) / side) for c in "yx"] if tile > side else []
+    packed = own.groupBy("image_id", "channel", F.floor(F.col("y") / tile), F.floor(F.col("x") / tile), *blocks).applyInArrow(pack, TILES)
+    return packed.groupBy("image_id", "channel", "ty", "tx").applyInArrow(join, TILES) if blocks else packed
 
 
 def to_pixels(tiles: DataFrame) -> DataFrame:

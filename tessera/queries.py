@@ -838,8 +838,7 @@ def register_edge(spark, sf_dir):
     from .operators import register
 
     half = plane(spark, sf_dir).withColumns({"channel": F.floor(F.col("x") / 32).cast("int"), "x": F.col("x") % 32})
-    a, b = (resample.to_tiles(half.filter(F.col("y") >= k).withColumn("y", F.col("y") - k), 1 << 20) for k in (0, 2))
-    a = a.select("channel", "h", "w", "dtype", F.col("data").alias("fixed"))
-    b = b.select("channel", F.col("h").alias("mh"), F.col("w").alias("mw"), F.col("data").alias("moving"))
-    edges = a.join(b, "channel").select(F.concat(F.lit("edge"), F.col("channel").cast("string")).alias("edge_id"), "fixed", "moving", "h", "w", "mh", "mw", "dtype")
+    tiles = resample.to_tiles(half, 1 << 30, "uint8").filter("h > 2")
+    # a byte a pixel: what is left from the third row on is the moved plane
+    edges = tiles.select(F.concat(F.lit("edge"), F.col("channel").cast("string")).alias("edge_id"), F.col("data").alias("fixed"), F.expr("substring(data, 2 * w + 1)").alias("moving"), "h", "w", (F.col("h") - 2).alias("mh"), F.col("w").alias("mw"), "dtype")
     return register.register_edges(edges, register.MODELS["rigid"]).drop("log")
